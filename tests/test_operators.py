@@ -1,0 +1,270 @@
+"""Operators on tiny frames, nulls included."""
+
+import datetime as dt
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from medloom.config import ProjectConfig, load_config, save_config
+from medloom.functions.dates import find_date_column, parse_text
+from medloom.ontology import sites
+from medloom.ontology.catalog import Ontology, Registry, combined_prompt, combined_template, items_frame, propose_tables
+from medloom.operators import cohort, deid, extraction, harmonize, metadata, notes, reward, warehouse
+from medloom.plans.pipeline import Pipeline
+from medloom.plans.service import QueryService
+from medloom.sources import io
+
+
+def ts(*a):
+    return dt.datetime(*a)
+
+
+def test_roster(spark):
+    patients = spark.createDataFrame([("10", "F"), ("9", None), ("2", "M"), ("2", "F"), ("1", None), (None, "M")], "pid string, sex string")
+    diagnoses = spark.createDataFrame([("10", "C34.1"), ("9", "XC34"), ("2", "C50"), ("1", "C34"), ("1", None)], "pid string, code string")
+    demo = [spark.createDataFrame([("9", None, "a"), ("1", "M", "b")], "pid string, sex string, race string"), spark.createDataFrame([("9", "F"), ("1", "F")], "pid string, sex string")]
+    spec = cohort.CohortSpec("pid", "code", ["C34"], sex_column="sex", race_column="race")
+    built, ids = cohort.build_cohort(patients.coalesce(1), spec, diagnoses, demo)
+    assert {r.patient_id: r.record_id for r in ids.collect()} == {"1": "patient_000001", "10": "patient_000002", "9": "patient_000003"}
+    assert {r.record_id: (r.sex, r.race) for r in built.collect()} == {"patient_000001": ("M", "b"), "patient_000002": ("F", None), "patient_000003": ("F", "a")}
+
+
+def test_first_row_wins(spark):
+    rows = spark.createDataFrame([("2", "M"), ("2", "F")], "pid string, sex string").coalesce(1)
+    assert cohort.first_per_patient(rows, "pid", ["sex"]).first().sex == "M"
+
+
+def test_survival(spark):
+    rows = spark.createDataFrame([("2000-01-01", "2010-01-01"), ("2000-01-01", None), ("junk", None)], "b string, d string")
+    got = cohort.survival(rows, "b", "d", "2020-01-01").collect()
+    assert got[0].birth_to_death_years == pytest.approx(3653 / 365.25) and got[1].birth_to_death_years is None
+    assert got[1].birth_to_last_followup_or_death_years == pytest.approx(7305 / 365.25) and got[2].birth_to_last_followup_or_death_years is None
+
+
+def test_dates_are_shifted_and_never_stay(spark):
+    rows = spark.createDataFrame([("a", ts(2000, 1, 1)), ("b", ts(2001, 1, 1)), ("c", None)], "record_id string, seen timestamp")
+    births = spark.createDataFrame([("a", ts(2000, 1, 1, 12)), ("c", None)], "record_id string, birth_date timestamp")
+    got = {r.record_id: r for r in deid.shift_dates(rows, births).collect()}
+    assert got["a"].seen_years_since_birth == pytest.approx(-1 / 365.25) and got["a"].seen_calendar_year == 2000
+    assert got["b"].seen_years_since_birth is None and got["b"].seen_calendar_year == 2001 and got["c"].seen_calendar_year is None
+    assert "seen" not in deid.shift_dates(rows, None).columns
+
+
+def test_date_detection(spark):
+    rows = spark.createDataFrame([("2020-01-05", "2000", "x", "2020", None), ("03/04/2021", "1800", "2020-01-01", "2021", None)], "when string, total_dose string, half string, year string, none string")
+    assert deid.date_columns(rows) == ["when", "year"]
+    assert [r[0] is None for r in spark.createDataFrame([("2020-13-45",), ("20200131",), ("2020",)], "v string").select(parse_text(F.col("v"))).collect()] == [True, False, True]
+    assert find_date_column(["Service_Date", "NOTE_DATE"], "date") == "NOTE_DATE"
+
+
+def test_filled_columns_keep_the_key(spark):
+    rows = spark.createDataFrame([("a", 1, None)] * 3, "record_id string, x int, y int")
+    assert deid.keep_filled_columns(rows, 3).columns == ["record_id", "x"] and deid.keep_filled_columns(rows, 9).columns == ["record_id"]
+
+
+def test_ids_without_match_stay(spark):
+    ids = spark.createDataFrame([("1", "p1")], "patient_id string, record_id string")
+    assert sorted(deid.replace_ids(spark.createDataFrame([("1",), ("2",)], "record_id string"), ids).collect(), key=str) == [(None,), ("p1",)]
+    assert deid.rename_id(spark.createDataFrame([(1, 2)], "b int, a int"), {"b", "a"}).columns == ["b", "record_id"]
+
+
+def test_harmonize_nulls_and_maps(spark):
+    rows = spark.createDataFrame([("1", "PDL1", " x "), ("2", None, None), ("3", "EGFR", "9")], "pid string, marker string, value string")
+    out = harmonize.harmonize(rows, harmonize.mappings_from_config({"bio": [{"source": "marker", "target": "m", "value_map": {"PDL1": "PD-L1"}, "transform": "lowercase"}, {"source": "value", "target": "v", "transform": "to_numeric"}, {"source": "value", "target": "w", "transform": "odd"}], "none": [{"source": "zz", "target": "t"}], "bad": 3}), "pid")
+    assert list(out) == ["bio"] and [tuple(r)[2:] for r in out["bio"].orderBy("pid").collect()] == [("pd-l1", None, " x "), (None, None, None), ("egfr", 9.0, "9")]
+    big = harmonize.harmonize(rows, [harmonize.FieldMapping("marker", "m", "c", None, {f"k{i}": i for i in range(600)} | {"PDL1": "P"})], "pid")["c"]
+    assert [r.m for r in big.orderBy("pid").collect()] == ["P", None, "EGFR"]
+    assert "value_map: 1 entries" in harmonize.describe(harmonize.mappings_from_config({"c": [{"source": "a", "target": "b", "value_map": {"x": 1}}]}))
+
+
+def test_notes(spark):
+    raw = spark.createDataFrame([("1", "short", "2020-01-02", "a"), ("1", "a long enough note", "2020-01-03", None), ("1", None, None, "b"), ("1", "undated but long", " ", "c"), ("2", "another long note", "2019-01-01", "d")], "mrn_x string, text string, Service_Date string, note_type string").coalesce(1)
+    std = notes.standard_notes(raw, 0, "mrn_x")
+    assert std.where("date = '2020-01-03'").first().text == "Note date: 2020-01-03\na long enough note"
+    got = {r.patient_id: r.notes for r in notes.concatenate(std).collect()}
+    assert got["2"] == "--- d | 2019-01-01 ---\nNote date: 2019-01-01\nanother long note"
+    assert got["1"].index("a | 2020-01-02") < got["1"].index("unknown | 2020-01-03") and "undated" in got["1"]
+    assert notes.standard_notes(raw.drop("text"), 0, "mrn_x") is None
+    empty = spark.createDataFrame([], "patient_id string")
+    assert notes.consolidate([std], empty).count() == 0
+
+
+def test_chunks():
+    tok = notes.PieceTokenizer()
+    text = " ".join(f"w{i}" for i in range(50)) + "\n--- note\n" + " ".join(f"v{i}" for i in range(60))
+    chunks = notes.chunk_text(text, tok, 60, 5, window=20)
+    assert chunks[0].endswith("w49") and all(len(tok.encode(c)) <= 60 for c in chunks) and chunks[-1].endswith("v59")
+    assert notes.chunk_text("", tok) == [] and tok.decode(tok.encode(" a  b\n")) == " a  b\n"
+
+
+def test_chunk_table(spark):
+    rows = spark.createDataFrame([("1", " ".join("x" * 25))], "patient_id string, notes string")
+    assert notes.chunk_counts(notes.chunk_notes(rows, 10, 0)).first().n_chunks == 3
+    assert notes.chunk_counts(notes.chunk_notes(rows, tokenizer=None)).first().n_chunks == 1
+
+
+@pytest.mark.parametrize("text, want", [("```json\n[{\"a\": {}}]\n```", [{"a": {}}]), ("found: [1, 2] done", [1, 2]), ("[]", []), ("garbage", None), ('{"a": 1}', None), ("```\n[3]", [3])])
+def test_parse(text, want):
+    assert extraction.parse_json_list(text) == want
+
+
+def test_flatten(spark):
+    entries = json.dumps([5, {"dx": {"site": "C34", "list": ["a", "b"], "gone": None, "yes": True, "f": 1.5}}, {"a": 1, "b": 2}, {"empty": {}}, {"s": 3}])
+    rows = spark.createDataFrame([("1", entries), ("2", "nonsense"), ("3", None), ("4", "{}")], "patient_id string, extraction string")
+    wide = {r.category: r for r in extraction.flatten_wide(extraction.flatten_long(rows)).collect()}
+    assert set(wide) == {"dx", "empty"} and wide["dx"].list == "a; b" and wide["dx"].gone is None and wide["dx"].yes == "true" and wide["dx"].f == "1.5"
+    assert wide["empty"].site is None
+
+
+class Echo:
+    """A model that lists the chunks it has seen."""
+
+    def generate(self, prompt, system="", max_tokens=0, temperature=0.0):
+        seen = json.loads(prompt.split("Found so far:\n")[1].split("\n\n")[0]) if "Found so far:" in prompt else []
+        mark = "Further notes:\n" if "Further notes:\n" in prompt else "\nNotes:\n"
+        return json.dumps([*seen, {"note": {"t": prompt.split(mark)[1].split("\n\n")[0]}}])
+
+
+class Broken:
+    def generate(self, *a, **k):
+        raise RuntimeError
+
+
+def test_rounds_resume(spark, tmp_path):
+    chunks = spark.createDataFrame([("a", 0, 3, "a0"), ("a", 1, 3, "a1"), ("a", 2, 3, "a2"), ("b", 0, 1, "b0")], "patient_id string, chunk_index int, total_chunks int, chunk_text string")
+    straight = extraction.Rounds(spark, str(tmp_path / "x")).run(chunks, lambda task: Echo())
+    part = extraction.Rounds(spark, str(tmp_path / "y"))
+    part.run(chunks.where("chunk_index = 0 AND patient_id = 'a'").withColumn("total_chunks", F.lit(1)), lambda task: Echo())
+    (next((tmp_path / "y").glob("round=*")) / "part-cut.json").write_text('{"patient_id": "zz", "rou')
+    resumed = part.run(chunks, lambda task: Echo())
+    want = {r.patient_id: json.loads(r.extraction) for r in straight.collect()}
+    assert {r.patient_id: json.loads(r.extraction) for r in resumed.collect()} == want
+    assert [x["note"]["t"] for x in want["a"]] == ["a0", "a1", "a2"]
+    assert {r["round"]: (r.expected, r.done) for r in part.progress(chunks).collect()} == {0: (2, 2), 1: (1, 1), 2: (1, 1)}
+
+
+def test_failure_keeps_state():
+    assert extraction.extract_one(Broken(), "c", "[1]", "", retries=2) == "[1]"
+    assert extraction.extract_one(type("S", (), {"generate": lambda s, p: "x assistantfinal ok"})(), "c", None, "", True) == extraction.wrap_summary("ok")
+
+
+def test_small_helpers():
+    assert extraction.split_gpus([0, 1, 2, 3], 2) == [[0, 1], [2, 3]]
+    for bad in (([], 1), ([0, 1, 2], 2), ([0], 0)):
+        with pytest.raises(ValueError):
+            extraction.split_gpus(*bad)
+    assert extraction.server_arguments({"max_len": 5, "eager": True, "x": False, "y": None}) == ["--max-len", "5", "--eager"]
+    one = extraction.RoundRobin([type("C", (), {"generate": lambda s, n=n: n})() for n in (1, 2)])
+    assert [one.generate() for _ in range(3)] == [1, 2, 1]
+    with pytest.raises(ValueError):
+        extraction.RoundRobin([])
+    assert extraction.is_summary_only(["clinical_summary"]) and not extraction.is_summary_only([])
+    assert len(extraction.validate_extraction([{"a": 1}, {"z": 1}, 3], ["a"])) == 2
+
+
+@pytest.mark.parametrize("ext, ref, want", [([("c", "f", "x")], [("c", "f", "X ")], 1.0), ([("c", "f", "left lung")], [("c", "f", "lung")], 1.0), ([("c", "f", "abc")], [("c", "f", "ab")], 0.25), ([("c", "g", "x")], [("c", "f", "x")], 0.0), ([], [("c", "f", "x")], 0.0), ([("c", "f", "x")], [], 0.0)])
+def test_f1(spark, ext, ref, want):
+    frame = lambda xs: spark.createDataFrame([("1", *x) for x in xs], "patient_id string, category string, field string, value string")
+    assert reward.field_f1(frame(ext), frame(ref)).first().f1 == pytest.approx(want)
+
+
+def test_union_with_types_that_differ(spark):
+    got = warehouse.union_aligned(spark.createDataFrame([(1, 2)], "a int, b int"), spark.createDataFrame([("x", 1.5)], "a string, c double"))
+    assert {tuple(r) for r in got.collect()} == {("1", 2, None), ("x", None, 1.5)}
+
+
+def test_reserved_name_and_gate(spark):
+    house = warehouse.Warehouse(None, None, approved=["systemic"], min_non_missing=0)
+    rows = spark.createDataFrame([("1", "x")], "record_id string, v string")
+    house.add("other", rows, "ai")
+    house.add("cancer_systemic_therapy_regimen", rows, "ai")
+    assert list(house.tables) == ["systemic"]
+    with pytest.raises(ValueError):
+        house.add("cohort", rows, "ai")
+
+
+def test_sites(spark):
+    rows = spark.createDataFrame([("C34.1", "8140", 2026), ("C34.1", "8041", 2020), ("C44.5", "8720", 2020), ("C50", "9731", 2020), (None, None, None), ("LUAD", None, None), ("C38.4", None, 2020)], "s string, h string, y int")
+    got = [tuple(r) for r in rows.select(*[sites.detect(o, F.col("s"), F.col("h"), F.col("y")) for o in ("naaccr", "prissmm", "omop", "matchminer_ai", "msk_chord", "pan_top", "x")]).collect()]
+    assert got[0] == ("lung_v9", "nsclc", "nsclc", "nsclc", "lung", "lung", "generic")
+    assert got[1][2] == "sclc" and got[2][0] == "melanoma" and got[2][3] == "melanoma" and got[3][0] == "myeloma" and got[4][:4] == ("generic",) * 4
+    assert got[4][4] == "generic" and got[5][4] == "lung" and got[6][5] == "mesothelioma"
+
+
+def test_catalog(spark, tmp_path):
+    reg = Registry()
+    assert len(reg.available()) == 8 and reg.select(["all"])[0].id == "clinical_summary"
+    with pytest.raises(ValueError):
+        reg.get("none")
+    found = propose_tables([reg.get("generic_cancer")], "generic", {"labs": [{"source": "a", "target": "b"}]}, ["extra"])
+    assert found["systemic"]["columns"][0] == "record_id" and found["labs"]["columns"] == ["record_id", "b"] and "extra" in found
+    assert "cancer_surgery" in combined_prompt(reg.select(["generic_cancer"])) and combined_template(reg.select(["omop"]))["omop"]["patient"]["person"]
+    assert items_frame(spark, reg.all()).where("ontology = 'naaccr'").count() > 20
+    assert reg.get("pan_top").validate([{"nope": {}}]) and not reg.get("pan_top").validate([{"cancer_burden": {}}])
+    (tmp_path / "c.yaml").write_text("mine:\n  site: {generic: {thing: a_date b}}\n")
+    reg.load_catalog(str(tmp_path / "c.yaml"))
+    assert reg.get("mine").site_categories("x")[0].items[0].type == "date"
+    reg.register(Ontology("own"))
+    reg.clear()
+    assert reg.available() == []
+
+
+def test_csv(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('id,v,t\n1,NA,"x, ""y""\nz"\n2,1.5,n/a\n')
+    rows = io.read_file(spark, str(tmp_path / "a.csv"))
+    assert [tuple(r) for r in rows.orderBy("id").collect()] == [(1, None, 'x, "y"\nz'), (2, 1.5, None)]
+    (tmp_path / "b.csv").write_text("A,a\n1,2\n")
+    with pytest.raises(ValueError):
+        io.read_file(spark, str(tmp_path / "b.csv"))
+    assert [f[-5:] for f in io.resolve_files([str(tmp_path), str(tmp_path / "a.csv")])] == ["a.csv", "b.csv"]
+    assert io.find_file("b.csv", [str(tmp_path)]) and io.find_file("c.csv", [str(tmp_path)]) is None
+    assert io.id_column_of("x/a.csv", {"a.parquet": "k"}, "d") == "k" and io.id_column_of("q.csv", {}, "d") == "d"
+    assert io.detect_patient_file(spark, io.resolve_files([str(tmp_path)]), "id").endswith("a.csv")
+
+
+def test_config(tmp_path):
+    path = str(tmp_path / "c.yaml")
+    (tmp_path / "c.yaml").write_text("project: {name: p, input_dir: /in, output_dir: /out, odd: 1}\ncohort: {demographics_file: d.csv}\nextraction: {llm: {provider: x}, vllm_servers: {gpus: [0, 1], extra_args: {a: true}}}\n")
+    c = load_config(path)
+    assert c.input_paths == ["/in"] and c.cohort.demographics_files == ["d.csv"] and c.extraction.vllm_servers.gpus == [0, 1] and c.query.min_cell_size == 10
+    save_config(c, path)
+    assert load_config(path) == c
+
+
+def test_whole_pipeline(spark, tmp_path):
+    src, out = tmp_path / "in", tmp_path / "out"
+    src.mkdir()
+    (src / "patients.csv").write_text("mrn,sex,born\n" + "".join(f"{i},{'F' if i % 2 else 'M'},19{50 + i % 40}-01-01\n" for i in range(40)))
+    (src / "dx.csv").write_text("mrn,code,dx_date,Last_Name\n" + "".join(f"{i},{'C34' if i < 30 else 'C50'},2015-0{1 + i % 9}-03,Doe\n" for i in range(40)))
+    (src / "notes.csv").write_text("mrn,text,note_date\n" + "".join(f"{i},a note long enough {i},2016-01-01\n" for i in range(40)))
+    config = ProjectConfig("demo", [str(src)], str(out))
+    config.cohort.patient_file, config.cohort.diagnosis_file, config.cohort.patient_id_column = "patients.csv", "dx.csv", "mrn"
+    config.cohort.diagnosis_code_column, config.cohort.diagnosis_code_filter = "code", ["C34"]
+    config.cohort.sex_column, config.cohort.birth_date_column = "sex", "born"
+    config.extraction.patient_id_column, config.extraction.notes_paths, config.extraction.ontology_ids = "mrn", [str(src / "notes.csv")], ["generic_cancer"]
+    config.field_mappings = {"cancer_diagnosis": [{"source": "code", "target": "primary_site"}, {"source": "dx_date", "target": "diagnosis_date"}]}
+    model = lambda task: type("M", (), {"generate": lambda s, p: '[{"cancer_surgery": {"surgery_type": "biopsy", "surgery_date": "2016-05-05"}}]'})()
+    Pipeline(spark, config, model).run()
+    tables = warehouse.open_tables(spark, str(out / "database"))
+    assert set(tables) == {"cohort", "diagnosis", "surgery"} and tables["cohort"].count() == 30
+    for rows in tables.values():
+        for f in rows.schema:
+            assert "timestamp" not in f.dataType.simpleString() and "birth_date" != f.name
+        ids = {r.record_id for r in rows.select("record_id").collect()}
+        assert all(i.startswith("patient_") for i in ids)
+    assert "diagnosis_date_years_since_birth" in tables["diagnosis"].columns and tables["surgery"].first().data_source == "ai"
+    assert "record_id" not in (out / "metadata" / "schema.md").read_text() and "<10" not in (out / "metadata" / "summary.md").read_text().split("## Table: `cohort`")[0]
+    assert json.loads((out / "metadata" / "summary_stats.json").read_text())["total_patients"] == 30
+    assert len(json.loads((out / "cohort_ids.json").read_text())) == 30
+    service = QueryService(spark, tables)
+    assert service.execute("SELECT primary_site, COUNT(DISTINCT record_id) AS n FROM diagnosis GROUP BY primary_site")["rows"] == [["C34", 30]]
+
+
+def test_documents(spark):
+    rows = spark.createDataFrame([("r", "a", 1.0)] * 12 + [("r", "b", 3.0)] * 2, "record_id string, kind string, x double")
+    text = metadata.summary_document({"t": rows})
+    assert "- a: 12" in text and "- b: <10" in text and "median: 1.00" in text
+    stats = metadata.dashboard({"t": rows})
+    assert stats["table_summaries"]["t"]["categorical"][0]["values"][1] == {"label": "b", "n": None, "suppressed": True}
+    assert "| `x` | DOUBLE | YES |" in metadata.schema_document({"t": rows})
