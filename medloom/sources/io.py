@@ -46,11 +46,17 @@ def infer_types(rows: DataFrame) -> DataFrame:
 
 def read_file(spark: SparkSession, path: str) -> DataFrame:
     """Parquet by its ending, anything else as CSV; columns that differ only in case are refused."""
-    rows = spark.read.parquet(path) if path.endswith(".parquet") else read_csv(spark, path)
-    lower = [c.lower() for c in rows.columns]
+    if path.endswith(".parquet"):
+        rows = spark.read.parquet(path)
+        names = rows.columns
+    else:  # the header as it stands: the reader renames columns that clash
+        first = spark.read.csv(path, header=False, multiLine=True, escape='"').first()
+        names = [c for c in first or () if c is not None]
+        rows = None
+    lower = [c.lower() for c in names]
     if len(set(lower)) < len(lower):
-        raise ValueError(f"{path}: columns differ only in case: {sorted(c for c in rows.columns if lower.count(c.lower()) > 1)}")
-    return rows
+        raise ValueError(f"{path}: columns differ only in case: {sorted(c for c in names if lower.count(c.lower()) > 1)}")
+    return read_csv(spark, path) if rows is None else rows
 
 
 def columns_of(spark: SparkSession, path: str) -> list[str]:

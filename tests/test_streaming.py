@@ -1,11 +1,15 @@
 """Streams give what batches give."""
 
 import json
+import sys
 
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from medloom.streaming import state
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 class Echo:
     def generate(self, prompt, **_):
