@@ -181,7 +181,7 @@ class Transducer:
         while start < len(text):
             end = start + READ
             if end < len(text):  # up to the last blank, or else the next
-                blank = max(text.rfind(" ", start, end), text.rfind("\n", start, end))
+                blank = max(text.rfind(" ", start + 1, end), text.rfind("\n", start + 1, end))
                 if blank < 0:
                     blank = min((p for p in (text.find(" ", end), text.find("\n", end)) if p >= 0), default=len(text))
                 end = blank

@@ -27,8 +27,16 @@ BLOCK = {"address", "article", "blockquote", "body", "br", "center", "dd", "deta
 #: Start tags that end an open paragraph; items that end their like.
 _ENDS_P = BLOCK - {"br", "button", "input", "label", "select", "option", "textarea", "script", "style", "template", "noscript", "iframe", "svg", "canvas", "object", "embed", "audio", "video", "map", "math", "head", "title"}
 _LIKE = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-#: Words in a class, id or role that mark parts which are not the article.
-_PARTS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adbox|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|notices|alert|navigation|nav|navbar|menu|menus|breadcrumbs?|sidebar|side|widgets?|footer|foot|header|masthead|comments?|disqus|respond|replies|reply|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|popup|modal|overlay|pagination|pager|toolbar|contentinfo|complementary|search|copyright|skip)(?:$|[\s_-])", re.I)
+#: Names in a class, id or role (with further words around) that mark parts which are not the article.
+_PARTS = re.compile(r"(?:[\w-]*[_-])?(?:ads?|advert\w*|adsense|adbox|banners?|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alerts?|navigation|nav|navbar|menus?|breadcrumbs?|sidebar|widgets?|footer|header|masthead|comments?|comment-?list|disqus|respond|reply|replies|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|popup|modal|overlay|pagination|pager|toolbar|contentinfo|complementary|search|copyright|skip)(?:[_-][\w-]*)?", re.I)
+#: Such names after these only say what the page around has.
+_ABOUT = re.compile(r"(?:has|no|with|without|hide|show)[_-]", re.I)
+
+
+def _is_part(value: str) -> bool:
+    return any(_PARTS.fullmatch(word) and not _ABOUT.match(word) for word in value.split())
+
+
 _KEPT = {"html", "body", "article", "main"}
 
 
@@ -63,7 +71,7 @@ class _Events(HTMLParser):
             self._close(*_LIKE[tag])
         _, skipped, inside = self.stack[-1]
         if not skipped:
-            skipped = tag in SKIP or tag not in _KEPT and any(v and k in ("class", "id", "role", "aria-label") and _PARTS.search(v) for k, v in attrs) or any(k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and v and re.search(r"display\s*:\s*none", v) for k, v in attrs)
+            skipped = tag in SKIP or tag not in _KEPT and any(v and k in ("class", "id", "role") and _is_part(v) for k, v in attrs) or any(k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and v and re.search(r"display\s*:\s*none", v) for k, v in attrs)
         if tag in BLOCK and tag not in ("p", "li", "br"):
             self.parents.append(inside)
             self.kinds.append(tag)

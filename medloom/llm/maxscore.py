@@ -64,7 +64,7 @@ class Best:
         q = np.concatenate([query, np.repeat(who, self.k)])
         s = np.concatenate([score, self.scores[who].ravel()])
         d = np.concatenate([doc, self.docs[who].ravel()])
-        order = np.lexsort((d, -s.astype(np.float64) if np.abs(score).max(initial=0) < _EXACT else -s, q))
+        order = np.lexsort((d, ~s, q))  # ~ falls as s grows, and cannot overflow
         q, s, d = q[order], s[order], d[order]
         starts = np.searchsorted(q, who)
         at = starts[:, None] + np.arange(self.k)
