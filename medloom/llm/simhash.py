@@ -132,13 +132,12 @@ def trie_self_join(keys: np.ndarray, depth: int, budget: int) -> np.ndarray:
             (alo, am, blo, bm, err, np.ones(len(alo), bool)),
             (am, ahi, bm, bhi, err, np.ones(len(alo), bool)),
         ]
-        for x0, x1, y0, y1, e, use in parts:  # the last pushed, nodes with themselves, are descended first
-            ok = use & (x1 > x0) & (y1 > y0) & (e <= budget) & ~((x0 == y0) & (x1 - x0 == 1))
-            if ok.any():
-                x0, x1, y0, y1, e = x0[ok], x1[ok], y0[ok], y1[ok], e[ok]
-                for at in range(0, len(x0), FRONTIER):
-                    s = slice(at, at + FRONTIER)
-                    stack.append((d + 1, x0[s], x1[s], y0[s], y1[s], e[s]))
+        x0, x1, y0, y1, e, use = (np.concatenate(column) for column in zip(*parts, strict=True))
+        ok = use & (x1 > x0) & (y1 > y0) & (e <= budget) & ~((x0 == y0) & (x1 - x0 == 1))
+        # one frontier again; where it is cut, the last piece (nodes with themselves) is descended first
+        nodes = [v[ok] for v in (x0, x1, y0, y1, e)]
+        for at in range(0, len(nodes[0]), FRONTIER):
+            stack.append((d + 1, *(v[at : at + FRONTIER] for v in nodes)))
     return _find(parent, np.arange(n))
 
 
@@ -159,7 +158,9 @@ def near_edges(distinct: DataFrame, budget: int = 3, fp: str = "fp") -> DataFram
     at = [BITS * k // blocks for k in range(blocks + 1)]
     width = min(b - a for a, b in zip(at, at[1:], strict=False))
     lead = F.expr(" ".join(f"WHEN {k} THEN (({_rotl(fp, at[k])}) >>> {BITS - width})" for k in range(blocks)).join(("CASE rot ", " END")))
-    rows = distinct.select(fp, F.explode(F.array(*[F.lit(k) for k in range(blocks)])).alias("rot")).select("rot", fp, lead.alias("block")).repartition("rot", "block").select("rot", fp)
+    # by number, so that Spark does not join partitions that are small in bytes but long to search
+    n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = distinct.select(fp, F.explode(F.array(*[F.lit(k) for k in range(blocks)])).alias("rot")).select("rot", fp, lead.alias("block")).repartition(n, "rot", "block").select("rot", fp)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rot, key = [], []
