@@ -24,8 +24,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # one document of each group of word shingles (five words, a similarity of 0.8 or more) stays
-    return simhash.keep_one(docs, shingle=5)
+    # six fingerprints over words: near copies by the measure of five-word shingles are within reach (see README)
+    return simhash.keep_one(docs, budget=3, fingerprints=6)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

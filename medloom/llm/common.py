@@ -43,11 +43,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def union_long(value: int) -> int:
-    """An unsigned 64-bit integer as Spark's signed long."""
-    return value - (1 << 64) if value >= 1 << 63 else value
-
-
 def map_batches(
     df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]], schema: str
 ) -> DataFrame:

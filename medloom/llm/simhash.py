@@ -70,6 +70,40 @@ def fingerprints(docs: DataFrame, shingle: int = 3, text: str = "text", to: str
     return map_batches(docs, make, schema)
 
 
+def word_fingerprints(text: str | None, count: int) -> np.ndarray:
+    """``count`` independent fingerprints over the distinct words of a text (zeros if it has none).
+
+    A changed word touches one feature here, and as many as its length says in word shingles, so a
+    near copy stays within a few bits; independent fingerprints make it likely that one of them does.
+    """
+    words = set((text or "").encode().lower().split())
+    if not words:
+        return np.zeros(count, np.int64)
+    base = np.frombuffer(b"".join([xxhash.xxh64_digest(w, SEED) for w in words]), ">u8").astype(np.uint64)
+    out = []
+    for k in range(count):
+        x = (base ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) % (1 << 64))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+        bits = np.unpackbits((x ^ (x >> np.uint64(29))).view(np.uint8)).reshape(len(x), BITS)
+        out.append(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(x)).tobytes())
+    return np.frombuffer(b"".join(out), np.int64)
+
+
+def _with_word_fingerprints(rows: DataFrame, text: str, count: int) -> DataFrame:
+    schema = ", ".join(f.simpleString().replace(":", " ", 1) for f in rows.schema) + ", fps array<long>"
+
+    def make():
+        def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            found = [word_fingerprints(t, count) for part in texts_of(batch, text) for t in part]
+            flat = np.concatenate(found) if found else np.empty(0, np.int64)
+            fps = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * count, pa.int32()), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([*batch.columns, fps], [*batch.schema.names, "fps"])
+
+        return work
+
+    return map_batches(rows, make, schema)
+
+
 def _find(parent: np.ndarray, x: np.ndarray) -> np.ndarray:
     up = parent[x]
     while (up != x).any():
@@ -152,32 +186,33 @@ def rotate(keys: np.ndarray, by: int) -> np.ndarray:
     return (keys << np.uint64(by)) | (keys >> np.uint64(BITS - by))
 
 
-def near_edges(distinct: DataFrame, budget: int = 3, fp: str = "fp") -> DataFrame:
-    """Edges (u, v) that connect the distinct fingerprints within the budget: per task a star for each component."""
+def near_edges(marks: DataFrame, budget: int = 3) -> DataFrame:
+    """Edges (u, v) between nodes with fingerprints of the same number ``k`` within the budget.
+
+    ``marks`` holds (node, k, fp).  Per task a star connects each component it finds.
+    """
     blocks = budget + 1
     at = [BITS * k // blocks for k in range(blocks + 1)]
     width = min(b - a for a, b in zip(at, at[1:], strict=False))
-    lead = F.expr(" ".join(f"WHEN {k} THEN (({_rotl(fp, at[k])}) >>> {BITS - width})" for k in range(blocks)).join(("CASE rot ", " END")))
+    lead = F.expr("CASE rot " + " ".join(f"WHEN {r} THEN (({_rotl('fp', at[r])}) >>> {BITS - width})" for r in range(blocks)) + " END")
     # by number, so that Spark does not join partitions that are small in bytes but long to search
-    n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = distinct.select(fp, F.explode(F.array(*[F.lit(k) for k in range(blocks)])).alias("rot")).select("rot", fp, lead.alias("block")).repartition(n, "rot", "block").select("rot", fp)
+    n = int(marks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    turned = marks.select("node", "k", "fp", F.explode(F.array(*[F.lit(r) for r in range(blocks)])).alias("rot"))
+    rows = turned.withColumn("block", lead).repartition(n, "k", "rot", "block").select((F.col("k") * blocks + F.col("rot")).cast("int").alias("turn"), "fp", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rot, key = [], []
-        for batch in batches:
-            rot.append(batch.column("rot").to_numpy(zero_copy_only=False).astype(np.int8))
-            key.append(batch.column(fp).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
-        if not rot:
+        parts = [[c.to_numpy(zero_copy_only=False) for c in batch.columns] for batch in batches]
+        if not parts:
             return
-        rot, key = np.concatenate(rot), np.concatenate(key)
-        for k in range(blocks):
-            keys = np.sort(rotate(key[rot == k], at[k]))
-            root = trie_self_join(keys, width, budget)
-            linked = np.flatnonzero(root != np.arange(len(keys)))
-            back = (BITS - at[k]) % BITS
-            u, v = rotate(keys[linked], back), rotate(keys[root[linked]], back)
+        turn, key, node = (np.concatenate(c) for c in zip(*parts, strict=True))
+        for t in np.unique(turn):
+            mine = turn == t
+            keys, first, back = np.unique(rotate(key[mine].view(np.uint64), at[t % blocks]), return_index=True, return_inverse=True)
+            own = node[mine]
+            root = own[first][trie_self_join(keys, width, budget)][back]
+            u, v = own[own != root], root[own != root]
             for s in range(0, len(u), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[s : s + 100_000].view(np.int64)) for x in (u, v)], ["u", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[s : s + 100_000]) for x in (u, v)], ["u", "v"])
 
     return rows.mapInArrow(run, "u long, v long")
 
@@ -214,7 +249,8 @@ def components(edges: DataFrame) -> DataFrame:
 def component_ids(marked: DataFrame, budget: int = 3, fp: str = "fp", doc_id: str = "doc_id") -> DataFrame:
     """(fp, component_id) for a written table of rows with ``fp``: the least doc_id within reach."""
     distinct = written(marked.groupBy(fp).agg(F.min(doc_id).alias("least")), "distinct")
-    roots = components(near_edges(distinct.select(fp), budget, fp)).withColumnRenamed("node", fp)
+    marks = distinct.select(F.col(fp).alias("node"), F.lit(0).alias("k"), F.col(fp).alias("fp"))
+    roots = components(near_edges(marks, budget)).withColumnRenamed("node", fp)
     linked = written(distinct.join(roots, fp), "linked")
     least = written(linked.groupBy("root").agg(F.min("least").alias("component_id")), "least")
     found = linked.join(least, "root").select(F.col(fp).alias("_k"), "component_id")
@@ -229,21 +265,22 @@ def near_duplicates(docs: DataFrame, budget: int = 3, shingle: int = 3) -> DataF
     return marked.join(ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, budget: int = 3, shingle: int = 3) -> DataFrame:
-    """docs with one row of each component: the one with the least doc_id (ids before nulls, then the first row).
+def keep_one(docs: DataFrame, budget: int = 3, fingerprints: int = 6) -> DataFrame:
+    """docs with one row of each group of near copies: the one with the least doc_id (ids before nulls, then the first row).
 
-    All columns stay as they are; names made here do not clash with them.
+    Texts are linked if one of their word fingerprints differs in at most ``budget`` bits, and groups
+    are what links connect.  Texts without words form a group.  All columns stay as they are; names
+    made here do not clash with them.
     """
     names = docs.columns
     inner = docs.select(*[F.col(f"`{n}`").alias(f"c{k}") for k, n in enumerate(names)], F.monotonically_increasing_id().alias("rid"))
     text, doc_id = (f"c{names.index(x)}" for x in ("text", "doc_id"))
-    marked = written(fingerprints(inner, shingle, text), "marked")
-    slim = marked.select("rid", "fp", F.col(doc_id).alias("doc_id"))
-    ids = component_ids(slim, budget)
-    # first the best row of each fingerprint (combined before the shuffle), then of each component
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("best")
-    per_fp = slim.groupBy("fp").agg(best)
-    kept = per_fp.join(ids, "fp").groupBy("component_id").agg(F.min("best").alias("best")).select(F.col("best.rid").alias("rid"))
-    kept = written(kept, "kept")
+    marked = written(_with_word_fingerprints(inner, text, fingerprints), "marked")
+    best = F.min(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("doc_id"), "rid")).alias("best")
+    # copies fall together before anything else moves
+    nodes = written(marked.groupBy("fps").agg(best).withColumn("node", F.xxhash64("fps")), "nodes")
+    roots = components(near_edges(nodes.select("node", F.posexplode("fps").alias("k", "fp")), budget))
+    grouped = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best"))
+    kept = written(grouped.select(F.col("best.rid").alias("rid")), "kept")
     rows = marked.join(kept.hint("shuffle_hash"), "rid", "left_semi")
     return rows.select(*[F.col(f"c{k}").alias(n) for k, n in enumerate(names)])

@@ -14,14 +14,14 @@ def test_stages(spark, documents):
     ledger = {r.doc_id: r.failed for r in quality.ledger(documents).collect()}
     assert seen["quality"].keys() == {d for d in seen["language"] if not ledger[d] & whole}
     ids = sorted(seen["quality"])
-    fps = [int.from_bytes(simhash.fingerprint(seen["quality"][d], 5)) for d in ids]
+    fps = [simhash.word_fingerprints(seen["quality"][d], 6).view("u8").tolist() for d in ids]
     least, group = {}, list(range(len(ids)))
     changed = True
     while changed:
         changed = False
         for i in range(len(ids)):
             for j in range(i):
-                if (fps[i] ^ fps[j]).bit_count() <= 3 and group[i] != group[j]:
+                if group[i] != group[j] and any((a ^ b).bit_count() <= 3 for a, b in zip(fps[i], fps[j], strict=True)):
                     group = [min(group[i], group[j]) if g in (group[i], group[j]) else g for g in group]
                     changed = True
     for g, d in zip(group, ids, strict=True):

@@ -91,12 +91,27 @@ def test_odd_rows(odd_documents):
 def test_one_of_each_group_stays(odd_documents):
     kept = simhash.keep_one(odd_documents)
     assert kept.columns == odd_documents.columns
-    want = {r.component_id for r in simhash.near_duplicates(odd_documents).collect()}
-    rows = kept.collect()
-    assert len(rows) == len(want) and {r.doc_id for r in rows} == want
+    ids = sorted(str(r.doc_id) for r in kept.collect())
+    assert ids in (["1", "4", "6", "None"], ["1", "4", "6"])  # blanks, repeats and near copies are one each
     assert simhash.keep_one(odd_documents.limit(0)).count() == 0
 
 
+def test_near_copies_are_caught(spark):
+    """Texts with a few changed words lose against their source; unrelated texts stay."""
+    rng = np.random.default_rng(2)
+    rows = []
+    for i in range(40):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 300)]
+        rows.append((i, " ".join(words)))
+        for j in range(3):  # about one changed word of a hundred: five-word shingles agree to nine tenths
+            copy = list(words)
+            for at in rng.integers(0, 300, 3):
+                copy[at] = f"new{rng.integers(0, 10**9)}"
+            rows.append((1000 * (j + 1) + i, " ".join(copy)))
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(range(40)) <= kept and len(kept) <= 42
+
+
 def test_hot_group(spark):
     docs = spark.range(3000).selectExpr("id AS doc_id", "concat('same words in every copy ', IF(id % 3 = 0, 'here', concat('x', id, ' y', id * 7, ' z', id * 13))) AS text")
     got = simhash.near_duplicates(docs)
