@@ -21,7 +21,7 @@ def duck():
 
 def rows(frame: pd.DataFrame) -> list[tuple]:
     def text(v):
-        if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+        if v is None or v is pd.NA or v is pd.NaT or (isinstance(v, float) and v != v):
             return "null"
         return str(v).removesuffix(".0")
 
