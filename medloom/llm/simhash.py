@@ -17,13 +17,13 @@ null doc_id is allowed; it never becomes a component id unless a whole component
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from medloom.llm.common import map_batches, texts_of, written
@@ -32,6 +32,12 @@ SEED = 42
 BITS = 64
 #: Node pairs that are descended at once; bounds a task's memory.
 FRONTIER = 1 << 18
+#: Shingle hashes of a text that a sketch holds, and what stands for none.
+SKETCH, NONE = 512, (1 << 32) - 1
+#: Pairs whose sketches are compared at once.
+COMPARED = 2048
+#: Nodes of a candidate group that one task searches; larger groups are searched block by block.
+GROUP = 50_000
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> bytes:
@@ -70,40 +76,98 @@ def fingerprints(docs: DataFrame, shingle: int = 3, text: str = "text", to: str
     return map_batches(docs, make, schema)
 
 
-def word_fingerprints(text: str | None, count: int) -> np.ndarray:
-    """``count`` independent fingerprints over the distinct words of a text (zeros if it has none).
+def _words(text: str | None) -> np.ndarray:
+    """A 64-bit hash of every word of a text, in order."""
+    return np.frombuffer(b"".join([xxhash.xxh64_digest(w, SEED) for w in (text or "").encode().lower().split()]), ">u8").astype(np.uint64)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(29))
+
+
+def word_fingerprints(words: np.ndarray, count: int) -> np.ndarray:
+    """``count`` independent fingerprints over a text's distinct word hashes (zeros if it has none).
 
     A changed word touches one feature here, and as many as its length says in word shingles, so a
     near copy stays within a few bits; independent fingerprints make it likely that one of them does.
     """
-    words = set((text or "").encode().lower().split())
-    if not words:
+    base = np.unique(words)
+    if not len(base):
         return np.zeros(count, np.int64)
-    base = np.frombuffer(b"".join([xxhash.xxh64_digest(w, SEED) for w in words]), ">u8").astype(np.uint64)
     out = []
     for k in range(count):
-        x = (base ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) % (1 << 64))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-        bits = np.unpackbits((x ^ (x >> np.uint64(29))).view(np.uint8)).reshape(len(x), BITS)
+        x = _mixed((base ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) % (1 << 64))) * np.uint64(0xBF58476D1CE4E5B9))
+        bits = np.unpackbits(x.view(np.uint8)).reshape(len(x), BITS)
         out.append(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(x)).tobytes())
     return np.frombuffer(b"".join(out), np.int64)
 
 
+def shingle_sketch(words: np.ndarray, shingle: int = 5, size: int = SKETCH) -> np.ndarray:
+    """The least ``size`` 32-bit hashes of a text's distinct word shingles, sorted (fewer words: the whole sequence).
+
+    Two sketches shorter than ``size`` are whole sets, and their similarity is exact.
+    """
+    if not len(words):
+        return np.empty(0, np.uint32)
+    n = max(1, len(words) - shingle + 1)
+    x = np.zeros(n, np.uint64)
+    for at in range(min(shingle, len(words))):
+        x = _mixed((x + words[at : at + n]) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(at + 1))
+    return np.unique(np.minimum(x >> np.uint64(32), np.uint64(NONE - 1)).astype(np.uint32))[:size]
+
+
 def _with_word_fingerprints(rows: DataFrame, text: str, count: int) -> DataFrame:
-    schema = ", ".join(f.simpleString().replace(":", " ", 1) for f in rows.schema) + ", fps array<long>"
+    schema = ", ".join(f.simpleString().replace(":", " ", 1) for f in rows.schema) + ", fps array<long>, sketch binary"
 
     def make():
         def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            found = [word_fingerprints(t, count) for part in texts_of(batch, text) for t in part]
+            found, sketches = [], []
+            for part in texts_of(batch, text):
+                for t in part:
+                    words = _words(t)
+                    found.append(word_fingerprints(words, count))
+                    sketches.append(shingle_sketch(words).tobytes())
             flat = np.concatenate(found) if found else np.empty(0, np.int64)
             fps = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * count, pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([*batch.columns, fps], [*batch.schema.names, "fps"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, fps, pa.array(sketches, pa.binary())], [*batch.schema.names, "fps", "sketch"])
 
         return work
 
     return map_batches(rows, make, schema)
 
 
+class Sketches:
+    """Sketches end to end, and which pairs of them reach a similarity."""
+
+    def __init__(self, parts: list[bytes], similarity: float, size: int = SKETCH):
+        self.flat = np.frombuffer(b"".join(parts) + NONE.to_bytes(4, "little"), np.uint32)
+        self.lengths = np.array([len(p) // 4 for p in parts], np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.similarity, self.size = similarity, size
+
+    def _rows(self, i: np.ndarray, width: int) -> np.ndarray:
+        at = np.arange(width)
+        return self.flat[np.where(at < self.lengths[i][:, None], self.starts[i][:, None] + at, len(self.flat) - 1)]
+
+    def similarities(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Shared part of the union's least hashes: all of them, or ``size`` if a sketch was cut there."""
+        width = max(1, self.lengths[i].max(initial=0), self.lengths[j].max(initial=0))
+        both = np.sort(np.concatenate([self._rows(i, width), self._rows(j, width)], axis=1), axis=1)
+        real = both != NONE
+        again = np.zeros(both.shape, bool)
+        again[:, 1:] = (both[:, 1:] == both[:, :-1]) & real[:, 1:]
+        rank = np.cumsum(real & ~again, axis=1)
+        cut = np.maximum(self.lengths[i], self.lengths[j]) >= self.size
+        limit = np.where(cut, self.size, 2 * width)
+        union = np.minimum(rank[:, -1], limit)
+        shared = (again & (rank <= limit[:, None])).sum(axis=1)
+        return np.where(union > 0, shared / np.maximum(union, 1), 1.0)
+
+    def agree(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return self.similarities(i, j) >= self.similarity - 1e-9
+
+
 def _find(parent: np.ndarray, x: np.ndarray) -> np.ndarray:
     up = parent[x]
     while (up != x).any():
@@ -119,6 +183,26 @@ def _unite(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
         np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
 
 
+def _link(parent: np.ndarray, i: np.ndarray, j: np.ndarray, agree: Callable[[np.ndarray, np.ndarray], np.ndarray] | None) -> None:
+    if agree is None:
+        _unite(parent, i, j)
+        return
+    for at in range(0, len(i), COMPARED):
+        a, b = i[at : at + COMPARED], j[at : at + COMPARED]
+        apart = _find(parent, a) != _find(parent, b)
+        a, b = a[apart], b[apart]
+        ok = agree(a, b)
+        _unite(parent, a[ok], b[ok])
+
+
+def _equal_keys(alo: np.ndarray, ahi: np.ndarray, blo: np.ndarray, bhi: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs between the nodes of two leaves that hold one repeated key each, or within one leaf."""
+    for x0, x1, y0, y1 in zip(alo.tolist(), ahi.tolist(), blo.tolist(), bhi.tolist(), strict=True):
+        for i in range(x0, x1):
+            js = np.arange(i + 1 if x0 == y0 else y0, y1)
+            yield np.full(len(js), i), js
+
+
 def _split(keys: np.ndarray, lo: np.ndarray, depth: int) -> np.ndarray:
     """Where the keys below the node at lo begin to have the bit at this depth."""
     low = np.uint64(BITS - depth)
@@ -126,9 +210,11 @@ def _split(keys: np.ndarray, lo: np.ndarray, depth: int) -> np.ndarray:
     return np.searchsorted(keys, prefix | np.uint64(1 << (BITS - 1 - depth)))
 
 
-def trie_self_join(keys: np.ndarray, depth: int, budget: int) -> np.ndarray:
+def trie_self_join(keys: np.ndarray, depth: int, budget: int, agree: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> np.ndarray:
     """For sorted distinct 64-bit keys: the smallest index of each key's component, where keys are
-    linked if they share the first ``depth`` bits and differ in at most ``budget`` others."""
+    linked if they share the first ``depth`` bits and differ in at most ``budget`` others.
+
+    With ``agree``, keys may repeat, and a link also needs ``agree(i, j)`` of the two indices."""
     n = len(keys)
     parent = np.arange(n)
     if n < 2:
@@ -145,7 +231,7 @@ def trie_self_join(keys: np.ndarray, depth: int, budget: int) -> np.ndarray:
         if leaf.any():
             i, j = alo[leaf], blo[leaf]
             near = np.bitwise_count(keys[i] ^ keys[j]) <= budget
-            _unite(parent, i[near], j[near])
+            _link(parent, i[near], j[near], agree)
             alo, ahi, blo, bhi, err = (v[~leaf] for v in (alo, ahi, blo, bhi, err))
         if len(alo) * 8 > n:  # the check costs a pass over the keys
             root = _find(parent, np.arange(n))
@@ -155,7 +241,9 @@ def trie_self_join(keys: np.ndarray, depth: int, budget: int) -> np.ndarray:
             alo, ahi, blo, bhi, err = (v[~same] for v in (alo, ahi, blo, bhi, err))
         if not len(alo):
             continue
-        if d == BITS:  # equal keys only: distinct keys never get here as one node
+        if d == BITS:  # repeated keys only: distinct keys never get here as one node
+            for i, j in _equal_keys(alo, ahi, blo, bhi) if agree is not None else ():
+                _link(parent, i, j, agree)
             continue
         am, bm = _split(keys, alo, d), _split(keys, blo, d)
         own = alo == blo
@@ -186,19 +274,37 @@ def rotate(keys: np.ndarray, by: int) -> np.ndarray:
     return (keys << np.uint64(by)) | (keys >> np.uint64(BITS - by))
 
 
+def _blocks(budget: int) -> tuple[list[int], int]:
+    """Where the blocks begin, and the bits that every one of them has at least."""
+    at = [BITS * k // (budget + 1) for k in range(budget + 2)]
+    return at, min(b - a for a, b in zip(at, at[1:], strict=False))
+
+
+def _leads(budget: int) -> Column:
+    at, width = _blocks(budget)
+    return F.expr("CASE rot " + " ".join(f"WHEN {r} THEN (({_rotl('fp', at[r])}) >>> {BITS - width})" for r in range(budget + 1)) + " END")
+
+
+def _partitions(df: DataFrame) -> int:
+    # by number, so that Spark does not join partitions that are small in bytes but long to search
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _stars(node: np.ndarray, root: np.ndarray) -> Iterator[pa.RecordBatch]:
+    u, v = node[node != root], root[node != root]
+    for s in range(0, len(u), 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(x[s : s + 100_000]) for x in (u, v)], ["u", "v"])
+
+
 def near_edges(marks: DataFrame, budget: int = 3) -> DataFrame:
     """Edges (u, v) between nodes with fingerprints of the same number ``k`` within the budget.
 
     ``marks`` holds (node, k, fp).  Per task a star connects each component it finds.
     """
     blocks = budget + 1
-    at = [BITS * k // blocks for k in range(blocks + 1)]
-    width = min(b - a for a, b in zip(at, at[1:], strict=False))
-    lead = F.expr("CASE rot " + " ".join(f"WHEN {r} THEN (({_rotl('fp', at[r])}) >>> {BITS - width})" for r in range(blocks)) + " END")
-    # by number, so that Spark does not join partitions that are small in bytes but long to search
-    n = int(marks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at, width = _blocks(budget)
     turned = marks.select("node", "k", "fp", F.explode(F.array(*[F.lit(r) for r in range(blocks)])).alias("rot"))
-    rows = turned.withColumn("block", lead).repartition(n, "k", "rot", "block").select((F.col("k") * blocks + F.col("rot")).cast("int").alias("turn"), "fp", "node")
+    rows = turned.withColumn("block", _leads(budget)).repartition(_partitions(marks), "k", "rot", "block").select((F.col("k") * blocks + F.col("rot")).cast("int").alias("turn"), "fp", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [[c.to_numpy(zero_copy_only=False) for c in batch.columns] for batch in batches]
@@ -209,10 +315,48 @@ def near_edges(marks: DataFrame, budget: int = 3) -> DataFrame:
             mine = turn == t
             keys, first, back = np.unique(rotate(key[mine].view(np.uint64), at[t % blocks]), return_index=True, return_inverse=True)
             own = node[mine]
-            root = own[first][trie_self_join(keys, width, budget)][back]
-            u, v = own[own != root], root[own != root]
-            for s in range(0, len(u), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[s : s + 100_000]) for x in (u, v)], ["u", "v"])
+            yield from _stars(own, own[first][trie_self_join(keys, width, budget)][back])
+
+    return rows.mapInArrow(run, "u long, v long")
+
+
+def verified_edges(candidates: DataFrame, budget: int = 3, similarity: float = 0.8) -> DataFrame:
+    """Edges (u, v) between nodes with a fingerprint within the budget and sketches that reach the similarity.
+
+    ``candidates`` holds (node, root, fps, sketch), root being the component by fingerprints alone, so
+    links only join nodes of one root.  A group of up to ``GROUP`` nodes is searched in one task, a
+    larger one block by block as in ``near_edges``.
+    """
+    blocks = budget + 1
+    at, width = _blocks(budget)
+    sizes = candidates.groupBy("root").agg((F.count("*") > GROUP).alias("large"))
+    sized = candidates.join(sizes, "root")
+    small = sized.where("NOT large").select(F.lit(-1).alias("turn"), F.col("root").alias("place"), "node", "fps", "sketch")
+    turned = sized.where("large").select("node", "sketch", F.posexplode("fps").alias("k", "fp")).select("*", F.explode(F.array(*[F.lit(r) for r in range(blocks)])).alias("rot"))
+    turn = (F.col("k") * blocks + F.col("rot")).cast("int")
+    large = turned.select(turn.alias("turn"), F.xxhash64(turn, _leads(budget)).alias("place"), "node", F.array("fp").alias("fps"), "sketch")
+    rows = small.unionByName(large).repartition(_partitions(candidates), "place").select("turn", "node", "fps", "sketch")
+
+    def search(node: np.ndarray, key: np.ndarray, sketches: list[bytes], by: int) -> Iterator[pa.RecordBatch]:
+        keys = rotate(key.view(np.uint64), by)
+        order = np.argsort(keys, kind="stable")
+        known = Sketches([sketches[o] for o in order], similarity)
+        root = trie_self_join(keys[order], width, budget, known.agree)
+        yield from _stars(node[order], node[order][root])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = list(batches)
+        if not any(p.num_rows for p in parts):
+            return
+        table = pa.Table.from_batches(parts)
+        turn, node = (table.column(c).to_numpy() for c in ("turn", "node"))
+        for t in np.unique(turn):
+            mine = table.filter(pa.array(turn == t))
+            own, sketches = node[turn == t], mine.column("sketch").to_pylist()
+            fps = np.concatenate([c.flatten().to_numpy() for c in mine.column("fps").chunks]).reshape(len(own), -1)
+            for k in range(fps.shape[1]):
+                for r in range(blocks) if t < 0 else (int(t) % blocks,):
+                    yield from search(own, np.ascontiguousarray(fps[:, k]), sketches, at[r])
 
     return rows.mapInArrow(run, "u long, v long")
 
@@ -265,12 +409,12 @@ def near_duplicates(docs: DataFrame, budget: int = 3, shingle: int = 3) -> DataF
     return marked.join(ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, budget: int = 3, fingerprints: int = 6) -> DataFrame:
+def keep_one(docs: DataFrame, budget: int = 3, fingerprints: int = 6, similarity: float = 0.8) -> DataFrame:
     """docs with one row of each group of near copies: the one with the least doc_id (ids before nulls, then the first row).
 
-    Texts are linked if one of their word fingerprints differs in at most ``budget`` bits, and groups
-    are what links connect.  Texts without words form a group.  All columns stay as they are; names
-    made here do not clash with them.
+    Texts are linked if one of their word fingerprints differs in at most ``budget`` bits and the
+    sketches of their five-word shingles reach the similarity; groups are what links connect.  Texts
+    without words form a group.  All columns stay as they are; names made here do not clash with them.
     """
     names = docs.columns
     inner = docs.select(*[F.col(f"`{n}`").alias(f"c{k}") for k, n in enumerate(names)], F.monotonically_increasing_id().alias("rid"))
@@ -278,9 +422,13 @@ def keep_one(docs: DataFrame, budget: int = 3, fingerprints: int = 6) -> DataFra
     marked = written(_with_word_fingerprints(inner, text, fingerprints), "marked")
     best = F.min(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("doc_id"), "rid")).alias("best")
     # copies fall together before anything else moves
-    nodes = written(marked.groupBy("fps").agg(best).withColumn("node", F.xxhash64("fps")), "nodes")
-    roots = components(near_edges(nodes.select("node", F.posexplode("fps").alias("k", "fp")), budget))
+    nodes = written(marked.groupBy("fps", F.xxhash64("sketch").alias("sig")).agg(best).withColumn("node", F.xxhash64("fps", "sig")), "nodes")
+    near = components(near_edges(nodes.select("node", F.posexplode("fps").alias("k", "fp")), budget))
+    # only texts with a candidate need their sketch
+    candidates = nodes.join(near, "node").select("node", "root", "fps", F.col("best.rid").alias("rid"))
+    sketched = written(candidates.join(marked.select("rid", "sketch"), "rid").drop("rid"), "sketched")
+    roots = components(verified_edges(sketched, budget, similarity))
     grouped = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best"))
     kept = written(grouped.select(F.col("best.rid").alias("rid")), "kept")
-    rows = marked.join(kept.hint("shuffle_hash"), "rid", "left_semi")
+    rows = marked.drop("fps", "sketch").join(kept.hint("shuffle_hash"), "rid", "left_semi")
     return rows.select(*[F.col(f"c{k}").alias(n) for k, n in enumerate(names)])

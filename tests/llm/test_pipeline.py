@@ -2,6 +2,15 @@ import corpus_pipeline
 from medloom.llm import langid, quality, simhash
 
 
+def five_word_shingles(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def similar(a, b):
+    return len(a & b) >= 0.8 * len(a | b)
+
+
 def test_stages(spark, documents):
     docs, seen = documents, {}
     for name, stage in corpus_pipeline.STAGES[:-1]:
@@ -14,14 +23,15 @@ def test_stages(spark, documents):
     ledger = {r.doc_id: r.failed for r in quality.ledger(documents).collect()}
     assert seen["quality"].keys() == {d for d in seen["language"] if not ledger[d] & whole}
     ids = sorted(seen["quality"])
-    fps = [simhash.word_fingerprints(seen["quality"][d], 6).view("u8").tolist() for d in ids]
+    fps = [simhash.word_fingerprints(simhash._words(seen["quality"][d]), 6).view("u8").tolist() for d in ids]
+    sets = [five_word_shingles(seen["quality"][d]) for d in ids]
     least, group = {}, list(range(len(ids)))
     changed = True
     while changed:
         changed = False
         for i in range(len(ids)):
             for j in range(i):
-                if group[i] != group[j] and any((a ^ b).bit_count() <= 3 for a, b in zip(fps[i], fps[j], strict=True)):
+                if group[i] != group[j] and any((a ^ b).bit_count() <= 3 for a, b in zip(fps[i], fps[j], strict=True)) and similar(sets[i], sets[j]):
                     group = [min(group[i], group[j]) if g in (group[i], group[j]) else g for g in group]
                     changed = True
     for g, d in zip(group, ids, strict=True):
