@@ -112,53 +112,6 @@ def test_near_copies_are_caught(spark):
     assert set(range(40)) <= kept and len(kept) <= 42
 
 
-def edited(words, rng, n):
-    copy = list(words)
-    for at in rng.choice(len(words), n, replace=False):
-        copy[at] = f"new{rng.integers(0, 10**9)}"
-    return " ".join(copy)
-
-
-def sets_similarity(a, b):
-    x, y = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.split(), b.split()))
-    return len(x & y) / len(x | y)
-
-
-def test_sketches_measure_similarity():
-    rng = np.random.default_rng(3)
-    texts = []
-    for length in (1, 4, 5, 30, 300, 500, 3000, 9000):
-        words = [f"w{x}" for x in rng.integers(0, 4000, length)]
-        texts += [" ".join(words)] + [edited(words, rng, max(1, int(length * share))) for share in (0.01, 0.04, 0.1)]
-    known = simhash.Sketches([simhash.shingle_sketch(simhash._words(t)).tobytes() for t in [*texts, None, ""]], 0.8)
-    i, j = (np.array(x) for x in zip(*[(i, j) for i in range(len(texts)) for j in range(i)], strict=True))
-    for a, b, got in zip(i, j, known.similarities(i, j), strict=True):
-        exact = max(len(texts[a].split()), len(texts[b].split())) <= simhash.SKETCH
-        assert abs(got - sets_similarity(texts[a], texts[b])) < (1e-9 if exact else 0.09)
-    n = len(texts)
-    assert known.similarities(np.array([n, n, 0]), np.array([n + 1, n, n])).tolist() == [1, 1, 0]
-
-
-@pytest.mark.parametrize("group", [50_000, 2])
-def test_texts_below_the_similarity_stay(spark, monkeypatch, group):
-    """Copies near a common source go, though they differ more among each other; texts of one template stay."""
-    monkeypatch.setattr(simhash, "GROUP", group)
-    rng = np.random.default_rng(4)
-    base, template = ([f"{name}{x}" for x in rng.integers(0, 5000, 400)] for name in "bt")
-    rows = [(0, " ".join(base)), *[(i, edited(base, rng, 6)) for i in range(1, 30)], *[(100 + i, edited(template, rng, 24)) for i in range(30)]]
-    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    texts = dict(rows)
-    assert all(sets_similarity(texts[0], texts[i]) > 0.8 for i in range(1, 30)) and sets_similarity(texts[100], texts[101]) < 0.8
-    assert set(range(100, 130)) <= kept and 0 in kept and len(kept) <= 31
-
-
-def test_repeated_keys_are_compared():
-    keys = np.array([7, 7, 7, 7, 15, 15, 1 << 63], np.uint64)
-    kind = np.array([0, 1, 0, 1, 0, 1, 0])
-    got = simhash.trie_self_join(keys, 0, 3, lambda i, j: kind[i] == kind[j])
-    assert got.tolist() == [0, 1, 0, 1, 0, 1, 6]
-
-
 def test_hot_group(spark):
     docs = spark.range(3000).selectExpr("id AS doc_id", "concat('same words in every copy ', IF(id % 3 = 0, 'here', concat('x', id, ' y', id * 7, ' z', id * 13))) AS text")
     got = simhash.near_duplicates(docs)
