@@ -32,6 +32,9 @@ SEED = 42
 BITS = 64
 #: Node pairs that are descended at once; bounds a task's memory.
 FRONTIER = 1 << 18
+#: Texts of a candidate group that are compared in one place; a larger group is cut into chunks of about
+#: so many (at most ``CHUNKS``), and every pair of chunks is compared in a place of its own.
+GROUP, CHUNKS = 300, 32
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> bytes:
@@ -89,15 +92,81 @@ def word_fingerprints(text: str | None, count: int) -> np.ndarray:
     return np.frombuffer(b"".join(out), np.int64)
 
 
+def normal_digest(text: str | None) -> bytes:
+    """The same for texts that are equal up to ASCII case and white space."""
+    return xxhash.xxh3_128_digest(b" ".join((text or "").encode().lower().split()))
+
+
+def shingles(text: str | None, width: int = 5) -> np.ndarray:
+    """Sorted 64-bit hashes of a text's distinct word shingles (fewer words: the whole sequence)."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    joined = b" ".join(words)
+    ends = list(accumulate(len(w) + 1 for w in words))
+    starts = [0, *ends]
+    digest = xxhash.xxh64_digest
+    found = b"".join([digest(joined[a : b - 1], SEED) for a, b in zip(starts, ends[width - 1 :] or ends[-1:], strict=False)])
+    return np.unique(np.frombuffer(found, ">u8").astype(np.uint64))
+
+
+def similar_components(sets: list[np.ndarray], similarity: float = 0.8) -> np.ndarray:
+    """The smallest index of each set's component, where sets are linked if their Jaccard similarity
+    reaches ``similarity``.
+
+    Breadth first, so only sets that no component has reached yet are compared.  Two such sets share
+    one of their rarest elements (prefix filter), so only sets found there are compared, exactly.
+    """
+    n = len(sets)
+    root = np.full(n, -1)
+    lengths = np.array([len(x) for x in sets], np.int64)
+    if not n or not lengths.any():
+        return np.zeros(n, np.int64)
+    _, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(counts), np.int64)
+    rank[np.argsort(counts, kind="stable")] = np.arange(len(counts))
+    ends = np.cumsum(lengths)
+    tokens = [np.sort(x) for x in np.split(rank[inverse], ends[:-1])]
+    prefix = np.where(lengths > 0, lengths - np.ceil(similarity * lengths - 1e-9).astype(np.int64) + 1, 0)
+    rare = np.concatenate([t[:k] for t, k in zip(tokens, prefix, strict=True)])
+    by = np.argsort(rare, kind="stable")
+    holder = np.repeat(np.arange(n), prefix)[by]
+    first = np.searchsorted(rare[by], np.arange(len(counts) + 1))
+    mark, open_ = np.zeros(len(counts), bool), np.ones(n, bool)
+    for start in range(n):
+        if not open_[start]:
+            continue
+        open_[start], root[start], queue = False, start, [start]
+        while queue and open_.any():
+            x = queue.pop()
+            found = [holder[first[t] : first[t + 1]] for t in tokens[x][: prefix[x]]]
+            if not found:  # sets without elements equal each other
+                near = np.flatnonzero(open_ & (lengths == 0))
+            else:
+                near = np.unique(np.concatenate(found))
+                near = near[open_[near] & (lengths[near] >= similarity * lengths[x] - 1e-9) & (similarity * lengths[near] - 1e-9 <= lengths[x])]
+                if len(near):
+                    mark[tokens[x]] = True
+                    shared = np.array([np.count_nonzero(mark[tokens[y]]) for y in near])
+                    mark[tokens[x]] = False
+                    near = near[shared >= similarity * (lengths[x] + lengths[near] - shared) - 1e-9]
+            open_[near], root[near] = False, start
+            queue.extend(near.tolist())
+    return root
+
+
 def _with_word_fingerprints(rows: DataFrame, text: str, count: int) -> DataFrame:
-    schema = ", ".join(f.simpleString().replace(":", " ", 1) for f in rows.schema) + ", fps array<long>"
+    schema = ", ".join(f.simpleString().replace(":", " ", 1) for f in rows.schema) + ", fps array<long>, same binary"
 
     def make():
         def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            found = [word_fingerprints(t, count) for part in texts_of(batch, text) for t in part]
+            found, same = [], []
+            for part in texts_of(batch, text):
+                found += [word_fingerprints(t, count) for t in part]
+                same += [normal_digest(t) for t in part]
             flat = np.concatenate(found) if found else np.empty(0, np.int64)
             fps = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * count, pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([*batch.columns, fps], [*batch.schema.names, "fps"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, fps, pa.array(same, pa.binary())], [*batch.schema.names, "fps", "same"])
 
         return work
 
@@ -221,6 +290,58 @@ def _rotl(column: str, by: int) -> str:
     return f"(`{column}` << {by}) | (`{column}` >>> {BITS - by})" if by else f"`{column}`"
 
 
+def verified_roots(candidates: DataFrame, texts: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """(node, root) for nodes whose text's five-word shingles agree to ``similarity`` with those of another node.
+
+    ``candidates`` is a written table of (node, guess, rid), ``texts`` holds (rid, text).  Only nodes of
+    one guess are compared, all of them with each other.
+    """
+    sizes = candidates.groupBy("guess").agg(F.least(F.lit(CHUNKS), F.ceil(F.count(F.lit(1)) / GROUP)).cast("int").alias("chunks"))
+    sized = candidates.join(sizes, "guess").withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks").cast("int"))
+    places = F.expr("IF(chunks = 1, array(named_struct('lo', 0, 'hi', 0)), transform(filter(sequence(0, chunks - 1), j -> j <> chunk), j -> named_struct('lo', least(j, chunk), 'hi', greatest(j, chunk))))")
+    # the texts join before they are dealt, so each is fetched once
+    dealt = texts.join(sized.hint("shuffle_hash"), "rid").select("guess", "node", "text", F.explode(places).alias("place")).select("guess", "place.lo", "place.hi", "node", "text")
+    n = int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = dealt.repartition(n, "guess", "lo", "hi").sortWithinPartitions("guess", "lo", "hi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, nodes, sets = None, [], []
+        u, v, whole = [], [], []
+
+        def search() -> None:
+            root = similar_components(sets, similarity)
+            for k in np.flatnonzero(root != np.arange(len(root))).tolist():
+                u.append(nodes[k])
+                v.append(nodes[root[k]])
+                whole.append(at[2] == 0)
+
+        def drain() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(whole, pa.bool_())], ["u", "v", "whole"])
+            for x in (u, v, whole):
+                x.clear()
+            return out
+
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 64):
+                for *place, node, text in zip(*(c.to_pylist() for c in batch.slice(begin, 64).columns), strict=True):
+                    if place != at:
+                        if len(nodes) > 1:
+                            search()
+                        at, nodes, sets = place, [], []
+                        if len(u) >= 10_000:
+                            yield drain()
+                    nodes.append(node)
+                    sets.append(shingles(text))
+        if len(nodes) > 1:
+            search()
+        yield drain()
+
+    edges = written(rows.mapInArrow(run, "u long, v long, whole boolean"), "verified")
+    done = edges.where("whole").select(F.col("u").alias("node"), F.col("v").alias("root"))
+    # a star's centre has no edge of its own here; its root is itself wherever no row says otherwise
+    return done.unionByName(components(edges.where("NOT whole")))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node that has an edge.
 
@@ -265,12 +386,13 @@ def near_duplicates(docs: DataFrame, budget: int = 3, shingle: int = 3) -> DataF
     return marked.join(ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, budget: int = 3, fingerprints: int = 6) -> DataFrame:
+def keep_one(docs: DataFrame, budget: int = 3, fingerprints: int = 6, similarity: float = 0.8) -> DataFrame:
     """docs with one row of each group of near copies: the one with the least doc_id (ids before nulls, then the first row).
 
-    Texts are linked if one of their word fingerprints differs in at most ``budget`` bits, and groups
-    are what links connect.  Texts without words form a group.  All columns stay as they are; names
-    made here do not clash with them.
+    Texts that are connected by word fingerprints of at most ``budget`` different bits are candidates;
+    of these, texts are linked if their sets of five-word shingles have a Jaccard similarity of
+    ``similarity`` or more, and groups are what links connect.  Texts without words form a group.  All
+    columns stay as they are; names made here do not clash with them.
     """
     names = docs.columns
     inner = docs.select(*[F.col(f"`{n}`").alias(f"c{k}") for k, n in enumerate(names)], F.monotonically_increasing_id().alias("rid"))
@@ -278,8 +400,10 @@ def keep_one(docs: DataFrame, budget: int = 3, fingerprints: int = 6) -> DataFra
     marked = written(_with_word_fingerprints(inner, text, fingerprints), "marked")
     best = F.min(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("doc_id"), "rid")).alias("best")
     # copies fall together before anything else moves
-    nodes = written(marked.groupBy("fps").agg(best).withColumn("node", F.xxhash64("fps")), "nodes")
-    roots = components(near_edges(nodes.select("node", F.posexplode("fps").alias("k", "fp")), budget))
+    nodes = written(marked.groupBy("fps", "same").agg(best).withColumn("node", F.xxhash64("same")), "nodes")
+    guess = components(near_edges(nodes.select("node", F.posexplode("fps").alias("k", "fp")), budget)).withColumnRenamed("root", "guess")
+    candidates = written(nodes.select("node", F.col("best.rid").alias("rid")).join(guess, "node"), "candidates")
+    roots = verified_roots(candidates, marked.select("rid", F.col(text).alias("text")), similarity)
     grouped = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best"))
     kept = written(grouped.select(F.col("best.rid").alias("rid")), "kept")
     rows = marked.join(kept.hint("shuffle_hash"), "rid", "left_semi")

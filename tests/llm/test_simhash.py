@@ -116,3 +116,36 @@ def test_hot_group(spark):
     docs = spark.range(3000).selectExpr("id AS doc_id", "concat('same words in every copy ', IF(id % 3 = 0, 'here', concat('x', id, ' y', id * 7, ' z', id * 13))) AS text")
     got = simhash.near_duplicates(docs)
     assert got.where("component_id = 0").count() >= 1000 and got.count() == 3000
+
+
+def _jaccard(a: str, b: str) -> float:
+    one, two = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.split(), b.split()))
+    return len(one & two) / len(one | two)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_similar_components_against_all_pairs(seed):
+    rng = np.random.default_rng(seed)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(0, 30))).astype(np.uint64) for _ in range(60)]
+    sets += [np.setdiff1d(sets[k], sets[k][: rng.integers(0, 5)]) for k in rng.integers(0, 60, 60)]
+    known = [set(x.tolist()) for x in sets]
+    want = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if want[i] != want[j] and 5 * len(known[i] & known[j]) >= 4 * len(known[i] | known[j]):
+                want = [min(want[i], want[j]) if g in (want[i], want[j]) else g for g in want]
+    assert simhash.similar_components(sets).tolist() == want
+
+
+@pytest.mark.parametrize("group", [300, 7])
+def test_only_texts_alike_to_four_fifths_go(spark, monkeypatch, group):
+    """The same words in another order, and copies with many changed words, are candidates but no near copies."""
+    monkeypatch.setattr(simhash, "GROUP", group)
+    rng = np.random.default_rng(5)
+    words = [f"w{x}" for x in range(400)]
+    rows = [(0, " ".join(words)), (1, " ".join(rng.permutation(words))), (2, "  ".join(words).upper())]
+    rows += [(10 + k, " ".join(w if i not in (7 * k, 7 * k + 1) else f"n{k}x{i}" for i, w in enumerate(words))) for k in range(30)]
+    rows += [(100 + k, " ".join(f"m{k}" if i % 20 == k else w for i, w in enumerate(words))) for k in range(5)]  # each shingle around every twentieth word
+    assert all(_jaccard(rows[0][1], t) >= 0.8 for d, t in rows if 10 <= d < 100) and all(_jaccard(rows[0][1], t) < 0.8 for d, t in rows if d == 1 or d >= 100)
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {0, 1, 100, 101, 102, 103, 104} <= kept and 2 not in kept and len(kept) <= 9
