@@ -3,9 +3,12 @@
 A text is lower-cased, everything but letters becomes a space, and the subwords of two to four
 characters within a word (with its edges) are hashed into buckets.  The mean of the buckets'
 embeddings goes through a linear layer and a softmax.  Embeddings and layer are learned by stochastic
-gradient descent in numpy on a bounded sample of labelled rows; a temperature and a rejection
-threshold are set on the part of the sample that training did not see.  For prediction embeddings and
-layer are multiplied out once, so a text costs one gather per subword.
+gradient descent in numpy on a bounded sample of labelled rows; a temperature is set on the part of
+the sample that training did not see.  A softmax only tells learned languages from each other, so
+rejection goes by familiarity as well: the mean log frequency of a text's subwords in the language
+where they are most frequent.  Its threshold lies between unseen texts in learned languages and
+negatives made of them (each judged by the other languages only, and with its letters shuffled).  For
+prediction embeddings and layer are multiplied out once, so a text costs one gather per subword.
 """
 
 from __future__ import annotations
@@ -26,6 +29,8 @@ BITS = 16
 #: About so many labelled rows of each language are learned from (expected size of a hash sample).
 PER_LANGUAGE = 400
 SIZES = (2, 3, 4)
+#: The share of unseen texts in learned languages that may be rejected as unfamiliar.
+FALSE_REJECTIONS = 0.001
 
 
 @cache
@@ -71,6 +76,12 @@ class Model:
     bias: np.ndarray
     temperature: float
     reject_below: float
+    #: Bucket -> bits by which it is more frequent in each language than if all buckets were alike.
+    known: np.ndarray
+    least_known: float
+
+    def __post_init__(self) -> None:
+        self.both = np.hstack([self.table, self.known])
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """(language or ``und``, calibrated probability, rejected)."""
@@ -80,12 +91,13 @@ class Model:
         counts = np.bincount(at, minlength=0)
         if len(counts) < len(at):
             used = np.flatnonzero(counts)
-            logits = counts[used] @ self.table[used]
+            sums = counts[used] @ self.both[used]
         else:
-            logits = self.table[at].sum(axis=0)
-        p = _softmax((logits / len(at) + self.bias) / self.temperature)
+            sums = self.both[at].sum(axis=0)
+        logits, known = np.split(sums / len(at), 2)
+        p = _softmax((logits + self.bias) / self.temperature)
         best = int(p.argmax())
-        return self.languages[best], float(p[best]), bool(p[best] < self.reject_below)
+        return self.languages[best], float(p[best]), bool(p[best] < self.reject_below or known.max() < self.least_known)
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -93,18 +105,49 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
+def _shuffled(text: str, rng: np.random.Generator) -> str:
+    """The text with its letters dealt anew over their places."""
+    out = np.array(list(text))
+    letters = np.flatnonzero([c.isalpha() for c in out])
+    out[letters] = out[rng.permutation(letters)]
+    return "".join(out)
+
+
+def _familiarity(shown: list[tuple], held: list[tuple], bits: int, languages: int, rng: np.random.Generator) -> tuple[np.ndarray, float]:
+    """Frequencies of buckets per language in the shown rows, and the least familiarity that passes.
+
+    Held texts may fail at the rate ``FALSE_REJECTIONS``; where the negatives (all but their highest
+    hundredth) lie lower, the threshold is half-way, so that texts less familiar than those held pass.
+    """
+    counts = np.zeros((1 << bits, languages))
+    for used, weight, y, n, _ in shown:
+        counts[used, y] += weight * n
+    known = np.log2((counts + 0.1) / (counts.sum(axis=0) + 0.1 * (1 << bits))) + bits
+    positive, negative = [], []
+    for used, weight, y, _, text in held:
+        found = weight @ known[used]
+        positive.append(found.max())
+        if languages > 1:
+            negative.append(np.delete(found, y).max())
+        negative.append(known[buckets(_shuffled(text, rng), bits)].mean(axis=0).max())
+    if not positive:
+        return known, -np.inf
+    least, most = np.quantile(positive, FALSE_REJECTIONS), np.quantile(negative, 0.99)
+    return known, float(min(least, 0.5 * (least + most)))
+
+
 def train(texts: list[str], labels: list[str], dim: int = 16, epochs: int = 4, rate: float = 0.5, bits: int = BITS, seed: int = 7) -> Model:
     """SGD over the sample; every fifth text is left out and calibrates temperature and rejection."""
     languages = sorted(set(labels))
     if not languages:
-        return Model([], np.zeros((1, 0), np.float32), np.zeros(0), 1.0, 0.0)
+        return Model([], np.zeros((1, 0), np.float32), np.zeros(0), 1.0, 0.0, np.zeros((1, 0)), 0.0)
     at = {x: k for k, x in enumerate(languages)}
     rows = []
     for text, label in zip(texts, labels, strict=True):
         found = buckets(text, bits)
         if len(found):
             used, counts = np.unique(found, return_counts=True)
-            rows.append((used, (counts / len(found)).astype(np.float32), at[label]))
+            rows.append((used, (counts / len(found)).astype(np.float32), at[label], len(found), text))
     rng = np.random.default_rng(seed)
     shown = [r for k, r in enumerate(rows) if k % 5] or rows
     held = rows[::5]
@@ -114,7 +157,7 @@ def train(texts: list[str], labels: list[str], dim: int = 16, epochs: int = 4, r
     step, total = 0, max(1, epochs * len(shown))
     for _ in range(epochs):
         for k in rng.permutation(len(shown)):
-            used, weight, y = shown[k]
+            used, weight, y, _, _ = shown[k]
             now = rate * (1 - step / total)
             step += 1
             mean = weight @ embed[used]
@@ -125,15 +168,16 @@ def train(texts: list[str], labels: list[str], dim: int = 16, epochs: int = 4, r
             bias -= 0.1 * now * grad
             embed[used] -= (20 * now) * weight[:, None] * back
     table = embed @ layer
-    logits = np.array([w @ table[u] + bias for u, w, _ in held]).reshape(-1, len(languages))
-    truth = np.array([y for _, _, y in held], int)
+    logits = np.array([w @ table[u] + bias for u, w, *_ in held]).reshape(-1, len(languages))
+    truth = np.array([y for _, _, y, *_ in held], int)
     temperatures = np.geomspace(0.05, 20, 60)
     loss = [-np.log(_softmax(logits / t)[np.arange(len(truth)), truth] + 1e-12).mean() for t in temperatures] if len(truth) else [0.0]
     temperature = float(temperatures[int(np.argmin(loss))]) if len(truth) else 1.0
     sure = _softmax(logits / temperature).max(axis=1) if len(truth) else np.ones(1)
     # texts in a learned language pass: half the least sure of them, and never more than a fair coin
     reject = min(0.5, 0.5 * float(sure.min())) if len(languages) > 1 else 0.0
-    return Model(languages, table.astype(np.float64), bias.astype(np.float64), temperature, reject)
+    known, least_known = _familiarity(shown, held, bits, len(languages), np.random.default_rng(seed + 1))
+    return Model(languages, table.astype(np.float64), bias.astype(np.float64), temperature, reject, known, least_known)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -48,3 +48,24 @@ def test_subwords_do_not_cross_spaces():
     assert set(langid.buckets("ab cd")) == set(langid.buckets("ab")) | set(langid.buckets("cd"))
     assert len(langid.buckets("")) == len(langid.buckets("12 .")) == len(langid.buckets(None)) == 0
     assert set(langid.buckets("ÀB")) == set(langid.buckets("àb"))
+
+
+UNLEARNED = {
+    "pl": "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.",
+    "fi": "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
+    "tr": "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler.",
+    "it": "Tutti gli esseri umani nascono liberi ed eguali in dignità e diritti. Essi sono dotati di ragione e di coscienza.",
+    "ru": "Все люди рождаются свободными и равными в своем достоинстве и правах.",
+    "el": "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα.",
+    "zh": "人人生而自由,在尊严和权利上一律平等。他们赋有理性和良心。",
+    "letters": "qzx vkwro jjpq xxzvma wqkj zzpt bgrf yuoqw nnbd kkcxz pmwv ttqghj ouiy zrrk",
+}
+
+
+def test_unlearned_languages_are_rejected(spark):
+    for sf in ("sf0.001", "sf0.01"):
+        docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+        model = langid.fit(docs)
+        assert {k for k, text in UNLEARNED.items() if not model.predict(text)[2]} == set()
+        held = [r.text for r in docs.where(langid.held_out(docs.doc_id)).collect()]
+        assert sum(model.predict(t)[2] for t in held) <= 0.01 * len(held)
