@@ -22,42 +22,62 @@ from pyspark.sql import DataFrame
 from medloom.llm.common import map_batches
 
 SKIP = {"nav", "header", "footer", "aside", "form", "script", "style", "noscript", "template", "iframe", "svg", "canvas", "object", "embed", "audio", "video", "button", "select", "option", "textarea", "input", "label", "fieldset", "head", "title", "menu", "dialog", "math", "map"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {"address", "article", "blockquote", "body", "br", "center", "dd", "details", "div", "dl", "dt", "figcaption", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "hr", "html", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"} | SKIP
 #: Start tags that end an open paragraph; items that end their like.
 _ENDS_P = BLOCK - {"br", "button", "input", "label", "select", "option", "textarea", "script", "style", "template", "noscript", "iframe", "svg", "canvas", "object", "embed", "audio", "video", "map", "math", "head", "title"}
 _LIKE = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-#: Names in a class, id or role (with further words around) that mark parts which are not the article.
-_PARTS = re.compile(r"(?:[\w-]*[_-])?(?:ads?|advert\w*|adsense|adbox|banners?|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alerts?|navigation|nav|navbar|menus?|breadcrumbs?|sidebar|widgets?|footer|header|masthead|comments?|comment-?list|disqus|respond|reply|replies|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|popup|modal|overlay|pagination|pager|toolbar|contentinfo|complementary|search|copyright|skip)(?:[_-][\w-]*)?", re.I)
-#: Such names after these only say what the page around has.
-_ABOUT = re.compile(r"(?:has|no|with|without|hide|show)[_-]", re.I)
+#: Names in a class, id or role that mark parts which are not the article: alone, as the last word, or with the words below.
+_NAMES = r"(?:ads?|advert\w*|adsense|adbox|banners?|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alerts?|navigation|nav|navbar|menus?|breadcrumbs?|sidebar|widgets?|footer|header|masthead|comments?|comment-?list|disqus|respond|reply|replies|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|popup|modal|overlay|pagination|pager|toolbar|contentinfo|complementary|search|copyright|skip)"
+_WORDS = r"(?:areas?|bars?|box(?:es)?|buttons?|containers?|forms?|icons?|inner|items?|links?|lists?|posts?|articles?|stor(?:y|ies)|sections?|slots?|threads?|units?|wrap(?:per)?|\d+)"
+_PARTS = re.compile(rf"(?:[\w-]*[_-])?{_NAMES}(?:[_-]{_WORDS})*", re.I)
+_ALONE = re.compile(_NAMES, re.I)
+#: With these words the name only says what the page around has, or it is the article's own head.
+_ABOUT = re.compile(r"(?:.*[_-])?(?:has|no|with|without|hide|show)[_-].*|(?:.*[_-])?(?:article|content|entry|page|post|section|story)[_-]header", re.I)
+#: Readers' words, and articles that only point elsewhere.
+_COMMENT = re.compile(r"(?:[\w-]*[_-])?(?:comments?|comment-?list|disqus|respond|reply|replies)(?:[_-][\w-]*)?", re.I)
+_TEASER = re.compile(r"(?:comment|reply|teaser|promo|sponsored|advert|ad)(?:[_-]\d+)?", re.I)
 
 
 def _is_part(value: str) -> bool:
-    return any(_PARTS.fullmatch(word) and not _ABOUT.match(word) for word in value.split())
+    return any(_PARTS.fullmatch(word) and not _ABOUT.fullmatch(word) for word in value.split())
 
 
-_KEPT = {"html", "body", "article", "main"}
+def _part(tag: str, attrs: list[tuple[str, str | None]]) -> str:
+    """What marks the element as a part: ``comment``, ``part`` or nothing.  Headings and the ids of sections name topics."""
+    if tag in ("html", "body", "main") or tag in HEADINGS:
+        return ""
+    for k, v in attrs:
+        if not v or k not in ("class", "id", "role"):
+            continue
+        if tag == "article":
+            found = any(_TEASER.fullmatch(word) for word in v.split())
+        else:
+            found = bool(_ALONE.fullmatch(v.strip())) if k == "id" and tag == "section" else _is_part(v)
+        if found:
+            return "comment" if tag == "article" or any(_COMMENT.fullmatch(word) for word in v.split()) else "part"
+    return ""
 
 
 class _Events(HTMLParser):
-    """Lines with their measures; containers are numbered in the order they open."""
+    """Lines with their measures; containers and named parts are numbered in the order they open."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, int]] = [("", False, 0)]  # tag, skipped, container
+        self.stack: list[tuple[str, bool, int, int, bool]] = [("", False, 0, 0, False)]  # tag, skipped, container, part, link
         self.parents = [0]
         self.kinds = [""]
-        self.lines: list[tuple[str, int, int]] = []  # text, tags, container
-        self.text: list[str] = []
+        self.parts: list[tuple[int, str, bool]] = [(0, "", False)]  # the part around, what marks it, whether in an article
+        self.lines: list[tuple[list[tuple[str, int, bool]], int, int]] = []  # pieces, tags, container
+        self.text: list[tuple[str, int, bool]] = []  # text, part, link
         self.tags = 0
 
     def flush(self) -> None:
-        line = " ".join("".join(self.text).split())
-        if line:
-            self.lines.append((line, self.tags, self.stack[-1][2]))
+        if any(x[0].strip() for x in self.text):
+            self.lines.append((self.text, self.tags, self.stack[-1][2]))
             self.tags = 0
-        self.text.clear()
+        self.text = []
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
@@ -69,14 +89,17 @@ class _Events(HTMLParser):
             self._close({"p"}, BLOCK - {"p"})
         if tag in _LIKE:
             self._close(*_LIKE[tag])
-        _, skipped, inside = self.stack[-1]
+        _, skipped, inside, part, link = self.stack[-1]
         if not skipped:
-            skipped = tag in SKIP or tag not in _KEPT and any(v and k in ("class", "id", "role") and _is_part(v) for k, v in attrs) or any(k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and v and re.search(r"display\s*:\s*none", v) for k, v in attrs)
+            skipped = tag in SKIP or any(k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and v and re.search(r"display\s*:\s*none", v) for k, v in attrs)
+            if named := _part(tag, attrs):
+                self.parts.append((part, named, any(x[0] in ("article", "main") for x in self.stack)))
+                part = len(self.parts) - 1
         if tag in BLOCK and tag not in ("p", "li", "br"):
             self.parents.append(inside)
             self.kinds.append(tag)
             inside = len(self.parents) - 1
-        self.stack.append((tag, bool(skipped), inside))
+        self.stack.append((tag, bool(skipped), inside, part, link or tag == "a"))
 
     def _close(self, tags: set[str], stop: set[str]) -> None:
         """End open elements of these kinds, unless one of the others lies in between."""
@@ -104,7 +127,7 @@ class _Events(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if not self.stack[-1][1]:
-            self.text.append(data)
+            self.text.append((data, *self.stack[-1][3:]))
 
 
 def smooth(values: np.ndarray, sigma: float = 1.0) -> np.ndarray:
@@ -135,7 +158,7 @@ def extract(html: str | None) -> str:
     page.feed(html)
     page.close()
     page.flush()
-    lines = page.lines
+    lines = _content(page)
     if not lines:
         return ""
     size = np.array([len(x[0]) for x in lines], float)
@@ -170,6 +193,49 @@ def extract(html: str | None) -> str:
     return "\n".join(x[0] for x in lines if inside[x[2]])
 
 
+def _below(at: np.ndarray, values: np.ndarray, parents: list[int]) -> np.ndarray:
+    """Sums over the lines below each container."""
+    out = np.zeros(len(parents))
+    np.add.at(out, at, values)
+    for k in range(len(parents) - 1, 0, -1):
+        out[parents[k]] += out[k]
+    return out
+
+
+def _content(page: _Events) -> list[tuple[str, int, int, int]]:
+    """Text, tags, container and link characters of the lines outside of named parts.
+
+    A part that holds most of the page's text is none, unless it is mostly links, holds readers'
+    comments on other text, or lies beside an article.
+    """
+    named = np.zeros(len(page.kinds), bool)
+    for k in range(1, len(page.kinds)):
+        named[k] = page.kinds[k] in ("article", "main") or named[page.parents[k]]
+    sizes, links, article = np.zeros(len(page.parts)), np.zeros(len(page.parts)), 0
+    for pieces, _, container in page.lines:
+        for data, part, link in pieces:
+            n = len("".join(data.split()))
+            sizes[part] += n
+            links[part] += n * link
+            article += n * (part == 0 and bool(named[container]))
+    free = sizes[0]
+    for k in range(len(page.parts) - 1, 0, -1):
+        sizes[page.parts[k][0]] += sizes[k]
+        links[page.parts[k][0]] += links[k]
+    dropped = np.zeros(len(page.parts), bool)
+    for k in range(1, len(page.parts)):
+        around, kind, inner = page.parts[k]
+        dropped[k] = dropped[around] or 2 * sizes[k] <= sizes[0] or 2 * links[k] > sizes[k] or kind == "comment" and free > 0 or article > 0 and not inner
+    lines, tags = [], 0
+    for pieces, more, container in page.lines:
+        tags += more
+        kept = [x for x in pieces if not dropped[x[1]]]
+        if line := " ".join("".join(x[0] for x in kept).split()):
+            lines.append((line, tags, container, len(" ".join("".join(x[0] for x in kept if x[2]).split()))))
+            tags = 0
+    return lines
+
+
 def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every page; null html, or html without text, gives an empty text."""
 

@@ -57,3 +57,28 @@ def test_odd_pages(spark):
     pages = spark.createDataFrame([(1, None, None, "x"), (1, "u", "", "y"), (None, "u", "<p>t", "z"), (2, "u", "<p>" + "w " * 300_000, "q")], "page_id long, url string, html string, text string")
     got = html_text.extract_pages(pages).collect()
     assert sorted(r.n_chars for r in got) == [0, 0, 1, 599_999] and html_text.extract_pages(pages.limit(0)).count() == 0
+
+
+LONG = " ".join(f"word{i} of the long body" for i in range(60))
+
+
+@pytest.mark.parametrize("start, end", [
+    ("<section id='related-work'>", "</section>"), ("<h2 id='search-methods'>", "</h2>"), ("<h2 id='notice-periods'>", "</h2>"), ("<section id='social-impact'>", "</section>"),
+    ("<section id='literature-search'>", "</section>"), ("<div class='entry-header'>", "</div>"),
+])
+def test_topics_are_no_parts(start, end):
+    assert html_text.extract(f"<article><p>{LONG}</p>{start}Some words{end}<p>End of it.</p></article>") == f"{LONG}\nSome words\nEnd of it."
+
+
+@pytest.mark.parametrize("name", ["content-with-sidebar", "page-with-sidebar", "page has-no-sidebar", "main-banner", "page_without_ads"])
+def test_no_name_empties_the_page(name):
+    assert html_text.extract(f"<div class='{name}'><p>{LONG}</p><div class='left-sidebar'>Aside words.</div></div>") == LONG
+
+
+@pytest.mark.parametrize("name", ["cookie-notice", "ad", "ad-slot", "related-posts", "comments", "comment-list", "share-buttons", "left-sidebar", "widget-area", "social-links", "search-form", "sidebar"])
+def test_parts_still_go(name):
+    assert html_text.extract(f"<div><p>{LONG}</p><div class='{name}'>Words of a part.</div></div>") == LONG
+
+
+def test_comments_longer_than_the_page_go():
+    assert html_text.extract(f"<div><p>The page itself is short.</p><div id=comments><p>{LONG}</p></div></div>") == "The page itself is short."
