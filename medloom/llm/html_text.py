@@ -165,18 +165,19 @@ def extract(html: str | None) -> str:
     ratio = size / np.maximum(1, [x[1] for x in lines])
     even = smooth(ratio)
     voted = even >= min(threshold(even), 0.5 * float(even.mean()))
-    # text below each container; the region is the deepest one with nearly all of what was voted for
-    n = len(page.parents)
-    below, marked = np.zeros(n), np.array([k in ("article", "main") for k in page.kinds])
-    np.add.at(below, [x[2] for x in lines], np.where(voted, size, 0))
-    for k in range(n - 1, 0, -1):
-        below[page.parents[k]] += below[k]
+    links = np.array([x[3] for x in lines], float)
+    real = voted | (2 * links < size)  # all but boilerplate
+    at, parents, n = np.array([x[2] for x in lines]), page.parents, len(page.parents)
+    below = lambda values: _below(at, values, parents)
+    text = below(real)
     region = 0
     for k in range(1, n):
-        if below[k] >= 0.8 * below[0] and page.parents[k] == region and below[k] > 0:
+        if text[k] == text[0] and parents[k] == region:
             region = k
+    votes = below(np.where(voted, size, 0))
+    marked = np.array([k in ("article", "main") for k in page.kinds])
     if marked.any():  # an element that says it is the article, if it holds a fair share
-        named = [k for k in np.flatnonzero(marked) if below[k] >= 0.25 * below[0] and below[k] > 0]
+        named = [k for k in np.flatnonzero(marked) if votes[k] >= 0.25 * votes[0] and votes[k] > 0]
         inside = np.zeros(n, bool)
         for k in named:
             inside[k] = True

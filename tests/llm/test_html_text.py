@@ -62,6 +62,15 @@ def test_odd_pages(spark):
 LONG = " ".join(f"word{i} of the long body" for i in range(60))
 
 
+@pytest.mark.parametrize("page, want", [
+    (f"<div id=content><h1>Title</h1><p>Intro</p><div class=text><p>{LONG}</p></div></div>", f"Title\nIntro\n{LONG}"),
+    (f"<p>Before it.</p><pre>{LONG}</pre><p>After it.</p>", f"Before it.\n{LONG}\nAfter it."),
+    (f"<div><a href=x>Home</a> <a href=y>News</a></div><div><h2>Title</h2><blockquote>{LONG}</blockquote><p>End.</p></div>", f"Title\n{LONG}\nEnd."),
+])
+def test_text_beside_the_longest_block_stays(page, want):
+    assert html_text.extract(page) == want
+
+
 @pytest.mark.parametrize("start, end", [
     ("<section id='related-work'>", "</section>"), ("<h2 id='search-methods'>", "</h2>"), ("<h2 id='notice-periods'>", "</h2>"), ("<section id='social-impact'>", "</section>"),
     ("<section id='literature-search'>", "</section>"), ("<div class='entry-header'>", "</div>"),
