@@ -1,12 +1,13 @@
 """Main text of web pages from parser events and tag ratios.
 
 The standard library's parser is fed a page and streams events.  Text is cut into lines at block
-tags; each line keeps how much text and how many tags it had, and whether it lies in an element that
-is never content (navigation, forms, scripts, and elements whose class, id or role names such a
-part).  The text-to-tag ratio per line is smoothed with a Gaussian and lines above a threshold (a
-share of the mean, in two clusters by iterated means) vote for the element that encloses them; the
-deepest container that holds nearly all of the voted text is the content region, and its lines that
-are no boilerplate are the text.
+tags; each line keeps how much text and how many tags it had, how much of it is links, and whether it
+lies in an element that is never content (navigation, forms, scripts) or that class, id or role name
+such a part.  The text-to-tag ratio per line is smoothed with a Gaussian and lines above a threshold
+(a share of the mean, in two clusters by iterated means) are voted for.  Only lines that are no vote's
+and mostly links are boilerplate; the region is the deepest container that holds all others.  Elements
+that say they are the article or main part take precedence while they hold half of the voted text.
+All lines of the region outside the parts above are the text.
 """
 
 from __future__ import annotations
@@ -169,28 +170,28 @@ def extract(html: str | None) -> str:
     real = voted | (2 * links < size)  # all but boilerplate
     at, parents, n = np.array([x[2] for x in lines]), page.parents, len(page.parents)
     below = lambda values: _below(at, values, parents)
-    text = below(real)
+    text, votes = below(real), below(np.where(voted, size, 0))
     region = 0
     for k in range(1, n):
         if text[k] == text[0] and parents[k] == region:
             region = k
-    votes = below(np.where(voted, size, 0))
-    marked = np.array([k in ("article", "main") for k in page.kinds])
-    if marked.any():  # an element that says it is the article, if it holds a fair share
-        named = [k for k in np.flatnonzero(marked) if votes[k] >= 0.25 * votes[0] and votes[k] > 0]
-        inside = np.zeros(n, bool)
-        for k in named:
-            inside[k] = True
-    else:
-        named = []
-    if named:
-        if "article" in (kinds := {page.kinds[k] for k in named}) and "main" in kinds:
-            inside = np.array([inside[k] and page.kinds[k] == "article" for k in range(n)])
-    else:
-        inside = np.zeros(n, bool)
-        inside[region] = True
+    # articles whose text is no mere links; all of main if it holds text outside of articles
+    all_size, all_links = below(size), below(links)
+    article = np.array([k == "article" for k in page.kinds])
+    inside = article & (text > 0) & (2 * all_links < all_size)
+    within = article.copy()
     for k in range(1, n):
-        inside[k] |= inside[page.parents[k]]
+        within[k] |= within[parents[k]]
+    outside = below(real & ~within[at])
+    for k in range(1, n):
+        inside[k] |= page.kinds[k] == "main" and outside[k] > 0
+    for k in range(1, n):
+        inside[k] |= inside[parents[k]]
+    if 2 * float(size[voted & inside[at]].sum()) < votes[0] or not inside[at].any():
+        # the region by vote; named elements outside of it cannot have text
+        inside = np.arange(n) == region
+        for k in range(1, n):
+            inside[k] |= inside[parents[k]]
     return "\n".join(x[0] for x in lines if inside[x[2]])
 
 

@@ -71,6 +71,16 @@ def test_text_beside_the_longest_block_stays(page, want):
     assert html_text.extract(page) == want
 
 
+@pytest.mark.parametrize("page, want", [
+    (f"<article><p>{LONG}</p></article><article><p>A short second part.</p></article>", f"{LONG}\nA short second part."),
+    (f"<article><p>A short article.</p></article><div><p>{LONG}</p></div>", f"A short article.\n{LONG}"),
+    (f"<main><h1>Title</h1><p>{LONG}</p><article><p>{LONG[:700]}</p></article></main>", f"Title\n{LONG}\n{LONG[:700].strip()}"),
+    (f"<main><article><p>{LONG}</p></article><article class=comment><p>I do not agree.</p></article><article><a href=x>Another story to read</a></article></main>", LONG),
+])
+def test_articles_and_main_stay_whole(page, want):
+    assert html_text.extract(page) == want
+
+
 @pytest.mark.parametrize("start, end", [
     ("<section id='related-work'>", "</section>"), ("<h2 id='search-methods'>", "</h2>"), ("<h2 id='notice-periods'>", "</h2>"), ("<section id='social-impact'>", "</section>"),
     ("<section id='literature-search'>", "</section>"), ("<div class='entry-header'>", "</div>"),
