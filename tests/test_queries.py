@@ -39,3 +39,8 @@ def test_entry_imports():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_union_holds_all_customers(spark, duck):
+    got = sorted(r.id for r in queries.table_union_aligned(spark, SF).select("id").collect())
+    assert got == sorted(x for (x,) in duck.sql("SELECT c_custkey FROM customer UNION ALL SELECT s_suppkey FROM supplier").fetchall())
