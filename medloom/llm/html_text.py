@@ -3,16 +3,21 @@
 The standard library's parser is fed a page and streams events.  Text is cut into lines at block
 tags; each line keeps how much text and how many tags it had, how much of it is links, and whether it
 lies in an element that is never content (navigation, forms, scripts) or that class, id or role name
-such a part.  The text-to-tag ratio per line is smoothed with a Gaussian and lines above a threshold
-(a share of the mean, in two clusters by iterated means) are voted for.  Only lines that are no vote's
-and mostly links are boilerplate; the region is the deepest container that holds all others.  Elements
-that say they are the article or main part take precedence while they hold half of the voted text.
-All lines of the region outside the parts above are the text.
+such a part.  The text-to-tag ratio per line (raised by ``PRIOR`` within article and main) is smoothed
+with a Gaussian and split into two clusters; lines of the upper one are voted for, unless they are
+mostly links.  The region is the deepest container of all voted lines, or the article or main around
+it.  Within the region, blocks without a vote go if they are mostly links, or if they are layout
+(div, section) before the first or after the last voted line; everything else of it stays, and all of
+an article.  Headings, paragraphs, lists and articles that touch the region join it.
+
+Null or empty html, and pages without text, give an empty text.  Markup that the parser refuses
+(odd declarations) is skipped, so no page fails a job.  Repeated rows give a row each.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -23,6 +28,10 @@ from pyspark.sql import DataFrame
 from medloom.llm.common import map_batches
 
 SKIP = {"nav", "header", "footer", "aside", "form", "script", "style", "noscript", "template", "iframe", "svg", "canvas", "object", "embed", "audio", "video", "button", "select", "option", "textarea", "input", "label", "fieldset", "head", "title", "menu", "dialog", "math", "map"}
+#: Elements that hold text as such; others (div, section, ...) lay out a page.
+TEXT = {"h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "dl", "dt", "dd", "blockquote", "pre", "figure", "figcaption", "table", "tbody", "thead", "tfoot", "tr", "td", "th", "address", "details", "summary", "hr"}
+#: How much more the ratios of lines within article and main count.
+PRIOR = 2.0
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {"address", "article", "blockquote", "body", "br", "center", "dd", "details", "div", "dl", "dt", "figcaption", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "hr", "html", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"} | SKIP
@@ -73,6 +82,14 @@ class _Events(HTMLParser):
         self.lines: list[tuple[list[tuple[str, int, bool]], int, int]] = []  # pieces, tags, container
         self.text: list[tuple[str, int, bool]] = []  # text, part, link
         self.tags = 0
+        self.open: Counter[str] = Counter()
+
+    def parse_html_declaration(self, i: int) -> int:
+        try:
+            return super().parse_html_declaration(i)
+        except AssertionError:  # a declaration that the parser does not know
+            end = self.rawdata.find(">", i)
+            return end + 1 if end >= 0 else len(self.rawdata)
 
     def flush(self) -> None:
         if any(x[0].strip() for x in self.text):
@@ -86,7 +103,7 @@ class _Events(HTMLParser):
             self.flush()
         if tag in VOID:
             return
-        if tag in _ENDS_P:
+        if tag in _ENDS_P and self.open["p"]:
             self._close({"p"}, BLOCK - {"p"})
         if tag in _LIKE:
             self._close(*_LIKE[tag])
@@ -94,20 +111,26 @@ class _Events(HTMLParser):
         if not skipped:
             skipped = tag in SKIP or any(k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and v and re.search(r"display\s*:\s*none", v) for k, v in attrs)
             if named := _part(tag, attrs):
-                self.parts.append((part, named, any(x[0] in ("article", "main") for x in self.stack)))
+                self.parts.append((part, named, bool(self.open["article"] or self.open["main"])))
                 part = len(self.parts) - 1
         if tag in BLOCK and tag not in ("p", "li", "br"):
             self.parents.append(inside)
             self.kinds.append(tag)
             inside = len(self.parents) - 1
         self.stack.append((tag, bool(skipped), inside, part, link or tag == "a"))
+        self.open[tag] += 1
+
+    def _pop(self, at: int) -> None:
+        for x in self.stack[at:]:
+            self.open[x[0]] -= 1
+        del self.stack[at:]
 
     def _close(self, tags: set[str], stop: set[str]) -> None:
         """End open elements of these kinds, unless one of the others lies in between."""
         for at in range(len(self.stack) - 1, 0, -1):
             if self.stack[at][0] in tags:
                 self.flush()
-                del self.stack[at:]
+                self._pop(at)
                 return
             if self.stack[at][0] in stop:
                 return
@@ -119,9 +142,11 @@ class _Events(HTMLParser):
         self.tags += 1
         if tag in BLOCK:
             self.flush()
+        if not self.open[tag]:
+            return
         for at in range(len(self.stack) - 1, 0, -1):
             if self.stack[at][0] == tag:
-                del self.stack[at:]
+                self._pop(at)
                 return
             if self.stack[at][0] in ("article", "main", "body") and tag not in ("article", "main", "body", "html"):
                 return  # a stray end tag doesn't leave the article
@@ -160,39 +185,90 @@ def extract(html: str | None) -> str:
     page.close()
     page.flush()
     lines = _content(page)
+    return "\n".join(lines[i][0] for i in _select(page, lines))
+
+
+def _select(page: _Events, lines: list[tuple[str, int, int, int]]) -> list[int]:
+    """Which lines are content: those of the region that the voted lines span, and text that touches it."""
     if not lines:
-        return ""
-    size = np.array([len(x[0]) for x in lines], float)
-    ratio = size / np.maximum(1, [x[1] for x in lines])
-    even = smooth(ratio)
-    voted = even >= min(threshold(even), 0.5 * float(even.mean()))
-    links = np.array([x[3] for x in lines], float)
-    real = voted | (2 * links < size)  # all but boilerplate
-    at, parents, n = np.array([x[2] for x in lines]), page.parents, len(page.parents)
-    below = lambda values: _below(at, values, parents)
-    text, votes = below(real), below(np.where(voted, size, 0))
+        return []
+    parents, kinds, n = page.parents, page.kinds, len(page.parents)
+    size, links = np.array([len(x[0]) for x in lines], float), np.array([x[3] for x in lines], float)
+    at = np.array([x[2] for x in lines])
+    linked = 2 * links >= size
+    all_size, all_links = _below(at, size, parents), _below(at, links, parents)
+    crowded = 2 * all_links >= all_size  # containers that are mostly links
+    article, marked = np.zeros(n, bool), np.zeros(n, bool)
+    for k in range(1, n):
+        article[k] = kinds[k] == "article" and not crowded[k] or article[parents[k]]
+        marked[k] = article[k] or kinds[k] == "main" or marked[parents[k]]
+    voted = vote(np.array([len(x[0]) / max(1, x[1]) for x in lines]) * np.where(marked[at], PRIOR, 1.0)) & ~linked
+    if not voted.any():
+        voted = ~linked if not linked.all() else np.ones(len(lines), bool)
+    votes = _below(at, voted.astype(float), parents)
     region = 0
     for k in range(1, n):
-        if text[k] == text[0] and parents[k] == region:
+        if parents[k] == region and votes[k] == votes[0]:
             region = k
-    # articles whose text is no mere links; all of main if it holds text outside of articles
-    all_size, all_links = below(size), below(links)
-    article = np.array([k == "article" for k in page.kinds])
-    inside = article & (text > 0) & (2 * all_links < all_size)
-    within = article.copy()
-    for k in range(1, n):
-        within[k] |= within[parents[k]]
-    outside = below(real & ~within[at])
-    for k in range(1, n):
-        inside[k] |= page.kinds[k] == "main" and outside[k] > 0
+    above = []
+    k = region
+    while k:
+        above.append(k)
+        k = parents[k]
+    region = next((k for k in reversed(above) if kinds[k] in ("article", "main") and not crowded[k]), region)
+    named = marked[region]
+    inside = np.zeros(n, bool)
+    inside[region] = True
+    for k in range(region + 1, n):
+        inside[k] = inside[parents[k]]
+    # the outermost container without votes around each line, if any
+    cold = np.full(n, -1)
     for k in range(1, n):
-        inside[k] |= inside[parents[k]]
-    if 2 * float(size[voted & inside[at]].sum()) < votes[0] or not inside[at].any():
-        # the region by vote; named elements outside of it cannot have text
-        inside = np.arange(n) == region
-        for k in range(1, n):
-            inside[k] |= inside[parents[k]]
-    return "\n".join(x[0] for x in lines if inside[x[2]])
+        cold[k] = cold[parents[k]] if cold[parents[k]] >= 0 else k if votes[k] == 0 else -1
+    hit = np.flatnonzero(voted)
+    first, last = hit[0], hit[-1]
+    kept = []
+    for i, c in enumerate(at.tolist()):
+        if not inside[c]:
+            continue
+        edge, g = not first <= i <= last, int(cold[c])
+        if article[c]:
+            ok = True
+        elif g >= 0 and g != region:
+            ok = not crowded[g] and (not edge or kinds[g] in TEXT)
+        else:
+            ok = not (edge and linked[i])
+        if ok:
+            kept.append(i)
+    if not kept:
+        return kept
+    open_ = {0, *above}
+
+    def touches(i: int) -> bool:
+        """Whether only text elements lie between the line and what is around the region."""
+        c = int(at[i])
+        if named:
+            return bool(article[c])
+        if linked[i] and not article[c]:
+            return False
+        while c not in open_:
+            if kinds[c] not in TEXT and not article[c]:
+                return False
+            c = parents[c]
+        return True
+
+    start, end = kept[0], kept[-1] + 1
+    while start and not inside[at[start - 1]] and touches(start - 1):
+        start -= 1
+    while end < len(lines) and not inside[at[end]] and touches(end):
+        end += 1
+    return [*range(start, kept[0]), *kept, *range(kept[-1] + 1, end)]
+
+
+def vote(ratios: np.ndarray) -> np.ndarray:
+    """Lines whose smoothed ratio lies in the upper of two clusters."""
+    even = smooth(ratios)
+    return even >= threshold(even)
 
 
 def _below(at: np.ndarray, values: np.ndarray, parents: list[int]) -> np.ndarray:

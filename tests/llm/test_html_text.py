@@ -3,6 +3,8 @@ import re
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from medloom.llm import html_text
 
@@ -101,3 +103,38 @@ def test_parts_still_go(name):
 
 def test_comments_longer_than_the_page_go():
     assert html_text.extract(f"<div><p>The page itself is short.</p><div id=comments><p>{LONG}</p></div></div>") == "The page itself is short."
+
+
+@pytest.mark.parametrize("odd", ["<![foo[ b ]]>", "<![if gte mso 9]>", "<![CDATA[x]]>", "<![endif]-->", "<!>", "<!-", "<!DOCTYPE [<!ELEMENT a>]>", "<!foo <b>", "<?php x ?>", "</>", "<![", "&#xffffffffff;", "<a b='", "\0"])
+def test_odd_declarations(odd):
+    assert LONG in html_text.extract(f"<body><p>{LONG}</p>{odd}")
+    assert isinstance(html_text.extract(odd + f"<p>{LONG}</p>"), str)
+
+
+@given(st.lists(st.sampled_from(["<!", "<![", "]]>", "<div>", "</div>", "<p>", "<", ">", "-->", "<!--", "&", "#x;", "a b", "</article>", "<article>", "<script>", "'", '"', "=", "<a href=x>", "</a>", "<td>", "<li>"]), max_size=30))
+@settings(max_examples=400, deadline=None)
+def test_no_markup_fails(parts):
+    text = html_text.extract("".join(parts))
+    assert text == "\n".join(" ".join(x.split()) for x in text.split("\n")) and len(text) <= len("".join(parts))
+
+
+PLAIN = f"""<body><div><div><a href=1>Home</a> <a href=2>News</a> <a href=3>Shop</a></div><div>Today is a day.</div></div>
+<div><div><h2>The title</h2><p>{LONG}</p><p>Short one.</p><ul><li>one point</li><li>another</li></ul><p>{LONG[::-1]}</p><p>The end.</p></div></div>
+<div><div>All rights held by us.</div><div><a href=4>Imprint</a></div></div></body>"""
+
+
+def test_ratios_choose_the_region(monkeypatch):
+    want = f"The title\n{LONG}\nShort one.\none point\nanother\n{LONG[::-1].strip()}\nThe end."
+    assert html_text.extract(PLAIN) == want
+    monkeypatch.setattr(html_text, "smooth", np.ones_like)
+    assert "All rights" in html_text.extract(PLAIN)
+
+
+@pytest.mark.parametrize("name", ["related-work", "search-methods"])
+def test_articles_in_telling_names(name):
+    assert html_text.extract(f"<body><div class='{name}'><h1>Title</h1><p>{LONG}</p></div></body>") == f"Title\n{LONG}"
+    assert html_text.extract(f"<article><p>{LONG}</p><section class='{name}'><p>More words.</p></section></article>") == f"{LONG}\nMore words."
+
+
+def test_many_open_elements_take_linear_time():
+    assert html_text.extract("<b>" * 60_000 + "<div>" * 2_000 + "</i>" * 60_000 + "text") == "text"
