@@ -2,14 +2,16 @@
 
 A term is a dimension.  A shard keeps its postings by dimension (one contiguous row of values per
 dimension) with the largest and smallest value of each, which bound what a dimension can add to a
-query's score.  Dimensions are ordered by how much they can add; for each query the last ones, whose
-bounds together with the essential scores cannot lift a document over the query's current k-th score,
-are non-essential.  Essential postings are traversed for all documents at once; documents that stay
-competitive (score so far + bounds of the rest >= threshold; equality stays, for ties) are probed in
-the other dimensions.  Shards of all tasks are merged by score, then id.
-
-Queries come in blocks of at most ``block`` rows; one block is broadcast at a time (its size is bound by
-``block`` and the number of dimensions), so neither queries nor candidates ever have to fit the driver.
+query's score.  For each query the dimensions are ordered by their bounds; the non-essential ones are
+the longest tail whose summed bounds stay below the query's current k-th score, so no document can
+get there by them alone.  Essential postings are traversed for all documents of the shard; only
+documents that stay competitive (score so far + bounds of the rest >= threshold; equality stays, for
+ties) are probed in the other dimensions, largest bound first.  Thresholds start from the scores among
+the first queries themselves, which are rows of the table, too.  Shards of all tasks are merged by score, then id.
+
+Queries come in blocks of at most about ``block`` rows; one block is broadcast at a time (its size is
+bound by ``block`` and the number of dimensions), so neither queries nor candidates ever have to fit
+the driver.  Scores that do not fit a long raise ``OverflowError``: clipped they would be false ties.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from medloom.llm.common import written
 
-BLOCK, SHARD, CHUNK = 8192, 4096, 256
+BLOCK, SHARD, CHUNK, SEEDS = 8192, 4096, 256, 1024
 _EXACT = float(1 << 53)
 
 
@@ -50,11 +52,12 @@ def _wide(x: np.ndarray, width: int) -> np.ndarray:
 class Best:
     """The k best (score, id) of each query so far."""
 
-    def __init__(self, ids: np.ndarray, k: int):
+    def __init__(self, ids: np.ndarray, k: int, seed: np.ndarray | None = None):
         self.ids, self.k = ids, k
         self.none = np.iinfo(np.int64).min
         self.scores = np.full((len(ids), k), self.none)
         self.docs = np.zeros((len(ids), k), np.int64)
+        self.seed = np.full(len(ids), self.none) if seed is None else seed
 
     def add(self, query: np.ndarray, score: np.ndarray, doc: np.ndarray) -> None:
         """Candidates of some queries, in any order."""
@@ -71,58 +74,82 @@ class Best:
         self.scores[who], self.docs[who] = s[at], d[at]
 
     def threshold(self) -> np.ndarray:
-        return self.scores[:, -1]
+        return np.maximum(self.scores[:, -1], self.seed)
 
 
-def search_shard(best: Best, queries: np.ndarray, values: np.ndarray, docs: np.ndarray) -> None:
-    """MaxScore of every query over one shard: ``values`` holds a row per document."""
+def _exact_scores(query: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Inner products of whole numbers of any size."""
+    whole = [int(a) for a in query]
+    scores = [sum(a * int(b) for a, b in zip(whole, row, strict=True)) for row in values]
+    if any(not -(2**63) < x < 2**63 for x in scores):
+        raise OverflowError("an inner product does not fit a long; scale the vectors down")
+    return np.array(scores, np.int64)
+
+
+def search_shard(best: Best, queries: np.ndarray, values: np.ndarray, docs: np.ndarray) -> int:
+    """MaxScore of every query over one shard: ``values`` holds a row per document.  The number of postings skipped."""
     width = max(queries.shape[1], values.shape[1])
     queries, values = _wide(queries, width), _wide(values, width)
-    biggest = np.abs(queries).max(initial=0) * np.abs(values).max(initial=0) * max(width, 1)
-    if biggest >= _EXACT:  # beyond exact doubles: whole numbers of any length, clipped to a long
-        for i, q in enumerate(queries.astype(object)):
-            score = np.array([sum(int(a) * int(b) for a, b in zip(q, v, strict=True)) for v in values.astype(object)], object)
-            score = np.clip(score, -(2**63) + 1, 2**63 - 1).astype(np.int64)
-            other = docs != best.ids[i]
-            best.add(np.full(other.sum(), i), score[other], docs[other])
-        return
+    large = np.abs(queries).max(initial=0) * np.abs(values).max(initial=0) * max(width, 1) >= _EXACT  # beyond exact doubles
+    if large or not width:
+        for i, q in enumerate(queries):
+            other = np.flatnonzero(docs != best.ids[i])
+            best.add(np.full(len(other), i), _exact_scores(q, values[other]), docs[other])
+        return 0
     top, low = values.max(axis=0), values.min(axis=0)
-    spread = np.maximum(np.abs(top), np.abs(low)) * np.abs(queries).mean(axis=0)
-    order = np.argsort(-spread, kind="stable")
-    postings = np.ascontiguousarray(values[:, order].T)
-    queries, top, low = queries[:, order], top[order], low[order]
-    for at in range(0, len(queries), CHUNK):
-        part = queries[at : at + CHUNK]
-        bound = np.maximum(part * top, part * low)
-        rest = np.zeros((len(part), width + 1))
-        rest[:, :-1] = np.cumsum(bound[:, ::-1], axis=1)[:, ::-1]
-        need = best.threshold()[at : at + CHUNK].astype(np.float64)
-        # non-essential: the longest tail that cannot reach the threshold on its own, as the essential part adds at most the head's bound
-        essential = width if (need < -_EXACT).any() else int(np.ceil((0.5 * (rest[:, :1] + need[:, None]) < rest).sum(axis=1).max(initial=0)))
-        essential = min(max(essential, width // 2), width)
-        score = part[:, :essential] @ postings[:essential]
-        alive = score + rest[:, essential : essential + 1] >= need[:, None]
-        alive &= docs[None, :] != best.ids[at : at + CHUNK, None]
-        if (need < -_EXACT).any() and score.shape[1] > best.k:  # first shard: its own k-th best is a threshold
-            kth = np.partition(np.where(alive, score, -np.inf), -best.k, axis=1)[:, -best.k]
-            alive &= score + rest[:, essential : essential + 1] >= kth[:, None]
-        q, d = np.nonzero(alive)
-        found = score[q, d]
-        for dim in range(essential, width):
-            if not len(q):
+    postings = np.ascontiguousarray(values.T)
+    need = best.threshold()
+    skipped, found = 0, []
+    for i, q in enumerate(queries):
+        bound = np.maximum(q * top, q * low)
+        order = np.argsort(-bound, kind="stable")
+        rest = np.append(np.cumsum(bound[order][::-1])[::-1], 0.0)  # what the dimensions from here on can add
+        # a dimension may only take away, so a tail counts by its largest sum from any of its places on
+        reach = np.maximum.accumulate(rest[::-1])[::-1]
+        essential = width if need[i] == best.none else int(np.argmax(reach < need[i])) if (reach < need[i]).any() else width
+        dims = order[:essential]
+        score = q[dims] @ postings[dims]
+        at = np.flatnonzero((score + rest[essential] >= need[i]) & (docs != best.ids[i]))
+        if need[i] == best.none and len(at) > best.k:  # every dimension is traversed: the k best of this shard
+            at = at[score[at] >= np.partition(score[at], -best.k)[-best.k]]
+        score = score[at]
+        skipped += (len(docs) - len(at)) * (width - essential)
+        for k in range(essential, width):
+            if not len(at):
                 break
-            found = found + part[q, dim] * postings[dim, d]
-            keep = found + rest[q, dim + 1] >= need[q]
-            q, d, found = q[keep], d[keep], found[keep]
-        best.add(q + at, found.astype(np.int64), docs[d])
+            score = score + q[order[k]] * postings[order[k]][at]
+            keep = score + rest[k + 1] >= need[i]
+            skipped += int((~keep).sum()) * (width - k - 1)
+            at, score = at[keep], score[keep]
+        found.append((np.full(len(at), i), score.astype(np.int64), docs[at]))
+        if len(found) == CHUNK:
+            best.add(*map(np.concatenate, zip(*found, strict=True)))
+            found = []
+    if found:
+        best.add(*map(np.concatenate, zip(*found, strict=True)))
+    return skipped
+
+
+def first_thresholds(ids: np.ndarray, queries: np.ndarray, k: int) -> np.ndarray:
+    """For each query a score that its k-th best reaches: that among the first ``SEEDS`` queries."""
+    best = Best(ids, k)
+    seeds = queries[:SEEDS]
+    if len(seeds) <= k or not seeds.shape[1] or np.abs(queries).max(initial=0) ** 2 * queries.shape[1] >= _EXACT:
+        return best.seed
+    for at in range(0, len(queries), CHUNK):
+        score = queries[at : at + CHUNK] @ seeds.T
+        score[ids[at : at + CHUNK, None] == ids[None, :SEEDS]] = -np.inf
+        kth = np.partition(score, -k, axis=1)[:, -k]
+        best.seed[at : at + CHUNK] = np.where(np.isfinite(kth), np.where(np.isfinite(kth), kth, 0).astype(np.int64), best.none)
+    return best.seed
 
 
 def _search_block(vectors: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int, scale: int, vec_id: str, vector: str) -> DataFrame:
-    handed = vectors.sparkSession.sparkContext.broadcast((ids, queries))
+    handed = vectors.sparkSession.sparkContext.broadcast((ids, queries, first_thresholds(ids, queries, k)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, queries = handed.value
-        best = Best(ids, k)
+        ids, queries, seed = handed.value
+        best = Best(ids, k, seed)
         for batch in batches:
             for at in range(0, batch.num_rows, SHARD):
                 part = batch.slice(at, SHARD)
@@ -139,16 +166,17 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, bl
     """query_id, rank, vec_id, score: the k best rows for every row with ``is_query``, itself left out.
 
     Rows with a null id, or with a null vector or null or non-finite components, take no part.  Equal
-    scores rank by id.  Rows that repeat an id are candidates each, but none for a query of that id;
-    a repeated query is answered once for each different vector, merged under its id.
+    scores rank by id.  Rows that repeat an id are candidates each, but none for a query of that id.
+    Equal query rows are one query; different vectors of one id are searched each, and what they find
+    is ranked together under the id.
     """
     rows = vectors.select(vec_id, vector).where(F.col(vec_id).isNotNull() & usable(vector))
-    asked = rows.where(is_query)
+    asked = rows.where(is_query).dropDuplicates([vec_id, vector])
     n = asked.count()
     blocks = max(1, -(-n // block))
     parts = []
     for no in range(blocks):
-        mine = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64(F.col(vec_id)), F.lit(blocks)) == no)
+        mine = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64(vec_id, vector), F.lit(blocks)) == no)
         got = mine.select(vec_id, vector).toArrow().combine_chunks()
         if not got.num_rows:
             continue

@@ -65,3 +65,30 @@ def test_query_against_sql(spark):
     con.sql("CREATE VIEW embeddings AS SELECT * FROM read_parquet('/root/testdata/sf0.001/embeddings.parquet')")
     want = {tuple(map(int, r)) for r in con.sql(ORACLES["op6_top_k"]).fetchall()}
     assert {tuple(r) for r in op6_top_k(spark, "/root/testdata/sf0.001").collect()} == want
+
+
+def test_repeated_rows(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in np.round(rng.normal(0, 1, 6), 2).astype(np.float32)]) for i in range(60)]
+    every = spark.createDataFrame([*rows, rows[7]], "vec_id long, embedding array<float>")  # no query: a candidate twice
+    assert sorted(tuple(r) for r in maxscore.top_k(every, F.col("vec_id") % 10 == 0).collect()) == sorted(brute([*rows, rows[7]], 10))
+    doubled = spark.createDataFrame([*rows, rows[0]], "vec_id long, embedding array<float>")
+    mine = sorted(tuple(r) for r in maxscore.top_k(doubled, F.col("vec_id") == 0).collect())
+    assert mine == sorted(r for r in brute(rows, 10) if r[0] == 0)
+
+
+def test_postings_are_skipped():
+    rng = np.random.default_rng(5)
+    values = np.floor(rng.normal(0, 1, (4000, 32)) * np.geomspace(100, 1, 32))
+    ids = np.arange(4000)
+    best = maxscore.Best(ids[:20], 5, maxscore.first_thresholds(ids[:20], values[:20], 5))
+    skipped = sum(maxscore.search_shard(best, values[:20], values[at : at + 500], ids[at : at + 500]) for at in range(0, 4000, 500))
+    assert skipped > 0.3 * 20 * 4000 * 32
+    scores = values[:20] @ values.T
+    for q in range(20):
+        assert [d for _, d in sorted((-scores[q, d], d) for d in range(4000) if d != q)[:5]] == best.docs[q].tolist()
+
+
+def test_scores_beyond_a_long_are_refused():
+    with pytest.raises(OverflowError):
+        maxscore.search_shard(maxscore.Best(np.array([0]), 2), np.array([[2.0**40]]), np.array([[2.0**40]]), np.array([1]))
