@@ -1,10 +1,12 @@
 """Quality rules as a ledger of bit masks.
 
-Every rule is evaluated once per document.  The ledger holds the measurements and one long whose bit
-k is set if rule k fails; policies are versioned sets of rules, so a verdict is a bit test, and an
-ablation (what would a policy keep without one of its rules?) is a sum over bit tests in one pass.
+Every rule is evaluated once per document.  The ledger, which is stored, holds the measurements and
+one long whose bit k is set if rule k fails; policies are versioned sets of rules, so a verdict is a
+bit test, and an ablation (what would a policy keep without one of its rules?) is a sum over bit tests
+in one pass for all policies.
 
 Null texts have no words.  Words are runs without ASCII white space, lines are cut at line feeds.
+Repeated rows have a row each, an empty table has none, and further columns are left alone.
 """
 
 from __future__ import annotations
@@ -15,10 +17,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from medloom.llm.common import map_batches, texts_of
+from medloom.llm.common import map_batches, texts_of, written
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks")
 _SPACE, _SYMBOLS, _UPPER, _MARKS = b" \t\n\x0b\x0c\r", b"#*$%&|<>", bytes(range(65, 91)), b"!?"
@@ -60,10 +62,13 @@ RULES = (
     Rule("upper_case", "100 * n_upper > 50 * word_chars"),
     Rule("marks", "100 * n_marks > 60 * n_words"),
     Rule("word_length", "word_chars > 16 * n_words OR 2 * word_chars < 3 * n_words"),
+    Rule("no_words", "n_words = 0"),
+    Rule("long_repeated_windows", "n_words >= 50 AND 100 * n_repeat_words > 50 * n_words"),
 )
 BASE = ("few_words", "repeated_windows")
-#: Versioned policies: the rules that reject.
-POLICIES = {"base": BASE, "v1": tuple(r.name for r in RULES)}
+_SHAPE = ("symbols", "duplicate_lines", "upper_case", "marks", "word_length")
+#: Versioned policies: the rules that reject.  "v2" keeps short texts that nothing else speaks against.
+POLICIES = {"base": BASE, "v1": (*BASE, *_SHAPE), "v2": ("no_words", "long_repeated_windows", *_SHAPE)}
 
 
 def mask(names: tuple[str, ...]) -> int:
@@ -72,62 +77,53 @@ def mask(names: tuple[str, ...]) -> int:
 
 
 def _measured(docs: DataFrame, text: str) -> DataFrame:
-    fields = [f.simpleString().split(":", 1) for f in docs.schema]
-    kept = [n for n, _ in fields if n != text]
-    schema = ", ".join(f"`{n}` {t}" for n, t in fields if n != text) + "".join(f", {m} long" for m in MEASURES)
+    """docs (names that do not clash with MEASURES) with the measurements of ``text``."""
+    schema = ", ".join(f.simpleString().replace(":", " ", 1) for f in docs.schema) + "".join(f", {m} long" for m in MEASURES)
 
     def make():
         def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             rows = [measure(t) for part in texts_of(batch, text) for t in part]
             found = np.array(rows, np.int64).reshape(len(rows), len(MEASURES))
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), *(pa.array(found[:, k]) for k in range(len(MEASURES)))], [*kept, *MEASURES])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(found[:, k]) for k in range(len(MEASURES)))], [*batch.schema.names, *MEASURES])
 
         return work
 
     return map_batches(docs, make, schema)
 
 
+def failures() -> Column:
+    """The bits of the rules that fail, over the measurements."""
+    return F.expr(" + ".join(f"IF({r.fails}, {1 << k}L, 0L)" for k, r in enumerate(RULES)))
+
+
 def ledger(docs: DataFrame) -> DataFrame:
-    """doc_id, the measurements and ``failed``, the bits of the rules that fail."""
-    bits = " + ".join(f"IF({r.fails}, {1 << k}L, 0L)" for k, r in enumerate(RULES))
-    return _measured(docs.select("doc_id", "text"), "text").withColumn("failed", F.expr(bits))
+    """doc_id, the measurements and ``failed``, the bits of the rules that fail; written once, so any
+    number of policies and ablations read it without a text being measured again."""
+    return written(_measured(docs.select("doc_id", "text"), "text").select("doc_id", *MEASURES, failures().alias("failed")), "ledger")
 
 
 def judge(rows: DataFrame, policy: str, to: str = "kept") -> DataFrame:
     return rows.withColumn(to, F.col("failed").bitwiseAND(F.lit(mask(POLICIES[policy]))) == 0)
 
 
-def ablation(rows: DataFrame, policy: str) -> DataFrame:
-    """For each rule of a policy: how many it fails, how many only it rejects, how many stay without it."""
-    whole = mask(POLICIES[policy])
-    sums = []
-    for name in POLICIES[policy]:
-        bit = mask((name,))
-        sums += [F.sum((F.col("failed").bitwiseAND(bit) != 0).cast("long")).alias(f"f_{name}"), F.sum((F.col("failed").bitwiseAND(whole) == bit).cast("long")).alias(f"o_{name}"), F.sum((F.col("failed").bitwiseAND(whole & ~bit) == 0).cast("long")).alias(f"k_{name}")]
-    one = rows.agg(*sums, F.bit_or("failed").alias("any_failed"))
-    lines = ", ".join(f"'{n}', coalesce(f_{n}, 0L), coalesce(o_{n}, 0L), coalesce(k_{n}, 0L)" for n in POLICIES[policy])
-    return one.select(F.expr(f"stack({len(POLICIES[policy])}, {lines}) AS (rule, fails, only_it, kept_without)"))
+def ablation(rows: DataFrame, *policies: str) -> DataFrame:
+    """policy, rule, fails, only_it, kept_without for each rule of the policies: how many documents fail
+    it, how many only it rejects, how many the policy keeps without it.  An empty ledger gives zeros."""
+    sums, lines = [], []
+    for policy in policies:
+        whole = mask(POLICIES[policy])
+        for name in POLICIES[policy]:
+            bit, at = mask((name,)), len(lines)
+            sums += [F.count_if(F.col("failed").bitwiseAND(bit) != 0).alias(f"f{at}"), F.count_if(F.col("failed").bitwiseAND(whole) == bit).alias(f"o{at}"), F.count_if(F.col("failed").bitwiseAND(whole & ~bit) == 0).alias(f"k{at}")]
+            lines.append(f"'{policy}', '{name}', f{at}, o{at}, k{at}")
+    return rows.agg(*sums).select(F.expr(f"stack({len(lines)}, {', '.join(lines)}) AS (policy, rule, fails, only_it, kept_without)"))
 
 
-def keep(docs: DataFrame, policy: str = "v1") -> DataFrame:
+def keep(docs: DataFrame, policy: str = "v2") -> DataFrame:
     """docs without the rows that the policy rejects; all columns stay."""
     names = docs.columns
     inner = docs.select(*[F.col(f"`{n}`").alias(f"c{k}") for k, n in enumerate(names)])
-    text = f"c{names.index('text')}"
-    fields = [f.simpleString().split(":", 1) for f in inner.schema]
-    schema = ", ".join(f"{n} {t}" for n, t in fields) + "".join(f", {m} long" for m in MEASURES)
-
-    def make():
-        def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            rows = [measure(t) for part in texts_of(batch, text) for t in part]
-            found = np.array(rows, np.int64).reshape(len(rows), len(MEASURES))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(found[:, k]) for k in range(len(MEASURES)))], [*batch.schema.names, *MEASURES])
-
-        return work
-
-    whole = mask(POLICIES[policy])
-    bits = " + ".join(f"IF({r.fails}, {1 << k}L, 0L)" for k, r in enumerate(RULES))
-    kept = map_batches(inner, make, schema).where(F.expr(bits).bitwiseAND(F.lit(whole)) == 0)
+    kept = _measured(inner, f"c{names.index('text')}").where(failures().bitwiseAND(F.lit(mask(POLICIES[policy]))) == 0)
     return kept.select(*[F.col(f"c{k}").alias(n) for k, n in enumerate(names)])
 
 

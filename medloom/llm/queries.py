@@ -21,6 +21,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents")).drop("failed")
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of two policy versions does, from one ledger of all documents."""
+    return quality.ablation(quality.ledger(table(spark, sf_dir, "documents")), "v1", "v2")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -56,20 +61,11 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_html_text, op2_warc, op3_quality_rules, op4_packing, op5_language_id, op6_top_k, op7_chat_format, op8_bpe, op9_sharding, op10_simhash, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_html_text, op2_warc, op3_quality_rules, quality_ablation, op4_packing, op5_language_id, op6_top_k, op7_chat_format, op8_bpe, op9_sharding, op10_simhash, pipeline)}
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
-ORACLES = {
-    "op2_warc": """
-        WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS d FROM pages),
-        q AS (SELECT page_id, strlen(h) AS b, d, max(page_id) OVER (PARTITION BY d) AS first FROM p)
-        SELECT page_id, b::BIGINT AS payload_bytes, d AS payload_digest,
-               CASE WHEN b >= 1000 AND page_id < first THEN 'revisit' ELSE 'response' END AS record_type,
-               CASE WHEN b >= 1000 AND page_id < first THEN first END AS refers_to
-        FROM q""",
-    "op3_quality_rules": f"""
-        WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS} AS words FROM documents),
+_MEASURED = f"""d AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS} AS words FROM documents),
         w AS (SELECT doc_id, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM d),
         t AS (SELECT doc_id, i, w || chr(10) || lead(w) OVER o || chr(10) || lead(w, 2) OVER o AS win FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
         c AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) AS n FROM t WHERE win IS NOT NULL),
@@ -82,13 +78,47 @@ ORACLES = {
                      coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, len(lines) AS n_lines,
                      length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS n_upper,
                      length(text) - length(regexp_replace(text, '[!?]', '', 'g')) AS n_marks
-              FROM d JOIN l USING (doc_id) LEFT JOIN r USING (doc_id)),
+              FROM d JOIN l USING (doc_id) LEFT JOIN r USING (doc_id))"""
+#: The rules of the ledger as SQL over the measurements of m, by name.
+_RULES = {
+    "few_words": "n_words < 50",
+    "repeated_windows": "100 * n_repeat_words > 50 * n_words",
+    "symbols": "10 * n_symbols > 3 * n_words",
+    "duplicate_lines": "n_lines >= 4 AND 100 * n_dup_lines > 60 * n_lines",
+    "upper_case": "100 * n_upper > 50 * word_chars",
+    "marks": "100 * n_marks > 60 * n_words",
+    "word_length": "word_chars > 16 * n_words OR 2 * word_chars < 3 * n_words",
+    "no_words": "n_words = 0",
+    "long_repeated_windows": "n_words >= 50 AND 100 * n_repeat_words > 50 * n_words",
+}
+_POLICY_ROWS = ", ".join(f"('{p}', '{r}')" for p in ("v1", "v2") for r in quality.POLICIES[p])
+
+ORACLES = {
+    "op2_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS d FROM pages),
+        q AS (SELECT page_id, strlen(h) AS b, d, max(page_id) OVER (PARTITION BY d) AS first FROM p)
+        SELECT page_id, b::BIGINT AS payload_bytes, d AS payload_digest,
+               CASE WHEN b >= 1000 AND page_id < first THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN b >= 1000 AND page_id < first THEN first END AS refers_to
+        FROM q""",
+    "op3_quality_rules": f"""
+        WITH {_MEASURED},
         b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
                NOT (base_failed OR 10 * n_symbols > 3 * n_words OR (n_lines >= 4 AND 100 * n_dup_lines > 60 * n_lines)
                     OR 100 * n_upper > 50 * word_chars OR 100 * n_marks > 60 * n_words
                     OR word_chars > 16 * n_words OR 2 * word_chars < 3 * n_words) AS kept
         FROM b""",
+    "quality_ablation": f"""
+        WITH {_MEASURED},
+        p(policy, rule) AS (VALUES {_POLICY_ROWS}),
+        f AS ({" UNION ALL ".join(f"SELECT doc_id, '{n}' AS rule FROM m WHERE {x}" for n, x in _RULES.items())}),
+        n AS (SELECT policy, doc_id, count(*) AS n, min(rule) AS one FROM f JOIN p USING (rule) GROUP BY policy, doc_id)
+        SELECT policy, rule,
+               (SELECT count(*) FROM f WHERE f.rule = p.rule) AS fails,
+               (SELECT count(*) FROM n WHERE n.policy = p.policy AND n.n = 1 AND n.one = p.rule) AS only_it,
+               (SELECT count(*) FROM m) - (SELECT count(DISTINCT f.doc_id) FROM f JOIN p AS q ON f.rule = q.rule WHERE q.policy = p.policy AND q.rule <> p.rule) AS kept_without
+        FROM p""",
     "op6_top_k": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
                    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),

@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 from medloom.llm import quality
-from medloom.llm.queries import ORACLES, op3_quality_rules
+from medloom.llm.queries import ORACLES, op3_quality_rules, quality_ablation
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -35,7 +35,7 @@ def test_ledger_policies_and_ablation(documents):
     bits = [r.failed for r in rows.collect()]
     assert {r.doc_id for r in rows.collect()} == {r.doc_id for r in documents.collect()}
     whole = quality.mask(quality.POLICIES["v1"])
-    table = {r.rule: r for r in quality.ablation(rows, "v1").collect()}
+    table = {r.rule: r for r in quality.ablation(rows, "v1", "v2").where("policy = 'v1'").collect()}
     for name in quality.POLICIES["v1"]:
         bit = quality.mask((name,))
         assert (table[name].fails, table[name].only_it, table[name].kept_without) == (sum(b & bit > 0 for b in bits), sum(b & whole == bit for b in bits), sum(not b & whole & ~bit for b in bits))
@@ -58,10 +58,19 @@ def test_odd_rows(odd_documents):
     assert kept.columns == odd_documents.columns and quality.keep(odd_documents.limit(0)).count() == 0
 
 
-def test_query_against_sql(spark):
+def test_short_clean_documents_stay_under_the_second_policy(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    kept = {r.doc_id for r in quality.keep(docs, "v2").collect()}
+    rows = [r for r in labels.collect()]
+    assert all(r.doc_id in kept for r in rows if r.quality == 1)
+    assert sum(r.doc_id not in kept for r in rows if r.quality == 0) > 0.9 * sum(r.quality == 0 for r in rows)
+
+
+@pytest.mark.parametrize("query", [op3_quality_rules, quality_ablation])
+def test_query_against_sql(spark, query):
     con = duckdb.connect()
     con.sql("CREATE VIEW documents AS SELECT * FROM read_parquet('/root/testdata/sf0.001/documents.parquet')")
-    want = con.sql(ORACLES["op3_quality_rules"]).df()
-    got = op3_quality_rules(spark, "/root/testdata/sf0.001").toPandas()
+    want = con.sql(ORACLES[query.__name__]).df()
+    got = query(spark, "/root/testdata/sf0.001").toPandas()
     order = sorted(got.columns)
     assert sorted(map(tuple, got[order].values.tolist())) == sorted(map(tuple, want[order].values.tolist()))
