@@ -33,7 +33,7 @@ from medloom.llm.common import fraction_hash, map_batches
 BITS = 16
 #: About so many labelled rows of each language are learned from, and so many more calibrate (expected
 #: sizes of a hash sample); at most so many characters of each, and of so many languages, the most frequent.
-PER_LANGUAGE, CALIBRATION, CHARACTERS, LANGUAGES = 400, 600, 4000, 256
+PER_LANGUAGE, CALIBRATION, CHARACTERS, LANGUAGES = 400, 600, 2000, 256
 SIZES = (2, 3, 4)
 #: The share of unseen texts in learned languages that may be rejected, half of it by either threshold.
 FALSE_REJECTIONS = 0.001
@@ -113,10 +113,10 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 def _shuffled(text: str, rng: np.random.Generator) -> str:
     """The text with its letters dealt anew over their places."""
-    out = np.array(list(text))
-    letters = np.flatnonzero([c.isalpha() for c in out])
-    out[letters] = out[rng.permutation(letters)]
-    return "".join(out)
+    codes = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4").copy()
+    letters = np.flatnonzero(_lower()[codes] != 32)
+    codes[letters] = codes[rng.permutation(letters)]
+    return codes.tobytes().decode("utf-32-le")
 
 
 def _cut(positive: list[float], negative: list[float]) -> float:

@@ -30,6 +30,10 @@ from medloom.llm.common import fraction_hash, written
 DICT_MAGIC = 0x184D2A5D
 ZSTD_MAGIC = 0xFD2FB528
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Bytes that the reader hands to a frame at once.
+FEED = 16 * 1024
+#: Repeated digests that are broadcast (about 100 bytes each); more of them meet the pages in a shuffled join.
+BROADCAST_ROWS = 300_000
 DATE = "2000-01-01T00:00:00Z"
 
 
@@ -155,15 +159,18 @@ def iter_records(archive: bytes, where: str = "archive") -> Iterator[Record]:
     reader = zstandard.ZstdDecompressor(dict_data=_dict(dictionary))
     n = 0
     while at < len(archive):
-        one = reader.decompressobj()
-        try:
-            raw = one.decompress(view[at:])
-        except zstandard.ZstdError as error:
-            raise WarcError(f"{where}, record {n}: {error}") from error
+        # fed piece by piece: what a frame leaves unused is copied, so a piece is all that is ever copied twice
+        one, parts = reader.decompressobj(), []
+        while not one.eof and at < len(archive):
+            piece = view[at : at + FEED]
+            try:
+                parts.append(one.decompress(piece))
+            except zstandard.ZstdError as error:
+                raise WarcError(f"{where}, record {n}: {error}") from error
+            at += len(piece) - (len(one.unused_data) if one.eof else 0)
         if not one.eof:
             raise WarcError(f"{where}, record {n}: the frame is cut off")
-        at = len(archive) - len(one.unused_data)
-        yield parse_record(raw, f"{where}, record {n}")
+        yield parse_record(b"".join(parts), f"{where}, record {n}")
         n += 1
 
 
@@ -193,15 +200,18 @@ def mark_revisits(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
     """page_id, url, html with digest, revisit and refers_to.
 
     Of records with equal payloads of at least ``least_bytes`` the one with the largest page_id is the
-    response.  Only ids and digests are grouped (combined before the shuffle); pages meet the few
-    digests that repeat in a join whose hot keys Spark can split.  Rows that share the largest
-    page_id are all responses; a null page_id ranks below all others.
+    response.  Only ids and digests are grouped (combined before the shuffle).  Up to ``BROADCAST_ROWS``
+    digests that repeat are broadcast, so no html is shuffled; beyond, pages meet them in a shuffled
+    join whose hot keys Spark can split.  Rows that share the largest page_id are all responses (and
+    share a record id); a null page_id ranks below all others.
     """
     payload = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select("page_id", "url", payload.alias("html"), F.sha1(payload.cast("binary")).alias("digest"))
     long_enough = F.octet_length("html") >= least_bytes
     repeated = rows.where(long_enough).groupBy("digest").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("digest").alias("same"), "first")
     repeated = written(repeated, "repeated")
+    if repeated.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        repeated = F.broadcast(repeated)
     joined = rows.join(repeated, (F.col("digest") == F.col("same")) & long_enough, "left")
     revisit = F.col("first").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") < F.col("first")))
     return joined.select("page_id", "url", "html", "digest", F.coalesce(revisit, F.lit(False)).alias("revisit"), F.when(revisit, F.col("first")).alias("refers_to"))

@@ -1,3 +1,5 @@
+import time
+import re
 import hashlib
 import struct
 
@@ -75,3 +77,34 @@ def test_odd_pages(spark):
 def test_files(spark, tmp_path):
     warc.write_archive_file(str(tmp_path / "a.warc.zst"), [record(5), record(6, b"x", True)])
     assert sorted((r.page_id, r.record_type) for r in warc.read_archive_files(spark, str(tmp_path)).collect()) == [(5, "response"), (6, "revisit")]
+
+
+def test_many_small_records_are_read_in_linear_time():
+    record = warc.build_record(1, "u", b"small payload", hashlib.sha1(b"small payload").hexdigest(), None, False)
+    frame = warc.compressor(b"").compress(record)
+    archive = frame * ((8 << 20) // len(frame))
+    start = time.perf_counter()
+    assert sum(1 for _ in warc.iter_records(archive)) == len(archive) // len(frame)
+    assert time.perf_counter() - start < 10
+    large = b"".join(hashlib.sha1(str(i).encode()).digest() for i in range(20_000))
+    record = warc.build_record(2, "u", large, hashlib.sha1(large).hexdigest(), None, False)
+    mixed = frame + warc.compressor(b"").compress(record) + frame  # a frame over many pieces
+    assert [r.payload_length for r in warc.iter_records(mixed)] == [13, len(large), 13]
+
+
+def test_no_exchange_carries_html(spark, capsys):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        warc.mark_revisits(pages).explain("formatted")
+        plan = capsys.readouterr().out
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and not re.search(r"\(\d+\) Exchange\n[^(]*html", plan)
+
+
+def test_shuffled_join_gives_the_same(spark, monkeypatch):
+    pages = spark.createDataFrame([(i, f"u{i}", ("x" * 1500 if i % 3 else f"{i}" * 800) if i % 5 else "short") for i in range(60)], "page_id long, url string, html string")
+    few = sorted(tuple(r) for r in warc.mark_revisits(pages).drop("html").collect())
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", 0)
+    assert sorted(tuple(r) for r in warc.mark_revisits(pages).drop("html").collect()) == few
