@@ -7,7 +7,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,11 +58,16 @@ def map_batches(
     return df.mapInArrow(run, schema)
 
 
-def texts_of(batch: pa.RecordBatch, column: str, rows: int = 64) -> Iterator[list[str | None]]:
-    """A column's strings in slices, so that few long texts are held twice."""
+def texts_of(batch: pa.RecordBatch, column: str, rows: int = 64, size: int = 4 << 20) -> Iterator[list[str | None]]:
+    """A column's strings in slices of at most ``rows`` rows and about ``size`` bytes, so that few long texts are held twice."""
     values = batch.column(column)
-    for at in range(0, len(values), rows):
-        yield values.slice(at, rows).to_pylist()
+    ends = np.cumsum(pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(values):
+        before = ends[at - 1] if at else 0
+        n = max(1, min(rows, int(np.searchsorted(ends[at : at + rows], before + size, "right"))))
+        yield values.slice(at, n).to_pylist()
+        at += n
 
 
 def fraction_hash(column: Column, salt: str) -> Column:

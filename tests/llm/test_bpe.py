@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -62,7 +63,7 @@ def test_lookahead():
 def test_text_decoder_is_incremental():
     text = "grüße 日本 🙂"
     decoder = bpe.TextDecoder(CODER.tokens, CODER.suffix)
-    assert "".join(decoder.feed(i) for i in ids(text)) + decoder.end() == "grüße 日本 🙂 "
+    assert "".join(decoder.feed([i]) for i in ids(text)) + decoder.end() == "grüße 日本 🙂 "
 
 
 def test_query(spark, odd_documents):
@@ -78,5 +79,39 @@ def test_query(spark, odd_documents):
 def test_bounded_reads(monkeypatch):
     monkeypatch.setattr(bpe, "READ", 7)
     monkeypatch.setattr(bpe, "REMEMBERED", 3)
+    monkeypatch.setattr(bpe, "PIECE", 5)
     same("some words of which none is remembered for long\nand another line")
     same(" averyveryverylongword  withblanks around\nthem ")
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.sampled_from("ab'sltrevmdé\u0301\u0327Σσ1٣!?-日\x1c\u00a0\u1100\u1161\u11a8"), max_size=60), st.integers(1, 9))
+def test_slices_change_nothing(text, read):
+    want = LIB.encode(text, add_special_tokens=False).ids
+    kept = bpe.READ, bpe.PIECE
+    bpe.READ, bpe.PIECE = read, 3
+    try:
+        assert ids(text) == want
+    finally:
+        bpe.READ, bpe.PIECE = kept
+
+
+def test_memory_does_not_grow_with_a_word():
+    def peak(n):
+        text = "".join(random.Random(n).choices("abcdefghijklmnopqrstuvwxyz", k=n))
+        tracemalloc.start()
+        count = sum(len(piece) // 4 for piece in CODER.encode(text))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most, count
+
+    peak(50_000)
+    (small, a), (large, b) = peak(300_000), peak(1_200_000)
+    assert b > 3 * a and large <= 1.2 * small
+
+
+def test_decode(spark, documents):
+    rows = bpe.encode(documents.limit(20))
+    texts = {r.doc_id: r.text for r in documents.limit(20).collect()}
+    for r in bpe.decode(rows).collect():
+        assert "".join(r.text.split()) == "".join((texts[r.doc_id] or "").lower().split())
