@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL_ROOT: list[str] = []
+#: Folders of the tables written by this process: one for all, or those of the scratches that are open.
+_FOLDERS: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,14 +40,53 @@ def shared_root(spark: SparkSession) -> str:
     return _LOCAL_ROOT[0]
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder wherever Spark can reach it."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written within are deleted at the end; results must have been stored by then."""
+    folder = f"{shared_root(spark)}/scratch-{uuid.uuid4().hex}"
+    _FOLDERS.append(folder)
+    try:
+        yield
+    finally:
+        _FOLDERS.remove(folder)
+        remove(spark, folder)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete what queries of this process have written outside of a scratch: their results can't be read any more."""
+    for folder in list(_FOLDERS):
+        remove(spark, folder)
+        _FOLDERS.remove(folder)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df once into the shared folder and read it back: cuts the lineage, survives lost executors."""
+    """Write df once into the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    The table stays until its scratch ends, or until ``release`` or the end of the process, as a lazy
+    result may need it.
+    """
     spark = df.sparkSession
-    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _FOLDERS:
+        _FOLDERS.append(f"{shared_root(spark)}/run-{uuid.uuid4().hex}")
+        atexit.register(_at_exit)
+    path = f"{_FOLDERS[-1]}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _at_exit() -> None:
+    with suppress(Exception):  # the session may have ended before
+        if spark := SparkSession.getActiveSession():
+            release(spark)
+
+
 def map_batches(
     df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]], schema: str
 ) -> DataFrame:

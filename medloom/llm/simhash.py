@@ -32,6 +32,13 @@ SEED = 42
 BITS = 64
 #: Node pairs that are descended at once; bounds a task's memory.
 FRONTIER = 1 << 18
+#: Rows of whole blocks that a task searches at once, rows that a task gets on average, and rows from
+#: which on a run of sixteen blocks is cut again.
+AT_ONCE, PER_TASK, DENSE = 1 << 16, 250_000, 100_000
+#: Row numbers that are broadcast to pick rows (16 bytes each, about); beyond, rows are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+#: Shingles that a sampled fingerprint is made of.
+SAMPLE = 4
 #: Texts of a candidate group that are compared in one place; a larger group is cut into chunks of about
 #: so many (at most ``CHUNKS``), and every pair of chunks is compared in a place of its own.
 GROUP, CHUNKS = 300, 32
@@ -73,23 +80,29 @@ def fingerprints(docs: DataFrame, shingle: int = 3, text: str = "text", to: str
     return map_batches(docs, make, schema)
 
 
-def word_fingerprints(text: str | None, count: int) -> np.ndarray:
-    """``count`` independent fingerprints over the distinct words of a text (zeros if it has none).
+def sampled_fingerprints(text: str | None, count: int, width: int = 5) -> np.ndarray:
+    """``count`` SimHash fingerprints, each over ``SAMPLE`` of a text's distinct word shingles (zeros if it has no word).
 
-    A changed word touches one feature here, and as many as its length says in word shingles, so a
-    near copy stays within a few bits; independent fingerprints make it likely that one of them does.
+    The shingles of the k-th are those with the least k-th hash, so two texts choose alike as far as
+    they are alike: at a Jaccard similarity of J a fingerprint is the same with probability J ** SAMPLE,
+    wherever the texts differ.  A SimHash over all shingles would be over 3 bits apart for most near copies.
     """
-    words = set((text or "").encode().lower().split())
-    if not words:
+    found = shingles(text, width)
+    if not len(found):
         return np.zeros(count, np.int64)
-    base = np.frombuffer(b"".join([xxhash.xxh64_digest(w, SEED) for w in words]), ">u8").astype(np.uint64)
-    out = []
-    for k in range(count):
-        x = (base ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) % (1 << 64))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-        bits = np.unpackbits((x ^ (x >> np.uint64(29))).view(np.uint8)).reshape(len(x), BITS)
-        out.append(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(x)).tobytes())
-    return np.frombuffer(b"".join(out), np.int64)
+    keys = _mix(found[None, :] ^ _mix(np.arange(1, count + 1, dtype=np.uint64))[:, None])
+    chosen = np.argpartition(keys, SAMPLE - 1, axis=1)[:, :SAMPLE] if len(found) > SAMPLE else np.broadcast_to(np.arange(len(found)), (count, len(found)))
+    features = _mix(found[chosen] + np.arange(1, count + 1, dtype=np.uint64)[:, None])
+    bits = np.unpackbits(features[..., None].view(np.uint8), axis=2)
+    ones = bits.sum(axis=1, dtype=np.int64)
+    return np.packbits(2 * ones > features.shape[1], axis=1).view(np.int64)[:, 0].copy()
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    """A well mixed 64-bit hash of each number."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
 def normal_digest(text: str | None) -> bytes:
@@ -155,14 +168,14 @@ def similar_components(sets: list[np.ndarray], similarity: float = 0.8) -> np.nd
     return root
 
 
-def _with_word_fingerprints(rows: DataFrame, text: str, count: int) -> DataFrame:
+def _with_sampled_fingerprints(rows: DataFrame, text: str, count: int) -> DataFrame:
     schema = ", ".join(f.simpleString().replace(":", " ", 1) for f in rows.schema) + ", fps array<long>, same binary"
 
     def make():
         def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             found, same = [], []
             for part in texts_of(batch, text):
-                found += [word_fingerprints(t, count) for t in part]
+                found += [sampled_fingerprints(t, count) for t in part]
                 same += [normal_digest(t) for t in part]
             flat = np.concatenate(found) if found else np.empty(0, np.int64)
             fps = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * count, pa.int32()), pa.array(flat))
@@ -258,38 +271,84 @@ def rotate(keys: np.ndarray, by: int) -> np.ndarray:
 def near_edges(marks: DataFrame, budget: int = 3) -> DataFrame:
     """Edges (u, v) between nodes with fingerprints of the same number ``k`` within the budget.
 
-    ``marks`` holds (node, k, fp).  Per task a star connects each component it finds.
+    ``marks`` is a written table of (node, k, fp).  A star connects each component found in one place.
     """
     blocks = budget + 1
     at = [BITS * k // blocks for k in range(blocks + 1)]
     width = min(b - a for a, b in zip(at, at[1:], strict=False))
-    lead = F.expr("CASE rot " + " ".join(f"WHEN {r} THEN (({_rotl('fp', at[r])}) >>> {BITS - width})" for r in range(blocks)) + " END")
-    # by number, so that Spark does not join partitions that are small in bytes but long to search
-    n = int(marks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    inner = (BITS - width) // blocks
     turned = marks.select("node", "k", "fp", F.explode(F.array(*[F.lit(r) for r in range(blocks)])).alias("rot"))
-    rows = turned.withColumn("block", lead).repartition(n, "k", "rot", "block").select((F.col("k") * blocks + F.col("rot")).cast("int").alias("turn"), "fp", "node")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [[c.to_numpy(zero_copy_only=False) for c in batch.columns] for batch in batches]
-        if not parts:
-            return
-        turn, key, node = (np.concatenate(c) for c in zip(*parts, strict=True))
-        for t in np.unique(turn):
-            mine = turn == t
-            keys, first, back = np.unique(rotate(key[mine].view(np.uint64), at[t % blocks]), return_index=True, return_inverse=True)
-            own = node[mine]
-            root = own[first][trie_self_join(keys, width, budget)][back]
+    rotated = F.expr("CASE rot " + " ".join(f"WHEN {r} THEN {_rotl('fp', at[r])}" for r in range(blocks)) + " END")
+    turned = turned.withColumn("key", rotated).withColumn("block", F.expr(f"key >>> {BITS - width}"))
+    n = int(marks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = marks.count() * blocks
+    # runs of sixteen blocks with too many rows; there are at most blocks * 2 ** (width - 4) runs for each k
+    run_of = F.expr("block >>> 4").alias("run")
+    dense = turned.groupBy("k", "rot", run_of).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > DENSE).select("k", "rot", "run", F.lit(True).alias("dense"))
+    if total > DENSE:
+        turned = turned.withColumn("run", run_of).join(F.broadcast(dense), ["k", "rot", "run"], "left")
+        subs = F.expr(f"IF(dense, sequence(0, {blocks - 1}), array(-1))")
+    else:
+        subs = F.array(F.lit(-1))
+    dealt = turned.select("node", (F.col("k") * blocks + F.col("rot")).cast("int").alias("turn"), "fp", "key", "block", F.explode(subs).alias("sub"))
+    lead = F.expr(f"IF(sub < 0, block, (block << {inner}) | ((key << ({width} + {inner} * sub)) >>> {BITS - inner}))").alias("lead")
+    rows = dealt.select("turn", "sub", lead, "fp", "node").repartition(max(n, -(-total // PER_TASK)), "turn", "sub", "lead").sortWithinPartitions("turn", "sub", "lead")
+
+    def solve(part: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """Edges of whole blocks."""
+        turn, sub, _, key, node = part
+        starts = np.flatnonzero(np.concatenate([[True], (turn[1:] != turn[:-1]) | (sub[1:] != sub[:-1])]))
+        for a, b in zip(starts, [*starts[1:], len(turn)], strict=True):
+            whole = rotate(key[a:b].view(np.uint64), at[turn[a] % blocks])
+            if sub[a] >= 0:  # the shared bits of the second cut come next
+                whole = _turn_tail(whole, width, inner * int(sub[a]))
+            keys, first, back = np.unique(whole, return_index=True, return_inverse=True)
+            own = node[a:b]
+            root = own[first][trie_self_join(keys, width + (inner if sub[a] >= 0 else 0), budget)][back]
             u, v = own[own != root], root[own != root]
             for s in range(0, len(u), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(x[s : s + 100_000]) for x in (u, v)], ["u", "v"])
 
-    return rows.mapInArrow(run, "u long, v long")
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, limit = [], 0, AT_ONCE
+        for batch in batches:
+            held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            size += batch.num_rows
+            if size >= limit:
+                whole = [np.concatenate(c) for c in zip(*held, strict=True)]
+                ends = np.flatnonzero((whole[0][1:] != whole[0][:-1]) | (whole[1][1:] != whole[1][:-1]) | (whole[2][1:] != whole[2][:-1]))
+                cut = int(ends[-1]) + 1 if len(ends) else 0
+                if cut:
+                    yield from solve([c[:cut] for c in whole])
+                held, size = [[c[cut:] for c in whole]], size - cut
+                limit = max(AT_ONCE, 2 * size)  # one block so far
+        if size:
+            yield from solve([np.concatenate(c) for c in zip(*held, strict=True)])
+
+    return rows.mapInArrow(search, "u long, v long")
+
+
+def _turn_tail(keys: np.ndarray, width: int, by: int) -> np.ndarray:
+    """Rotate all but the first ``width`` bits."""
+    if not by:
+        return keys
+    tail = keys << np.uint64(width)
+    turned = (tail << np.uint64(by)) | ((tail >> np.uint64(BITS - by)) << np.uint64(width))
+    head = keys >> np.uint64(BITS - width) << np.uint64(BITS - width)
+    return head | (turned >> np.uint64(width))
 
 
 def _rotl(column: str, by: int) -> str:
     return f"(`{column}` << {by}) | (`{column}` >>> {BITS - by})" if by else f"`{column}`"
 
 
+def picked(rows: DataFrame, by: DataFrame, key: str, how: str) -> DataFrame:
+    """``rows`` joined with the written table ``by``: broadcast while it is small, so that rows stay where they are."""
+    if by.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        by = F.broadcast(by)
+    return rows.join(by, key, how)
+
+
 def verified_roots(candidates: DataFrame, texts: DataFrame, similarity: float = 0.8) -> DataFrame:
     """(node, root) for nodes whose text's five-word shingles agree to ``similarity`` with those of another node.
 
@@ -297,10 +356,10 @@ def verified_roots(candidates: DataFrame, texts: DataFrame, similarity: float =
     one guess are compared, all of them with each other.
     """
     sizes = candidates.groupBy("guess").agg(F.least(F.lit(CHUNKS), F.ceil(F.count(F.lit(1)) / GROUP)).cast("int").alias("chunks"))
-    sized = candidates.join(sizes, "guess").withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks").cast("int"))
+    sized = written(candidates.join(sizes, "guess").withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks").cast("int")), "sized")
     places = F.expr("IF(chunks = 1, array(named_struct('lo', 0, 'hi', 0)), transform(filter(sequence(0, chunks - 1), j -> j <> chunk), j -> named_struct('lo', least(j, chunk), 'hi', greatest(j, chunk))))")
     # the texts join before they are dealt, so each is fetched once
-    dealt = texts.join(sized.hint("shuffle_hash"), "rid").select("guess", "node", "text", F.explode(places).alias("place")).select("guess", "place.lo", "place.hi", "node", "text")
+    dealt = picked(texts, sized, "rid", "inner").select("guess", "node", "text", F.explode(places).alias("place")).select("guess", "place.lo", "place.hi", "node", "text")
     n = int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = dealt.repartition(n, "guess", "lo", "hi").sortWithinPartitions("guess", "lo", "hi")
 
@@ -386,10 +445,10 @@ def near_duplicates(docs: DataFrame, budget: int = 3, shingle: int = 3) -> DataF
     return marked.join(ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, budget: int = 3, fingerprints: int = 6, similarity: float = 0.8) -> DataFrame:
+def keep_one(docs: DataFrame, budget: int = 3, fingerprints: int = 8, similarity: float = 0.8) -> DataFrame:
     """docs with one row of each group of near copies: the one with the least doc_id (ids before nulls, then the first row).
 
-    Texts that are connected by word fingerprints of at most ``budget`` different bits are candidates;
+    Texts that are connected by sampled fingerprints of at most ``budget`` different bits are candidates;
     of these, texts are linked if their sets of five-word shingles have a Jaccard similarity of
     ``similarity`` or more, and groups are what links connect.  Texts without words form a group.  All
     columns stay as they are; names made here do not clash with them.
@@ -397,14 +456,15 @@ def keep_one(docs: DataFrame, budget: int = 3, fingerprints: int = 6, similarity
     names = docs.columns
     inner = docs.select(*[F.col(f"`{n}`").alias(f"c{k}") for k, n in enumerate(names)], F.monotonically_increasing_id().alias("rid"))
     text, doc_id = (f"c{names.index(x)}" for x in ("text", "doc_id"))
-    marked = written(_with_word_fingerprints(inner, text, fingerprints), "marked")
+    marked = written(_with_sampled_fingerprints(inner, text, fingerprints), "marked")
     best = F.min(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("doc_id"), "rid")).alias("best")
     # copies fall together before anything else moves
     nodes = written(marked.groupBy("fps", "same").agg(best).withColumn("node", F.xxhash64("same")), "nodes")
-    guess = components(near_edges(nodes.select("node", F.posexplode("fps").alias("k", "fp")), budget)).withColumnRenamed("root", "guess")
+    marks = written(nodes.select("node", F.posexplode("fps").alias("k", "fp")), "marks")
+    guess = components(near_edges(marks, budget)).withColumnRenamed("root", "guess")
     candidates = written(nodes.select("node", F.col("best.rid").alias("rid")).join(guess, "node"), "candidates")
     roots = verified_roots(candidates, marked.select("rid", F.col(text).alias("text")), similarity)
     grouped = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best"))
-    kept = written(grouped.select(F.col("best.rid").alias("rid")), "kept")
-    rows = marked.join(kept.hint("shuffle_hash"), "rid", "left_semi")
-    return rows.select(*[F.col(f"c{k}").alias(n) for k, n in enumerate(names)])
+    # only numbers of rows move: those of the copies, which are few, and then pick the rows where these are
+    gone = written(marked.select("rid").join(grouped.select(F.col("best.rid").alias("rid")), "rid", "left_anti"), "gone")
+    return picked(marked, gone, "rid", "left_anti").select(*[F.col(f"c{k}").alias(n) for k, n in enumerate(names)])

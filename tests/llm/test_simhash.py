@@ -149,3 +149,75 @@ def test_only_texts_alike_to_four_fifths_go(spark, monkeypatch, group):
     assert all(_jaccard(rows[0][1], t) >= 0.8 for d, t in rows if 10 <= d < 100) and all(_jaccard(rows[0][1], t) < 0.8 for d, t in rows if d == 1 or d >= 100)
     kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert {0, 1, 100, 101, 102, 103, 104} <= kept and 2 not in kept and len(kept) <= 9
+
+
+@pytest.mark.parametrize("dense, at_once", [(100_000, 1 << 16), (0, 7), (0, 1 << 16)])
+def test_edges_of_dense_blocks(spark, monkeypatch, dense, at_once):
+    """Blocks that are cut again, and blocks searched a few rows at a time, give the components of all pairs."""
+    monkeypatch.setattr(simhash, "DENSE", dense)
+    monkeypatch.setattr(simhash, "AT_ONCE", at_once)
+    rng = np.random.default_rng(8)
+    keys = set()
+    for centre in rng.integers(0, 2**63, 15, dtype=np.uint64):
+        for _ in range(8):
+            x = int(centre) << 1 & 2**64 - 1
+            for b in rng.integers(0, 64, 2):
+                x ^= 1 << int(b)
+            keys.add(x)
+    keys = sorted(keys)
+    rows = [(i, 0, k - 2**64 if k >= 2**63 else k) for i, k in enumerate(keys)]
+    marks = spark.createDataFrame(rows, "node long, k int, fp long")
+    roots = {r.node: r.root for r in simhash.components(simhash.near_edges(marks)).collect()}
+    want = brute_components(list(enumerate(keys)))
+    assert len(set(want)) < len(keys) and [roots.get(i, i) for i in range(len(keys))] == want
+
+
+def test_turning_the_tail():
+    keys = np.array([0x1234_5678_9ABC_DEF0, 2**64 - 1], np.uint64)
+    assert [hex(int(x)) for x in simhash._turn_tail(keys, 16, 12)] == ["0x123489abcdef0567", "0xffffffffffffffff"]
+
+
+def near_copy(rng, words, kind):
+    """A copy whose five-word shingles agree to between 0.8 and 0.9, roughly."""
+    n, out = len(words), list(words)
+    if kind == "scattered":
+        for at in rng.choice(n, max(1, n // 60), replace=False):
+            out[at] = f"new{rng.integers(0, 10**9)}"
+    elif kind == "appended":
+        out += [f"new{x}" for x in rng.integers(0, 10**9, n // 6)]
+    elif kind == "cut":
+        out = out[: n - n // 6]
+    else:
+        at = rng.integers(0, n - n // 11)
+        out[at : at + n // 12] = [f"new{x}" for x in rng.integers(0, 10**9, n // 12)]
+    return out
+
+
+@pytest.mark.parametrize("kind", ["scattered", "appended", "cut", "replaced"])
+def test_recall_of_near_copies(spark, kind):
+    rng = np.random.default_rng(11)
+    texts = [r.text.split() for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id % 20 = 3").orderBy("doc_id").collect()]
+    texts = [w for w in texts if 50 <= len(w) <= 1500 and len(set(w)) > len(w) // 3][:200]
+    rows, pairs = [], []
+    for i, words in enumerate(texts):
+        copy = near_copy(rng, words, kind)
+        if _jaccard(" ".join(words).lower(), " ".join(copy).lower()) >= 0.8:
+            pairs.append(i)
+            rows.append((100_000 + i, " ".join(copy)))
+        rows.append((i, " ".join(words)))
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert len(pairs) >= 100
+    assert sum(100_000 + i not in kept for i in pairs) >= 0.95 * len(pairs)
+
+
+@pytest.mark.parametrize("limit", [0, 1_000_000])
+def test_no_text_is_shuffled_for_small_tables(spark, monkeypatch, limit):
+    monkeypatch.setattr(simhash, "BROADCAST_ROWS", limit)
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i % 30) * 100 + k}" for k in range(60))) for i in range(60)], "doc_id long, text string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = simhash.keep_one(docs)
+        assert {r.doc_id for r in kept.collect()} == set(range(30))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert ("BroadcastHashJoin" in kept._jdf.queryExecution().executedPlan().toString()) == bool(limit)
