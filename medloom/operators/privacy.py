@@ -20,7 +20,9 @@ def suppress_count(n: Column, k: int) -> Column:
 
 
 def is_small(value: Column, kind: T.DataType, k: int) -> Column:
-    """A number below k (zero too); nulls, NaN and texts are not small."""
+    """A number below k (zero too), or a list of fewer than k; nulls, NaN and texts are not small."""
+    if isinstance(kind, T.ArrayType):
+        return F.coalesce(F.size(value) < k, F.lit(False))
     if not isinstance(kind, _NUMBERS):
         return F.lit(False)
     number = value.cast("double")

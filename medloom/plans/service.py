@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from medloom.operators.metadata import schema_document, summary_document
 from medloom.operators.privacy import OutputTooLarge, suppress_cells, validate_output_size
 from medloom.plans.dialect import DialectError, to_spark
-from medloom.plans.sqlguard import lineage_leaks, planned_counts, validate
+from medloom.plans.sqlguard import counted_outputs, lineage_leaks, planned_counts, validate
 
 
 def guarded_frame(spark: SparkSession, sql: str, tables: Iterable[str], k: int = 10, forbidden: Iterable[str] = ("record_id",), count_columns: Iterable[str] | None = None, strict: bool = False) -> tuple[DataFrame, list[str], list[str]]:
@@ -27,10 +27,12 @@ def guarded_frame(spark: SparkSession, sql: str, tables: Iterable[str], k: int =
     if not verdict.valid:
         raise ValueError(" ".join(verdict.errors))
     rows = spark.sql(text)
-    if strict and (bad := lineage_leaks(rows._jdf.queryExecution().analyzed(), forbidden)):
+    analyzed = rows._jdf.queryExecution().analyzed()
+    if strict and (bad := lineage_leaks(analyzed, forbidden)):
         raise ValueError(f"Forbidden values would be shown in: {', '.join(bad)}.")
-    # in the caller's own words: rewritten functions use counts of their own
-    planned = [rows.columns[p] for p in _planned(spark, sql.strip().rstrip(";"), text) if p < len(rows.columns)]
+    # by the caller's own words (rewritten functions use counts of their own) and by what the outputs are made of
+    places = sorted({*_planned(spark, sql.strip().rstrip(";"), text), *counted_outputs(analyzed)})
+    planned = [rows.columns[p] for p in places if p < len(rows.columns)]
     asked = list(count_columns or []) + planned if count_columns else None
     shown, counts = suppress_cells(rows, k, forbidden, asked, planned)
     return shown, counts, verdict.warnings
@@ -50,7 +52,12 @@ def _plain(value: Any) -> Any:
 
 
 class QueryService:
-    """Answers aggregate questions over published tables; small counts never leave the engine."""
+    """Answers aggregate questions over published tables.
+
+    Counts are followed through the analysed plan, so those below k are shown as ``<k`` whatever they are
+    called and wherever in the statement they are made; sums of constants, places of rows in windows and
+    lengths of lists are counts, too.  Arithmetic that makes a constant of a column isn't seen through.
+    """
 
     def __init__(self, spark: SparkSession, tables: Mapping[str, DataFrame], k: int = 10, max_rows: int = 500, forbidden: Iterable[str] = ("record_id",), project: str = "Dataset", strict: bool = False, max_fraction: float | None = None):
         self.spark, self.tables, self.k, self.max_rows = spark, dict(tables), k, max_rows

@@ -150,3 +150,37 @@ def test_names():
     assert is_rate("CI_lower_95") and not is_rate("n")
     assert not on_dashboard("residual") and on_dashboard("sex")
     assert count_columns(["a", "b"], ["B "]) == ["b"] and count_columns(["a", "n"], None, ["a"]) == ["a", "n"]
+
+
+LEAKS = [
+    "WITH c AS (SELECT sex, COUNT(*) AS k FROM people GROUP BY sex) SELECT sex, k AS patients FROM c",
+    "SELECT sex, SUM(1) AS patients FROM people GROUP BY sex",
+    "SELECT sex, SIZE(COLLECT_LIST(1)) AS patients FROM people GROUP BY sex",
+    "SELECT sex, SUM(CASE WHEN age >= 0 THEN 1 ELSE 0 END) AS patients FROM people GROUP BY sex",
+    "SELECT sex, SUM(CAST(age >= 0 AS INT)) AS patients FROM people GROUP BY sex",
+    "SELECT sex, SUM(one) AS patients FROM (SELECT sex, 1 AS one FROM people) GROUP BY sex",
+    "SELECT sex, patients FROM (SELECT sex, SUM(x) AS patients FROM (SELECT sex, COUNT(age) AS x FROM people GROUP BY sex, age) GROUP BY sex)",
+    "SELECT sex, MAX(place) AS patients FROM (SELECT sex, ROW_NUMBER() OVER (PARTITION BY sex ORDER BY age) AS place FROM people) GROUP BY sex",
+    "SELECT a.sex, MAX(b.k) AS patients FROM people a JOIN (SELECT sex, COUNT(*) AS k FROM people GROUP BY sex) b ON a.sex = b.sex GROUP BY a.sex",
+    "SELECT sex, COUNT(*) AS k FROM people GROUP BY sex UNION ALL SELECT sex, SUM(1) FROM people GROUP BY sex",
+]
+
+
+@pytest.mark.parametrize("strict", [False, True])
+@pytest.mark.parametrize("sql", LEAKS)
+def test_small_counts_do_not_leave_under_other_names(spark, service, sql, strict):
+    one = QueryService(spark, service.tables, strict=strict, max_rows=500)
+    found = one.execute(sql)
+    if strict and "error" in found:
+        return
+    assert {r[1] for r in found["rows"] if r[0] == "M"} == {"<10"} and {r[1] for r in found["rows"] if r[0] == "F"} == {55}
+
+
+def test_values_are_no_counts(service):
+    rows = service.execute("SELECT sex, AVG(age) AS mean, SUM(age) AS years, SKEWNESS(age) AS skew FROM people GROUP BY sex")["rows"]
+    assert {r[0]: r[1] for r in rows} == {"F": 27.0, "M": 57.0} and all(isinstance(r[3], float) for r in rows)
+
+
+def test_lists_of_small_groups_are_hidden(service):
+    rows = service.execute("SELECT sex, COLLECT_LIST(1) AS ones FROM people GROUP BY sex")["rows"]
+    assert ["M", "<10"] in rows
