@@ -1,4 +1,4 @@
-"""Commands: pipeline, query, metadata."""
+"""Commands: pipeline, query, metadata, labels.  Models are those of the configuration."""
 
 from __future__ import annotations
 
@@ -24,12 +24,15 @@ def main(argv: Sequence[str] | None = None) -> int:
     query.add_argument("sql")
     query.add_argument("--strict", action="store_true")
     commands.add_parser("metadata")
+    commands.add_parser("labels")
     args = parser.parse_args(argv)
     config, spark = load_config(args.config), build_session()
     if args.command == "query":
         q = config.query
         service = QueryService(spark, open_tables(spark, f"{config.output_dir}/database"), q.min_cell_size, q.max_query_rows, config.database.forbidden_output_columns, config.name, args.strict, q.max_output_fraction if q.enforce_output_fraction else None)
         print(json.dumps(service.execute(args.sql), default=str))
+    elif args.command == "labels":
+        Pipeline(spark, config).labels()
     else:
         stages = ["metadata"] if args.command == "metadata" else args.stages
         Pipeline(spark, config).run(stages, not getattr(args, "no_resume", False))

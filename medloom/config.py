@@ -1,8 +1,13 @@
-"""Project configuration: dataclasses read from and written to YAML."""
+"""Project configuration: dataclasses read from and written to YAML.
+
+Fixed values: the names of sections and fields and their defaults are those of the YAML contract.
+Sections that nothing here reads are kept as they are.
+"""
 
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field, fields, is_dataclass
 from pathlib import Path
 from typing import Any, get_type_hints
@@ -67,6 +72,15 @@ class ExtractionConfig:
     notes_paths: list = field(default_factory=list)
 
 
+@dataclass
+class TrainingConfig:
+    target_ontology_ids: list = field(default_factory=lambda: ["generic_cancer"])
+    reward_llm: ModelConfig = field(default_factory=ModelConfig)
+    reward_vllm_servers: ServerConfig = field(default_factory=ServerConfig)
+    max_prompt_tokens: int = 32000
+    max_patients: int | None = None
+
+
 @dataclass
 class DatabaseConfig:
     record_id_prefix: str = "patient"
@@ -92,8 +106,16 @@ class ProjectConfig:
     extraction: ExtractionConfig = field(default_factory=ExtractionConfig)
     database: DatabaseConfig = field(default_factory=DatabaseConfig)
     query: QueryConfig = field(default_factory=QueryConfig)
+    training: TrainingConfig = field(default_factory=TrainingConfig)
     field_mappings: dict = field(default_factory=dict)
     patient_id_columns: dict = field(default_factory=dict)
+    #: What else the file holds, by section (``project`` aside); written back unchanged.
+    other: dict = field(default_factory=dict)
+
+    def validate(self, exists: Callable[[str], bool]) -> list[str]:
+        """What is wrong with the project; ``exists`` tells whether an input path is there."""
+        missing = [f"The input path {p} does not exist." for p in self.input_paths if not exists(p)]
+        return missing + ([] if self.name else ["The project needs a name."])
 
     def id_columns(self) -> set[str]:
         return {self.cohort.patient_id_column, self.extraction.patient_id_column, *self.patient_id_columns.values()}
@@ -115,6 +137,9 @@ def load_config(path: str) -> ProjectConfig:
     if "input_dir" in project and not project.get("input_paths"):
         project["input_paths"] = [project["input_dir"]]
     config = _build(ProjectConfig, project | {k: v for k, v in raw.items() if k != "project"})
+    known = get_type_hints(ProjectConfig)
+    config.other = {k: v for k, v in raw.items() if k != "project" and k not in known}
+    config.other |= {f"{k}.{f}": v for k, section in raw.items() if is_dataclass(known.get(k)) and isinstance(section, dict) for f, v in section.items() if f not in get_type_hints(known[k])}
     one = config.cohort.demographics_file
     if one and one not in config.cohort.demographics_files:
         config.cohort.demographics_files.insert(0, one)
@@ -124,4 +149,10 @@ def load_config(path: str) -> ProjectConfig:
 def save_config(config: ProjectConfig, path: str) -> None:
     values = asdict(config)
     project = {k: values.pop(k) for k in ("name", "input_paths", "output_dir")}
+    for k, v in values.pop("other").items():
+        section, dot, name = k.partition(".")
+        if dot and section in values:
+            values[section][name] = v
+        else:
+            values[k] = v
     Path(path).write_text(yaml.safe_dump({"project": project, **values}, sort_keys=False))

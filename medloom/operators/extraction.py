@@ -25,22 +25,22 @@ def strip_reasoning(text: str) -> str:
     return text.split(REASONING_END, 1)[-1].strip() if REASONING_END in text else text
 
 
+_DECODER = json.JSONDecoder()
+
+
 def parse_json_list(text: str) -> list | None:
-    """The JSON array in a model's answer: fenced, bare, or between the outer brackets; None if there is none."""
-    text = text.strip()
-    if text.count("```"):
-        fenced = text.split("```")[1]
-        text = (fenced[4:] if fenced[:4].lower() == "json" else fenced).strip()
-    candidates = [text]
-    if 0 <= (a := text.find("[")) < (b := text.rfind("]")):
-        candidates.append(text[a : b + 1])
-    for one in candidates:
+    """The longest JSON array that begins at any opening bracket of a model's answer; None if there is none."""
+    best, length, at = None, 0, text.find("[")
+    while at >= 0:
         try:
-            if isinstance(found := json.loads(one), list):
-                return found
-        except ValueError:
-            continue
-    return None
+            found, end = _DECODER.raw_decode(text, at)
+        except (ValueError, RecursionError):
+            end = at + 1
+        else:
+            if end - at > length:
+                best, length = found, end - at
+        at = text.find("[", end)
+    return best
 
 
 def wrap_summary(summary: str) -> str:
@@ -146,12 +146,15 @@ class Rounds:
         """(round, expected, done): how far each round has come."""
         return round_progress(chunks, self.saved())
 
+    def pending(self, chunks: DataFrame) -> list[int]:
+        """The rounds that still lack a patient, in order; none if all is done.  One number for each round."""
+        return [r["round"] for r in self.progress(chunks).where("done < expected").orderBy("round").collect()]
+
     def run(self, chunks: DataFrame, model: Callable[[int], Model], resume: bool = True) -> DataFrame:
-        """All rounds; ``model(task)`` makes a client in each task, so tasks can spread over backends."""
+        """All rounds that are not done; ``model(task)`` makes a client in each task, so tasks can spread over backends."""
         if not resume:
             self.clean()
-        total = chunks.agg(F.max("total_chunks")).first()[0] or 0
-        for r in range(total):
+        for r in self.pending(chunks):
             done = self.saved().where(F.col("round") == r).select("patient_id").distinct()
             todo = chunks.where(F.col("chunk_index") == r).join(done, "patient_id", "left_anti")
             state = last_wins(self.saved().where(F.col("round") < r)).select("patient_id", F.col("extraction").alias("state"))
@@ -186,6 +189,19 @@ def summaries(latest: DataFrame) -> DataFrame:
     return latest.select("patient_id", unwrap_summary(F.col("extraction")).alias("summary"))
 
 
+def silver_labels(spark: SparkSession, chunks: DataFrame, folder: str, model: Callable[[int], Model], instructions: str = "", workers: int = 8, retries: int = 10) -> DataFrame:
+    """(patient_id, extraction): a model's extractions to train against, made once.
+
+    Labels that were stored are read back; a run that was cut off goes on with the rounds it lacks.
+    """
+    folder = folder.rstrip("/")
+    stored = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/labels/_SUCCESS")
+    if not stored.getFileSystem(spark._jsc.hadoopConfiguration()).exists(stored):
+        latest = Rounds(spark, f"{folder}/rounds", instructions, workers=workers, retries=retries).run(chunks, model)
+        latest.where("extraction IS NOT NULL").select("patient_id", "extraction").write.mode("overwrite").parquet(f"{folder}/labels")
+    return spark.read.parquet(f"{folder}/labels")
+
+
 class RoundRobin:
     """Calls to several clients in turn; safe for threads."""
 

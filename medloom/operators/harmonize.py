@@ -34,12 +34,17 @@ def mappings_from_config(config: Mapping[str, Any]) -> list[FieldMapping]:
     return [FieldMapping(x["source"], x["target"], category, x.get("transform"), x.get("value_map")) for category, items in config.items() if isinstance(items, list) for x in items]
 
 
+def as_texts(table: Mapping[Any, Any]) -> dict[str, str]:
+    """A value map with string keys and values; of keys that read alike the last counts."""
+    return {str(a): str(b) for a, b in table.items()}
+
+
 def map_values(value: Column, table: Mapping[Any, Any]) -> Column:
     """Mapped values as strings; values without an entry pass."""
     if not table:
         return value
     text = value.cast("string")
-    pairs = F.create_map(*[F.lit(str(x)) for x in chain(*table.items())])
+    pairs = F.create_map(*[F.lit(x) for x in chain(*as_texts(table).items())])
     return F.coalesce(F.element_at(pairs, text), text)
 
 
@@ -82,10 +87,10 @@ def harmonize(source: DataFrame, mappings: Iterable[FieldMapping], pid: str = "r
         for m in fields:
             value, kind = F.col(f"`{m.source}`"), source.schema[m.source].dataType
             if m.value_map:
-                if len(m.value_map) > MAP_IN_EXPRESSION:
+                if len(as_texts(m.value_map)) > MAP_IN_EXPRESSION:
                     # a configured table, not data: its size is bound by the configuration file
                     spark, no = source.sparkSession, len(columns)
-                    table = spark.createDataFrame([(str(a), str(b)) for a, b in m.value_map.items()], f"_k{no} string, _v{no} string")
+                    table = spark.createDataFrame(list(as_texts(m.value_map).items()), f"_k{no} string, _v{no} string")
                     rows = rows.join(F.broadcast(table), value.cast("string") == F.col(f"_k{no}"), "left")
                     value = F.coalesce(F.col(f"_v{no}"), value.cast("string"))
                 else:
@@ -97,14 +102,7 @@ def harmonize(source: DataFrame, mappings: Iterable[FieldMapping], pid: str = "r
 
 
 def describe(mappings: Iterable[FieldMapping]) -> str:
-    by_category: dict[str, list[FieldMapping]] = {}
-    for m in mappings:
-        by_category.setdefault(m.category, []).append(m)
-    lines = ["Field Mappings:"]
-    for category in sorted(by_category):
-        lines += ["", f"  {category}:"]
-        for m in by_category[category]:
-            notes = [f"transform: {m.transform}"] if m.transform else []
-            notes += [f"value_map: {len(m.value_map)} entries"] if m.value_map else []
-            lines.append(f"    {m.source} -> {m.target}" + "".join(f" ({n})" for n in notes))
-    return "\n".join(lines)
+    """The mappings as a table in Markdown, by category and target."""
+    rows = sorted((m.category, m.target, m.source, m.transform or "", len(m.value_map or {})) for m in mappings)
+    head = ["| category | field | column | transform | mapped values |", "|---|---|---|---|---|"]
+    return "\n".join(head + [f"| {' | '.join(map(str, r))} |" for r in rows])

@@ -1,7 +1,8 @@
 """What a warehouse holds: schema and summary documents, dashboard statistics.
 
 All categorical columns of a table are counted in one grouping over (column, value) pairs, all
-numeric ones profiled in one aggregate; only top values and one row of statistics reach the driver.
+numeric ones profiled from counts of their values; only top values and a row of statistics for each
+column reach the driver.
 """
 
 from __future__ import annotations
@@ -10,12 +11,14 @@ import json
 from collections.abc import Iterable, Mapping
 from typing import Any
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from medloom.functions.names import on_dashboard
 from medloom.operators.privacy import suppress_count
+from medloom.session import settled
+from medloom.sources.files import write_text
 
 TOP = 15
 DASHBOARD_COLUMNS = 4
@@ -45,13 +48,43 @@ def top_values(rows: DataFrame, columns: list[str], limit: int = TOP) -> DataFra
 
 
 def numeric_profile(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """(column_name, n, min, max, mean, median, q1, q3), rounded to two places, in one pass."""
-    aggs = []
-    for k, c in enumerate(columns):
-        x = F.col(f"`{c}`").cast("double")
-        aggs += [F.count(x).alias(f"n{k}"), F.min(x).alias(f"a{k}"), F.max(x).alias(f"b{k}"), F.avg(x).alias(f"m{k}"), F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{k}")]
-    pairs = ", ".join(f"'{c}', n{k}, round(a{k}, 2), round(b{k}, 2), round(m{k}, 2), round(q{k}[1], 2), round(q{k}[0], 2), round(q{k}[2], 2)" for k, c in enumerate(columns))
-    return rows.agg(*aggs).select(F.expr(f"stack({len(columns)}, {pairs}) AS (column_name, n, min, max, mean, median, q1, q3)"))
+    """(column_name, n, min, max, mean, median, q1, q3), rounded to two places.
+
+    Plain aggregates take one pass.  Quantiles are exact: values are counted per column and sorted by
+    range partitioning, partitions report their counts, and the rows that a quantile falls on are picked
+    by running counts, so no task holds a column's values.
+    """
+    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("no"), F.col(f"`{c}`").cast("double").alias("x")) for k, c in enumerate(columns)]))
+    values = rows.select(pairs.alias("p")).select("p.*").where("x IS NOT NULL")
+    counted = values.groupBy("no", "x").agg(F.count(F.lit(1)).alias("n"))
+    placed = settled(counted.repartitionByRange("no", "x").select("no", "x", "n", F.spark_partition_id().alias("part")))
+    sums = placed.groupBy("no", "part").agg(F.sum("n").alias("all"))  # a row for each partition and column
+    ahead = sums.select("no", "part", F.coalesce(F.sum("all").over(Window.partitionBy("no").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
+    inside = Window.partitionBy("no", "part").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = placed.withColumn("upto", F.sum("n").over(inside)).join(F.broadcast(ahead), ["no", "part"]).withColumn("upto", F.col("upto") + F.col("ahead"))
+    # whole-column figures from the same counts: one row for each column
+    figures = placed.groupBy("no").agg(F.sum("n").alias("n"), F.min("x").alias("min"), F.max("x").alias("max"), (F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("mean"))
+    wanted = figures.select("no", F.explode(F.array(*[F.struct(F.lit(q).alias("q"), (q * (F.col("n") - 1)).alias("place")) for q in (0.25, 0.5, 0.75)])).alias("w")).select("no", "w.*")
+    wanted = wanted.withColumns({"low": F.floor("place"), "high": F.ceil("place")})
+    hit = ranked.join(F.broadcast(wanted), "no").where((F.col("upto") > F.col("low")) & (F.col("upto") - F.col("n") <= F.col("high")))
+    at = lambda c: F.max(F.when((F.col("upto") - F.col("n") <= F.col(c)) & (F.col("upto") > F.col(c)), F.col("x")))
+    quantiles = hit.groupBy("no", "q").agg(at("low").alias("a"), at("high").alias("b"), F.first(F.col("place") - F.col("low")).alias("part"))
+    by_column = quantiles.groupBy("no").agg(*[F.max(F.when(F.col("q") == q, F.col("a") + F.when(F.col("a") == F.col("b"), 0.0).otherwise((F.col("b") - F.col("a")) * F.col("part")))).alias(name) for name, q in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))])
+    names = rows.sparkSession.createDataFrame(list(enumerate(columns)), "no int, column_name string")
+    every = names.join(F.broadcast(figures), "no", "left").join(F.broadcast(by_column), "no", "left")
+    return every.select("column_name", F.coalesce("n", F.lit(0)).alias("n"), *[F.round(c, 2).alias(c) for c in ("min", "max", "mean", "median", "q1", "q3")])
+
+
+#: Text columns with longer values are free text: their values are not listed.
+LONGEST = 256
+
+
+def text_columns(rows: DataFrame, columns: list[str]) -> list[str]:
+    """Of text columns those with values, none of them longer than ``LONGEST``: one pass over all columns."""
+    if not columns:
+        return []
+    seen = rows.agg(*[F.max(F.length(f"`{c}`")).alias(f"m{k}") for k, c in enumerate(columns)]).first()
+    return [c for k, c in enumerate(columns) if seen[k] is not None and seen[k] <= LONGEST]
 
 
 def _strings(rows: DataFrame, forbidden: Iterable[str]) -> list[str]:
@@ -73,14 +106,16 @@ def summary_document(tables: Mapping[str, DataFrame], project: str = "Dataset",
         rows = tables[name]
         fields = visible(rows, forbidden)
         lines += [f"## Table: `{name}` ({rows.count()} rows)", ""]
-        texts = _strings(rows, forbidden)
+        texts = text_columns(rows, _strings(rows, forbidden))
         numbers = [f.name for f in fields if isinstance(f.dataType, _NUMERIC)]
         tops: dict[str, list] = {}
         for r in top_values(rows, texts).withColumn("shown", suppress_count(F.col("n"), k)).orderBy("column_name", "rank").collect() if texts else []:
             tops.setdefault(r.column_name, []).append(r)
         profiles = {r.column_name: r for r in numeric_profile(rows, numbers).collect()} if numbers else {}
         for f in fields:
-            if f.name in tops:
+            if isinstance(f.dataType, T.StringType) and f.name not in tops:
+                lines += [f"### `{f.name}`", "", "- free text or empty; no values listed", ""]
+            elif f.name in tops:
                 lines += [f"### `{f.name}`", ""] + [f"- {r.value}: {r.shown}" for r in tops[f.name]] + [""]
             elif f.name in profiles and (p := profiles[f.name]).n:
                 lines += [f"### `{f.name}`", "", f"- non-missing: {p.n if p.n >= k else f'<{k}'}", f"- range: {p.min:.2f} to {p.max:.2f}", f"- mean: {p.mean:.2f}", f"- median: {p.median:.2f} (quartiles {p.q1:.2f}, {p.q3:.2f})", ""]
@@ -99,24 +134,23 @@ def dashboard(tables: Mapping[str, DataFrame], project: str = "Dataset", forbidd
         fields = visible(rows, forbidden)
         n = rows.count()
         out["tables"].append({"name": name, "row_count": n, "column_count": len(fields), "column_names": [f.name for f in fields]})
-        texts = _strings(rows, forbidden)
+        texts = text_columns(rows, _strings(rows, forbidden))
+        chosen = [c for c in texts if on_dashboard(c)][:DASHBOARD_COLUMNS]
+        demographics = [c for c in ("sex", "race", "ethnicity") if c in texts] if name == "cohort" else []
+        texts = list(dict.fromkeys(chosen + demographics))
         tops: dict[str, list] = {}
         for r in top_values(rows, texts).orderBy("column_name", "rank").collect() if texts else []:
             tops.setdefault(r.column_name, []).append(_shown(r.value, r.n, k))
         if name == "cohort":
             out["total_patients"] = n
-            out["demographics"] = {c: tops.get(c, []) for c in ("sex", "race", "ethnicity") if c in texts}
-        shown = [{"column": c, "values": tops[c]} for c in texts if on_dashboard(c) and c in tops][:DASHBOARD_COLUMNS]
+            out["demographics"] = {c: tops.get(c, []) for c in demographics}
+        shown = [{"column": c, "values": tops[c]} for c in chosen if c in tops]
         if shown:
             out["table_summaries"][name] = {"categorical": shown}
     return out
 
 
 def write_documents(tables: Mapping[str, DataFrame], folder: str, project: str, forbidden: Iterable[str] = ("record_id",), k: int = 10) -> None:
-    from pathlib import Path
-
-    target = Path(folder)
-    target.mkdir(parents=True, exist_ok=True)
-    (target / "schema.md").write_text(schema_document(tables, project, forbidden))
-    (target / "summary.md").write_text(summary_document(tables, project, forbidden, k))
-    (target / "summary_stats.json").write_text(json.dumps(dashboard(tables, project, forbidden, k), indent=2))
+    spark = next(iter(tables.values())).sparkSession if tables else SparkSession.active()
+    for name, text in (("schema.md", schema_document(tables, project, forbidden)), ("summary.md", summary_document(tables, project, forbidden, k)), ("summary_stats.json", json.dumps(dashboard(tables, project, forbidden, k), indent=2))):
+        write_text(spark, f"{folder.rstrip('/')}/{name}", text)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+import re
 from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
@@ -16,39 +18,67 @@ MARKER = "\n--- "
 
 
 class Tokenizer(Protocol):
-    def encode(self, text: str) -> list: ...
-
-    def decode(self, tokens: list) -> str: ...
+    def ends(self, text: str) -> Sequence[int]:
+        """Where each token of the text ends, in characters."""
 
 
 class PieceTokenizer:
-    """Runs of visible characters with the white space before them: lossless, needs no vocabulary."""
+    """Runs of visible characters with the white space before them; needs no vocabulary."""
+
+    _PIECE = re.compile(r"\s*\S+|\s+$")
+
+    def ends(self, text: str) -> Sequence[int]:
+        return [m.end() for m in self._PIECE.finditer(text)]
+
 
-    def encode(self, text: str) -> list[str]:
-        import re
+class FileTokenizer:
+    """A tokenizer from a vocabulary file of the tokenizers library."""
 
-        return re.findall(r"\s*\S+|\s+$", text)
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer as Loaded
 
-    def decode(self, tokens: list[str]) -> str:
-        return "".join(tokens)
+        self.loaded = Loaded.from_file(path)
+        self.loaded.no_truncation()
+        self.loaded.no_padding()
+
+    def ends(self, text: str) -> Sequence[int]:
+        return [end for _, end in self.loaded.encode(text, add_special_tokens=False).offsets]
+
+
+def chunk_spans(text: str, tokenizer: Tokenizer, size: int = 40_000, overlap: int = 200, marker: str = MARKER, window: int = 500) -> Iterator[tuple[int, int]]:
+    """Where the chunks of a text begin and end: at most ``size`` tokens each, cut at the last marker that
+    lies within the last ``window`` of them, and begun ``overlap`` tokens before the end of the one before.
+
+    Tokens and markers are found once; cuts are looked up by bisection.
+    """
+    ends = tokenizer.ends(text)
+    begins = [0, *ends]  # of token k
+    marks = [m.start() for m in re.finditer(re.escape(marker), text)]
+    first, stop = 0, 0
+    while stop < len(ends):
+        stop = min(first + size, len(ends))
+        if stop < len(ends):
+            latest = bisect.bisect_right(marks, ends[stop - 1] - len(marker)) - 1
+            if latest >= 0 and marks[latest] >= begins[max(first, stop - window)]:
+                stop = bisect.bisect_right(ends, marks[latest])
+        yield begins[first], begins[stop]
+        first = max(first + 1, stop - overlap)
 
 
 def chunk_text(text: str, tokenizer: Tokenizer, size: int = 40_000, overlap: int = 200, marker: str = MARKER, window: int = 500) -> list[str]:
-    """Greedy windows of ``size`` tokens that end at the last marker within ``window`` tokens of their end."""
-    tokens = tokenizer.encode(text)
-    chunks, start = [], 0
-    while start < len(tokens):
-        end = min(start + size, len(tokens))
-        if end < len(tokens):
-            tail = max(start, end - window)
-            seen = tokenizer.decode(tokens[tail:end])
-            if (at := seen.rfind(marker)) >= 0:
-                end = tail + len(tokenizer.encode(seen[:at]))
-        chunks.append(tokenizer.decode(tokens[start:end]))
-        if end >= len(tokens):
-            break
-        start = max(start + 1, end - overlap)
-    return chunks
+    return [text[a:b] for a, b in chunk_spans(text, tokenizer, size, overlap, marker, window)]
+
+
+def truncated(texts: DataFrame, tokens: int, tokenizer: Callable[[], Tokenizer] = PieceTokenizer, text: str = "notes") -> DataFrame:
+    """texts with at most the first ``tokens`` tokens of each text; nulls stay."""
+
+    @F.pandas_udf("string")
+    def cut(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        one = tokenizer()
+        for part in parts:
+            yield part.map(lambda t: t if t is None or len(ends := one.ends(t)) <= tokens else t[: ends[tokens - 1]] if tokens else "")
+
+    return texts.withColumn(text, cut(F.col(text)))
 
 
 def standard_notes(source: DataFrame, file_no: int, pid_column: str, pid: str = "patient_id", text: str = "text", date: str = "date", kind: str = "note_type") -> DataFrame | None:

@@ -37,7 +37,8 @@ def drop_forbidden(rows: DataFrame, forbidden: Iterable[str]) -> DataFrame:
 def suppress_cells(rows: DataFrame, k: int, forbidden: Iterable[str] = ("record_id",), explicit: Iterable[str] | None = None, planned: Iterable[str] = ()) -> tuple[DataFrame, list[str]]:
     """(rows with small counts as ``<k`` and the rates beside them as ``suppressed``, columns of counts).
 
-    Columns that can hold suppressed values become strings, so small counts never leave the engine.
+    Columns that can hold suppressed values become strings, so small counts never leave the engine;
+    maps of counts keep their keys.
     """
     rows = drop_forbidden(rows, forbidden)
     counts = count_columns(rows.columns, explicit, planned)
@@ -49,7 +50,9 @@ def suppress_cells(rows: DataFrame, k: int, forbidden: Iterable[str] = ("record_
     out = []
     for c in rows.columns:
         value = F.col(f"`{c}`")
-        if c in small:
+        if c in small and isinstance(kinds[c], T.MapType) and isinstance(kinds[c].valueType, _NUMBERS):
+            value = F.transform_values(value, lambda _, n: F.when(n < k, F.lit(f"<{k}")).otherwise(n.cast("string")))
+        elif c in small:
             value = F.when(small[c], F.lit(f"<{k}")).otherwise(value.cast("string"))
         elif is_rate(c):
             value = F.when(hidden, F.lit("suppressed")).otherwise(value.cast("string"))

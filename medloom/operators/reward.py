@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from medloom.operators.notes import concatenate
+from medloom.operators.notes import PieceTokenizer, Tokenizer, concatenate, truncated
 
 WRONG_VALUE = 0.25
 
@@ -41,10 +43,13 @@ def field_f1(extracted: DataFrame, reference: DataFrame, pid: str = "patient_id"
     return rows.select(pid, precision.alias("precision"), recall.alias("recall"), f1.alias("f1"))
 
 
-def training_examples(notes: DataFrame, labels: DataFrame, instructions: str, max_patients: int | None = None, pid: str = "patient_id") -> DataFrame:
-    """(patient, prompt, label): notes of patients that have a label; the first so many by id."""
-    texts = concatenate(notes, pid)
-    rows = texts.join(labels.select(pid, F.col("extraction").alias("label")), pid)
-    if max_patients:
-        rows = rows.orderBy(pid).limit(max_patients)
+def training_examples(notes: DataFrame, labels: DataFrame, instructions: str, max_patients: int | None = None, pid: str = "patient_id", max_prompt_tokens: int | None = None, tokenizer: Callable[[], Tokenizer] = PieceTokenizer) -> DataFrame:
+    """(patient, prompt, label): notes of patients that have a label, the first so many patients by id,
+    notes cut to so many tokens."""
+    if max_patients is not None:  # of all patients with notes, as those without a label count, too
+        first = notes.select(pid).distinct().orderBy(pid).limit(max_patients)
+        notes = notes.join(first, pid, "left_semi")
+    rows = concatenate(notes, pid).join(labels.select(pid, F.col("extraction").alias("label")), pid)
+    if max_prompt_tokens is not None:
+        rows = truncated(rows, max_prompt_tokens, tokenizer)
     return rows.select(pid, F.format_string("%s\n\nNotes:\n%s", F.lit(instructions), F.col("notes")).alias("prompt"), "label")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from medloom.functions.names import table_name
 from medloom.operators.cohort import COHORT_COLUMNS
 from medloom.operators.deid import keep_filled_columns, rename_id, replace_ids, shift_dates, strip_pii
+from medloom.sources.files import is_folder, listed, name_of, replaced
 
 COHORT = "cohort"
 
@@ -42,7 +43,10 @@ def distinct_ids(sources: Iterable[DataFrame], columns: Iterable[str]) -> DataFr
 
 
 def split_categories(rows: DataFrame, column: str = "category") -> dict[str, DataFrame]:
-    """A table per category (null categories are left out)."""
+    """A table per category (null categories are left out).
+
+    Of rows stored by category each table reads its own only.
+    """
     names = [r[0] for r in rows.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column).collect()]
     return {n: rows.where(F.col(column) == n).drop(column) for n in names}
 
@@ -83,9 +87,14 @@ class Warehouse:
     def add_cohort(self, cohort: DataFrame) -> None:
         self.tables[COHORT] = cohort_table(cohort)
 
-    def write(self, folder: str, files_by: str | None = "record_id") -> None:
-        for name, rows in self.tables.items():
-            rows.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/{name}")
+    def write(self, folder: str) -> None:
+        """All tables beside the folder, which they replace as a whole at the end: none of an earlier build stays."""
+        if not self.tables:
+            return
+        spark = next(iter(self.tables.values())).sparkSession
+        with replaced(spark, folder) as staging:
+            for name, rows in self.tables.items():
+                rows.write.parquet(f"{staging}/{name}")
 
 
 def register(spark: SparkSession, tables: Mapping[str, DataFrame]) -> None:
@@ -95,7 +104,4 @@ def register(spark: SparkSession, tables: Mapping[str, DataFrame]) -> None:
 
 def open_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """The tables of a written warehouse, listed through Spark's file system."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
-    names = sorted(f.getPath().getName() for f in files if f.isDirectory())
-    return {n: spark.read.parquet(f"{folder.rstrip('/')}/{n}") for n in names}
+    return {name_of(p): spark.read.parquet(p) for p in listed(spark, folder) if is_folder(spark, p)}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import threading
 from collections.abc import Iterable, Mapping
 from decimal import Decimal
 from typing import Any
@@ -12,9 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from medloom.operators.metadata import schema_document, summary_document
 from medloom.operators.privacy import OutputTooLarge, suppress_cells, validate_output_size
+from medloom.operators.warehouse import register
 from medloom.plans.dialect import DialectError, to_spark
 from medloom.plans.sqlguard import counted_outputs, lineage_leaks, planned_counts, validate
 
+_NAMES = threading.Lock()
+
 
 def guarded_frame(spark: SparkSession, sql: str, tables: Iterable[str], k: int = 10, forbidden: Iterable[str] = ("record_id",), count_columns: Iterable[str] | None = None, strict: bool = False) -> tuple[DataFrame, list[str], list[str]]:
     """(suppressed result as a plan, its count columns, warnings); raises ValueError for refused SQL."""
@@ -63,12 +67,13 @@ class QueryService:
         self.spark, self.tables, self.k, self.max_rows = spark, dict(tables), k, max_rows
         self.forbidden, self.project, self.strict, self.max_fraction = list(forbidden), project, strict, max_fraction
         spark.conf.set("spark.sql.runSQLOnFiles", "false")
-        for name, rows in self.tables.items():
-            rows.createOrReplaceTempView(name)
 
     def execute(self, sql: str, count_columns: Iterable[str] | None = None) -> dict[str, Any]:
         try:
-            shown, counts, warnings = guarded_frame(self.spark, sql, self.tables, self.k, self.forbidden, count_columns, self.strict)
+            # names are the session's: they are bound to this service's tables while its statement is analysed
+            with _NAMES:
+                register(self.spark, self.tables)
+                shown, counts, warnings = guarded_frame(self.spark, sql, self.tables, self.k, self.forbidden, count_columns, self.strict)
         except ValueError as error:
             return {"error": str(error)}
         except PySparkException as error:

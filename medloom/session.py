@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from contextlib import suppress
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,6 +17,7 @@ SETTINGS = {
     "spark.sql.runSQLOnFiles": "false",  # SELECT ... FROM parquet.`path` must not reach files
 }
 _LOCAL: list[str] = []
+_RUN: list[str] = []
 
 
 def build_session(name: str = "medloom", master: str | None = None, **settings: str) -> SparkSession:
@@ -37,8 +39,30 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL[0]
 
 
-def settled(rows: DataFrame) -> DataFrame:
-    """rows, written once into the shared folder and read back: fixed content, no lineage."""
-    path = f"{shared_folder(rows.sparkSession)}/settled-{uuid.uuid4().hex}"
-    rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+def settled(rows: DataFrame, by: str | None = None) -> DataFrame:
+    """rows, written once into the shared folder and read back: fixed content, no lineage.
+
+    ``by`` stores them by that column.  The tables stay until ``release`` or the end of the process, as
+    lazy results may need them.
+    """
+    spark = rows.sparkSession
+    if not _RUN:
+        _RUN.append(f"{shared_folder(spark)}/settled-{uuid.uuid4().hex}")
+        atexit.register(_at_exit)
+    path = f"{_RUN[0]}/{uuid.uuid4().hex}"
+    (rows.write.partitionBy(by) if by else rows.write).parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the tables that this process has settled: results made of them can't be read any more."""
+    for folder in _RUN:
+        where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _RUN.clear()
+
+
+def _at_exit() -> None:
+    with suppress(Exception):  # the session may have ended before
+        if spark := SparkSession.getActiveSession():
+            release(spark)

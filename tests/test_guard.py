@@ -1,5 +1,6 @@
 """The SQL guard, the dialect and the query service."""
 
+import duckdb
 import pytest
 
 from medloom.functions.names import category_of, count_columns, is_count, is_pii, is_rate, on_dashboard, safe_name, table_name
@@ -110,7 +111,7 @@ def test_statements():
 
 
 @pytest.mark.parametrize("sql, want", [
-    ("SELECT date_diff('day', a, b)", "SELECT timestampdiff(DAY, a, b)"),
+    ("SELECT date_diff('day', a, b)", "SELECT timestampdiff(DAY, date_trunc('DAY', a), date_trunc('DAY', b))"),
     ("SELECT group_concat(x), 'group_concat(x)'", "SELECT string_agg(x), 'group_concat(x)'"),
     ("SELECT quantile_cont(f(a, b), 0.5)", "SELECT percentile_cont(0.5) WITHIN GROUP (ORDER BY f(a, b))"),
     ("SELECT strftime(d, '%Y-%m')", "SELECT date_format(d, 'yyyy-MM')"),
@@ -184,3 +185,23 @@ def test_values_are_no_counts(service):
 def test_lists_of_small_groups_are_hidden(service):
     rows = service.execute("SELECT sex, COLLECT_LIST(1) AS ones FROM people GROUP BY sex")["rows"]
     assert ["M", "<10"] in rows
+
+
+def test_entropy_and_histogram(service):
+    rows = service.execute("SELECT sex, ENTROPY(site) AS e, HISTOGRAM(site) AS h, KURTOSIS(age) FILTER (WHERE age < 40) AS k FROM people GROUP BY sex")["rows"]
+    got = {r[0]: r for r in rows}
+    assert got["F"][1] == pytest.approx(1.5847, abs=1e-3) and got["F"][2] == {"0": "19", "1": "18", "2": "18"}
+    assert set(got["M"][2].values()) == {"<10"} and got["F"][3] == pytest.approx(-1.2, abs=0.01) and got["M"][3] is None
+    assert "window" in service.execute("SELECT sex, KURTOSIS(age) OVER () AS k FROM people GROUP BY sex")["error"]
+
+
+@pytest.mark.parametrize("unit, a, b, want", [("day", "2024-01-01 23:00:00", "2024-01-02 01:00:00", 1), ("month", "2024-01-31 00:00:00", "2024-02-01 00:00:00", 1), ("year", "2023-12-31 00:00:00", "2024-01-01 00:00:00", 1), ("hour", "2024-01-01 10:59:00", "2024-01-01 11:00:00", 1), ("week", "2024-01-07 00:00:00", "2024-01-08 00:00:00", 1), ("day", "2024-01-02 01:00:00", "2024-01-01 23:00:00", -1)])
+def test_date_diff_counts_boundaries(spark, unit, a, b, want):
+    assert spark.sql(to_spark(f"SELECT date_diff('{unit}', TIMESTAMP '{a}', TIMESTAMP '{b}')")).first()[0] == want
+    assert duckdb.sql(f"SELECT date_diff('{unit}', TIMESTAMP '{a}', TIMESTAMP '{b}')").fetchall()[0][0] == want
+
+
+def test_services_do_not_share_names(spark, service):
+    other = QueryService(spark, {"people": spark.range(30).selectExpr("'X' AS sex")})
+    assert other.execute("SELECT sex, COUNT(*) AS n FROM people GROUP BY sex")["rows"] == [["X", 30]]
+    assert service.execute("SELECT COUNT(*) AS n FROM people")["rows"] == [[60]]

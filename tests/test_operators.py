@@ -1,21 +1,25 @@
 """Operators on tiny frames, nulls included."""
 
 import datetime as dt
+import http.server
 import json
 import sys
+import threading
 
+import numpy as np
 import pytest
+import yaml
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from medloom.config import ProjectConfig, load_config, save_config
+from medloom.config import ModelConfig, ProjectConfig, ServerConfig, load_config, save_config
 from medloom.functions.dates import find_date_column, parse_text
 from medloom.ontology import sites
 from medloom.ontology.catalog import Ontology, Registry, combined_prompt, combined_template, items_frame, propose_tables
 from medloom.operators import cohort, deid, extraction, harmonize, metadata, notes, reward, warehouse
 from medloom.plans.pipeline import Pipeline
 from medloom.plans.service import QueryService
-from medloom.sources import io
+from medloom.sources import files, io, models
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -79,7 +83,7 @@ def test_harmonize_nulls_and_maps(spark):
     assert list(out) == ["bio"] and [tuple(r)[2:] for r in out["bio"].orderBy("pid").collect()] == [("pd-l1", None, " x "), (None, None, None), ("egfr", 9.0, "9")]
     big = harmonize.harmonize(rows, [harmonize.FieldMapping("marker", "m", "c", None, {f"k{i}": i for i in range(600)} | {"PDL1": "P"})], "pid")["c"]
     assert [r.m for r in big.orderBy("pid").collect()] == ["P", None, "EGFR"]
-    assert "value_map: 1 entries" in harmonize.describe(harmonize.mappings_from_config({"c": [{"source": "a", "target": "b", "value_map": {"x": 1}}]}))
+    assert "| c | b | a |  | 1 |" in harmonize.describe(harmonize.mappings_from_config({"c": [{"source": "a", "target": "b", "value_map": {"x": 1}}]}))
 
 
 def test_notes(spark):
@@ -98,8 +102,8 @@ def test_chunks():
     tok = notes.PieceTokenizer()
     text = " ".join(f"w{i}" for i in range(50)) + "\n--- note\n" + " ".join(f"v{i}" for i in range(60))
     chunks = notes.chunk_text(text, tok, 60, 5, window=20)
-    assert chunks[0].endswith("w49") and all(len(tok.encode(c)) <= 60 for c in chunks) and chunks[-1].endswith("v59")
-    assert notes.chunk_text("", tok) == [] and tok.decode(tok.encode(" a  b\n")) == " a  b\n"
+    assert chunks[0].endswith("w49") and all(len(tok.ends(c)) <= 60 for c in chunks) and chunks[-1].endswith("v59")
+    assert notes.chunk_text("", tok) == [] and tok.ends(" a  b\n") == [2, 5, 6]
 
 
 def test_chunk_table(spark):
@@ -221,10 +225,10 @@ def test_csv(spark, tmp_path):
     (tmp_path / "b.csv").write_text("A,a\n1,2\n")
     with pytest.raises(ValueError):
         io.read_file(spark, str(tmp_path / "b.csv"))
-    assert [f[-5:] for f in io.resolve_files([str(tmp_path), str(tmp_path / "a.csv")])] == ["a.csv", "b.csv"]
-    assert io.find_file("b.csv", [str(tmp_path)]) and io.find_file("c.csv", [str(tmp_path)]) is None
+    assert [f[-5:] for f in io.resolve_files(spark, [str(tmp_path), str(tmp_path / "a.csv")])] == ["a.csv", "b.csv"]
+    assert io.find_file(spark, "b.csv", [str(tmp_path)]) and io.find_file(spark, "c.csv", [str(tmp_path)]) is None
     assert io.id_column_of("x/a.csv", {"a.parquet": "k"}, "d") == "k" and io.id_column_of("q.csv", {}, "d") == "d"
-    assert io.detect_patient_file(spark, io.resolve_files([str(tmp_path)]), "id").endswith("a.csv")
+    assert io.detect_patient_file(spark, io.resolve_files(spark, [str(tmp_path)]), "id").endswith("a.csv")
 
 
 def test_config(tmp_path):
@@ -272,3 +276,152 @@ def test_documents(spark):
     stats = metadata.dashboard({"t": rows})
     assert stats["table_summaries"]["t"]["categorical"][0]["values"][1] == {"label": "b", "n": None, "suppressed": True}
     assert "| `x` | DOUBLE | YES |" in metadata.schema_document({"t": rows})
+
+
+def test_exact_quantiles_against_numpy(spark):
+    rng = np.random.default_rng(3)
+    xs, ys = rng.integers(0, 50, 1001).tolist(), rng.normal(0, 1, 1001).tolist()
+    rows = spark.createDataFrame([(x, y if i % 3 else None, None) for i, (x, y) in enumerate(zip(xs, ys, strict=True))], "x long, y double, z double").repartition(5)
+    got = {r.column_name: r for r in metadata.numeric_profile(rows, ["x", "y", "z"]).collect()}
+    for name, values in (("x", xs), ("y", [y for i, y in enumerate(ys) if i % 3])):
+        want = [len(values), min(values), max(values), np.mean(values), *np.percentile(values, [50, 25, 75])]
+        assert np.allclose([got[name][c] for c in ("n", "min", "max", "mean", "median", "q1", "q3")], want, atol=0.006)
+    assert got["z"].n == 0 and got["z"].median is None
+
+
+def test_chunks_like_a_walk_over_tokens():
+    """Against a walk that looks for the marker in each window's text."""
+    rng, tok = np.random.default_rng(1), notes.PieceTokenizer()
+    for _ in range(60):
+        text = "".join(rng.choice(["word ", "x ", "\n--- n ---\n", "long-word "]) for _ in range(rng.integers(0, 80)))
+        size, window = int(rng.integers(5, 30)), int(rng.integers(1, 5))
+        overlap = int(rng.integers(0, 4))
+        ends = [0, *tok.ends(text)]
+        want, start, stop = [], 0, 0
+        while stop < len(ends) - 1:
+            stop = min(start + size, len(ends) - 1)
+            if stop < len(ends) - 1:
+                tail = max(start, stop - window)
+                at = text[ends[tail] : ends[stop]].rfind("\n--- ")
+                if at >= 0:
+                    stop = max(k for k in range(len(ends)) if ends[k] <= ends[tail] + at)
+            want.append(text[ends[start] : ends[stop]])
+            start = max(start + 1, stop - overlap)
+        assert notes.chunk_text(text, tok, size, overlap, window=window) == want
+
+
+def test_value_maps_with_keys_that_read_alike(spark):
+    rows = spark.createDataFrame([("1", "5")], "pid string, v string")
+    small = {5: "a", "5": "b"}
+    large = small | {f"k{i}": "x" for i in range(600)}
+    for table in (small, large):
+        assert [r.m for r in harmonize.harmonize(rows, [harmonize.FieldMapping("v", "m", "c", None, table)], "pid")["c"].collect()] == ["b"]
+
+
+def test_rounds_that_are_done_need_no_model(spark, tmp_path):
+    chunks = spark.createDataFrame([("a", 0, 2, "a0"), ("a", 1, 2, "a1")], "patient_id string, chunk_index int, total_chunks int, chunk_text string")
+    rounds = extraction.Rounds(spark, str(tmp_path / "r"))
+    assert rounds.pending(chunks) == [0, 1]
+    rounds.run(chunks, lambda task: Echo())
+    assert rounds.pending(chunks) == [] and rounds.run(chunks, None).count() == 1
+
+
+def test_labels_are_made_once(spark, tmp_path):
+    chunks = spark.createDataFrame([("a", 0, 2, "a0"), ("a", 1, 2, "a1"), ("b", 0, 1, "b0")], "patient_id string, chunk_index int, total_chunks int, chunk_text string")
+    first = extraction.silver_labels(spark, chunks, str(tmp_path), lambda task: Echo()).collect()
+    again = extraction.silver_labels(spark, chunks, str(tmp_path), lambda task: Broken()).collect()
+    assert sorted(first) == sorted(again) and {r.patient_id: len(json.loads(r.extraction)) for r in first} == {"a": 2, "b": 1}
+
+
+def test_prompts_are_cut(spark):
+    raw = spark.createDataFrame([("1", "one two three four five"), ("2", "another note that is long"), ("3", "a note without a label")], "patient_id string, text string")
+    labels = spark.createDataFrame([("1", "[]"), ("2", "[]")], "patient_id string, extraction string")
+    rows = {r.patient_id: r.prompt for r in reward.training_examples(raw, labels, "Do it.", max_prompt_tokens=6).collect()}
+    assert rows["1"] == "Do it.\n\nNotes:\n--- unknown |  ---\none two" and set(rows) == {"1", "2"}
+    assert reward.training_examples(raw, labels, "x", max_patients=1).count() == 1
+
+
+class _Server(http.server.BaseHTTPRequestHandler):
+    seen: list = []
+
+    def do_POST(self):
+        body = json.loads(self.rfile.read(int(self.headers["content-length"])))
+        self.seen.append((self.path, dict(self.headers), body))
+        if self.path.endswith("/chat/completions"):
+            out = {"choices": [{"message": {"content": "thinking assistantfinal [1]"}}], "usage": {"prompt_tokens": 3, "completion_tokens": 2}}
+        else:
+            out = {"content": [{"type": "text", "text": "[2"}, {"type": "other"}, {"type": "text", "text": "]"}], "usage": {"input_tokens": 4}}
+        self.send_response(200)
+        self.end_headers()
+        self.wfile.write(json.dumps(out).encode())
+
+    def log_message(self, *_):
+        pass
+
+
+def test_model_clients():
+    server = http.server.HTTPServer(("127.0.0.1", 0), _Server)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        at = f"http://127.0.0.1:{server.server_port}"
+        one = models.client(ModelConfig(model="m", base_url=f"{at}/v1", api_key="k"))
+        assert one.generate("hello", "be brief", max_tokens=7) == "[1]" and one.usage == {"prompt_tokens": 3, "completion_tokens": 2}
+        path, headers, body = _Server.seen[-1]
+        assert path == "/v1/chat/completions" and headers["Authorization"] == "Bearer k" and body["max_tokens"] == 7 and [x["role"] for x in body["messages"]] == ["system", "user"]
+        two = models.client(ModelConfig("anthropic", "m", at, "k"))
+        assert two.generate_structured("hello") == "[2]" and _Server.seen[-1][2]["system"] == models.JSON_ONLY and "temperature" not in _Server.seen[-1][2]
+        servers = models.client(ModelConfig(model="m"), [f"{at}/v1", f"{at}/other"])
+        assert [servers.generate("x") for _ in range(2)] == ["[1]", "[1]"] and {x[0] for x in _Server.seen[-2:]} == {"/v1/chat/completions", "/other/chat/completions"}
+    finally:
+        server.shutdown()
+    assert models.factory(ModelConfig()) is None and models.server_addresses(ServerConfig([0, 1, 2, 3], 2, 9000)) == ["http://localhost:9000/v1", "http://localhost:9001/v1"]
+    with pytest.raises(ValueError):
+        models.client(ModelConfig("odd", "m"))
+
+
+def test_rebuilt_warehouse_holds_no_old_tables(spark, tmp_path):
+    folder = str(tmp_path / "db")
+    for names in (("a", "b"), ("b", "c")):
+        house = warehouse.Warehouse(None, None, min_non_missing=0)
+        for n in names:
+            house.add(n, spark.createDataFrame([("1", n)], "record_id string, v string"), "x")
+        house.write(folder)
+    assert set(warehouse.open_tables(spark, folder)) == {"b", "c"} and sorted(p.name for p in tmp_path.iterdir() if "staging" in p.name) == []
+    broken = warehouse.Warehouse(None, None, min_non_missing=0)
+    broken.tables["z"] = spark.range(1).selectExpr("raise_error('no') AS v")
+    with pytest.raises(Exception, match="no"):
+        broken.write(folder)
+    assert set(warehouse.open_tables(spark, folder)) == {"b", "c"}
+
+
+def test_csv_files_are_split_unless_values_hold_line_ends(spark, tmp_path):
+    (tmp_path / "plain.csv").write_text('a,b\n1,"x, y"\n2,"say ""hi"""\n')
+    (tmp_path / "broken.csv").write_text('a,b\n1,"x\ny"\n')
+    assert [tuple(r) for r in io.read_csv(spark, str(tmp_path / "plain.csv")).orderBy("a").collect()] == [(1, "x, y"), (2, 'say "hi"')]
+    assert io.read_csv(spark, str(tmp_path / "broken.csv")).first().b == "x\ny"
+    assert io.columns_of(spark, str(tmp_path / "plain.csv")) == ["a", "b"]
+
+
+def test_files_through_the_file_system(spark, tmp_path):
+    path = f"{tmp_path}/x/y.txt"
+    files.write_text(spark, path, (c for c in ["ä", "b" * 2_000_000, "\n"]))
+    assert files.read_text(spark, path) == "ä" + "b" * 2_000_000 + "\n" and files.listed(spark, f"{tmp_path}/x") == [path]
+    assert not files.exists(spark, f"{tmp_path}/z") and files.listed(spark, f"{tmp_path}/z") == [] and files.is_folder(spark, f"{tmp_path}/x")
+    assert [files.name_of("a/b.csv"), files.stem_of("a/b.c.csv"), files.suffix_of("a/b.csv"), files.suffix_of("a/b")] == ["b.csv", "b.c", ".csv", ""]
+
+
+def test_other_sections_of_a_project_stay(tmp_path):
+    path = str(tmp_path / "c.yaml")
+    (tmp_path / "c.yaml").write_text("project: {name: p, input_paths: [/a]}\nchatbot: {turns: 5}\ntraining: {batch_size: 4, max_patients: 3}\n")
+    c = load_config(path)
+    save_config(c, path)
+    raw = yaml.safe_load((tmp_path / "c.yaml").read_text())
+    assert load_config(path) == c and raw["chatbot"] == {"turns": 5} and raw["training"]["batch_size"] == 4 and raw["training"]["max_patients"] == 3
+    assert len(c.validate(lambda p: False)) == 1 and c.validate(lambda p: True) == []
+
+
+def test_free_text_is_not_listed(spark):
+    rows = spark.createDataFrame([("r", "note " * 100, "a")] * 12, "record_id string, note string, kind string")
+    text = metadata.summary_document({"t": rows})
+    assert "note note" not in text and "- a: 12" in text
+    assert [x["column"] for x in metadata.dashboard({"t": rows})["table_summaries"]["t"]["categorical"]] == ["kind"]
