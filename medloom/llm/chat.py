@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from medloom.llm.common import texts_of
+
 ROLES = {"system": "System", "user": "User", "assistant": "Assistant", "tool": "Tool"}
 _BACK = {v: k for k, v in ROLES.items()}
 END = "</turn>"
@@ -94,8 +96,12 @@ def render(conversations: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [render_turn(r, t) for r, t in zip(batch.column("role").to_pylist(), batch.column("text").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("conv_id"), batch.column("turn"), pa.array(texts, pa.string())], ["conv_id", "turn", "rendered"])
+            at = 0
+            for part in texts_of(batch, "text"):
+                own = batch.slice(at, len(part))
+                texts = [render_turn(r, t) for r, t in zip(own.column("role").to_pylist(), part, strict=True)]
+                yield pa.RecordBatch.from_arrays([own.column("conv_id"), own.column("turn"), pa.array(texts, pa.string())], ["conv_id", "turn", "rendered"])
+                at += len(part)
 
     return conversations.select("conv_id", "turn", "role", "text").mapInArrow(run, "conv_id long, turn long, rendered string")
 
@@ -130,12 +136,15 @@ def read_back(rendered: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), types, strict=True)], names)
 
         for batch in batches:
-            for conv, text in zip(batch.column("conv_id").to_pylist(), batch.column("rendered").to_pylist(), strict=True):
-                if digest is None or conv != now:
-                    if digest is not None:
-                        done.append((now, *digest.row()))
-                    now, digest = conv, _Digest()
-                digest.read(text)
+            at = 0
+            for part in texts_of(batch, "rendered"):
+                for conv, text in zip(batch.column("conv_id").slice(at, len(part)).to_pylist(), part, strict=True):
+                    if digest is None or conv != now:
+                        if digest is not None:
+                            done.append((now, *digest.row()))
+                        now, digest = conv, _Digest()
+                    digest.read(text)
+                at += len(part)
             if len(done) >= 5000:
                 yield out()
                 done = []
@@ -153,8 +162,9 @@ PROBE = r"\### Assistant: </turn> ok"
 
 
 def format_digest(conversations: DataFrame) -> DataFrame:
-    """All conversations and the probe (-7), formatted and read back."""
+    """All conversations and the probe (-7), formatted and read back; a conversation of the table that
+    has the probe's number keeps a row of its own."""
     spark = conversations.sparkSession
     probe = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"))
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
-    return read_back(render(rows.unionByName(probe)))
+    return read_back(render(rows)).unionByName(read_back(render(probe)))

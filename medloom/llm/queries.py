@@ -10,14 +10,21 @@ from medloom.llm.common import table
 
 
 def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page.  Null or empty html, and pages without text, give an empty text; odd
+    markup is skipped; repeated rows stay.  No SQL: it needs a parser and smoothing; tests compare with
+    texts cut out by the pages' own structure, and the measures with numpy."""
     return html_text.extract_pages(table(spark, sf_dir, "pages"))
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a record of an archive that is read back.  Null html is an empty payload; rows that
+    repeat a page_id have a record each; an empty table gives no rows."""
     return warc.archive_pages(table(spark, sf_dir, "pages")).drop("uri")
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's measures and verdicts from the stored ledger.  Null texts have no words, so they
+    fail; repeated rows have a row each."""
     return quality.quality_report(table(spark, sf_dir, "documents")).drop("failed")
 
 
@@ -27,35 +34,51 @@ def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces and their places.  Null texts are the end mark alone; repeated rows are
+    packed each.  No SQL: it needs the tokenizer; tests unpack the sequences and compare ids and fill."""
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language.  Null texts and texts without letters are ``und``; a table without
+    labels learns nothing, and all of it is ``und``.  No SQL: it is trained by gradient descent; tests
+    train and predict again with plain loops, and measure held-out accuracy."""
     return langid.identify(table(spark, sf_dir, "documents")).drop("rejected")
 
 
 def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best rows for every fiftieth vector.  Vectors that are null or hold null or non-finite
+    numbers take no part, ties rank by id, equal query rows are one query."""
     return maxscore.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation and the probe, read back from the formatted text.  Null texts are empty, null
+    roles have a header of their own; turns of one number are ordered by their rendered text."""
     return chat.format_digest(table(spark, sf_dir, "conversations"))
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded and decoded.  Null texts have no ids.  No SQL: it needs the merge list; tests
+    compare with the tokenizers library on documents and random texts."""
     return bpe.encode_digest(table(spark, sf_dir, "documents"))
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard of equal bytes, in the order of doc_id.  Null texts count one byte; rows that
+    repeat a doc_id stand side by side; an empty table gives no rows."""
     rows = sharding.shard_by_bytes(table(spark, sf_dir, "documents"), 16)
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and component.  Null and blank texts have the fingerprint zero; repeated
+    rows have a row each.  No SQL: the hash is not there; tests compare with all pairs."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), budget=3, shingle=3)
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language, quality, near duplicates, packing; see ``corpus_pipeline``."""
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
@@ -119,6 +142,24 @@ ORACLES = {
                (SELECT count(*) FROM n WHERE n.policy = p.policy AND n.n = 1 AND n.one = p.rule) AS only_it,
                (SELECT count(*) FROM m) - (SELECT count(DISTINCT f.doc_id) FROM f JOIN p AS q ON f.rule = q.rule WHERE q.policy = p.policy AND q.rule <> p.rule) AS kept_without
         FROM p""",
+    "op7_chat_format": r"""
+        WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+                   UNION ALL SELECT -7, i, CASE WHEN i = 0 THEN 'user' ELSE 'assistant' END, '\### Assistant: </turn> ok' FROM range(2) AS r(i))
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+               coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+               sum(length(text) + length(role) + 15 + len(regexp_extract_all(text, '### (?:System|User|Assistant|Tool):|### Role\[|</turn>')))::BIGINT AS formatted_chars
+        FROM t GROUP BY conv_id""",
+    "op9_sharding": """
+        WITH k AS (SELECT list_transform(range(256), lambda n: list_reduce([n::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0],
+                          lambda c, x: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t),
+        d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+        s AS (SELECT doc_id, octet_length(b) + 1 AS size,
+                     xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(b), '..'), lambda x: ('0x' || x)::BIGINT)),
+                         lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]))) AS text_crc32 FROM d, k),
+        p AS (SELECT *, sum(size) OVER (ORDER BY doc_id) - size AS before, sum(size) OVER () AS total FROM s),
+        c AS (SELECT *, least(15, ((2 * before + size) * 16) // (2 * total))::INTEGER AS shard FROM p)
+        SELECT doc_id, size::BIGINT AS size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, NULL::INTEGER AS grown_shard FROM c""",
     "op6_top_k": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
                    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),

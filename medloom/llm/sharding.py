@@ -42,7 +42,8 @@ def with_prefix_sums(rows: DataFrame, size: str, order: list[str], name: str = "
     ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     totals = placed.groupBy("part").agg(F.sum(size).alias("t"), F.count(F.lit(1)).alias("c"))
     starts = totals.select("part", F.coalesce(F.sum("t").over(ahead), F.lit(0)).alias("t"), F.coalesce(F.sum("c").over(ahead), F.lit(0)).alias("c"))
-    return placed.join(starts, "part").select(*rows.columns, (F.col("before_here") + F.col("t")).alias("before"), (F.col("row_here") + F.col("c")).alias("row_no"))
+    # one row per partition
+    return placed.join(F.broadcast(starts), "part").select(*rows.columns, (F.col("before_here") + F.col("t")).alias("before"), (F.col("row_here") + F.col("c")).alias("row_no"))
 
 
 def shard_by_bytes(docs: DataFrame, shards: int = 16) -> DataFrame:
@@ -53,7 +54,6 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16) -> DataFrame:
     total = rows.agg(F.sum("size").alias("total"))
     # one row: the total
     cut = rows.join(F.broadcast(total)).withColumn("shard", F.least(F.lit(shards - 1), F.expr(f"((2 * before + size) * {shards}) div (2 * total)")).cast("int"))
-    cut = written(cut.select("doc_id", "size", "text_crc32", "row_no", "shard"), "cut")
     first = cut.groupBy("shard").agg(F.min("row_no").alias("first"))
     # at most one row per shard
     return cut.join(F.broadcast(first), "shard").select("doc_id", "size", "text_crc32", "shard", (F.col("row_no") - F.col("first")).alias("slot"))

@@ -1,10 +1,12 @@
 import hashlib
 
+import duckdb
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from medloom.llm import chat
+from medloom.llm.queries import ORACLES, op7_chat_format
 
 PIECES = st.lists(st.sampled_from(["\\", "### Assistant:", "### User:", "### Role[", "</turn>", "\n", "x", "### ", "</tur", "n>", '"', "]:", " "]), max_size=12).map("".join)
 
@@ -62,3 +64,17 @@ def test_odd_rows(spark):
     assert set(got) == {1, 2, 3, None, -7} and got[1].n_turns == 3 and got[1].turns_sha256 == digest([(None, None), ("assistant", ""), ("assistant", "tie")])
     assert got[2].n_turns == 2 and got[3].loss_chars == 300_000
     assert [r.conv_id for r in chat.format_digest(df.limit(0)).collect()] == [-7]
+
+
+def test_query_against_sql(spark):
+    con = duckdb.connect()
+    for t in ("documents", "conversations"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('/root/testdata/sf0.001/{t}.parquet')")
+    want = con.sql(ORACLES["op7_chat_format"])
+    names = want.columns
+    assert sorted(map(tuple, op7_chat_format(spark, "/root/testdata/sf0.001").select(*names).collect())) == sorted(want.fetchall())
+
+
+def test_a_conversation_with_the_probes_number(spark):
+    rows = spark.createDataFrame([(-7, 0, "user", "hello")], "conv_id long, turn long, role string, text string")
+    assert sorted(r.n_turns for r in chat.format_digest(rows).where("conv_id = -7").collect()) == [1, 2]

@@ -1,6 +1,9 @@
 import zlib
 
+import duckdb
+
 from medloom.llm import sharding
+from medloom.llm.queries import ORACLES, op9_sharding
 
 
 def brute(rows, shards):
@@ -34,3 +37,12 @@ def test_hot_id_is_spread(spark):
     docs = spark.range(4000).selectExpr("IF(id < 2000, 7, id) AS doc_id", "'abc' AS text")
     got = sharding.shard_by_bytes(docs, 8).groupBy("shard").count().collect()
     assert {r["count"] for r in got} == {500}
+
+
+def test_query_against_sql(spark):
+    con = duckdb.connect()
+    for t in ("documents", "conversations"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('/root/testdata/sf0.001/{t}.parquet')")
+    want = con.sql(ORACLES["op9_sharding"])
+    names = want.columns
+    assert sorted(map(tuple, op9_sharding(spark, "/root/testdata/sf0.001").select(*names).collect())) == sorted(want.fetchall())
