@@ -6,15 +6,20 @@ conversations and documents the notes, events.props the extracted records.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medloom.functions.dates import years_between
+from medloom.functions.dates import parse_text, years_between
 from medloom.ontology import sites
 from medloom.operators import cohort, deid, extraction, harmonize, metadata, notes, privacy, relational, reward, warehouse
-from medloom.plans.service import guarded_frame
+from medloom.plans.service import QueryService, guarded_frame
+from medloom.plans.sqlguard import validate
+from medloom.session import settled
 from medloom.streaming import state
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -89,12 +94,29 @@ def date_deid(spark, sf_dir):
     return out.withColumn("o_orderdate_years_since_birth", F.round("o_orderdate_years_since_birth", 8))
 
 
-@register("""SELECT 'when_text' AS column_name UNION ALL SELECT 'ts' UNION ALL SELECT 'mostly_date'""")
+@register("""WITH e AS (SELECT ts::DATE AS d, strftime(ts, '%Y-%m-%d') AS when_text, CASE WHEN event_id % 3 <> 0 THEN strftime(ts, '%m/%d/%Y') ELSE 'x' END AS mostly_date,
+        CASE WHEN event_id % 3 = 0 THEN strftime(ts, '%m/%d/%Y') ELSE 'x' END AS seldom_date, event_type, CAST(value AS VARCHAR) AS dose FROM events),
+    s AS (SELECT 'ts' AS column_name, 1.0 AS share FROM (SELECT count(d) AS n FROM e) WHERE n > 0
+        UNION ALL SELECT 'event_type', avg(CASE WHEN try_strptime(event_type, ['%Y-%m-%d', '%m/%d/%Y']) IS NULL THEN 0 ELSE 1 END) FROM e
+        UNION ALL SELECT 'when_text', avg(CASE WHEN try_strptime(when_text, ['%Y-%m-%d', '%m/%d/%Y']) IS NULL THEN 0 ELSE 1 END) FROM e
+        UNION ALL SELECT 'mostly_date', avg(CASE WHEN try_strptime(mostly_date, ['%Y-%m-%d', '%m/%d/%Y']) IS NULL THEN 0 ELSE 1 END) FROM e
+        UNION ALL SELECT 'seldom_date', avg(CASE WHEN try_strptime(seldom_date, ['%Y-%m-%d', '%m/%d/%Y']) IS NULL THEN 0 ELSE 1 END) FROM e
+        UNION ALL SELECT 'dose', avg(CASE WHEN try_strptime(dose, ['%Y-%m-%d', '%m/%d/%Y']) IS NULL THEN 0 ELSE 1 END) FROM e)
+    SELECT column_name FROM s WHERE share > 0.5""")
 def date_column_detect(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").select("ts", "event_type", F.date_format("ts", "yyyy-MM-dd").alias("when_text"), F.when(F.col("event_id") % 3 != 0, F.date_format("ts", "MM/dd/yyyy")).otherwise("x").alias("mostly_date"), F.col("value").cast("string").alias("dose"))
+    day = F.date_format("ts", "MM/dd/yyyy")
+    rows = table(spark, sf_dir, "events").select("ts", "event_type", F.date_format("ts", "yyyy-MM-dd").alias("when_text"), F.when(F.col("event_id") % 3 != 0, day).otherwise("x").alias("mostly_date"), F.when(F.col("event_id") % 3 == 0, day).otherwise("x").alias("seldom_date"), F.col("value").cast("string").alias("dose"))
     return spark.createDataFrame([(c,) for c in deid.date_columns(rows)], "column_name string")
 
 
+@register("""SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 6 THEN NULL ELSE strftime(CASE o_orderkey % 7 WHEN 5 THEN date_trunc('month', o_orderdate) ELSE o_orderdate END, '%Y-%m-%d') END AS day FROM orders""")
+def dates_of_many_formats(spark, sf_dir):
+    when = F.col("o_orderdate")
+    texts = [F.date_format(when, f) for f in ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "MM/dd/yyyy", "yyyyMMdd", "yyyy-MM")] + [F.lit("2020-13-45")]
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.element_at(F.array(*texts), (F.col("o_orderkey") % 7 + 1).cast("int")).alias("text"))
+    return rows.select("o_orderkey", F.date_format(parse_text(F.col("text")), "yyyy-MM-dd").alias("day"))
+
+
 @register("""SELECT conv_id, string_agg('--- ' || role || ' | ' || printf('%06d', turn) || ' ---' || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS notes
     FROM conversations WHERE length(text) >= 10 GROUP BY conv_id""")
 def notes_concat(spark, sf_dir):
@@ -125,6 +147,23 @@ def chunk_counts(spark, sf_dir):
     return notes.chunk_counts(notes.chunk_notes(texts, 100, 10))
 
 
+@register(r"""WITH t AS (SELECT doc_id, regexp_extract_all(text || CASE WHEN doc_id % 2 = 0 THEN repeat(' more words here', 40) ELSE '' END, '\s*\S+|\s+$') AS w FROM documents),
+    c AS (SELECT doc_id, w, unnest(range(0, CASE WHEN len(w) <= 100 THEN 1 ELSE 1 + ceil((len(w) - 100) / 90.0)::BIGINT END)) AS k FROM t WHERE len(w) > 0)
+    SELECT CAST(doc_id AS VARCHAR) AS patient_id, k::INTEGER AS chunk_index, CASE WHEN len(w) <= 100 THEN 1 ELSE 1 + ceil((len(w) - 100) / 90.0) END::INTEGER AS total_chunks,
+           array_to_string(w[90 * k + 1 : 90 * k + 100], '') AS chunk_text FROM c""")
+def chunk_texts(spark, sf_dir):
+    more = F.when(F.col("doc_id") % 2 == 0, F.repeat(F.lit(" more words here"), 40)).otherwise("")
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("patient_id"), F.concat("text", more).alias("notes"))
+    return notes.chunk_notes(texts, 100, 10)
+
+
+@register("""WITH t AS (SELECT conv_id, string_agg('--- ' || role || ' |  ---' || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS notes FROM conversations WHERE length(text) >= 10 GROUP BY conv_id)
+    SELECT CAST(conv_id AS VARCHAR) AS patient_id, 0 AS chunk_index, 1 AS total_chunks, notes AS chunk_text FROM t""")
+def chunks_without_tokenizer(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "text", F.col("role").alias("note_type"), F.col("turn").alias("row_no"))
+    return notes.chunk_notes(notes.concatenate(rows, "conv_id").withColumnRenamed("conv_id", "patient_id"), tokenizer=None)
+
+
 @register("SELECT l_orderkey, l_linenumber, CASE l_returnflag WHEN 'R' THEN 'returned' WHEN 'A' THEN 'accepted' ELSE l_returnflag END AS flag FROM lineitem")
 def value_map(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem")
@@ -146,7 +185,7 @@ def non_missing_counts(spark, sf_dir):
     return deid.non_missing_counts(rows)
 
 
-@register("""SELECT c_custkey AS id, c_name AS name, CAST(c_acctbal AS VARCHAR) AS balance, c_mktsegment AS segment FROM (SELECT * FROM customer WHERE c_custkey <= 100) t
+@register("""SELECT c_custkey AS id, c_name AS name, CAST(c_acctbal AS VARCHAR) AS balance, c_mktsegment AS segment FROM customer
     UNION ALL SELECT s_suppkey, s_name, CAST('x' AS VARCHAR), NULL FROM supplier""")
 def table_union_aligned(spark, sf_dir):
     a = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment"))
@@ -156,12 +195,9 @@ def table_union_aligned(spark, sf_dir):
 
 @register("SELECT event_type AS category, count(*) AS n FROM events WHERE event_type IS NOT NULL GROUP BY 1")
 def category_split(spark, sf_dir):
-    parts = warehouse.split_categories(table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("category")))
-    out = None
-    for name, rows in parts.items():
-        one = rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("category"), "n")
-        out = one if out is None else out.union(one)
-    return out
+    stored = settled(table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("category")), by="category")
+    parts = [rows.agg(F.count("event_id").alias("n")).select(F.lit(name).alias("category"), "n") for name, rows in warehouse.split_categories(stored).items()]
+    return reduce(DataFrame.union, parts)
 
 
 @register("""SELECT column_name, value, n, CASE WHEN n < 10 THEN '<10' ELSE CAST(n AS VARCHAR) END AS shown FROM (
@@ -325,7 +361,7 @@ def window_counts(spark, sf_dir):
     return rows.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-@register("SELECT count(DISTINCT o_custkey) AS exact, true AS close FROM orders")
+@register("SELECT count(DISTINCT o_custkey) AS exact, abs(approx_count_distinct(o_custkey) / count(DISTINCT o_custkey) - 1) < 0.25 AS close FROM orders")
 def approx_distinct(spark, sf_dir):
     return table(spark, sf_dir, "orders").agg(F.countDistinct("o_custkey").alias("exact"), (F.abs(F.approx_count_distinct("o_custkey", 0.02) / F.countDistinct("o_custkey") - 1) < 0.1).alias("close"))
 
@@ -361,11 +397,10 @@ SURFACE = {
     "join_theta": "SELECT r1.r_name AS a, r2.r_name AS b FROM region r1 JOIN region r2 ON r1.r_regionkey < r2.r_regionkey",
     "set_union": "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier",
     "set_intersect": "SELECT c_nationkey AS k FROM customer WHERE c_acctbal > 9000 INTERSECT SELECT s_nationkey FROM supplier",
-    "set_except": "SELECT n_nationkey AS k FROM nation EXCEPT SELECT c_nationkey FROM customer WHERE c_acctbal > 9500",
+    "set_except": "SELECT n_nationkey AS k FROM nation EXCEPT SELECT c_nationkey FROM customer WHERE c_acctbal > 9990",
     "correlated_subquery": "SELECT o_orderkey FROM orders o WHERE o_totalprice > (SELECT 1.9 * avg(o_totalprice) FROM orders i WHERE i.o_custkey = o.o_custkey)",
     "cte_top_n": "WITH t AS (SELECT l_suppkey, CAST(sum(l_quantity) AS DOUBLE) AS qty FROM lineitem GROUP BY l_suppkey) SELECT l_suppkey, qty FROM t ORDER BY qty DESC, l_suppkey LIMIT 15",
     "ordered_string_agg": "SELECT o_custkey, string_agg(o_orderpriority, ';' ORDER BY o_orderkey) AS all_priorities FROM orders GROUP BY o_custkey",
-    "max_row_cap": "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey ORDER BY n DESC, o_custkey LIMIT 501",
 }
 #: Where the other engine spells a statement differently.
 _SPARK = {"ordered_string_agg": "SELECT o_custkey, listagg(o_orderpriority, ';') WITHIN GROUP (ORDER BY o_orderkey) AS all_priorities FROM orders GROUP BY o_custkey"}
@@ -398,6 +433,98 @@ def dialect_rewrite(spark, sf_dir):
     return guarded_frame(spark, DIALECT, views)[0]
 
 
+def _guarded(sql: str, least: int = 200, strict: bool = False) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        views = {n: table(spark, sf_dir, n) for n in ("orders", "customer")}
+        warehouse.register(spark, views)
+        return guarded_frame(spark, sql, views, least, ("c_custkey", "o_custkey"), strict=strict)[0]
+
+    return run
+
+
+#: Counts under names that do not tell, each shown as ``<k`` below k, in the plain and in the strict mode.
+HIDDEN_COUNTS = {
+    "guard_count_in_with": "WITH c AS (SELECT o_orderstatus, o_orderpriority, COUNT(*) AS k FROM orders GROUP BY o_orderstatus, o_orderpriority) SELECT o_orderstatus, o_orderpriority, k AS patients FROM c",
+    "guard_sum_of_ones": "SELECT o_orderstatus, o_orderpriority, SUM(1) AS patients FROM orders GROUP BY o_orderstatus, o_orderpriority",
+    "guard_list_size": "SELECT o_orderstatus, o_orderpriority, SIZE(COLLECT_LIST(1)) AS patients FROM orders GROUP BY o_orderstatus, o_orderpriority",
+    "guard_sum_of_cases": "SELECT o_orderstatus, o_orderpriority, SUM(CASE WHEN o_totalprice > 0 THEN 1 ELSE 0 END) AS patients FROM orders GROUP BY o_orderstatus, o_orderpriority",
+}
+for _name, _sql in HIDDEN_COUNTS.items():
+    for _strict in (False, True):
+        QUERIES[_name + "_strict" * _strict] = _guarded(_sql, 200, _strict)
+        ORACLES[_name + "_strict" * _strict] = "SELECT o_orderstatus, o_orderpriority, CASE WHEN count(*) < 200 THEN '<200' ELSE CAST(count(*) AS VARCHAR) END AS patients FROM orders GROUP BY 1, 2"
+
+#: Statements with what the guard says of them.
+VERDICTS = [
+    ("SELECT c_mktsegment, COUNT(*) AS n FROM customer GROUP BY c_mktsegment", True),
+    ("WITH s AS (SELECT c_mktsegment AS m FROM customer) SELECT m, COUNT(*) AS n FROM s GROUP BY m", True),
+    ("SELECT COUNT(DISTINCT c_custkey) AS n FROM customer", True),
+    ("SELECT c_mktsegment, COUNT(*) AS n FROM customer GROUP BY 1 UNION ALL SELECT o_orderstatus, COUNT(*) FROM orders GROUP BY 1", True),
+    ("", False), ("SELECT 1; SELECT 2", False), ("SELEC 1", False), ("DROP TABLE customer", False), ("EXPLAIN SELECT COUNT(*) FROM customer", False),
+    ("SELECT * FROM customer", False), ("SELECT c_custkey, COUNT(*) AS n FROM customer GROUP BY c_custkey", False), ("SELECT c_mktsegment FROM customer", False),
+    ("SELECT COUNT(*) AS n FROM nowhere", False), ("SELECT COUNT(*) AS n FROM parquet.`/tmp/x`", False), ("SELECT COUNT(*) AS n FROM customer WHERE c_custkey IN (SELECT x FROM secret)", False),
+    ("SELECT input_file_name() AS f, COUNT(*) AS n FROM customer GROUP BY 1", False), ("SELECT upper(c_custkey) AS k, COUNT(*) AS n FROM customer GROUP BY 1", False),
+]
+
+
+@register("SELECT * FROM (VALUES " + ", ".join(f"({k}, {str(ok).lower()})" for k, (_, ok) in enumerate(VERDICTS)) + ") AS v(no, allowed)")
+def guard_verdicts(spark, sf_dir):
+    views = {n: table(spark, sf_dir, n) for n in ("orders", "customer")}
+    warehouse.register(spark, views)
+    return spark.createDataFrame([(k, validate(spark, sql, views, ("c_custkey", "o_custkey")).valid) for k, (sql, _) in enumerate(VERDICTS)], "no int, allowed boolean")
+
+
+@register("""WITH g AS (SELECT count(*) AS n FROM (SELECT o_custkey FROM orders GROUP BY o_custkey))
+    SELECT 'customers' AS asked, n <= 500 AS answered, CASE WHEN n <= 500 THEN n ELSE 0 END AS rows FROM g
+    UNION ALL SELECT 'first 500', true, least(n, 500) FROM g""")
+def max_row_cap(spark, sf_dir):
+    service = QueryService(spark, {"orders": table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "person")}, max_rows=500)
+    sql = "SELECT person, COUNT(*) AS n FROM orders GROUP BY person"
+    found = [(asked, service.execute(text)) for asked, text in (("customers", sql), ("first 500", f"{sql} ORDER BY person LIMIT 500"))]
+    return spark.createDataFrame([(asked, "error" not in answer, answer.get("n_rows", 0)) for asked, answer in found], "asked string, answered boolean, rows long")
+
+
+@register("""SELECT event_id, json_extract_string(props, '$.k') AS k, 2 AS entries FROM events""")
+def json_answers(spark, sf_dir):
+    """Answers of a model in prose and fences, as the list they hold."""
+    prose = F.concat(F.lit('So [1]: '), F.lit('```json\n[{"event": '), F.col("props"), F.lit('}, {"other": {}}]\n``` done [x'))
+    rows = table(spark, sf_dir, "events").select("event_id", prose.alias("answer"))
+
+    @F.pandas_udf("string")
+    def parsed(answers: pd.Series) -> pd.Series:
+        return answers.map(lambda a: json.dumps(extraction.parse_json_list(a)))
+
+    found = rows.select("event_id", parsed("answer").alias("found"))
+    return found.select("event_id", F.get_json_object("found", "$[0].event.k").alias("k"), F.json_array_length("found").alias("entries"))
+
+
+@register("""WITH x AS (SELECT user_id AS p, count(DISTINCT event_type) AS n FROM events GROUP BY 1)
+    SELECT CAST(p AS VARCHAR) AS patient_id, 1.0::DOUBLE AS precision, 1.0::DOUBLE AS recall, 1.0::DOUBLE AS f1 FROM x""")
+def field_f1_contained(spark, sf_dir):
+    """Values that contain the reference's, both longer than three characters, count in full."""
+    long = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("patient_id"), F.lit("event").alias("category"), F.lit("kind").alias("field"), F.col("event_type").alias("value"))
+    return reward.field_f1(long.withColumn("value", F.concat(F.lit("a certain "), "value", F.lit(" of it"))), long)
+
+
+@register("""SELECT 'chunk' AS part, json_extract_string(props, '$.k') AS k, count(*) AS n FROM events WHERE event_type IN ('click', 'view') GROUP BY 2""")
+def table_gate(spark, sf_dir):
+    """Only approved categories become tables."""
+    house = warehouse.Warehouse(None, None, approved=["click", "view"], min_non_missing=0, deidentify_dates=False)
+    for name, rows in warehouse.split_categories(table(spark, sf_dir, "events").select(F.get_json_object("props", "$.k").alias("k"), F.col("event_type").alias("category"))).items():
+        house.add(name, rows, "structured_data")
+    empty = spark.createDataFrame([], "k string, data_source string")
+    every = reduce(warehouse.union_aligned, house.tables.values(), empty)
+    return every.groupBy("k").agg(F.count(F.lit(1)).alias("n")).select(F.lit("chunk").alias("part"), "k", "n")
+
+
+@register("""SELECT column_name FROM (VALUES ('residual', 'p_name'), ('p_brand', 'p_brand')) AS v(column_name, c) WHERE column_name NOT LIKE '%id%'""")
+def dashboard_names(spark, sf_dir):
+    """Dashboards leave out names with id, date and the like anywhere in them."""
+    rows = table(spark, sf_dir, "part").select(F.col("p_name").alias("residual"), "p_brand", F.lit("x").alias("visit_date"), F.lit("y").alias("data_source"))
+    shown = metadata.dashboard({"part": rows})["table_summaries"]["part"]["categorical"]
+    return spark.createDataFrame([(x["column"],) for x in shown], "column_name string")
+
+
 @register("""WITH d AS (SELECT DISTINCT o_custkey FROM orders WHERE regexp_matches(o_orderpriority, '1-URGENT')),
     i AS (SELECT CAST(o_custkey AS VARCHAR) AS pid, printf('patient_%06d', row_number() OVER (ORDER BY CAST(o_custkey AS VARCHAR))) AS record_id FROM d)
     SELECT record_id, c_mktsegment AS sex, round((epoch_us(TIMESTAMP '2025-07-01') - epoch_us(TIMESTAMP '1960-01-01')) / 86400000000.0::DOUBLE / 365.25::DOUBLE, 6) AS birth_to_last_followup_or_death_years
@@ -417,7 +544,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = cohort.sequential_ids(customer.join(hits, "c_custkey", "left_semi").select(F.col("c_custkey").alias("patient_id")), "patient_id", "patient")
     births = orders.groupBy(F.col("o_custkey").cast("string").alias("patient_id")).agg(F.min("o_orderdate").alias("birth_date")).join(ids, "patient_id").select("record_id", "birth_date")
     rows = deid.replace_ids(orders.select(F.col("o_custkey").alias("record_id"), "o_orderstatus", "o_orderpriority", "o_orderdate"), ids).where("record_id IS NOT NULL")
-    warehouse.register(spark, {"orders_deid": deid.shift_dates(rows, births)})
+    warehouse.register(spark, {"orders_deid": deid.shift_dates(rows, births, columns=["o_orderdate"])})
     return guarded_frame(spark, "SELECT o_orderstatus, o_orderdate_calendar_year, COUNT(*) AS n, COUNT(DISTINCT record_id) AS patients FROM orders_deid GROUP BY o_orderstatus, o_orderdate_calendar_year", ["orders_deid"])[0]
 
 
