@@ -1,11 +1,13 @@
 """Ontologies as data: categories with their fields, templates, validation, proposed tables.
 
-The built-in catalogue names the principal fields of each category; a project adds its own with
-``load_catalog`` (YAML of the same shape).  Types follow from names.
+The built-in catalogue names the principal fields of each category, with types that follow from names;
+a project adds its own with ``load_catalog`` (YAML of the same shape), or whole standards with types,
+values and repeatability from folders of JSON documents (``load_folder``).
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
 from pathlib import Path
@@ -16,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from medloom.functions.names import table_name
 from medloom.operators.extraction import SUMMARY, validate_extraction
+from medloom.sources import files
 
 # Names of public data standards.
 _CATALOG = """
@@ -126,6 +129,10 @@ def data_type(name: str) -> str:
 class Item:
     id: str
     type: str = "string"
+    description: str = ""
+    repeatable: bool = False
+    required: bool = False
+    values: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)
@@ -155,7 +162,7 @@ class Ontology:
         return {c.id: {i.id: None for i in c.items} for c in self.site_categories(cancer_type)}
 
     def prompt(self, cancer_type: str = "generic") -> str:
-        return "\n".join(f"{c.id}: " + ", ".join(f"{i.id} ({i.type})" for i in c.items) for c in self.categories(cancer_type))
+        return "\n".join(f"{c.id}: " + ", ".join(_told(i) for i in c.items) for c in self.categories(cancer_type))
 
     def validate(self, entries: Any, cancer_type: str = "generic") -> list[str]:
         if self.id == SUMMARY:
@@ -163,6 +170,51 @@ class Ontology:
         return validate_extraction(entries, [c.id for c in self.categories(cancer_type)])
 
 
+def _told(item: Item) -> str:
+    """A field as a prompt names it."""
+    marks = [item.type, *(["repeatable"] if item.repeatable else []), *(["one of " + " / ".join(item.values)] if item.values else [])]
+    return f"{item.id} ({'; '.join(marks)})" + (f": {item.description}" if item.description else "")
+
+
+def _item(raw: Mapping[str, Any]) -> Item:
+    """A field from a document that describes it; an object's own fields are told in its description."""
+    name = raw.get("json_field") or raw.get("id") or f"item_{raw.get('naaccr_item')}"
+    values = raw.get("valid_values") or ()
+    parts = [raw.get("description") or raw.get("name") or ""]
+    if raw.get("valid_codes"):
+        parts.append(f"codes: {raw['valid_codes']}")
+    if raw.get("sub_items"):
+        parts.append("with " + ", ".join(x["id"] for x in raw["sub_items"]))
+    return Item(name, raw.get("data_type") or data_type(name), "; ".join(x for x in parts if x), bool(raw.get("repeatable")), bool(raw.get("required")), tuple(map(str, values)))
+
+
+def read_folder(spark: SparkSession, folder: str, name: str, version: str = "", site_folders: Iterable[str] = ("site_specific",)) -> Ontology:
+    """An ontology from a folder of JSON documents, one for each category, in subfolders.
+
+    Documents under one of ``site_folders`` belong to the cancer type they are named by; all others are
+    of every patient, or of every diagnosis if they say so.  This is how a project brings the full
+    field lists of a standard, of which the built-in catalogue names the principal ones.
+    """
+    base, every, site = [], [], {}
+    sites = set(site_folders)
+    for sub in files.listed(spark, folder):
+        for path in files.listed(spark, sub) if files.is_folder(spark, sub) else []:
+            if not path.endswith(".json"):
+                continue
+            raw = json.loads(files.read_text(spark, path))
+            stem, special = files.stem_of(path), files.name_of(sub) in sites
+            category = raw.get("category") or raw.get("category_id") or (f"site_specific_{stem}" if special else stem)
+            found = Category(category, tuple(_item(x) for x in raw.get("items") or ()), special or bool(raw.get("per_diagnosis")))
+            if special:
+                site.setdefault(raw.get("schema_id") or stem, []).append(found)
+            elif found.per_diagnosis:
+                every.append(found)
+            else:
+                base.append(found)
+    site.setdefault("generic", [])
+    return Ontology(name, version, base, {k: every + own for k, own in site.items()})
+
+
 def _categories(raw: Mapping[str, str] | None, per_diagnosis: bool) -> list[Category]:
     return [Category(k, tuple(Item(n, data_type(n)) for n in v.split()), per_diagnosis) for k, v in (raw or {}).items()]
 
@@ -194,6 +246,9 @@ class Registry:
     def clear(self) -> None:
         self._known.clear()
 
+    def load_folder(self, spark: SparkSession, folder: str, name: str, version: str = "") -> None:
+        self.register(read_folder(spark, folder, name, version))
+
     def load_catalog(self, path: str) -> None:
         self._known |= parse_catalog(Path(path).read_text())
 
@@ -213,9 +268,9 @@ def combined_prompt(ontologies: Iterable[Ontology], cancer_type: str = "generic"
 
 
 def items_frame(spark: SparkSession, ontologies: Iterable[Ontology]) -> DataFrame:
-    """(ontology, cancer_type, category, item_id, data_type, per_diagnosis)."""
-    rows = [(o.id, s, c.id, i.id, i.type, c.per_diagnosis) for o in ontologies for s, cs in [("", o.base), *o.site.items()] for c in cs for i in c.items]
-    return spark.createDataFrame(rows, "ontology string, cancer_type string, category string, item_id string, data_type string, per_diagnosis boolean")
+    """(ontology, cancer_type, category, item_id, data_type, per_diagnosis, repeatable, required)."""
+    rows = [(o.id, s, c.id, i.id, i.type, c.per_diagnosis, i.repeatable, i.required) for o in ontologies for s, cs in [("", o.base), *o.site.items()] for c in cs for i in c.items]
+    return spark.createDataFrame(rows, "ontology string, cancer_type string, category string, item_id string, data_type string, per_diagnosis boolean, repeatable boolean, required boolean")
 
 
 def propose_tables(ontologies: Iterable[Ontology], cancer_type: str, field_mappings: Mapping[str, Any], harmonized: Iterable[str] = (), cohort_columns: Iterable[str] | None = None) -> dict[str, dict[str, list[str]]]:

@@ -425,3 +425,19 @@ def test_free_text_is_not_listed(spark):
     text = metadata.summary_document({"t": rows})
     assert "note note" not in text and "- a: 12" in text
     assert [x["column"] for x in metadata.dashboard({"t": rows})["table_summaries"]["t"]["categorical"]] == ["kind"]
+
+
+def test_ontology_from_a_folder(spark, tmp_path):
+    for sub, name, doc in (
+        ("base", "person", {"category": "person", "items": [{"id": "sex", "description": "As recorded", "data_type": "string", "valid_values": {"F": "female", "M": "male"}, "required": True}]}),
+        ("base", "tumor", {"category_id": "tumor", "per_diagnosis": True, "items": [{"json_field": "sites", "repeatable": True, "sub_items": [{"id": "side"}]}]}),
+        ("site_specific", "lung", {"schema_id": "lung", "items": [{"naaccr_item": "7", "name": "Grade", "valid_codes": "1=low", "data_type": "date"}]}),
+    ):
+        (tmp_path / sub).mkdir(exist_ok=True)
+        (tmp_path / sub / f"{name}.json").write_text(json.dumps(doc))
+    reg = Registry({})
+    reg.load_folder(spark, str(tmp_path), "own", "1")
+    own = reg.get("own")
+    assert [c.id for c in own.categories("lung")] == ["person", "tumor", "site_specific_lung"] and [c.id for c in own.categories("x")] == ["person", "tumor"]
+    assert own.prompt("lung").splitlines() == ["person: sex (string; one of F / M): As recorded", "tumor: sites (string; repeatable): with side", "site_specific_lung: item_7 (date): Grade; codes: 1=low"]
+    assert items_frame(spark, reg.all()).where("repeatable").count() == 2 and items_frame(spark, reg.all()).where("required").count() == 1
