@@ -60,6 +60,8 @@ class ExtractionConfig:
     llm: ModelConfig = field(default_factory=ModelConfig)
     vllm_servers: ServerConfig = field(default_factory=ServerConfig)
     ontology_ids: list = field(default_factory=lambda: ["naaccr"])
+    #: Folders of JSON documents by the ontology's id; they add to the built-in catalogue or replace parts of it.
+    ontology_folders: dict = field(default_factory=dict)
     cancer_type: str = "generic"
     chunk_tokens: int = 40000
     overlap_tokens: int = 200

@@ -34,6 +34,8 @@ class Pipeline:
         self.spark, self.config, self.label_model = spark, config, label_model
         self.model = model or factory(config.extraction.llm, config.extraction.vllm_servers)
         self.registry = registry or Registry()
+        for name, folder in config.extraction.ontology_folders.items():
+            self.registry.load_folder(spark, folder, name)
         self.out = config.output_dir.rstrip("/") or "/"
 
     def run(self, stages: Sequence[str] = STAGES, resume: bool = True) -> None:

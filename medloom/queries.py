@@ -19,7 +19,7 @@ from medloom.ontology import sites
 from medloom.operators import cohort, deid, extraction, harmonize, metadata, notes, privacy, relational, reward, warehouse
 from medloom.plans.service import QueryService, guarded_frame
 from medloom.plans.sqlguard import validate
-from medloom.session import settled
+from medloom.session import settled, spread
 from medloom.streaming import state
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -143,7 +143,7 @@ def notes_union_sorted(spark, sf_dir):
 @register(r"""SELECT CAST(doc_id AS VARCHAR) AS patient_id, CAST(CASE WHEN n <= 100 THEN 1 ELSE 1 + ceil((n - 100) / 90.0) END AS INTEGER) AS n_chunks
     FROM (SELECT doc_id, len(regexp_extract_all(text, '\S+')) AS n FROM documents)""")
 def chunk_counts(spark, sf_dir):
-    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("patient_id"), F.col("text").alias("notes"))
+    texts = spread(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("patient_id"), F.col("text").alias("notes")))
     return notes.chunk_counts(notes.chunk_notes(texts, 100, 10))
 
 
@@ -248,7 +248,7 @@ def json_flat_props(spark, sf_dir):
     UNION ALL SELECT CAST(event_id AS VARCHAR), 3, 'empty', NULL, NULL FROM events)""")
 def json_flatten_nested(spark, sf_dir):
     entry = F.concat(F.lit('[7, {"'), F.col("event_type"), F.lit('": {"sites": ["C34", "C50"], "k": '), F.get_json_object("props", "$.k"), F.lit('}}, {"a": 1, "b": 2}, {"empty": {}}, {"scalar": 5}]'))
-    rows = table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("patient_id"), entry.alias("extraction"))
+    rows = spread(table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("patient_id"), entry.alias("extraction")))
     return extraction.flatten_long(rows).withColumn("entry_no", F.col("entry_no").cast("int"))
 
 

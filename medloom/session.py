@@ -39,6 +39,15 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL[0]
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows of a scan, dealt out evenly if it is read in fewer parts than there are cores.
+
+    Only small tables are: a large one has parts enough, and its rows stay where they are.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def settled(rows: DataFrame, by: str | None = None) -> DataFrame:
     """rows, written once into the shared folder and read back: fixed content, no lineage.
 
