@@ -32,7 +32,7 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 #: The same vocabulary, for the second library.
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Chunks of text whose ids a task remembers.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 #: A space between two visible ASCII characters begins a new pre-token whatever else the text holds.
 _CUT = re.compile(r"(?<=[!-~])(?= [!-~])")
 #: White space other than single blanks and line feeds between visible characters.

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from medloom.llm import bpe, chat, html_text, langid, maxscore, packing, quality, sharding, simhash, warc
 from medloom.llm.common import table
+from medloom.session import spread
 
 
 def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page.  Null or empty html, and pages without text, give an empty text; odd
     markup is skipped; repeated rows stay.  No SQL: it needs a parser and smoothing; tests compare with
     texts cut out by the pages' own structure, and the measures with numpy."""
-    return html_text.extract_pages(table(spark, sf_dir, "pages"))
+    return html_text.extract_pages(spread(table(spark, sf_dir, "pages")))
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,43 +26,44 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's measures and verdicts from the stored ledger.  Null texts have no words, so they
     fail; repeated rows have a row each."""
-    return quality.quality_report(table(spark, sf_dir, "documents")).drop("failed")
+    return quality.quality_report(spread(table(spark, sf_dir, "documents"))).drop("failed")
 
 
 def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each rule of two policy versions does, from one ledger of all documents."""
-    return quality.ablation(quality.ledger(table(spark, sf_dir, "documents")), "v1", "v2")
+    return quality.ablation(quality.ledger(spread(table(spark, sf_dir, "documents"))), "v1", "v2")
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces and their places.  Null texts are the end mark alone; repeated rows are
     packed each.  No SQL: it needs the tokenizer; tests unpack the sequences and compare ids and fill."""
-    return packing.pack(table(spark, sf_dir, "documents"))
+    return packing.pack(spread(table(spark, sf_dir, "documents")))
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's language.  Null texts and texts without letters are ``und``; a table without
     labels learns nothing, and all of it is ``und``.  No SQL: it is trained by gradient descent; tests
     train and predict again with plain loops, and measure held-out accuracy."""
-    return langid.identify(table(spark, sf_dir, "documents")).drop("rejected")
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(spread(docs), langid.fit(docs)).drop("rejected")
 
 
 def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best rows for every fiftieth vector.  Vectors that are null or hold null or non-finite
     numbers take no part, ties rank by id, equal query rows are one query."""
-    return maxscore.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+    return maxscore.top_k(spread(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 50 == 0)
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation and the probe, read back from the formatted text.  Null texts are empty, null
     roles have a header of their own; turns of one number are ordered by their rendered text."""
-    return chat.format_digest(table(spark, sf_dir, "conversations"))
+    return chat.format_digest(spread(table(spark, sf_dir, "conversations")))
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text encoded and decoded.  Null texts have no ids.  No SQL: it needs the merge list; tests
     compare with the tokenizers library on documents and random texts."""
-    return bpe.encode_digest(table(spark, sf_dir, "documents"))
+    return bpe.encode_digest(spread(table(spark, sf_dir, "documents")))
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +76,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint and component.  Null and blank texts have the fingerprint zero; repeated
     rows have a row each.  No SQL: the hash is not there; tests compare with all pairs."""
-    return simhash.near_duplicates(table(spark, sf_dir, "documents"), budget=3, shingle=3)
+    return simhash.near_duplicates(spread(table(spark, sf_dir, "documents")), budget=3, shingle=3)
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

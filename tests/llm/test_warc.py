@@ -1,7 +1,7 @@
-import time
-import re
 import hashlib
+import re
 import struct
+import time
 
 import duckdb
 import pytest
