@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from medloom.llm import langid, packing, quality, simhash
 from medloom.llm.common import remove, scratch, shared_root
+from medloom.session import spread
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +42,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    docs, before = spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), None
     for name, stage in STAGES:
         path = f"{shared_root(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
         with scratch(spark):  # a stage's own tables end with it, its input once its result is stored
