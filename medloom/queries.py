@@ -525,6 +525,76 @@ def dashboard_names(spark, sf_dir):
     return spark.createDataFrame([(x["column"],) for x in shown], "column_name string")
 
 
+@register("""SELECT date_diff('month', o_orderdate, TIMESTAMP '1996-03-15 12:00:00') AS months, date_diff('week', o_orderdate, TIMESTAMP '1996-03-15 12:00:00') AS weeks, CASE WHEN count(*) < 10 THEN '<10' ELSE CAST(count(*) AS VARCHAR) END AS n FROM orders GROUP BY 1, 2""")
+def dialect_date_diff(spark, sf_dir):
+    views = {"orders": table(spark, sf_dir, "orders")}
+    warehouse.register(spark, views)
+    return guarded_frame(spark, "SELECT date_diff('month', o_orderdate, TIMESTAMP '1996-03-15 12:00:00') AS months, date_diff('week', o_orderdate, TIMESTAMP '1996-03-15 12:00:00') AS weeks, COUNT(*) AS n FROM orders GROUP BY 1, 2", views)[0]
+
+
+@register("""SELECT o_orderstatus, round(entropy(o_orderpriority), 6) AS bits, round(kurtosis(o_totalprice) FILTER (WHERE o_totalprice > 1000), 5) AS kurt,
+    list_sum(map_values(histogram(o_orderpriority)))::BIGINT AS counted, list_max(map_values(histogram(o_orderpriority)))::BIGINT AS most FROM orders GROUP BY o_orderstatus""")
+def dialect_entropy(spark, sf_dir):
+    views = {"orders": table(spark, sf_dir, "orders")}
+    warehouse.register(spark, views)
+    rows = guarded_frame(spark, "SELECT o_orderstatus, round(entropy(o_orderpriority), 6) AS bits, round(kurtosis(o_totalprice) FILTER (WHERE o_totalprice > 1000), 5) AS kurt, histogram(o_orderpriority) AS counts FROM orders GROUP BY o_orderstatus", views, 0)[0]
+    return rows.select("o_orderstatus", "bits", "kurt", F.expr("aggregate(map_values(counts), 0L, (a, b) -> a + CAST(b AS BIGINT))").alias("counted"), F.expr("array_max(transform(map_values(counts), x -> CAST(x AS BIGINT)))").alias("most"))
+
+
+@register("""SELECT p_partkey, CASE WHEN site LIKE 'C34%' AND hist LIKE '804%' THEN 'sclc' WHEN site LIKE 'C34%' THEN 'nsclc' WHEN site LIKE 'C50%' THEN 'breast' WHEN site LIKE 'C20%' OR site LIKE 'C19%' THEN 'colorectal'
+      WHEN site LIKE 'C61%' THEN 'prostate' WHEN site LIKE 'C43%' THEN 'melanoma' ELSE 'generic' END AS omop,
+    CASE WHEN site LIKE 'C34%' AND hist LIKE '804%' THEN 'sclc' WHEN site LIKE 'C34%' THEN 'nsclc' WHEN site LIKE 'C50%' THEN 'breast' WHEN site LIKE 'C20%' OR site LIKE 'C19%' THEN 'colorectal'
+      WHEN site LIKE 'C61%' THEN 'prostate' WHEN site LIKE 'C44%' THEN 'melanoma' ELSE 'generic' END AS matchminer_ai,
+    CASE WHEN site LIKE 'C34%' THEN 'lung' WHEN site LIKE 'C45%' OR site LIKE 'C384%' THEN 'mesothelioma' WHEN site LIKE 'C37%' THEN 'thymus' ELSE 'generic' END AS pan_top
+    FROM (SELECT p_partkey, CASE p_size % 8 WHEN 0 THEN 'C341' WHEN 1 THEN 'C509' WHEN 2 THEN 'C199' WHEN 3 THEN 'C619' WHEN 4 THEN 'C445' WHEN 5 THEN 'C432' WHEN 6 THEN 'C384' ELSE 'C37' END AS site,
+          CASE p_size % 3 WHEN 0 THEN '8041' ELSE '8140' END AS hist FROM part)""")
+def site_lookup_more(spark, sf_dir):
+    codes = F.array(*[F.lit(x) for x in ("c34.1", "C50.9", "C19.9", "C61.9", "C44.5", "C43.2", "C38.4", "C37")])
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.element_at(codes, F.col("p_size") % 8 + 1).alias("raw"), F.when(F.col("p_size") % 3 == 0, "8041/3").otherwise("8140").alias("hist"))
+    return rows.select("p_partkey", *[sites.detect(o, F.col("raw"), F.col("hist"), F.lit(2020)).alias(o) for o in ("omop", "matchminer_ai", "pan_top")])
+
+
+@register("""WITH c AS (SELECT 'sex' AS part, c_mktsegment AS label, count(*) AS n FROM customer GROUP BY 2 UNION ALL SELECT 'race', CAST(c_nationkey AS VARCHAR), count(*) FROM customer GROUP BY 2),
+    r AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY n DESC, label) AS rank FROM c)
+    SELECT part, label, CASE WHEN n >= 10 THEN n END AS n, n < 10 AS suppressed FROM r WHERE rank <= 15""")
+def dashboard_demographics(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("sex"), F.col("c_nationkey").cast("string").alias("race"))
+    found = metadata.dashboard({"cohort": rows})["demographics"]
+    return spark.createDataFrame([(part, x["label"], x["n"], x["suppressed"]) for part, values in found.items() for x in values], "part string, label string, n long, suppressed boolean")
+
+
+@register("""WITH t AS (SELECT conv_id, string_agg('--- ' || role || ' |  ---' || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS notes FROM conversations WHERE length(text) >= 10 GROUP BY conv_id)
+    SELECT CAST(conv_id AS VARCHAR) AS patient_id, 'Extract.' || chr(10) || chr(10) || 'Notes:' || chr(10) || array_to_string((regexp_extract_all(notes, '\\s*\\S+|\\s+$'))[1:20], '') AS prompt, '[]' AS label FROM t WHERE conv_id % 3 <> 0""")
+def training_prompts(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("patient_id"), "conv_id", "text", F.col("role").alias("note_type"), F.col("turn").alias("row_no"))
+    labels = rows.where("conv_id % 3 <> 0").select("patient_id", F.lit("[]").alias("extraction")).distinct()
+    return reward.training_examples(rows, labels, "Extract.", max_prompt_tokens=20)
+
+
+#: Joins of every kind inside a guarded statement.
+GUARDED_JOINS = {
+    "inner": "SELECT c_mktsegment, COUNT(*) AS n FROM customer JOIN orders ON c_key = o_key GROUP BY c_mktsegment",
+    "left": "SELECT c_mktsegment, COUNT(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_key = o_key AND o_totalprice > 250000 GROUP BY c_mktsegment",
+    "right": "SELECT c_mktsegment, COUNT(o_orderkey) AS n FROM orders RIGHT JOIN customer ON c_key = o_key AND o_orderstatus = 'P' GROUP BY c_mktsegment",
+    "full": "SELECT c_mktsegment, COUNT(*) AS n FROM customer FULL JOIN (SELECT * FROM orders WHERE o_totalprice > 200000) AS big ON c_key = big.o_key GROUP BY c_mktsegment",
+    "cross": "SELECT c_mktsegment, COUNT(*) AS n FROM (SELECT DISTINCT c_mktsegment FROM customer) AS a CROSS JOIN (SELECT DISTINCT o_orderstatus FROM orders) AS b GROUP BY c_mktsegment",
+}
+
+
+def _guarded_join(sql: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        views = {"customer": table(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "c_key"), "orders": table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "o_key")}
+        warehouse.register(spark, views)
+        return guarded_frame(spark, sql, views, 10)[0]
+
+    return run
+
+
+for _name, _sql in GUARDED_JOINS.items():
+    QUERIES[f"guard_join_{_name}"] = _guarded_join(_sql)
+    ORACLES[f"guard_join_{_name}"] = f"SELECT c_mktsegment, CASE WHEN n < 10 THEN '<10' ELSE CAST(n AS VARCHAR) END AS n FROM ({_sql.replace('c_key', 'c_custkey').replace('big.o_key', 'big.o_custkey').replace('o_key', 'o_custkey')}) AS t"
+
+
 @register("""WITH d AS (SELECT DISTINCT o_custkey FROM orders WHERE regexp_matches(o_orderpriority, '1-URGENT')),
     i AS (SELECT CAST(o_custkey AS VARCHAR) AS pid, printf('patient_%06d', row_number() OVER (ORDER BY CAST(o_custkey AS VARCHAR))) AS record_id FROM d)
     SELECT record_id, c_mktsegment AS sex, round((epoch_us(TIMESTAMP '2025-07-01') - epoch_us(TIMESTAMP '1960-01-01')) / 86400000000.0::DOUBLE / 365.25::DOUBLE, 6) AS birth_to_last_followup_or_death_years
