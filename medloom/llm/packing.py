@@ -64,8 +64,11 @@ class ChunkTokenizer:
 
             with open(ranks, "rb") as file:
                 table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-            core = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})._core_bpe
-            self.quick, self.piece = core.encode_ordinary, core.encode_single_piece
+            encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+            # its core skips checks of the public call; a version without it only costs time
+            core = getattr(encoding, "_core_bpe", encoding)
+            self.quick = core.encode_ordinary
+            self.piece = getattr(core, "encode_single_piece", None) or (lambda raw: encoding.encode_ordinary(raw.decode()))
 
     def _slow(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()

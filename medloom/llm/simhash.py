@@ -40,8 +40,9 @@ BROADCAST_ROWS = 1_000_000
 #: Shingles that a sampled fingerprint is made of.
 SAMPLE = 4
 #: Texts of a candidate group that are compared in one place; a larger group is cut into chunks of about
-#: so many (at most ``CHUNKS``), and every pair of chunks is compared in a place of its own.
-GROUP, CHUNKS = 300, 32
+#: so many, from ``CHUNKS`` chunks on of up to ``MOST``, and every pair of chunks is compared in a place of
+#: its own.  So a place stays bounded; the number of places grows with the square of a group's different texts.
+GROUP, CHUNKS, MOST = 300, 32, 4000
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> bytes:
@@ -355,7 +356,7 @@ def verified_roots(candidates: DataFrame, texts: DataFrame, similarity: float =
     ``candidates`` is a written table of (node, guess, rid), ``texts`` holds (rid, text).  Only nodes of
     one guess are compared, all of them with each other.
     """
-    sizes = candidates.groupBy("guess").agg(F.least(F.lit(CHUNKS), F.ceil(F.count(F.lit(1)) / GROUP)).cast("int").alias("chunks"))
+    sizes = candidates.groupBy("guess").agg(F.greatest(F.least(F.lit(CHUNKS), F.ceil(F.count(F.lit(1)) / GROUP)), F.ceil(F.count(F.lit(1)) / MOST)).cast("int").alias("chunks"))
     sized = written(candidates.join(sizes, "guess").withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks").cast("int")), "sized")
     places = F.expr("IF(chunks = 1, array(named_struct('lo', 0, 'hi', 0)), transform(filter(sequence(0, chunks - 1), j -> j <> chunk), j -> named_struct('lo', least(j, chunk), 'hi', greatest(j, chunk))))")
     # the texts join before they are dealt, so each is fetched once

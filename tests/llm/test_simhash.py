@@ -137,10 +137,12 @@ def test_similar_components_against_all_pairs(seed):
     assert simhash.similar_components(sets).tolist() == want
 
 
-@pytest.mark.parametrize("group", [300, 7])
-def test_only_texts_alike_to_four_fifths_go(spark, monkeypatch, group):
+@pytest.mark.parametrize("group, most", [(300, 4000), (7, 4000), (7, 2)])
+def test_only_texts_alike_to_four_fifths_go(spark, monkeypatch, group, most):
     """The same words in another order, and copies with many changed words, are candidates but no near copies."""
     monkeypatch.setattr(simhash, "GROUP", group)
+    monkeypatch.setattr(simhash, "MOST", most)
+    monkeypatch.setattr(simhash, "CHUNKS", 32 if most == 4000 else 1)
     rng = np.random.default_rng(5)
     words = [f"w{x}" for x in range(400)]
     rows = [(0, " ".join(words)), (1, " ".join(rng.permutation(words))), (2, "  ".join(words).upper())]
