@@ -5,10 +5,11 @@ tags; each line keeps how much text and how many tags it had, how much of it is
 lies in an element that is never content (navigation, forms, scripts) or that class, id or role name
 such a part.  The text-to-tag ratio per line (raised by ``PRIOR`` within article and main) is smoothed
 with a Gaussian and split into two clusters; lines of the upper one are voted for, unless they are
-mostly links.  The region is the deepest container of all voted lines, or the article or main around
+mostly links or only lie beside such lines (their own ratio is under a quarter of the threshold).  The region is the deepest container of all voted lines, or the article or main around
 it.  Within the region, blocks without a vote go if they are mostly links, or if they are layout
 (div, section) before the first or after the last voted line; everything else of it stays, and all of
-an article.  Headings, paragraphs, lists and articles that touch the region join it.
+an article.  Headings, paragraphs, lists and articles that touch the region join it, and so does the
+page's only h1.
 
 Null or empty html, and pages without text, give an empty text.  Markup that the parser refuses
 (odd declarations) is skipped, so no page fails a job.  Repeated rows give a row each.
@@ -30,6 +31,7 @@ from medloom.llm.common import map_batches
 SKIP = {"nav", "header", "footer", "aside", "form", "script", "style", "noscript", "template", "iframe", "svg", "canvas", "object", "embed", "audio", "video", "button", "select", "option", "textarea", "input", "label", "fieldset", "head", "title", "menu", "dialog", "math", "map"}
 #: Elements that hold text as such; others (div, section, ...) lay out a page.
 TEXT = {"h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "dl", "dt", "dd", "blockquote", "pre", "figure", "figcaption", "table", "tbody", "thead", "tfoot", "tr", "td", "th", "address", "details", "summary", "hr"}
+CELLS = {"table", "tbody", "thead", "tfoot", "tr", "td", "th"}
 #: How much more the ratios of lines within article and main count.
 PRIOR = 2.0
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
@@ -165,15 +167,20 @@ def smooth(values: np.ndarray, sigma: float = 1.0) -> np.ndarray:
 
 
 def threshold(values: np.ndarray) -> float:
-    """Between two clusters: the middle of their means, iterated until it rests."""
+    """Between two clusters: the middle of their means, iterated until it rests.
+
+    Where the means lie within a factor of two there is one cluster, and its least value is the threshold.
+    """
     cut = float(values.mean())
     for _ in range(32):
         low, high = values[values < cut], values[values >= cut]
-        new = 0.5 * (low.mean() + high.mean()) if len(low) and len(high) else cut
+        if not len(low) or not len(high):
+            return float(values.min())
+        new = 0.5 * (low.mean() + high.mean())
         if abs(new - cut) <= 1e-9 * max(1.0, abs(cut)):
             break
         cut = float(new)
-    return cut
+    return cut if 2 * low.mean() < high.mean() else float(values.min())
 
 
 def extract(html: str | None) -> str:
@@ -227,6 +234,10 @@ def _select(page: _Events, lines: list[tuple[str, int, int, int]]) -> list[int]:
         cold[k] = cold[parents[k]] if cold[parents[k]] >= 0 else k if votes[k] == 0 else -1
     hit = np.flatnonzero(voted)
     first, last = hit[0], hit[-1]
+    # in a table that lays out the page, its other cells are no text of the region
+    text_kinds = TEXT - CELLS if any(kinds[k] in CELLS for k in above) else TEXT
+    heads = [i for i, c in enumerate(at.tolist()) if kinds[c] == "h1" and not linked[i]]
+    title = heads[0] if len(heads) == 1 else -1  # the page's only one
     kept = []
     for i, c in enumerate(at.tolist()):
         if not inside[c]:
@@ -235,7 +246,7 @@ def _select(page: _Events, lines: list[tuple[str, int, int, int]]) -> list[int]:
         if article[c]:
             ok = True
         elif g >= 0 and g != region:
-            ok = not crowded[g] and (not edge or kinds[g] in TEXT)
+            ok = not crowded[g] and (not edge or kinds[g] in text_kinds) or i == title
         else:
             ok = not (edge and linked[i])
         if ok:
@@ -249,10 +260,12 @@ def _select(page: _Events, lines: list[tuple[str, int, int, int]]) -> list[int]:
         c = int(at[i])
         if named:
             return bool(article[c])
+        if i == title:
+            return True
         if linked[i] and not article[c]:
             return False
         while c not in open_:
-            if kinds[c] not in TEXT and not article[c]:
+            if kinds[c] not in text_kinds and not article[c]:
                 return False
             c = parents[c]
         return True
@@ -266,9 +279,10 @@ def _select(page: _Events, lines: list[tuple[str, int, int, int]]) -> list[int]:
 
 
 def vote(ratios: np.ndarray) -> np.ndarray:
-    """Lines whose smoothed ratio lies in the upper of two clusters."""
+    """Lines whose smoothed ratio lies in the upper of two clusters, and not by their neighbours alone."""
     even = smooth(ratios)
-    return even >= threshold(even)
+    cut = threshold(even)
+    return (even >= cut) & (4 * ratios >= cut)
 
 
 def _below(at: np.ndarray, values: np.ndarray, parents: list[int]) -> np.ndarray:

@@ -138,3 +138,16 @@ def test_articles_in_telling_names(name):
 
 def test_many_open_elements_take_linear_time():
     assert html_text.extract("<b>" * 60_000 + "<div>" * 2_000 + "</i>" * 60_000 + "text") == "text"
+
+
+@pytest.mark.parametrize("page, want", [
+    (f"<table><tr><td><a href=1>Home</a><br><a href=2>News</a></td><td><p>{LONG}</p><p>More.</p></td><td>About this site.</td></tr></table>", f"{LONG}\nMore."),
+    (f"<div><div><h1>Title</h1></div><div><p>{LONG}</p></div><div>Rights held.</div></div>", f"Title\n{LONG}"),
+    (f"<main><div><h1>Title</h1><span>By me</span></div><p>{LONG}</p><div>Rights held.</div></main>", f"Title\n{LONG}"),
+    (f"<body><div><p>{LONG}</p></div><div>Rights held.</div></body>", LONG),
+    (f"<div>{LONG}<br><br>Second part.<br>Third.</div><div><a href=x>Next</a></div>", f"{LONG}\nSecond part.\nThird."),
+    (f"<div><p>{LONG}</p><table><tr><th>a</th><td>1</td></tr></table><p>End.</p></div>", f"{LONG}\na\n1\nEnd."),
+    (f"<div><p>{LONG}</p><p>See <a href=x>this report</a></p><p>{LONG}</p></div>", f"{LONG}\nSee this report\n{LONG}"),
+])
+def test_layouts(page, want):
+    assert html_text.extract(page) == want
