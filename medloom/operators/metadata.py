@@ -50,14 +50,17 @@ def top_values(rows: DataFrame, columns: list[str], limit: int = TOP) -> DataFra
 def numeric_profile(rows: DataFrame, columns: list[str]) -> DataFrame:
     """(column_name, n, min, max, mean, median, q1, q3), rounded to two places.
 
-    Plain aggregates take one pass.  Quantiles are exact: values are counted per column and sorted by
-    range partitioning, partitions report their counts, and the rows that a quantile falls on are picked
-    by running counts, so no task holds a column's values.
+    Quantiles are exact: values are counted per column and dealt to parts by rough bounds, parts report
+    their counts, and the rows that a quantile falls on are picked by running counts, so no task holds a
+    column's values.
     """
     pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("no"), F.col(f"`{c}`").cast("double").alias("x")) for k, c in enumerate(columns)]))
     values = rows.select(pairs.alias("p")).select("p.*").where("x IS NOT NULL")
-    counted = values.groupBy("no", "x").agg(F.count(F.lit(1)).alias("n"))
-    placed = settled(counted.repartitionByRange("no", "x").select("no", "x", "n", F.spark_partition_id().alias("part")))
+    counted = settled(values.groupBy("no", "x").agg(F.count(F.lit(1)).alias("n")))
+    # rough bounds of even parts, as many for each column as there are shuffle partitions: they only share out the work
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rough = counted.groupBy("no").agg(F.percentile_approx("x", F.array(*[F.lit(k / parts) for k in range(1, parts)] or [F.lit(0.5)]), 1000).alias("bounds"))
+    placed = counted.join(F.broadcast(rough), "no").select("no", "x", "n", F.size(F.filter("bounds", lambda b: b < F.col("x"))).alias("part"))
     sums = placed.groupBy("no", "part").agg(F.sum("n").alias("all"))  # a row for each partition and column
     ahead = sums.select("no", "part", F.coalesce(F.sum("all").over(Window.partitionBy("no").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
     inside = Window.partitionBy("no", "part").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
