@@ -182,6 +182,11 @@ def test_values_are_no_counts(service):
     assert {r[0]: r[1] for r in rows} == {"F": 27.0, "M": 57.0} and all(isinstance(r[3], float) for r in rows)
 
 
+def test_lengths_of_values_are_no_counts(service):
+    rows = service.execute("SELECT LENGTH(sex) AS len, SIZE(SPLIT(site, '1')) AS parts, COUNT(*) AS n FROM people WHERE sex = 'F' GROUP BY 1, 2")["rows"]
+    assert sorted(map(tuple, rows)) == [(1, 1, 37), (1, 2, 18)]
+
+
 def test_lists_of_small_groups_are_hidden(service):
     rows = service.execute("SELECT sex, COLLECT_LIST(1) AS ones FROM people GROUP BY sex")["rows"]
     assert ["M", "<10"] in rows
