@@ -40,12 +40,13 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """The rows of a scan, dealt out evenly if it is read in fewer parts than there are cores.
+    """The rows of a scan, dealt out evenly if it is read in fewer than two parts for each core.
 
-    Only small tables are: a large one has parts enough, and its rows stay where they are.
+    Only small tables are, where one row group may hold all rows whatever the number of parts: a large
+    table has parts enough, and its rows stay where they are.
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < 2 * cores else rows
 
 
 def settled(rows: DataFrame, by: str | None = None) -> DataFrame:
