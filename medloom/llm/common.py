@@ -81,6 +81,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove_table(spark: SparkSession, rows: DataFrame) -> None:
+    """Delete the table that ``written`` gave, once nothing reads it any more."""
+    files = rows.inputFiles()
+    if files:
+        remove(spark, files[0].rsplit("/", 1)[0])
+
+
 def _at_exit() -> None:
     with suppress(Exception):  # the session may have ended before
         if spark := SparkSession.getActiveSession():

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medloom.llm import bpe, chat, html_text, langid, maxscore, packing, quality, sharding, simhash, warc
+from medloom.llm import bpe, chat, html_text, langid, maxscore, packing, quality, sharding, simhash, sortmeans, warc
 from medloom.llm.common import table
 from medloom.session import spread
 
@@ -79,6 +79,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(spread(table(spark, sf_dir, "documents")), budget=3, shingle=3)
 
 
+def op13_sort_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's cluster after five rounds of 40 centroids.  Vectors that are null, of another width or with
+    null or non-finite components take no part; repeated rows are vectors each; an empty table gives no rows."""
+    return sortmeans.cluster(spread(table(spark, sf_dir, "embeddings")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language, quality, near duplicates, packing; see ``corpus_pipeline``."""
     import corpus_pipeline
@@ -86,7 +92,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_html_text, op2_warc, op3_quality_rules, quality_ablation, op4_packing, op5_language_id, op6_top_k, op7_chat_format, op8_bpe, op9_sharding, op10_simhash, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_html_text, op2_warc, op3_quality_rules, quality_ablation, op4_packing, op5_language_id, op6_top_k, op7_chat_format, op8_bpe, op9_sharding, op10_simhash, op13_sort_means, pipeline)}
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
@@ -116,6 +122,25 @@ _RULES = {
     "no_words": "n_words = 0",
     "long_repeated_windows": "n_words >= 50 AND 100 * n_repeat_words > 50 * n_words",
 }
+
+
+def _sort_means_sql(k: int, rounds: int) -> str:
+    """Plain rounds: every vector against every centroid."""
+    nearest = """a{r} AS MATERIALIZED (SELECT i, any_value(vec_id) AS vec_id, any_value(v) AS v, min(struct_pack(d := list_sum(list_transform(list_zip(v, m), lambda x: (x[1] - x[2]) * (x[1] - x[2])))::BIGINT, c := c)) AS b
+              FROM v, c{r} GROUP BY i)"""
+    moved = """s{r} AS (SELECT c, p, sum(x) AS s, count(*) AS n FROM (SELECT b.c AS c, unnest(v) AS x, generate_subscripts(v, 1) AS p FROM a{r}) GROUP BY c, p),
+        c{q} AS MATERIALIZED (SELECT c, coalesce(n.m, c{r}.m) AS m FROM c{r} LEFT JOIN (SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY p) AS m FROM s{r} GROUP BY c) AS n USING (c))"""
+    steps = [nearest.format(r=r) + ", " + moved.format(r=r, q=r + 1) for r in range(rounds)] + [nearest.format(r=rounds)]
+    return f"""
+        WITH v AS MATERIALIZED (SELECT row_number() OVER () AS i, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+                   WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        c0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY h, v) - 1)::INTEGER AS c, v AS m FROM (SELECT v, sha256('2:' || vec_id) AS h FROM v WHERE vec_id IS NOT NULL) QUALIFY c < {k}),
+        {", ".join(steps)}
+        SELECT vec_id, b.c AS cluster, b.d AS distance, sum(b.d) OVER (PARTITION BY b.c)::BIGINT AS cluster_inertia, sum(b.d) OVER ()::BIGINT AS inertia,
+               sha256(array_to_string(m, ',')) AS centroid_sha256
+        FROM a{rounds} JOIN c{rounds} ON c = b.c"""
+
+
 _POLICY_ROWS = ", ".join(f"('{p}', '{r}')" for p in ("v1", "v2") for r in quality.POLICIES[p])
 
 ORACLES = {
@@ -162,6 +187,7 @@ ORACLES = {
         p AS (SELECT *, sum(size) OVER (ORDER BY doc_id) - size AS before, sum(size) OVER () AS total FROM s),
         c AS (SELECT *, least(15, ((2 * before + size) * 16) // (2 * total))::INTEGER AS shard FROM p)
         SELECT doc_id, size::BIGINT AS size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, NULL::INTEGER AS grown_shard FROM c""",
+    "op13_sort_means": _sort_means_sql(40, 5),
     "op6_top_k": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
                    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
