@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medloom.llm import bpe, chat, html_text, langid, maxscore, packing, quality, sharding, simhash, sortmeans, treebpe, warc
+from medloom.llm import align, bpe, chat, html_text, langid, maxscore, packing, quality, sharding, simhash, sortmeans, treebpe, warc
 from medloom.llm.common import table
 from medloom.session import spread
 
@@ -79,6 +79,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(spread(table(spark, sf_dir, "documents")), budget=3, shingle=3)
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's tokens in two vocabularies, aligned by bytes.  Null and empty texts, and texts that the tokens do not
+    spell, have zeros; repeated rows have a row each.  No SQL: it needs the tokenizers; tests align whole texts."""
+    return align.align(spread(table(spark, sf_dir, "documents")))
+
+
 def op12_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text encoded and decoded by a tree of halves.  Null texts have no ids; repeated rows have a row each.
     No SQL: it needs the ranks; tests compare with the library on documents and random texts."""
@@ -98,7 +104,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_html_text, op2_warc, op3_quality_rules, quality_ablation, op4_packing, op5_language_id, op6_top_k, op7_chat_format, op8_bpe, op9_sharding, op10_simhash, op12_tree_bpe, op13_sort_means, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_html_text, op2_warc, op3_quality_rules, quality_ablation, op4_packing, op5_language_id, op6_top_k, op7_chat_format, op8_bpe, op9_sharding, op10_simhash, op11_token_alignment, op12_tree_bpe, op13_sort_means, pipeline)}
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
