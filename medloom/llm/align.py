@@ -8,11 +8,11 @@ and links, which never cross a place where both tokens end.
 
 1. Documents are coded in blocks of bounded size: a block has a dictionary of its distinct segments, documents are
    lists of places in it.  One narrow pass writes both.
-2. The dictionaries' distinct segments are tokenised and aligned once each.
-3. An id pair's count is the sum over segments of occurrences times links, pre-aggregated before each shuffle.  Documents with a
-   segment whose tokens do not spell it have no tokens, so their occurrences are taken out first.
-4. Each segment's sums over its links are joined to it, and with its groups to the dictionaries; a task composes the
-   documents of a block from the block's dictionary.
+2. The dictionaries' segments meet once: each distinct one is tokenised and aligned, and keeps the places it came from.
+3. An id pair's count is the sum over segments of occurrences times links, pre-aggregated before the shuffle.  Documents with a
+   segment whose tokens do not spell it have no tokens, so their occurrences are taken off.
+4. Each segment's sums over its links go back with its groups to its places; a task composes the documents of a block from
+   the block's dictionary.
 
 A segment that every text holds is one row for each block; no row per occurrence is ever shuffled.  A block ends at
 ``BLOCK`` characters or with the document that passes it, so a very long text is a block by itself.
@@ -34,6 +34,8 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,7 +46,7 @@ from medloom.llm.common import texts_of, written
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 #: Characters of a block's documents, segments tokenised at once, id pairs that are broadcast at most, codes hashed at once.
-BLOCK, BATCH, PAIRS, SLICE = 8 << 20, 4096, 400_000, 65_536
+BLOCK, BATCH, PAIRS, SLICE = 24 << 20, 4096, 400_000, 65_536
 #: A run of spaces behind something visible, unless the text ends with white space alone.
 _CUT = re.compile(r"(?<=\S)(?= )(?=\s*\S)")
 #: White space other than single blanks: split with the pattern.
@@ -81,6 +83,7 @@ class Tokenizers:
         self.b = sentencepiece.SentencePieceProcessor(model_file=b)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(_SPACE, " ").encode() for i, p in enumerate(pieces)]
+        self.a_lengths, self.b_lengths = (np.array([len(t) for t in table]) for table in (self.a_bytes, self.b_bytes))
         #: The characters (or their last bytes) after which some token goes on with a space, so that a merge could cross.
         tails = {_last_character(t[:at]) for t in (*self.a_bytes, *self.b_bytes) for at in range(1, len(t)) if t[at] == 32 and t[at - 1] != 32}
         self.joined = tuple(sorted(t for t in tails if t.decode("utf-8", "replace").strip()))  # no segment ends in white space
@@ -107,34 +110,67 @@ class Tokenizers:
                 out.append(s)
         return out
 
-    def tokens(self, segments: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of both kinds; segments begin with a space."""
-        a = [e.ids for e in self.a.encode_batch_fast(segments, add_special_tokens=False)]
-        return a, self.b.encode([s[1:] for s in segments], num_threads=1)
+    def tokens(self, text: str) -> tuple[list[int], list[int]]:
+        """Ids of both kinds; the text begins with a space."""
+        return self.a.encode(text, add_special_tokens=False).ids, self.b.encode(text[1:])
+
+    def aligned(self, segments: list[str]) -> Iterator[tuple[int, list[str], np.ndarray, np.ndarray, np.ndarray]]:
+        """Runs of segments: how many, their groups, numbers of first ids and of links, and the links' id pairs.
+
+        A run is tokenised as one text, as nothing merges across its cuts; where tokens do not spell a run it is halved,
+        and a segment that they do not spell has none.
+        """
+        lonely = [k for k, s in enumerate(segments) if self.joined or s[-1].isspace()]
+        begin = 0
+        for k in (*lonely, len(segments)):
+            if begin < k:
+                yield from self._run(segments[begin:k])
+            if k < len(segments):
+                yield from self._run(segments[k : k + 1])
+            begin = k + 1
+
+    def _run(self, segments: list[str]) -> Iterator[tuple[int, list[str], np.ndarray, np.ndarray, np.ndarray]]:
+        text = "".join(segments)
+        a, b = self.tokens(text)
+        raw = text.encode()
+        if b"".join(map(self.a_bytes.__getitem__, a)) == raw and b"".join(map(self.b_bytes.__getitem__, b)) == raw:
+            lengths = np.fromiter((len(s) for s in segments) if text.isascii() else (len(s.encode()) for s in segments), np.int64, len(segments))
+            yield len(segments), *groups_and_links(np.array(a), np.array(b), self.a_lengths, self.b_lengths, np.cumsum(lengths))
+        elif len(segments) > 1:
+            middle = len(segments) // 2
+            yield from self._run(segments[:middle])
+            yield from self._run(segments[middle:])
+        else:
+            none = np.zeros(1, np.int64)
+            yield 1, [""], none, none, none[:0]
 
 
-def groups_and_links(a: list[int], b: list[int], a_bytes: list[bytes], b_bytes: list[bytes]) -> tuple[str, int, list[tuple[int, int]]]:
-    """The groups as text, their number, and all pairs of tokens that overlap; both kinds spell the same bytes.
+def groups_and_links(a: np.ndarray, b: np.ndarray, a_lengths: np.ndarray, b_lengths: np.ndarray, ends: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Of segments that end at the byte offsets ``ends``: groups as text, numbers of first ids and of links, and all links (first id << 32 | second id).
 
-    One walk over the ends of both: the token that ends first meets the other's, and where both end a group does.
+    Both kinds of tokens divide the same bytes.  Each stretch between two neighbouring ends of either kind is where just one token of
+    each kind overlaps, and each overlap is one stretch; where both kinds end a group does.
     """
-    links, groups, i, j, first_a, first_b = [], [], 0, 0, 0, 0
-    end_a = end_b = 0
-    if a:
-        end_a, end_b = len(a_bytes[a[0]]), len(b_bytes[b[0]])
-    while i < len(a) and j < len(b):
-        links.append((a[i], b[j]))
-        step_a, step_b = end_a <= end_b, end_b <= end_a
-        if step_a and step_b:
-            groups.append(",".join(map(str, a[first_a : i + 1])) + "|" + ",".join(map(str, b[first_b : j + 1])))
-            first_a, first_b = i + 1, j + 1
-        if step_a:
-            i += 1
-            end_a += len(a_bytes[a[i]]) if i < len(a) else 0
-        if step_b:
-            j += 1
-            end_b += len(b_bytes[b[j]]) if j < len(b) else 0
-    return ";".join(groups), len(groups), links
+    ends_a, ends_b = np.cumsum(a_lengths[a]), np.cumsum(b_lengths[b])
+    stretches = np.union1d(ends_a, ends_b)
+    of_a, of_b = np.searchsorted(ends_a, stretches), np.searchsorted(ends_b, stretches)
+    closes_a, closes_b = ends_a[of_a] == stretches, ends_b[of_b] == stretches
+    names_a, names_b = a[of_a].tolist(), b[of_b].tolist()
+    texts, held, first, second = [], [], [], []
+    border = set(ends.tolist())
+    for x, y, ends_x, ends_y, at in zip(names_a, names_b, closes_a.tolist(), closes_b.tolist(), stretches.tolist(), strict=True):
+        if ends_x:
+            first.append(str(x))
+        if ends_y:
+            second.append(str(y))
+            if ends_x:
+                held.append(",".join(first) + "|" + ",".join(second))
+                first, second = [], []
+                if at in border:
+                    texts.append(";".join(held))
+                    held = []
+    n_links = np.diff(np.searchsorted(stretches, ends, "right"), prepend=0)
+    return texts, np.diff(np.searchsorted(ends_a, ends, "right"), prepend=0), n_links, a[of_a].astype(np.int64) << 32 | b[of_b]
 
 
 def coded(docs: DataFrame, a: str = BYTES, b: str = PIECES) -> DataFrame:
@@ -173,7 +209,7 @@ def coded(docs: DataFrame, a: str = BYTES, b: str = PIECES) -> DataFrame:
                                 places[s] = len(uses)
                                 uses.append(k)
                         codes.extend(map(places.__getitem__, found))
-                    lists.append(codes.tobytes())
+                    lists.append(_packed(codes))
                 yield batch_of(doc_id=ids.slice(at, len(part)), codes=pa.array(lists, pa.binary()))
                 at += len(part)
                 if held >= BLOCK:
@@ -184,46 +220,57 @@ def coded(docs: DataFrame, a: str = BYTES, b: str = PIECES) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"block long, doc_id {id_type}, codes binary, code int, segment string, n long")
 
 
-def aligned(segments: DataFrame, a: str = BYTES, b: str = PIECES) -> DataFrame:
-    """segment, n, right, n_a, n_b, n_groups, n_links, groups, links (array of a, b, m) of distinct segments."""
+def aligned(words: DataFrame, a: str = BYTES, b: str = PIECES) -> DataFrame:
+    """segment, n, groups, n_a, links (id pairs), blocks, codes of distinct segments; no groups where tokens do not spell one.
+
+    ``blocks`` and ``codes`` are where dictionaries hold it, ``n`` how often these blocks use it.  Rows of one segment lie side by side in one task,
+    which reads them as a stream and tokenises it once; one with more places than a batch holds has several rows, whose ``n`` add up.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = Tokenizers(a, b)
+        both, last = Tokenizers(a, b), pa.table({})
         for batch in batches:
-            at = 0
-            for part in texts_of(batch, "segment", BATCH):
-                rows = []
-                for s, x, y in zip(part, *both.tokens(part), strict=True):
-                    raw = s.encode()
-                    if b"".join(map(both.a_bytes.__getitem__, x)) != raw or b"".join(map(both.b_bytes.__getitem__, y)) != raw:
-                        rows.append((False, 0, 0, 0, 0, "", []))
-                        continue
-                    text, n, links = groups_and_links(x, y, both.a_bytes, both.b_bytes)
-                    rows.append((True, len(x), len(y), n, len(links), text, [(p << 32 | q, m) for (p, q), m in Counter(links).items()]))
-                right, n_a, n_b, n_groups, n_links, groups, links = zip(*rows, strict=True)
-                ends = np.cumsum([0, *map(len, links)], dtype=np.int32)
-                flat = [x for some in links for x in some]
-                pairs = pa.StructArray.from_arrays([pa.array([x[0] for x in flat], pa.int64()), pa.array([x[1] for x in flat], pa.int64())], ["pair", "m"])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("segment").slice(at, len(part)), batch.column("n").slice(at, len(part)), pa.array(right), *(pa.array(c, pa.int64()) for c in (n_a, n_b, n_groups, n_links)), pa.array(groups, pa.string()), pa.ListArray.from_arrays(pa.array(ends), pairs)],
-                    ["segment", "n", "right", "n_a", "n_b", "n_groups", "n_links", "groups", "links"],
-                )
-                at += len(part)
-
-    return segments.select("segment", "n").mapInArrow(run, "segment string, n long, right boolean, n_a long, n_b long, n_groups long, n_links long, groups string, links array<struct<pair:long,m:long>>")
+            column = batch.column("segment")
+            starts = np.concatenate([[0], 1 + np.flatnonzero(pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)), [batch.num_rows]]).astype(np.int32)
+            distinct, found = column.take(pa.array(starts[:-1])), []
+            if last.num_rows and last["segment"][0] == distinct[0]:  # goes on from the batch before
+                found, distinct = [last.drop_columns("segment")], distinct[1:]
+            for part in texts_of(pa.RecordBatch.from_arrays([distinct], ["segment"]), "segment", BATCH):
+                for n, groups, n_a, n_links, links in both.aligned(part):
+                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_links)]).astype(np.int32)), pa.array(links))
+                    found.append(pa.table({"groups": pa.array(groups, pa.string()), "n_a": pa.array(n_a.astype(np.int32)), "links": lists}))
+            out = pa.concat_tables(found).combine_chunks()
+            out = out.add_column(0, "segment", column.take(pa.array(starts[:-1])))
+            last = out.slice(out.num_rows - 1)
+            uses = np.add.reduceat(batch.column("n").to_numpy(), starts[:-1])
+            out = out.add_column(1, "n", pa.array(uses))
+            for name in ("blocks", "codes"):
+                out = out.append_column(name, pa.ListArray.from_arrays(pa.array(starts), batch.column(name[:-1])))
+            yield from out.to_batches()
+
+    # a segment's rows are as many as blocks that hold it
+    placed = words.select("segment", "block", "code", "n").repartition("segment").sortWithinPartitions("segment")
+    return placed.mapInArrow(run, "segment string, n long, groups string, n_a int, links array<long>, blocks array<long>, codes array<int>")
+
+
+def _packed(codes: array) -> bytes:
+    """Codes by planes of bytes, compressed: most of them are small."""
+    return zstandard.compress(np.frombuffer(codes, "<i4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
 
 
 def _codes(column: pa.Array | pa.ChunkedArray) -> Iterator[np.ndarray]:
-    return (np.frombuffer(c.as_py(), "i4") for c in column)
+    for c in column:
+        planes = np.frombuffer(zstandard.decompress(c.as_buffer()), np.uint8)
+        yield np.ascontiguousarray(planes.reshape(4, -1).T).view("<i4").ravel()
 
 
-def _wrong_uses(table: DataFrame, wrong: DataFrame) -> DataFrame:
-    """segment, n: how often segments occur in documents that hold a segment of ``wrong``.
+def _wrong_uses(table: DataFrame, found: DataFrame) -> DataFrame:
+    """n, links of segments: how often they occur in documents that hold a segment without groups, below zero.
 
     Only blocks that have such a segment are read again.
     """
-    words = table.where(F.col("code").isNotNull()).select("block", "code", "segment")
-    bad = words.join(wrong.select("segment"), "segment").groupBy("block").agg(F.collect_set("code").alias("bad"))  # within a block's dictionary
+    places = found.where("groups = ''").select(F.explode(F.arrays_zip("blocks", "codes")).alias("p")).select(F.col("p.blocks").alias("block"), F.col("p.codes").alias("code"))
+    bad = places.groupBy("block").agg(F.collect_set("code").alias("bad"))  # within a block's dictionary
     docs = table.where(F.col("code").isNull()).select("block", "codes").join(bad, "block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,27 +281,58 @@ def _wrong_uses(table: DataFrame, wrong: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), block)), pa.array(code), pa.array(n.astype(np.int64))], ["block", "code", "n"])
 
     uses = docs.mapInArrow(run, "block long, code int, n long").groupBy("block", "code").agg(F.sum("n").alias("n"))
-    return uses.join(words, ["block", "code"]).groupBy("segment").agg(F.sum("n").alias("less"))
+    words = table.where(F.col("code").isNotNull()).select("block", "code", "segment")
+    less = uses.join(words, ["block", "code"]).groupBy("segment").agg((-F.sum("n")).alias("n"))
+    return less.join(found.select("segment", "links").dropDuplicates(["segment"]), "segment").select("n", "links")
 
 
-def pair_counts(found: DataFrame) -> DataFrame:
-    """pair, count, best (whether no pair of the same second id has more) over all links of ``found``."""
-    links = found.where("right AND n > 0").select("n", F.explode("links").alias("l")).select("l.pair", (F.col("l.m") * F.col("n")).alias("n"))
-    counts = written(links.groupBy("pair").agg(F.sum("n").alias("count")), "pairs")
+def pair_counts(uses: DataFrame) -> DataFrame:
+    """pair, count, best (whether no pair of the same second id has more) over n times links of ``uses``."""
+    links = uses.select("n", F.explode("links").alias("pair"))
+    counts = written(links.groupBy("pair").agg(F.sum("n").alias("count")).where("count > 0"), "pairs")
     most = counts.groupBy(F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF)).alias("b")).agg(F.max("count").alias("most"))  # a row per second id
     return counts.join(most, F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF)) == F.col("b")).select("pair", "count", (F.col("count") == F.col("most")).alias("best"))
 
 
+def with_sums(found: DataFrame, counts: DataFrame) -> DataFrame:
+    """blocks, codes, groups, n_a, n_best, count_sum of every row of ``found``.
+
+    Up to ``PAIRS`` counts (24 bytes each) are handed to all tasks, so that no row moves; more are joined by shuffling, where the
+    engine splits pairs that many segments have.
+    """
+    columns = ["blocks", "codes", "groups", "n_a"]
+    if counts.count() > PAIRS:
+        rows = written(found.withColumn("row", F.monotonically_increasing_id()), "rows")
+        links = rows.select("row", F.explode("links").alias("pair")).join(counts, "pair")
+        sums = links.groupBy("row").agg(F.count_if("best").alias("n_best"), F.sum("count").alias("count_sum"))
+        return rows.join(sums, "row", "left").select(*columns, "n_best", "count_sum").fillna(0, ["n_best", "count_sum"])
+    table = counts.toArrow()
+    order = np.argsort(pairs := table["pair"].to_numpy(), kind="stable")
+    handed = found.sparkSession.sparkContext.broadcast((pairs[order], table["count"].to_numpy()[order], table["best"].to_numpy()[order]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs, count, best = handed.value
+        for batch in batches:
+            lists = batch.column("links")
+            links, ends = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
+            at = np.minimum(np.searchsorted(pairs, links), max(len(pairs) - 1, 0))
+            known = pairs[at] == links if len(pairs) else np.zeros(len(links), bool)  # pairs of unspelled documents alone have no count
+            sums = [np.diff(np.concatenate([[0], np.cumsum(x)])[ends]) for x in (np.where(known, best[at], False).astype(np.int64), np.where(known, count[at], 0))] if len(pairs) else [np.zeros(len(lists), np.int64)] * 2
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *map(pa.array, sums)], [*columns, "n_best", "count_sum"])
+
+    return found.select(*columns, "links").mapInArrow(run, "blocks array<long>, codes array<int>, groups string, n_a int, n_best long, count_sum long")
+
+
 def _compose(docs: pa.Table, words: pa.Table) -> pa.Table:
     """The documents of a block from the block's dictionary."""
-    code = words.column("code").to_numpy()
-    measures, right = np.zeros((len(MEASURES), len(code)), np.int64), np.zeros(len(code), bool)
-    for k, name in enumerate(MEASURES):
-        measures[k, code] = words.column(name).to_numpy()
-    right[code] = words.column("right").to_numpy()
-    order = np.empty(len(code), np.int64)
-    order[code] = np.arange(len(code))
-    groups = words.column("groups").take(pa.array(order)).to_pylist()
+    words = words.take(pc.sort_indices(words.column("code")))  # a code is its place
+    n_a, texts = words.column("n_a").to_numpy().astype(np.int64), words.column("groups")
+    right = pc.binary_length(texts).to_numpy() > 0
+    n_groups = np.where(right, pc.count_substring(texts, "|").to_numpy().astype(np.int64), 0)
+    n_b = pc.count_substring(texts, ",").to_numpy() + 2 * n_groups - n_a
+    # ends of either kind, less those that both share
+    measures = np.array([n_a, n_b, n_groups, n_a + n_b - n_groups, *(words.column(m).to_numpy() for m in MEASURES[4:])])
+    groups = texts.to_pylist()
     rows, digests = np.zeros((len(MEASURES), docs.num_rows), np.int64), []
     for k, codes in enumerate(_codes(docs.column("codes"))):
         digest = ""
@@ -272,20 +350,12 @@ def align(docs: DataFrame, a: str = BYTES, b: str = PIECES) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of every row of docs."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
     table = written(coded(docs, a, b), "coded")
-    words = table.where(F.col("code").isNotNull()).select("block", "code", "segment", "n")
-    found = written(aligned(words.groupBy("segment").agg(F.sum("n").alias("n")), a, b), "aligned")
-    wrong = found.where("NOT right")
-    if not wrong.isEmpty():
-        less = _wrong_uses(table, wrong)
-        found = written(found.join(less, "segment", "left").withColumn("n", F.col("n") - F.coalesce("less", F.lit(0))).drop("less"), "counted")
-    counts = pair_counts(found)
-    known = written(counts, "counts")
-    # links of distinct segments meet the counts; few pairs are broadcast, more are joined by shuffling (skewed pairs are split by the engine)
-    known = F.broadcast(known) if known.count() <= PAIRS else known
-    links = found.where("right").select("segment", F.explode("links").alias("l")).select("segment", "l.pair", "l.m")
-    sums = links.join(known, "pair").groupBy("segment").agg(F.sum(F.when(F.col("best"), F.col("m")).otherwise(0)).alias("n_best"), F.sum(F.col("m") * F.col("count")).alias("count_sum"))
-    measured = found.select("segment", "right", "n_a", "n_b", "n_groups", "n_links", "groups").join(sums, "segment", "left").fillna(0, ["n_best", "count_sum"])
-    dictionary = words.select(F.col("block").alias("in_block"), "code", "segment").join(measured, "segment").drop("segment")
+    found = written(aligned(table.where(F.col("code").isNotNull()), a, b), "aligned")
+    uses = found.select("n", "links")
+    if not found.where("groups = ''").isEmpty():
+        uses = uses.unionByName(_wrong_uses(table, found))
+    measured = with_sums(found, written(pair_counts(uses), "counts"))
+    dictionary = measured.withColumn("p", F.explode(F.arrays_zip("blocks", "codes"))).select(F.col("p.blocks").alias("in_block"), F.col("p.codes").alias("code"), "groups", "n_a", "n_best", "count_sum")
     rows = table.where(F.col("code").isNull()).select("block", "doc_id", "codes")
     schema = f"doc_id {id_type}, " + ", ".join(f"{m} long" for m in MEASURES) + ", groups_sha256 string"
     return rows.groupBy("block").cogroup(dictionary.groupBy("in_block")).applyInArrow(_compose, schema)

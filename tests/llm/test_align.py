@@ -68,7 +68,7 @@ def test_segments_give_the_tokens_of_the_whole(both):
         text = "".join(rng.choices(atoms, k=rng.randrange(1, 30)))
         parts = both.segments(text)
         assert "".join(parts) == " " + text
-        a, b = both.tokens(parts)
+        a, b = zip(*map(both.tokens, parts), strict=True)
         assert sum(a, []) == both.a.encode(" " + text, add_special_tokens=False).ids, text
         if "▁" not in text:
             assert sum(b, []) == both.b.encode(text), text
@@ -84,14 +84,29 @@ def test_a_vocabulary_that_could_merge_across_joins_segments(both):
     assert both.segments("ab ab c  d ") == [" ab", " ab", " c", "  d "]
 
 
+def whole(both, text):
+    """The walk over a text as one segment: groups and links."""
+    ((_, (groups,), _, _, links),) = both.aligned([" " + text])
+    return groups, [(int(p) >> 32, int(p) & 0xFFFFFFFF) for p in links]
+
+
 def test_walk_equals_all_pairs(both):
     rng = random.Random(2)
     for _ in range(500):
         text = "".join(rng.choices(["a", "ing", " ", "é", "日", "tion", "7", "\n", "ous"], k=rng.randrange(1, 12)))
         (row,) = slow(both, [(1, text)])
-        a, b = both.tokens([" " + text])
-        groups, n, links = align.groups_and_links(a[0], b[0], both.a_bytes, both.b_bytes)
-        assert (n, len(links), hashlib.sha256(groups.encode()).hexdigest()) == (row[3], row[4], row[7])
+        groups, links = whole(both, text)
+        assert (groups.count(";") + 1, len(links), hashlib.sha256(groups.encode()).hexdigest()) == (row[3], row[4], row[7])
+
+
+def test_runs_of_segments_equal_single_ones(both):
+    """Also with segments among them that tokens do not spell, or that end in white space."""
+    rng = random.Random(4)
+    for _ in range(200):
+        segments = [" " + "".join(rng.choices(["a", "ing", "é", "日", "tion", "7", "\n", "ous", "▁", " "], [5, 5, 5, 5, 5, 5, 2, 5, 0.2, 0.5], k=rng.randrange(1, 6))) for _ in range(rng.randrange(1, 30))]
+        single, together = ([x for part in parts for x in both.aligned(part)] for parts in ([[s] for s in segments], [segments]))
+        for k in (1, 2, 3, 4):
+            assert [v for x in single for v in x[k]] == [v for x in together for v in x[k]]
 
 
 def test_odd_rows(spark, both, odd_documents, monkeypatch):
@@ -135,11 +150,11 @@ def test_query(spark, both, documents):
     # pairs of whole texts are slow: the walk takes their place, compared with all pairs above
     count, found = Counter(), []
     for i, text in texts:
-        a, b = both.a.encode(" " + text, add_special_tokens=False).ids, both.b.encode(text)
-        groups, n, links = align.groups_and_links(a, b, both.a_bytes, both.b_bytes)
+        a, b = both.tokens(" " + text)
+        groups, links = whole(both, text)
         count.update(links)
-        found.append((i, a, b, groups, n, links))
+        found.append((i, a, b, groups, links))
     most = Counter()
     for (_, y), n in count.items():
         most[y] = max(most[y], n)
-    assert got == sorted((str(i), len(a), len(b), n, len(links), sum(count[p] == most[p[1]] for p in links), sum(count[p] for p in links), hashlib.sha256(groups.encode()).hexdigest()) for i, a, b, groups, n, links in found)
+    assert got == sorted((str(i), len(a), len(b), groups.count(";") + 1, len(links), sum(count[p] == most[p[1]] for p in links), sum(count[p] for p in links), hashlib.sha256(groups.encode()).hexdigest()) for i, a, b, groups, links in found)
