@@ -6,16 +6,20 @@ import math
 import threading
 from collections.abc import Iterable, Mapping
 from decimal import Decimal
+from functools import reduce
 from typing import Any
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from medloom.operators.metadata import schema_document, summary_document
-from medloom.operators.privacy import OutputTooLarge, suppress_cells, validate_output_size
+from medloom.operators.privacy import OutputTooLarge, complementary_cells, suppress_cells, validate_output_size
 from medloom.operators.warehouse import register
 from medloom.plans.dialect import DialectError, to_spark
+from medloom.plans.groupsize import Masked, mask_small_groups
 from medloom.plans.sqlguard import counted_outputs, lineage_leaks, planned_counts, validate
+from medloom.session import settled
 
 _NAMES = threading.Lock()
 
@@ -38,10 +42,30 @@ def guarded_frame(spark: SparkSession, sql: str, tables: Iterable[str], k: int =
     places = sorted({*_planned(spark, sql.strip().rstrip(";"), text), *counted_outputs(analyzed)})
     planned = [rows.columns[p] for p in places if p < len(rows.columns)]
     asked = list(count_columns or []) + planned if count_columns else None
-    shown, counts = suppress_cells(rows, k, forbidden, asked, planned)
+    # aggregates of groups below k are null from here on, wherever the statement makes them
+    masked = mask_small_groups(spark, text, k, {t: spark.table(t).columns for t in tables}, forbidden)
+    hidden = spark.sql(masked.sql)
+    hidden = hidden.toDF(*rows.columns, *hidden.columns[len(rows.columns) :])
+    if masked.dimensions:
+        hidden = _with_complement(hidden, masked, {*planned, *(count_columns or [])}, k)
+    shown, counts = suppress_cells(hidden, k, forbidden, asked, planned, {*planned, *(count_columns or [])})
+    if masked.dimensions:
+        made = [c for c, is_made in zip(rows.columns, masked.made, strict=True) if is_made]
+        text_of = dict(shown.dtypes)
+        second = [F.when(~F.col("__second"), F.col(f"`{c}`")).otherwise(F.lit("suppressed") if text_of[c] == "string" else F.lit(None)).alias(c) if c in made else F.col(f"`{c}`") for c in shown.columns if not c.startswith("__")]
+        shown = shown.orderBy("__place").select(*second)
     return shown, counts, verdict.warnings
 
 
+def _with_complement(rows: DataFrame, masked: Masked, counts: set[str], k: int) -> DataFrame:
+    """The rows with their order (``__place``) and whether they are hidden for the sake of others (``__second``)."""
+    cells = settled(rows.withColumn("__place", F.monotonically_increasing_id()))
+    kinds = dict(cells.dtypes)
+    small = [F.coalesce(F.col(f"`{c}`") < k, F.lit(True)) for c in counts if kinds.get(c) in ("bigint", "int")]
+    more = complementary_cells(cells.withColumn("__hidden", reduce(lambda a, b: a | b, small, F.col("__hidden"))), masked.dimensions)
+    return cells.withColumn("__second", F.col("__place").isin(more) if more else F.lit(False)).drop("__hidden", "__size", *(f"__{n}_{i}" for i in range(masked.dimensions) for n in ("dim", "all")))
+
+
 def _planned(spark: SparkSession, sql: str, rewritten: str) -> list[int]:
     try:
         return planned_counts(spark, sql)
@@ -58,9 +82,9 @@ def _plain(value: Any) -> Any:
 class QueryService:
     """Answers aggregate questions over published tables.
 
-    Counts are followed through the analysed plan, so those below k are shown as ``<k`` whatever they are
-    called and wherever in the statement they are made; sums of constants, places of rows in windows and
-    lengths of lists are counts, too.  Arithmetic that makes a constant of a column isn't seen through.
+    No aggregate of fewer than k rows or persons has a value, in whatever spelling the statement makes it (see
+    ``groupsize``).  Columns that hold counts, followed through the analysed plan, show ``<k`` in its place,
+    also for small counts within larger groups; all others are null.
     """
 
     def __init__(self, spark: SparkSession, tables: Mapping[str, DataFrame], k: int = 10, max_rows: int = 500, forbidden: Iterable[str] = ("record_id",), project: str = "Dataset", strict: bool = False, max_fraction: float | None = None):

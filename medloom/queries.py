@@ -11,7 +11,7 @@ from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from medloom.functions.dates import parse_text, years_between
@@ -454,6 +454,76 @@ for _name, _sql in HIDDEN_COUNTS.items():
         QUERIES[_name + "_strict" * _strict] = _guarded(_sql, 200, _strict)
         ORACLES[_name + "_strict" * _strict] = "SELECT o_orderstatus, o_orderpriority, CASE WHEN count(*) < 200 THEN '<200' ELSE CAST(count(*) AS VARCHAR) END AS patients FROM orders GROUP BY 1, 2"
 
+#: The k is such that some groups of the middle scale are small.  Spellings of group sizes and of rows' values: (Spark, second engine, what a small group shows); by column.
+SPELLINGS = {
+    "times": ("COUNT(*) * 1000", "CAST(count(*) * 1000 AS VARCHAR)", "'<730'"),
+    "plus": ("COUNT(*) + 1000", "CAST(count(*) + 1000 AS VARCHAR)", "'<730'"),
+    "as_text": ("CAST(COUNT(*) AS STRING)", "CAST(count(*) AS VARCHAR)", "'<730'"),
+    "in_text": ("CONCAT('n=', COUNT(*))", "'n=' || count(*)", "'<730'"),
+    "in_struct": ("STRUCT(COUNT(*))", "'{' || count(*) || '}'", "'{null}'"),
+    "in_array": ("ARRAY(COUNT(*))", "'[' || count(*) || ']'", "'[null]'"),
+    "repeated": ("REPEAT('x', CAST(COUNT(*) DIV 10 AS INT))", "repeat('x', count(*) // 10)", "'<730'"),
+    "compared": ("CASE WHEN COUNT(*) < 730 THEN 'few' ELSE 'many' END", "'many'", "'many'"),
+    "sum_by_mean": ("ROUND(SUM(o_totalprice) / AVG(o_totalprice), 3)", "round(sum(o_totalprice) / avg(o_totalprice), 3)", "NULL"),
+    "moments": ("ROUND(REGR_SXX(o_totalprice, o_totalprice) / VAR_POP(o_totalprice), 2)", "round(count(*), 2)::DOUBLE", "NULL"),
+    "bits": ("BITMAP_COUNT(BITMAP_CONSTRUCT_AGG(o_orderkey % 1000))", "count(DISTINCT o_orderkey % 1000)", "NULL"),
+    "lengths": ("SUM(LENGTH(o_orderstatus))", "sum(length(o_orderstatus))::BIGINT", "NULL"),
+    "signs": ("SUM(SIGN(o_totalprice))", "sum(sign(o_totalprice))::DOUBLE", "NULL"),
+    "list_length": ("SIZE(ARRAY_AGG(o_totalprice))", "CAST(count(*) AS VARCHAR)", "'<730'"),
+    "a_tenth_million_by": ("ROUND(1000000.0D / COUNT(*), 0)", "CAST(round(1000000.0::DOUBLE / count(*), 0) AS VARCHAR)", "'<730'"),
+    "one_of_them": ("MAX(o_totalprice)", "max(o_totalprice)", "NULL"),
+}
+#: These list rows' values, which the strict mode refuses.
+LISTS = {"text_list": ("LENGTH(STRING_AGG(o_orderpriority, ','))", "CAST(length(string_agg(o_orderpriority, ',')) AS VARCHAR)", "'<730'"), "bins": ("SIZE(HISTOGRAM_NUMERIC(o_totalprice, 3))", "3", "NULL")}
+_LARGE = "count(*) >= 730 AND count(DISTINCT o_custkey) >= 730"
+
+
+def _spelled(columns: dict[str, tuple[str, str, str]]) -> tuple[str, str]:
+    """The statement and its SQL for the second engine."""
+    ours, theirs = ", ".join(f"{x} AS {n}" for n, (x, _, _) in columns.items()), ", ".join(f"CASE WHEN {_LARGE} THEN {x} ELSE {small} END AS {n}" for n, (_, x, small) in columns.items())
+    return tuple(f"SELECT o_orderstatus, o_orderpriority, {x} FROM orders GROUP BY o_orderstatus, o_orderpriority" for x in (ours, theirs))
+
+
+#: Statements whose groups' sizes are carried through derived tables, joins and subqueries.
+CARRIED = {
+    "guard_spellings": _spelled(SPELLINGS),
+    "guard_having": ("SELECT o_orderstatus, o_orderpriority, MAX(o_totalprice) AS most FROM orders GROUP BY o_orderstatus, o_orderpriority HAVING COUNT(*) < 5000", f"SELECT o_orderstatus, o_orderpriority, max(o_totalprice) AS most FROM orders GROUP BY 1, 2 HAVING count(*) < 5000 AND {_LARGE}"),
+    "guard_scalar_subquery": (
+        "SELECT o_orderstatus, (SELECT MAX(o_totalprice) FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '2-HIGH') AS most, COUNT(*) AS n FROM orders GROUP BY o_orderstatus",
+        f"SELECT o_orderstatus, (SELECT CASE WHEN {_LARGE} THEN max(o_totalprice) END FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '2-HIGH') AS most, CASE WHEN {_LARGE} THEN CAST(count(*) AS VARCHAR) ELSE '<730' END AS n FROM orders GROUP BY o_orderstatus",
+    ),
+    "guard_person_means": (
+        "WITH o AS (SELECT o_custkey, o_orderpriority, COUNT(*) AS n FROM orders GROUP BY o_custkey, o_orderpriority) SELECT c_mktsegment, o_orderpriority, ROUND(AVG(n), 6) AS mean_orders, ROUND(AVG(c_acctbal), 3) AS mean_balance FROM customer JOIN o ON c_custkey = o_custkey GROUP BY c_mktsegment, o_orderpriority",
+        "WITH o AS (SELECT o_custkey, o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2) SELECT c_mktsegment, o_orderpriority, CASE WHEN count(DISTINCT c_custkey) >= 260 THEN CAST(round(avg(n), 6) AS VARCHAR) ELSE '<260' END AS mean_orders, CASE WHEN count(DISTINCT c_custkey) >= 260 THEN round(avg(c_acctbal), 3) END AS mean_balance FROM customer JOIN o ON c_custkey = o_custkey GROUP BY 1, 2",
+    ),
+    "guard_groups_of_groups": (
+        "SELECT o_orderstatus, SUM(n) AS orders, MAX(most) AS most FROM (SELECT o_orderstatus, o_orderpriority, COUNT(*) AS n, MAX(o_totalprice) AS most FROM orders GROUP BY o_orderstatus, o_orderpriority) GROUP BY o_orderstatus",
+        f"SELECT o_orderstatus, CASE WHEN bool_or(big) AND sum(n) FILTER (WHERE big) >= 730 THEN CAST((sum(n) FILTER (WHERE big))::BIGINT AS VARCHAR) ELSE '<730' END AS orders, max(most) FILTER (WHERE big) AS most FROM (SELECT o_orderstatus, o_orderpriority, count(*) AS n, max(o_totalprice) AS most, {_LARGE} AS big FROM orders GROUP BY 1, 2) GROUP BY o_orderstatus",
+    ),
+}
+for _name, (_ours, _theirs) in CARRIED.items():
+    for _strict in (False, True):
+        QUERIES[_name + "_strict" * _strict], ORACLES[_name + "_strict" * _strict] = _guarded(_ours, 260 if _name == "guard_person_means" else 730, _strict), _theirs
+QUERIES["guard_lists"], ORACLES["guard_lists"] = _guarded(_spelled(LISTS)[0], 730), _spelled(LISTS)[1]
+
+@register("""SELECT o_orderstatus, o_orderpriority, n < 730 AS small, true AS right_or_hidden, false AS solved FROM
+    (SELECT o_orderstatus, o_orderpriority, least(count(*), count(DISTINCT o_custkey)) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority))""")
+def guard_cube(spark, sf_dir):
+    """Every cell of a guarded cube: whether it is shown as small, whether it is shown right or not at all, and whether its
+    equations (a total is the sum of its cells) give it away by the shown ones."""
+    sql = "SELECT o_orderstatus, o_orderpriority, COUNT(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)"
+    dims = ["o_orderstatus", "o_orderpriority"]
+    shown = settled(_guarded(sql, 730)(spark, sf_dir))
+    real = table(spark, sf_dir, "orders").cube(*dims).agg(F.count(F.lit(1)).cast("string").alias("real"))
+    hidden = F.col("n").isin("<730", "suppressed")
+    same = reduce(lambda a, b: a & b, [F.col(f"a.{d}").eqNullSafe(F.col(f"b.{d}")) for d in dims])
+    cells = shown.alias("a").join(real.alias("b"), same).select("a.*", "real", *(F.col(f"a.{d}").isNull().alias(f"all_{d}") for d in dims))
+    # the equations that a cell is in, as a part and as the total, for each dimension
+    parts = [Window.partitionBy(F.lit(d), *(x for x in dims if x != d), *(f"all_{x}" for x in dims if x != d)) for d in dims]
+    alone = reduce(lambda a, b: a | b, [F.count_if(hidden).over(w) == 1 for w in parts])
+    return cells.select(*dims, (F.col("n") == "<730").alias("small"), (hidden | (F.col("n") == F.col("real"))).alias("right_or_hidden"), (hidden & alone).alias("solved"))
+
+
 #: Statements with what the guard says of them.
 VERDICTS = [
     ("SELECT c_mktsegment, COUNT(*) AS n FROM customer GROUP BY c_mktsegment", True),
