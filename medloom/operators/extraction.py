@@ -11,6 +11,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from medloom.session import settled
+
 SUMMARY = "clinical_summary"
 ROUND_SCHEMA = "patient_id string, round int, extraction string, num_chunks int"
 REASONING_END = "assistantfinal"
@@ -115,16 +117,22 @@ def extract_one(model: Model, chunk: str, state: str | None, instructions: str,
     return state
 
 
+#: Slices of a round at most; beyond, slices grow.
+MOST_SLICES = 1000
+
+
 class Rounds:
-    """Round r gives chunk r of every patient to the model; each round is one immutable table.
+    """Round r gives chunk r of every patient to the model.
 
-    A round that was written in part is continued: patients it lacks are pending.  Rounds build on
-    each other only through the tables, so a run can stop and go on at any time.
+    A round is asked in slices of ``workers`` tasks with ``each`` patients or so.  A task publishes its answers when it ends, not when
+    its slice or round does, so a job that fails loses no finished task's answers: patients that a round lacks are pending, all
+    others are not asked again.  On a file system without rename a slice is published instead.  Rounds build on each
+    other only through the tables, so a run can stop and go on at any time.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, instructions: str = "", summary_only: bool = False, workers: int = 8, retries: int = 10):
+    def __init__(self, spark: SparkSession, folder: str, instructions: str = "", summary_only: bool = False, workers: int = 8, retries: int = 10, each: int = 8):
         self.spark, self.folder = spark, folder.rstrip("/")
-        self.instructions, self.summary_only, self.workers, self.retries = instructions, summary_only, workers, retries
+        self.instructions, self.summary_only, self.workers, self.retries, self.each = instructions, summary_only, workers, retries, each
 
     def saved(self) -> DataFrame:
         """All written records (bad lines aside), with their place."""
@@ -158,8 +166,14 @@ class Rounds:
             done = self.saved().where(F.col("round") == r).select("patient_id").distinct()
             todo = chunks.where(F.col("chunk_index") == r).join(done, "patient_id", "left_anti")
             state = last_wins(self.saved().where(F.col("round") < r)).select("patient_id", F.col("extraction").alias("state"))
-            work = todo.join(state, "patient_id", "left").select("patient_id", "chunk_text", "state", "total_chunks").repartition(self.workers)
-            work.mapInPandas(self._work(model, r), ROUND_SCHEMA).write.mode("append").json(f"{self.folder}/round={r:04d}")
+            work = todo.join(state, "patient_id", "left").select("patient_id", "chunk_text", "state", "total_chunks")
+            slices = min(MOST_SLICES, max(1, -(-work.count() // (self.workers * self.each))))
+            # fixed content: a slice must not ask whom an earlier one has answered for
+            work = settled(work.withColumn("slice", F.pmod(F.xxhash64("patient_id"), F.lit(slices))), by="slice")
+            for no in range(slices):
+                asked = work.where(F.col("slice") == no).drop("slice").repartition(self.workers)
+                answers = asked.mapInPandas(self._work(model, r), ROUND_SCHEMA)
+                answers.write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").json(f"{self.folder}/round={r:04d}")
         return self.latest()
 
     def _work(self, model: Callable[[int], Model], r: int):
@@ -217,24 +231,3 @@ class RoundRobin:
         with self._lock:
             at = next(self._next)
         return self.clients[at].generate(*args, **options)
-
-
-def split_gpus(gpus: Sequence[int], each: int) -> list[list[int]]:
-    """Groups of ``each`` devices, one per server."""
-    if not gpus:
-        raise ValueError("no GPUs")
-    if each <= 0 or len(gpus) % each:
-        raise ValueError(f"{len(gpus)} GPUs do not divide into groups of {each}")
-    return [list(gpus[k : k + each]) for k in range(0, len(gpus), each)]
-
-
-def server_arguments(extra: dict[str, Any]) -> list[str]:
-    """Command-line options: true is a bare flag, false and null are left out."""
-    out: list[str] = []
-    for name, value in extra.items():
-        if value is None or value is False:
-            continue
-        out.append("--" + name.replace("_", "-"))
-        if value is not True:
-            out.append(str(value))
-    return out

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from medloom.functions.names import table_name
 from medloom.operators.cohort import COHORT_COLUMNS
 from medloom.operators.deid import keep_filled_columns, rename_id, replace_ids, shift_dates, strip_pii
-from medloom.sources.files import is_folder, listed, name_of, replaced
+from medloom.sources.files import current, is_folder, listed, name_of, published
 
 COHORT = "cohort"
 
@@ -88,13 +88,13 @@ class Warehouse:
         self.tables[COHORT] = cohort_table(cohort)
 
     def write(self, folder: str) -> None:
-        """All tables beside the folder, which they replace as a whole at the end: none of an earlier build stays."""
+        """All tables as a new snapshot of the folder: readers see all of it or the one before, and no table of an earlier build."""
         if not self.tables:
             return
         spark = next(iter(self.tables.values())).sparkSession
-        with replaced(spark, folder) as staging:
+        with published(spark, folder) as snapshot:
             for name, rows in self.tables.items():
-                rows.write.parquet(f"{staging}/{name}")
+                rows.write.parquet(f"{snapshot}/{name}")
 
 
 def register(spark: SparkSession, tables: Mapping[str, DataFrame]) -> None:
@@ -103,5 +103,6 @@ def register(spark: SparkSession, tables: Mapping[str, DataFrame]) -> None:
 
 
 def open_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """The tables of a written warehouse, listed through Spark's file system."""
-    return {name_of(p): spark.read.parquet(p) for p in listed(spark, folder) if is_folder(spark, p)}
+    """The tables of the published snapshot, listed through Spark's file system; none before the first is published."""
+    snapshot = current(spark, folder)
+    return {name_of(p): spark.read.parquet(p) for p in listed(spark, snapshot) if is_folder(spark, p)} if snapshot else {}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 import uuid
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
@@ -84,19 +86,55 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(where, True)
 
 
-def move(spark: SparkSession, source: str, target: str) -> None:
-    fs, where = _at(spark, source)
-    if not fs.rename(where, spark._jvm.org.apache.hadoop.fs.Path(target)):
-        raise OSError(f"{source} can't be moved to {target}")
+_MANIFEST = re.compile(r"^manifest-([0-9]{8})\.json$")
+#: Snapshots that stay beside the newest, for readers that have opened them.
+KEPT = 1
+
+
+def _manifests(spark: SparkSession, folder: str) -> list[tuple[int, dict[str, Any]]]:
+    """Complete manifests by number, the newest first; one that is being written, or was cut off, is none."""
+    found = []
+    for path in listed(spark, folder):
+        if named := _MANIFEST.match(name_of(path)):
+            try:
+                content = json.loads(read_text(spark, path))
+            except ValueError:
+                continue
+            if isinstance(content, dict) and content.get("complete") is True:
+                found.append((int(named[1]), content))
+    return sorted(found, key=lambda x: -x[0])
+
+
+def current(spark: SparkSession, folder: str) -> str | None:
+    """The folder of the published snapshot, or None."""
+    found = _manifests(spark, folder)
+    return f"{folder.rstrip('/')}/{found[0][1]['snapshot']}" if found else None
 
 
 @contextmanager
-def replaced(spark: SparkSession, folder: str) -> Iterator[str]:
-    """A folder beside the target that takes its place when all has been written; after a failure the old one stays."""
-    staging = f"{folder.rstrip('/')}.staging-{uuid.uuid4().hex}"
+def published(spark: SparkSession, folder: str) -> Iterator[str]:
+    """A new snapshot below ``folder``, which readers see once all has been written.
+
+    A snapshot is a folder of its own, never changed later; publishing it is the single write of a manifest with the next number, which nothing
+    renames and nothing overwrites.  Whatever fails before leaves the old snapshot current, also where renaming is no single step.  Of two
+    writers that take the same number one fails.  Older snapshots but ``KEPT`` are deleted afterwards.
+    """
+    folder, snapshot = folder.rstrip("/"), f"snapshot-{uuid.uuid4().hex}"
+    before = _manifests(spark, folder)
     try:
-        yield staging
-        delete(spark, folder)
-        move(spark, staging, folder)
-    finally:
-        delete(spark, staging)
+        yield f"{folder}/{snapshot}"
+        numbers = [int(m[1]) for p in listed(spark, folder) if (m := _MANIFEST.match(name_of(p)))]
+        fs, where = _at(spark, f"{folder}/manifest-{max(numbers, default=0) + 1:08d}.json")
+        stream = fs.create(where, False)
+        try:
+            stream.write(bytearray(json.dumps({"snapshot": snapshot, "complete": True}).encode()))
+        finally:
+            stream.close()
+    except BaseException:
+        delete(spark, f"{folder}/{snapshot}")
+        raise
+    stays = {snapshot, *(m["snapshot"] for _, m in before[:KEPT])}
+    for number, manifest in before[KEPT:]:
+        delete(spark, f"{folder}/manifest-{number:08d}.json")
+        if manifest["snapshot"] not in stays:
+            delete(spark, f"{folder}/{manifest['snapshot']}")

@@ -123,12 +123,6 @@ def files_with_mapped_columns(spark: SparkSession, inputs: Iterable[str], mapped
     return [f for f in inputs if mapped & set(columns_of(spark, f))]
 
 
-def read_round_records(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines of a round; lines that can't be read or have no patient are left out."""
-    rows = spark.read.schema("patient_id string, round int, extraction string, num_chunks int").json(path)
-    return rows.where("patient_id IS NOT NULL")
-
-
 def write_ids(ids: DataFrame, folder: str) -> None:
     """The cohort's original ids as a table, and as a JSON list for other tools."""
     ids.write.mode("overwrite").parquet(f"{folder}/cohort_ids.parquet")

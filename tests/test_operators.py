@@ -3,6 +3,7 @@
 import datetime as dt
 import http.server
 import json
+import os
 import sys
 import threading
 
@@ -158,11 +159,6 @@ def test_failure_keeps_state():
 
 
 def test_small_helpers():
-    assert extraction.split_gpus([0, 1, 2, 3], 2) == [[0, 1], [2, 3]]
-    for bad in (([], 1), ([0, 1, 2], 2), ([0], 0)):
-        with pytest.raises(ValueError):
-            extraction.split_gpus(*bad)
-    assert extraction.server_arguments({"max_len": 5, "eager": True, "x": False, "y": None}) == ["--max-len", "5", "--eager"]
     one = extraction.RoundRobin([type("C", (), {"generate": lambda s, n=n: n})() for n in (1, 2)])
     assert [one.generate() for _ in range(3)] == [1, 2, 1]
     with pytest.raises(ValueError):
@@ -369,7 +365,6 @@ def test_model_clients():
         path, headers, body = _Server.seen[-1]
         assert path == "/v1/chat/completions" and headers["Authorization"] == "Bearer k" and body["max_tokens"] == 7 and [x["role"] for x in body["messages"]] == ["system", "user"]
         two = models.client(ModelConfig("anthropic", "m", at, "k"))
-        assert two.generate_structured("hello") == "[2]" and _Server.seen[-1][2]["system"] == models.JSON_ONLY and "temperature" not in _Server.seen[-1][2]
         servers = models.client(ModelConfig(model="m"), [f"{at}/v1", f"{at}/other"])
         assert [servers.generate("x") for _ in range(2)] == ["[1]", "[1]"] and {x[0] for x in _Server.seen[-2:]} == {"/v1/chat/completions", "/other/chat/completions"}
     finally:
@@ -379,6 +374,85 @@ def test_model_clients():
         models.client(ModelConfig("odd", "m"))
 
 
+class Dies:
+    """Answers, and notes for whom; kills its worker at one patient."""
+
+    def __init__(self, log, at=None):
+        self.log, self.at = log, at
+
+    def generate(self, prompt, *a, **k):
+        who = prompt.split("Notes:\n")[1].split()[0]
+        if who == self.at:
+            os._exit(1)
+        with open(self.log, "a") as file:
+            file.write(who + "\n")
+        return json.dumps([{"who": {"is": who}}])
+
+
+def test_answers_survive_a_killed_round(spark, tmp_path):
+    """All of the slices before the failure, and the finished tasks of its own, are pending no more and not asked again."""
+    chunks = spark.range(40).selectExpr("concat('p', id) AS patient_id", "0 AS chunk_index", "1 AS total_chunks", "concat('p', id, ' note') AS chunk_text")
+    log, rounds = tmp_path / "log", extraction.Rounds(spark, str(tmp_path / "rounds"), workers=2, each=2)
+    with pytest.raises(Exception):
+        rounds.run(chunks, lambda task: Dies(str(log), "p17"))
+    first, kept = log.read_text().split(), {r.patient_id for r in rounds.saved().collect()}
+    assert 0 < len(kept) < 40 and "p17" not in kept and kept <= set(first)
+    # what was answered and not kept belongs to the tasks that were running: two of a slice
+    assert len(set(first) - kept) <= 2 * 8 and rounds.pending(chunks) == [0]
+    progress = rounds.progress(chunks).first()
+    assert (progress.expected, progress.done) == (40, len(kept))
+    done = rounds.run(chunks, lambda task: Dies(str(log)))
+    second = log.read_text().split()[len(first) :]
+    assert not set(second) & kept and set(second) | kept == {f"p{i}" for i in range(40)} and len(second) == 40 - len(kept)
+    assert {r.patient_id: json.loads(r.extraction)[0]["who"]["is"] for r in done.collect()} == {f"p{i}": f"p{i}" for i in range(40)}
+    assert rounds.pending(chunks) == []
+
+
+@pytest.mark.parametrize("step", ["first table", "second table", "manifest", "cut manifest"])
+def test_a_failed_publication_leaves_the_old_tables(spark, tmp_path, monkeypatch, step):
+    folder = str(tmp_path / "db")
+
+    def house(value):
+        one = warehouse.Warehouse(None, None, min_non_missing=0)
+        for n in ("a", "b"):
+            one.tables[n] = spark.createDataFrame([(value,)], "v int")
+        return one
+
+    house(1).write(folder)
+    opened = warehouse.open_tables(spark, folder)
+    broken = house(2)
+    if step.endswith("table"):
+        broken.tables["a" if step == "first table" else "b"] = spark.range(1).selectExpr("raise_error('no') AS v")
+        with pytest.raises(Exception, match="no"):
+            broken.write(folder)
+    elif step == "manifest":
+        with monkeypatch.context() as m, pytest.raises(OSError):
+            m.setattr(files, "_at", lambda *a, real=files._at: (_ for _ in ()).throw(OSError("down")) if "manifest-00000002" in a[1] else real(*a))
+            broken.write(folder)
+    else:  # a writer that died within the manifest
+        (tmp_path / "db" / "manifest-00000002.json").write_text('{"snapshot": "snapshot-x", "comp')
+    assert {n: t.first().v for n, t in warehouse.open_tables(spark, folder).items()} == {"a": 1, "b": 1}
+    house(3).write(folder)
+    assert {n: t.first().v for n, t in warehouse.open_tables(spark, folder).items()} == {"a": 3, "b": 3}
+    assert opened["a"].first().v == 1  # who reads the snapshot before goes on
+    house(4).write(folder)
+    assert {n: t.first().v for n, t in warehouse.open_tables(spark, folder).items()} == {"a": 4, "b": 4}
+    assert len([p for p in (tmp_path / "db").iterdir() if p.is_dir()]) == 2
+
+
+def test_two_writers_publish_whole_snapshots(spark, tmp_path):
+    folder = str(tmp_path / "db")
+    with files.published(spark, folder) as mine:
+        spark.range(1).write.parquet(f"{mine}/t")
+        with files.published(spark, folder) as other:
+            spark.range(2).write.parquet(f"{other}/t")
+        assert warehouse.open_tables(spark, folder)["t"].count() == 2
+    assert warehouse.open_tables(spark, folder)["t"].count() == 1
+    with pytest.raises(Exception):  # a number is taken once
+        fs, where = files._at(spark, f"{folder}/manifest-00000001.json")
+        fs.create(where, False)
+
+
 def test_rebuilt_warehouse_holds_no_old_tables(spark, tmp_path):
     folder = str(tmp_path / "db")
     for names in (("a", "b"), ("b", "c")):
@@ -386,7 +460,7 @@ def test_rebuilt_warehouse_holds_no_old_tables(spark, tmp_path):
         for n in names:
             house.add(n, spark.createDataFrame([("1", n)], "record_id string, v string"), "x")
         house.write(folder)
-    assert set(warehouse.open_tables(spark, folder)) == {"b", "c"} and sorted(p.name for p in tmp_path.iterdir() if "staging" in p.name) == []
+    assert set(warehouse.open_tables(spark, folder)) == {"b", "c"}
     broken = warehouse.Warehouse(None, None, min_non_missing=0)
     broken.tables["z"] = spark.range(1).selectExpr("raise_error('no') AS v")
     with pytest.raises(Exception, match="no"):
