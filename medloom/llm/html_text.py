@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 
 from medloom.llm.common import map_batches
 
-SKIP = {"nav", "header", "footer", "aside", "form", "script", "style", "noscript", "template", "iframe", "svg", "canvas", "object", "embed", "audio", "video", "button", "select", "option", "textarea", "input", "label", "fieldset", "head", "title", "menu", "dialog", "math", "map"}
+SKIP = {"nav", "header", "footer", "aside", "form", "script", "style", "noscript", "template", "iframe", "svg", "canvas", "object", "embed", "audio", "video", "button", "select", "option", "textarea", "input", "label", "fieldset", "head", "title", "menu", "dialog", "map", "annotation", "annotation-xml"}
 #: Elements that hold text as such; others (div, section, ...) lay out a page.
 TEXT = {"h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "dl", "dt", "dd", "blockquote", "pre", "figure", "figcaption", "table", "tbody", "thead", "tfoot", "tr", "td", "th", "address", "details", "summary", "hr"}
 CELLS = {"table", "tbody", "thead", "tfoot", "tr", "td", "th"}
@@ -183,13 +183,40 @@ def threshold(values: np.ndarray) -> float:
     return cut if 2 * low.mean() < high.mean() else float(values.min())
 
 
+#: Constructs that never end and are passed over one by one; beyond, what is left is stripped of tags.
+UNFINISHED = 50
+_TAGS = re.compile(r"<[^<>]*>?")
+
+
+def _read(page: _Events, html: str) -> None:
+    """Feed a page in time linear in its length.
+
+    The parser stops at what has no end; asked to go on it would look for that end again from each place behind.  An unfinished
+    comment or tag ends with the page, as in browsers, unless a > follows (a quote was not closed): then text goes on behind it.
+    """
+    page.feed(html)
+    for _ in range(UNFINISHED):
+        rest = page.rawdata
+        if not rest.startswith("<") or page.cdata_elem:
+            page.close()
+            return
+        page.rawdata = ""
+        if rest.startswith("<!--") or not (rest[1:2].isalpha() or rest[1:2] in "/!?") and len(rest) == 1:
+            return
+        end = rest.find(">")
+        if end < 0:
+            return
+        page.feed(rest[end + 1 :])
+    rest, page.rawdata = page.rawdata, ""
+    page.handle_data(_TAGS.sub(" ", rest))
+
+
 def extract(html: str | None) -> str:
     """The page's main text: a line per block, white space collapsed; empty if there is none."""
     if not html:
         return ""
     page = _Events()
-    page.feed(html)
-    page.close()
+    _read(page, html)
     page.flush()
     lines = _content(page)
     return "\n".join(lines[i][0] for i in _select(page, lines))

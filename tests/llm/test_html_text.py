@@ -1,7 +1,9 @@
 import html
 import re
+import time
 
 import numpy as np
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -151,3 +153,21 @@ def test_many_open_elements_take_linear_time():
 ])
 def test_layouts(page, want):
     assert html_text.extract(page) == want
+
+
+@pytest.mark.parametrize("unit", ["<a ", "<a b='", "</a ", "<!-- ", "<!", "<?", "<a b=\"x>", "<![CDATA[", "&", "<p", "<"])
+def test_unfinished_markup_takes_linear_time(unit):
+    began = time.perf_counter()
+    for n in (20_000, 200_000 // len(unit)):
+        html_text.extract("<html><body><article><p>Some words of the article stand here.</p></article>" + unit * n)
+    assert time.perf_counter() - began < 4
+
+
+def test_text_around_unfinished_markup():
+    long = "The words of this paragraph are many and they go on for quite a while, as those of articles do."
+    assert html_text.extract(f"<article><p>{long}</p><!-- never <p>ended") == long
+    assert html_text.extract(f"<article><p>{long}</p><a href='x' class=") == long
+    assert html_text.extract(f"<article><p>{long}</p><p>a < b and c</p></article>") == f"{long}\na < b and c"
+    assert html_text.extract(f"<article><p>{long} Tom &amp; Jo &am") .startswith(long)
+    assert html_text.extract(f"<article><p>{long}</p><p>Let <math><mi>x</mi></math> be a number in the sense of the text above.</p></article>") == f"{long}\nLet x be a number in the sense of the text above."
+    assert long in html_text.extract(f'<article><p><a href="open>link</a> {long}</p></article>')
