@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
 import json
-from collections.abc import Callable, Iterator, Sequence
+import random
+import threading
+import time
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from typing import Any, Protocol
 
 import pandas as pd
@@ -15,6 +21,8 @@ from medloom.session import settled
 
 SUMMARY = "clinical_summary"
 ROUND_SCHEMA = "patient_id string, round int, extraction string, num_chunks int"
+#: Seconds between two calls at most.
+LONGEST_WAIT = 60.0
 REASONING_END = "assistantfinal"
 
 
@@ -102,13 +110,19 @@ def update_prompt(chunk: str, instructions: str, state: str) -> str:
     return f"{instructions}\n\nFound so far:\n{state}\n\nFurther notes:\n{chunk}\n\nAnswer with the whole updated JSON list."
 
 
-def extract_one(model: Model, chunk: str, state: str | None, instructions: str, summary_only: bool = False, retries: int = 10) -> str | None:
-    """The new state; the old one if the model fails or never answers with a list."""
+def extract_one(model: Model, chunk: str, state: str | None, instructions: str, summary_only: bool = False, retries: int = 10, wait: float = 0.0) -> str | None:
+    """The new state; the old one if the model fails or never answers with a list.
+
+    After a failing call the next one waits for ``wait`` seconds, twice as long each time up to ``LONGEST_WAIT``, less a random part.
+    """
     prompt = update_prompt(chunk, instructions, state) if state else first_prompt(chunk, instructions)
+    failed = 0
     for _ in range(retries):
         try:
             answer = strip_reasoning(model.generate(prompt))
         except Exception:  # noqa: BLE001  a failing backend must not lose what is known
+            time.sleep(min(LONGEST_WAIT, wait * 2**failed) * random.uniform(0.5, 1.0))
+            failed += 1
             continue
         if summary_only:
             return wrap_summary(answer)
@@ -117,6 +131,18 @@ def extract_one(model: Model, chunk: str, state: str | None, instructions: str,
     return state
 
 
+def side_by_side(work: Callable[..., Any], rows: Iterable[tuple], threads: int) -> Iterator[Any]:
+    """Results of calls in the order of their rows, at most ``threads`` at a time and twice as many begun or held."""
+    waiting: deque = deque()
+    with ThreadPoolExecutor(threads) as pool:
+        for row in rows:
+            waiting.append(pool.submit(work, *row))
+            if len(waiting) >= 2 * threads:
+                yield waiting.popleft().result()
+        while waiting:
+            yield waiting.popleft().result()
+
+
 #: Slices of a round at most; beyond, slices grow.
 MOST_SLICES = 1000
 
@@ -124,15 +150,17 @@ MOST_SLICES = 1000
 class Rounds:
     """Round r gives chunk r of every patient to the model.
 
-    A round is asked in slices of ``workers`` tasks with ``each`` patients or so.  A task publishes its answers when it ends, not when
+    At most ``workers`` requests run at a time, ``threads`` of them side by side in a task.  A round is asked in slices of
+    ``workers * each`` patients or so.  A task publishes its answers when it ends, not when
     its slice or round does, so a job that fails loses no finished task's answers: patients that a round lacks are pending, all
     others are not asked again.  On a file system without rename a slice is published instead.  Rounds build on each
     other only through the tables, so a run can stop and go on at any time.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, instructions: str = "", summary_only: bool = False, workers: int = 8, retries: int = 10, each: int = 8):
+    def __init__(self, spark: SparkSession, folder: str, instructions: str = "", summary_only: bool = False, workers: int = 8, retries: int = 10, each: int = 8, threads: int = 4, wait: float = 0.5):
         self.spark, self.folder = spark, folder.rstrip("/")
         self.instructions, self.summary_only, self.workers, self.retries, self.each = instructions, summary_only, workers, retries, each
+        self.threads, self.wait = min(threads, workers), wait
 
     def saved(self) -> DataFrame:
         """All written records (bad lines aside), with their place."""
@@ -171,18 +199,19 @@ class Rounds:
             # fixed content: a slice must not ask whom an earlier one has answered for
             work = settled(work.withColumn("slice", F.pmod(F.xxhash64("patient_id"), F.lit(slices))), by="slice")
             for no in range(slices):
-                asked = work.where(F.col("slice") == no).drop("slice").repartition(self.workers)
+                asked = work.where(F.col("slice") == no).drop("slice").repartition(-(-self.workers // self.threads))
                 answers = asked.mapInPandas(self._work(model, r), ROUND_SCHEMA)
                 answers.write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").json(f"{self.folder}/round={r:04d}")
         return self.latest()
 
     def _work(self, model: Callable[[int], Model], r: int):
-        instructions, summary_only, retries = self.instructions, self.summary_only, self.retries
+        instructions, summary_only, retries, wait, threads = self.instructions, self.summary_only, self.retries, self.wait, self.threads
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             client = model(TaskContext.get().partitionId())
+            ask = lambda c, s: extract_one(client, c, s if isinstance(s, str) else None, instructions, summary_only, retries, wait)
             for frame in frames:
-                states = [extract_one(client, c, s if isinstance(s, str) else None, instructions, summary_only, retries) for c, s in zip(frame.chunk_text, frame.state, strict=True)]
+                states = list(side_by_side(ask, zip(frame.chunk_text, frame.state, strict=True), threads))
                 yield pd.DataFrame({"patient_id": frame.patient_id, "round": r, "extraction": states, "num_chunks": frame.total_chunks})
 
         return run
@@ -216,18 +245,58 @@ def silver_labels(spark: SparkSession, chunks: DataFrame, folder: str, model: Ca
     return spark.read.parquet(f"{folder}/labels")
 
 
+class Paused(RuntimeError):
+    """A server that failed too often is not asked for a while."""
+
+
+class Breaker:
+    """A client that is not called for ``pause`` seconds after ``failures`` calls in a row have failed; then one call tries it again."""
+
+    def __init__(self, client: Model, failures: int = 3, pause: float = 30.0):
+        self.client, self.failures, self.pause = client, failures, pause
+        self._failed, self._until, self._lock = 0, 0.0, threading.Lock()
+
+    def __getstate__(self) -> dict[str, Any]:
+        return {n: v for n, v in self.__dict__.items() if n != "_lock"}
+
+    def __setstate__(self, state: dict[str, Any]) -> None:
+        self.__dict__.update(state, _lock=threading.Lock())
+
+    @property
+    def paused(self) -> bool:
+        return time.monotonic() < self._until
+
+    def generate(self, *args: Any, **options: Any) -> str:
+        with self._lock:
+            if self.paused:
+                raise Paused
+            if self._failed >= self.failures:  # others wait for what the trial says
+                self._until = time.monotonic() + self.pause
+        try:
+            answer = self.client.generate(*args, **options)
+        except Exception:
+            with self._lock:
+                self._failed += 1
+                if self._failed >= self.failures:
+                    self._until = time.monotonic() + self.pause
+            raise
+        with self._lock:
+            self._failed, self._until = 0, 0.0
+        return answer
+
+
 class RoundRobin:
-    """Calls to several clients in turn; safe for threads."""
+    """Calls to several clients in turn, paused ones left out; safe for threads."""
 
     def __init__(self, clients: Sequence[Model]):
         if not clients:
             raise ValueError("no clients")
-        import itertools
-        import threading
-
         self.clients, self._next, self._lock = list(clients), itertools.cycle(range(len(clients))), threading.Lock()
 
     def generate(self, *args: Any, **options: Any) -> str:
-        with self._lock:
-            at = next(self._next)
-        return self.clients[at].generate(*args, **options)
+        for _ in self.clients:
+            with self._lock:
+                at = next(self._next)
+            if not getattr(self.clients[at], "paused", False):
+                return self.clients[at].generate(*args, **options)
+        raise Paused

@@ -13,14 +13,14 @@ from dataclasses import dataclass, field
 from typing import Any
 
 from medloom.config import ModelConfig, ServerConfig
-from medloom.operators.extraction import RoundRobin, strip_reasoning
+from medloom.operators.extraction import Breaker, RoundRobin, strip_reasoning
 
 TIMEOUT_SECONDS = 600
 
 
-def _post(url: str, headers: dict[str, str], body: dict[str, Any]) -> dict[str, Any]:
+def _post(url: str, headers: dict[str, str], body: dict[str, Any], seconds: float = TIMEOUT_SECONDS) -> dict[str, Any]:
     request = urllib.request.Request(url, json.dumps(body).encode(), {"content-type": "application/json", **headers})
-    with urllib.request.urlopen(request, timeout=TIMEOUT_SECONDS) as answer:  # noqa: S310  the address is the project's own setting
+    with urllib.request.urlopen(request, timeout=seconds) as answer:  # noqa: S310  the address is the project's own setting
         return json.load(answer)
 
 
@@ -32,6 +32,7 @@ class _Client:
     max_tokens: int = 8000
     temperature: float = 0.0
     usage: dict[str, int] = field(default_factory=dict)
+    seconds: float = TIMEOUT_SECONDS
 
     def generate(self, prompt: str, system: str = "", max_tokens: int | None = None, temperature: float | None = None) -> str:
         chosen = (self.max_tokens if max_tokens is None else max_tokens, self.temperature if temperature is None else temperature)
@@ -50,7 +51,7 @@ class Completions(_Client):
 
     def _ask(self, prompt: str, system: str, max_tokens: int, temperature: float) -> tuple[str, dict[str, Any]]:
         turns = ([{"role": "system", "content": system}] if system else []) + [{"role": "user", "content": prompt}]
-        answer = _post(f"{self.base_url.rstrip('/')}/chat/completions", {"authorization": f"Bearer {self.api_key}"}, {"model": self.model, "messages": turns, "max_tokens": max_tokens, "temperature": temperature})
+        answer = _post(f"{self.base_url.rstrip('/')}/chat/completions", {"authorization": f"Bearer {self.api_key}"}, {"model": self.model, "messages": turns, "max_tokens": max_tokens, "temperature": temperature}, self.seconds)
         return strip_reasoning(answer["choices"][0]["message"]["content"] or ""), answer.get("usage") or {}
 
 
@@ -63,7 +64,7 @@ class Messages(_Client):
             body["system"] = system
         if temperature > 0:
             body["temperature"] = temperature
-        answer = _post(f"{self.base_url.rstrip('/')}/v1/messages", {"x-api-key": self.api_key, "anthropic-version": "2023-06-01"}, body)
+        answer = _post(f"{self.base_url.rstrip('/')}/v1/messages", {"x-api-key": self.api_key, "anthropic-version": "2023-06-01"}, body, self.seconds)
         return "".join(x["text"] for x in answer["content"] if x["type"] == "text"), answer.get("usage") or {}
 
 
@@ -80,7 +81,7 @@ def client(config: ModelConfig, addresses: Sequence[str] = ()) -> Any:
     if config.provider != "openai":
         raise ValueError(f"no client for the provider {config.provider!r}")
     if addresses:
-        return RoundRobin([Completions(base_url=x, **options) for x in addresses])
+        return RoundRobin([Breaker(Completions(base_url=x, **options)) for x in addresses])
     return Completions(base_url=config.base_url or "http://localhost:8000/v1", **options)
 
 

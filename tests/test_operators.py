@@ -6,6 +6,7 @@ import json
 import os
 import sys
 import threading
+import time
 
 import numpy as np
 import pytest
@@ -374,6 +375,74 @@ def test_model_clients():
         models.client(ModelConfig("odd", "m"))
 
 
+class Slow:
+    """Answers after a while, and remembers how many calls ran at a time."""
+
+    def __init__(self, seconds=0.05, dead=False):
+        self.seconds, self.dead, self.calls, self.now, self.most, self.lock = seconds, dead, 0, 0, 0, threading.Lock()
+
+    def generate(self, prompt, *a, **k):
+        with self.lock:
+            self.calls, self.now = self.calls + 1, self.now + 1
+            self.most = max(self.most, self.now)
+        time.sleep(self.seconds)
+        with self.lock:
+            self.now -= 1
+        if self.dead:
+            raise OSError("down")
+        return "[1]"
+
+
+def test_calls_run_side_by_side_and_in_order():
+    model, began = Slow(), time.perf_counter()
+    found = list(extraction.side_by_side(lambda k: (k, extraction.extract_one(model, "c", None, "")), ((k,) for k in range(48)), 8))
+    assert found == [(k, "[1]") for k in range(48)] and 2 <= model.most <= 8
+    assert time.perf_counter() - began < 48 * 0.05 / 2  # one by one they take 2.4 seconds
+    read = []
+    lazy = extraction.side_by_side(lambda k: k, ((read.append(k) or k,) for k in range(1000)), 4)
+    next(lazy)
+    assert len(read) <= 8  # no more are begun than needed
+    lazy.close()
+
+
+def test_a_dead_server_is_left_alone():
+    dead, alive = Slow(0.0, dead=True), Slow(0.0)
+    both = extraction.RoundRobin([extraction.Breaker(dead, failures=3, pause=60), extraction.Breaker(alive, failures=3, pause=60)])
+    found = list(extraction.side_by_side(lambda k: extraction.extract_one(both, "c", None, ""), ((k,) for k in range(100)), 4))
+    assert found == ["[1]"] * 100 and 3 <= dead.calls <= 6 and alive.calls == 100
+    # after the pause one call tries it again, and success closes the breaker
+    one = extraction.Breaker(dead, failures=2, pause=0.2)
+    for _ in range(2):
+        with pytest.raises(OSError):
+            one.generate("x")
+    calls = dead.calls
+    with pytest.raises(extraction.Paused):
+        one.generate("x")
+    assert dead.calls == calls and one.paused
+    time.sleep(0.25)
+    dead.dead = False
+    assert one.generate("x") == "[1]" and not one.paused and one.generate("x") == "[1]"
+    with pytest.raises(extraction.Paused):
+        gone = extraction.Breaker(Slow(0.0, dead=True), failures=1, pause=60)
+        with pytest.raises(OSError):
+            gone.generate("x")
+        extraction.RoundRobin([gone]).generate("x")
+
+
+def test_failing_calls_wait_longer_each_time(monkeypatch):
+    waits = []
+    monkeypatch.setattr(extraction.time, "sleep", waits.append)
+    monkeypatch.setattr(extraction.random, "uniform", lambda a, b: b)
+    assert extraction.extract_one(Broken(), "c", "[1]", "", retries=9, wait=0.5) == "[1]"
+    assert waits == [0.5, 1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 60.0, 60.0]
+
+
+def test_rounds_ask_side_by_side(spark, tmp_path):
+    chunks = spark.range(24).selectExpr("concat('p', id) AS patient_id", "0 AS chunk_index", "1 AS total_chunks", "concat('p', id, ' note') AS chunk_text")
+    rounds = extraction.Rounds(spark, str(tmp_path / "r"), workers=8, each=8, threads=8)
+    assert {r.extraction for r in rounds.run(chunks, lambda task: Slow(0.01)).collect()} == {"[1]"} and rounds.pending(chunks) == []
+
+
 class Dies:
     """Answers, and notes for whom; kills its worker at one patient."""
 
@@ -392,7 +461,7 @@ class Dies:
 def test_answers_survive_a_killed_round(spark, tmp_path):
     """All of the slices before the failure, and the finished tasks of its own, are pending no more and not asked again."""
     chunks = spark.range(40).selectExpr("concat('p', id) AS patient_id", "0 AS chunk_index", "1 AS total_chunks", "concat('p', id, ' note') AS chunk_text")
-    log, rounds = tmp_path / "log", extraction.Rounds(spark, str(tmp_path / "rounds"), workers=2, each=2)
+    log, rounds = tmp_path / "log", extraction.Rounds(spark, str(tmp_path / "rounds"), workers=2, each=2, threads=1)
     with pytest.raises(Exception):
         rounds.run(chunks, lambda task: Dies(str(log), "p17"))
     first, kept = log.read_text().split(), {r.patient_id for r in rounds.saved().collect()}
