@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from medloom.functions.dates import find_date_column, is_blank
@@ -116,17 +116,26 @@ def sorted_notes(notes: DataFrame, pid: str = "patient_id", date: str = "date")
     return notes.orderBy(*order)
 
 
-def concatenate(notes: DataFrame, pid: str = "patient_id", text: str = "text", date: str = "date", kind: str = "note_type") -> DataFrame:
-    """(patient, notes): each patient's notes in order under headers; short and null texts are left out."""
+def entries(notes: DataFrame, text: str, date: str, kind: str, key: Column) -> DataFrame:
+    """Notes under their headers (``entry``) with the columns that order them; short and null texts are left out."""
     kinds = F.coalesce(F.col(kind).cast("string"), F.lit("unknown")) if kind in notes.columns else F.lit("unknown")
     dates = F.coalesce(F.col(date).cast("string"), F.lit("")) if date in notes.columns else F.lit("")
     place = [F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in ("file_no", "row_no") if c in notes.columns]
     entry = F.concat(F.lit("--- "), kinds, F.lit(" | "), dates, F.lit(" ---\n"), F.col(text))
     no_date = F.col(date).isNull() if date in notes.columns else F.lit(True)
-    held = F.struct(no_date.alias("none"), dates.alias("date"), *place, entry.alias("entry"))
     rows = notes.where(F.length(F.coalesce(F.col(text), F.lit("nan"))) >= MIN_NOTE_CHARS)
-    grouped = rows.groupBy(pid).agg(F.array_sort(F.collect_list(held)).alias("_all"))
-    return grouped.select(pid, F.array_join(F.transform("_all", lambda x: x["entry"]), "\n\n").alias("notes"))
+    return rows.select(key, no_date.alias("none"), dates.alias("date"), *place, entry.alias("entry"))
+
+
+def concatenate(notes: DataFrame, pid: str = "patient_id", text: str = "text", date: str = "date", kind: str = "note_type") -> DataFrame:
+    """(patient, notes): each patient's notes in order under headers; short and null texts are left out.
+
+    A patient's whole text is one value here; ``longnotes.chunk_patients`` makes chunks without it.
+    """
+    rows = entries(notes, text, date, kind, F.col(pid).alias("key"))
+    held = F.struct(*[c for c in rows.columns if c != "key"])
+    grouped = rows.groupBy("key").agg(F.array_sort(F.collect_list(held)).alias("_all"))
+    return grouped.select(F.col("key").alias(pid), F.array_join(F.transform("_all", lambda x: x["entry"]), "\n\n").alias("notes"))
 
 
 def chunk_notes(texts: DataFrame, size: int = 40_000, overlap: int = 200, tokenizer: Callable[[], Tokenizer] | None = PieceTokenizer, pid: str = "patient_id", text: str = "notes") -> DataFrame:

@@ -20,7 +20,8 @@ from medloom.operators.cohort import CohortSpec, build_cohort, sequential_ids
 from medloom.operators.extraction import Model, Rounds, flatten_long, flatten_wide, is_summary_only, silver_labels, summaries
 from medloom.operators.harmonize import harmonize, mapped_columns, mappings_from_config
 from medloom.operators.metadata import write_documents
-from medloom.operators.notes import chunk_notes, concatenate, consolidate, sorted_notes, standard_notes
+from medloom.operators.longnotes import chunk_patients
+from medloom.operators.notes import consolidate, sorted_notes, standard_notes
 from medloom.operators.warehouse import Warehouse, distinct_ids, open_tables, split_categories
 from medloom.sources import files, io
 from medloom.sources.models import factory
@@ -108,8 +109,8 @@ class Pipeline:
             notes = notes.withColumnRenamed(e.patient_id_column, "patient_id")
         if (ids := self._cohort_ids()) is not None:
             notes = notes.withColumn("patient_id", F.col("patient_id").cast("string")).join(ids, "patient_id", "left_semi")
-        texts = concatenate(notes, "patient_id", e.notes_text_column, e.notes_date_column, e.notes_type_column)
-        chunk_notes(texts, e.chunk_tokens, e.overlap_tokens).write.mode("overwrite").parquet(stored)
+        chunks = chunk_patients(notes, e.chunk_tokens, e.overlap_tokens, text=e.notes_text_column, date=e.notes_date_column, kind=e.notes_type_column)
+        chunks.write.mode("overwrite").parquet(stored)
         return self.spark.read.parquet(stored)
 
     def extract(self, resume: bool = True) -> None:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from medloom.functions.dates import parse_text, years_between
 from medloom.ontology import sites
-from medloom.operators import cohort, deid, extraction, harmonize, metadata, notes, privacy, relational, reward, warehouse
+from medloom.operators import cohort, deid, extraction, harmonize, longnotes, metadata, notes, privacy, relational, reward, warehouse
 from medloom.plans.service import QueryService, guarded_frame
 from medloom.plans.sqlguard import validate
 from medloom.session import settled, spread
@@ -157,6 +157,22 @@ def chunk_texts(spark, sf_dir):
     return notes.chunk_notes(texts, 100, 10)
 
 
+@register(r"""WITH RECURSIVE t AS (SELECT source AS p, string_agg('--- ' || coalesce(lang, 'unknown') || ' |  ---' || chr(10) || text, chr(10) || chr(10) ORDER BY doc_id) AS notes
+        FROM documents WHERE length(text) >= 10 GROUP BY source),
+    w AS (SELECT p, regexp_extract_all(notes, '\s*\S+|\s+$') AS w FROM t),
+    m AS (SELECT p, w, len(w) AS n, [i FOR i IN range(0, len(w) - 1) IF regexp_matches(w[i + 1], '\n---$') AND w[i + 2][1] = ' '] AS marks FROM w),
+    r AS (SELECT p, 0 AS k, 0::BIGINT AS a, 0::BIGINT AS b, 0::BIGINT AS mark FROM m
+        UNION ALL SELECT p, k, a, CASE WHEN least(a + 1000, n) < n AND found >= greatest(a, least(a + 1000, n) - 500) THEN found ELSE least(a + 1000, n) END, found FROM (
+            SELECT m.p, m.n, k + 1 AS k, CASE WHEN k = 0 THEN 0 ELSE greatest(a + 1, b - 50) END AS a,
+                   coalesce(list_max([i FOR i IN marks IF i + 1 < least(CASE WHEN k = 0 THEN 0 ELSE greatest(a + 1, b - 50) END + 1000, m.n)]), -1) AS found
+            FROM r JOIN m ON r.p IS NOT DISTINCT FROM m.p WHERE b < m.n))
+    SELECT m.p AS patient_id, (k - 1)::INTEGER AS chunk_index, max(k) OVER (PARTITION BY m.p)::INTEGER AS total_chunks, array_to_string(w[a + 1 : b], '') AS chunk_text
+    FROM r JOIN m ON r.p IS NOT DISTINCT FROM m.p WHERE k > 0""")
+def chunk_large_patients(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select(F.col("source").alias("patient_id"), "text", F.col("lang").alias("note_type"), F.col("doc_id").alias("row_no"))
+    return longnotes.chunk_patients(rows, 1000, 50)
+
+
 @register("""WITH t AS (SELECT conv_id, string_agg('--- ' || role || ' |  ---' || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS notes FROM conversations WHERE length(text) >= 10 GROUP BY conv_id)
     SELECT CAST(conv_id AS VARCHAR) AS patient_id, 0 AS chunk_index, 1 AS total_chunks, notes AS chunk_text FROM t""")
 def chunks_without_tokenizer(spark, sf_dir):
