@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from medloom.functions.names import on_dashboard
+from medloom.operators.distribution import counted, interpolated, places
 from medloom.operators.privacy import suppress_count
 from medloom.session import settled
 from medloom.sources.files import write_text
@@ -50,29 +51,14 @@ def top_values(rows: DataFrame, columns: list[str], limit: int = TOP) -> DataFra
 def numeric_profile(rows: DataFrame, columns: list[str]) -> DataFrame:
     """(column_name, n, min, max, mean, median, q1, q3), rounded to two places.
 
-    Quantiles are exact: values are counted per column and dealt to parts by rough bounds, parts report
-    their counts, and the rows that a quantile falls on are picked by running counts, so no task holds a
-    column's values.
+    Quantiles are exact and no task holds a column's values (``distribution.places``).
     """
     pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("no"), F.col(f"`{c}`").cast("double").alias("x")) for k, c in enumerate(columns)]))
-    values = rows.select(pairs.alias("p")).select("p.*").where("x IS NOT NULL")
-    counted = settled(values.groupBy("no", "x").agg(F.count(F.lit(1)).alias("n")))
-    # rough bounds of even parts, as many for each column as there are shuffle partitions: they only share out the work
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rough = counted.groupBy("no").agg(F.percentile_approx("x", F.array(*[F.lit(k / parts) for k in range(1, parts)] or [F.lit(0.5)]), 1000).alias("bounds"))
-    placed = counted.join(F.broadcast(rough), "no").select("no", "x", "n", F.size(F.filter("bounds", lambda b: b < F.col("x"))).alias("part"))
-    sums = placed.groupBy("no", "part").agg(F.sum("n").alias("all"))  # a row for each partition and column
-    ahead = sums.select("no", "part", F.coalesce(F.sum("all").over(Window.partitionBy("no").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
-    inside = Window.partitionBy("no", "part").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = placed.withColumn("upto", F.sum("n").over(inside)).join(F.broadcast(ahead), ["no", "part"]).withColumn("upto", F.col("upto") + F.col("ahead"))
+    counts = settled(counted(rows.select(pairs.alias("p")).select("p.*"), ["no"], F.col("x")))
     # whole-column figures from the same counts: one row for each column
-    figures = placed.groupBy("no").agg(F.sum("n").alias("n"), F.min("x").alias("min"), F.max("x").alias("max"), (F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("mean"))
-    wanted = figures.select("no", F.explode(F.array(*[F.struct(F.lit(q).alias("q"), (q * (F.col("n") - 1)).alias("place")) for q in (0.25, 0.5, 0.75)])).alias("w")).select("no", "w.*")
-    wanted = wanted.withColumns({"low": F.floor("place"), "high": F.ceil("place")})
-    hit = ranked.join(F.broadcast(wanted), "no").where((F.col("upto") > F.col("low")) & (F.col("upto") - F.col("n") <= F.col("high")))
-    at = lambda c: F.max(F.when((F.col("upto") - F.col("n") <= F.col(c)) & (F.col("upto") > F.col(c)), F.col("x")))
-    quantiles = hit.groupBy("no", "q").agg(at("low").alias("a"), at("high").alias("b"), F.first(F.col("place") - F.col("low")).alias("part"))
-    by_column = quantiles.groupBy("no").agg(*[F.max(F.when(F.col("q") == q, F.col("a") + F.when(F.col("a") == F.col("b"), 0.0).otherwise((F.col("b") - F.col("a")) * F.col("part")))).alias(name) for name, q in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))])
+    figures = counts.groupBy("k.no").agg(F.sum("n").alias("n"), F.min("x").alias("min"), F.max("x").alias("max"), (F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("mean"))
+    value = interpolated(F.col("low"), F.col("high"), F.col("between"))
+    by_column = places(counts, [0.25, 0.5, 0.75]).groupBy("k.no").agg(*[F.max(F.when(F.col("q") == q, value)).alias(name) for name, q in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))])
     names = rows.sparkSession.createDataFrame(list(enumerate(columns)), "no int, column_name string")
     every = names.join(F.broadcast(figures), "no", "left").join(F.broadcast(by_column), "no", "left")
     return every.select("column_name", F.coalesce("n", F.lit(0)).alias("n"), *[F.round(c, 2).alias(c) for c in ("min", "max", "mean", "median", "q1", "q3")])

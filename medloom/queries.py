@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from medloom.functions.dates import parse_text, years_between
 from medloom.ontology import sites
-from medloom.operators import cohort, deid, extraction, harmonize, longnotes, metadata, notes, privacy, relational, reward, warehouse
+from medloom.operators import cohort, deid, distribution, extraction, harmonize, longnotes, metadata, notes, privacy, relational, reward, warehouse
 from medloom.plans.service import QueryService, guarded_frame
 from medloom.plans.sqlguard import validate
 from medloom.session import settled, spread
@@ -229,6 +229,27 @@ def numeric_profile(spark, sf_dir):
     return metadata.numeric_profile(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice", "l_tax"])
 
 
+@register("""SELECT l_returnflag, l_linestatus, round(quantile_cont(l_extendedprice::DOUBLE, 0.05), 4) AS p5, round(quantile_cont(l_extendedprice::DOUBLE, 0.5), 4) AS median, round(quantile_cont(l_extendedprice::DOUBLE, 0.99), 4) AS p99
+    FROM lineitem GROUP BY 1, 2""")
+def group_quantiles(spark, sf_dir):
+    found = distribution.quantiles(table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice", {"p5": 0.05, "median": 0.5, "p99": 0.99})
+    return found.select("l_returnflag", "l_linestatus", *[F.round(c, 4).alias(c) for c in ("p5", "median", "p99")])
+
+
+@register("""WITH w AS (SELECT source, unnest(string_split_regex(text, '[ \n\t]+')) AS word FROM documents WHERE text IS NOT NULL),
+    c AS (SELECT source, word, count(*) AS n FROM w GROUP BY 1, 2)
+    SELECT source, CAST(sum(n) AS BIGINT) AS n, count(*) AS n_values, round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 6) AS entropy FROM c GROUP BY 1""")
+def word_entropy(spark, sf_dir):
+    words = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("source", F.explode(F.split("text", "[ \n\t]+")).alias("word"))
+    found = distribution.entropy(words, ["source"], "word")
+    return found.select("source", "n", "n_values", F.round("entropy", 6).alias("entropy"))
+
+
+@register("SELECT o_orderpriority, o_orderstatus, o_orderdate AS value, count(*) AS n FROM orders GROUP BY 1, 2, 3")
+def group_histogram(spark, sf_dir):
+    return distribution.histogram(table(spark, sf_dir, "orders"), ["o_orderpriority", "o_orderstatus"], "o_orderdate")
+
+
 @register("""SELECT o_orderdate_year, o_orderpriority, CASE WHEN n < 30 THEN '<30' ELSE CAST(n AS VARCHAR) END AS n_orders FROM
     (SELECT CAST(year(o_orderdate) AS BIGINT) AS o_orderdate_year, o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2)""")
 def small_cell_suppress(spark, sf_dir):
