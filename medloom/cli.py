@@ -1,4 +1,4 @@
-"""Commands: pipeline, query, metadata, labels.  Models are those of the configuration."""
+"""Commands: pipeline, query, metadata, labels, training, rewards.  Models are those of the configuration."""
 
 from __future__ import annotations
 
@@ -25,6 +25,8 @@ def main(argv: Sequence[str] | None = None) -> int:
     query.add_argument("--strict", action="store_true")
     commands.add_parser("metadata")
     commands.add_parser("labels")
+    commands.add_parser("training")
+    commands.add_parser("rewards").add_argument("summaries")
     args = parser.parse_args(argv)
     config, spark = load_config(args.config), build_session()
     if args.command == "query":
@@ -33,6 +35,10 @@ def main(argv: Sequence[str] | None = None) -> int:
         print(json.dumps(service.execute(args.sql), default=str))
     elif args.command == "labels":
         Pipeline(spark, config).labels()
+    elif args.command == "training":
+        Pipeline(spark, config).training()
+    elif args.command == "rewards":
+        Pipeline(spark, config).rewards(args.summaries)
     else:
         stages = ["metadata"] if args.command == "metadata" else args.stages
         Pipeline(spark, config).run(stages, not getattr(args, "no_resume", False))

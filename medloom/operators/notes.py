@@ -69,18 +69,6 @@ def chunk_text(text: str, tokenizer: Tokenizer, size: int = 40_000, overlap: int
     return [text[a:b] for a, b in chunk_spans(text, tokenizer, size, overlap, marker, window)]
 
 
-def truncated(texts: DataFrame, tokens: int, tokenizer: Callable[[], Tokenizer] = PieceTokenizer, text: str = "notes") -> DataFrame:
-    """texts with at most the first ``tokens`` tokens of each text; nulls stay."""
-
-    @F.pandas_udf("string")
-    def cut(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        one = tokenizer()
-        for part in parts:
-            yield part.map(lambda t: t if t is None or len(ends := one.ends(t)) <= tokens else t[: ends[tokens - 1]] if tokens else "")
-
-    return texts.withColumn(text, cut(F.col(text)))
-
-
 def standard_notes(source: DataFrame, file_no: int, pid_column: str, pid: str = "patient_id", text: str = "text", date: str = "date", kind: str = "note_type") -> DataFrame | None:
     """One file's notes with standard names and their place; None if it lacks ids or texts.
 

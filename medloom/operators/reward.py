@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medloom.operators.notes import PieceTokenizer, Tokenizer, concatenate, truncated
+from medloom.operators.extraction import Model, Rounds, flatten_long
+from medloom.operators.longnotes import chunk_patients
+from medloom.operators.notes import PieceTokenizer, Tokenizer, concatenate
 
 WRONG_VALUE = 0.25
 
@@ -43,13 +45,59 @@ def field_f1(extracted: DataFrame, reference: DataFrame, pid: str = "patient_id"
     return rows.select(pid, precision.alias("precision"), recall.alias("recall"), f1.alias("f1"))
 
 
-def training_examples(notes: DataFrame, labels: DataFrame, instructions: str, max_patients: int | None = None, pid: str = "patient_id", max_prompt_tokens: int | None = None, tokenizer: Callable[[], Tokenizer] = PieceTokenizer) -> DataFrame:
+def summary_rewards(
+    spark: SparkSession,
+    summaries: DataFrame,
+    labels: DataFrame,
+    folder: str,
+    model: Callable[[int], Model],
+    instructions: str = "",
+    workers: int = 8,
+    retries: int = 10,
+    each: int = 8,
+) -> DataFrame:
+    """(patient_id, sample, reward): how much of its label each summary tells, by the F1 of what a model extracts from it.
+
+    ``summaries`` has patient_id, summary and, where a patient has several, sample (a string; else null).
+    Answers are kept in ``folder`` as rounds keep them: a run that was cut off goes on, one that has ended asks nobody.
+    The reward is 0 without a label or an entry in it, for null and empty summaries, and where nothing is extracted.  Of rows
+    with the same patient and sample the last summary in order of text counts.
+    """
+    sample = F.col("sample").cast("string") if "sample" in summaries.columns else F.lit(None).cast("string")
+    one = summaries.select(F.col("patient_id").cast("string").alias("patient_id"), sample.alias("sample"), F.nullif(F.trim("summary"), F.lit("")).alias("summary"))
+    one = one.groupBy("patient_id", "sample").agg(F.max("summary").alias("summary"))
+    one = one.withColumn("key", F.to_json(F.struct("patient_id", "sample")))
+    asked = one.where("summary IS NOT NULL").select(F.col("key").alias("patient_id"), F.lit(0).alias("chunk_index"), F.lit(1).alias("total_chunks"), F.col("summary").alias("chunk_text"))
+    answers = Rounds(spark, folder, instructions, workers=workers, retries=retries, each=each).run(asked, model)
+    extracted = flatten_long(answers).withColumnRenamed("patient_id", "key")
+    told = labels.select(F.col("patient_id").cast("string").alias("patient_id"), "extraction")
+    reference = flatten_long(one.where("summary IS NOT NULL").select("patient_id", "key").join(told, "patient_id").select("key", "extraction"), "key")
+    # both sides need an entry
+    scores = field_f1(extracted, reference, "key").join(extracted.select("key"), "key", "left_semi").join(reference.select("key"), "key", "left_semi")
+    return one.join(scores, "key", "left").select("patient_id", "sample", F.coalesce("f1", F.lit(0.0)).alias("reward"))
+
+
+def training_examples(
+    notes: DataFrame,
+    labels: DataFrame,
+    instructions: str,
+    max_patients: int | None = None,
+    pid: str = "patient_id",
+    max_prompt_tokens: int | None = None,
+    tokenizer: Callable[[], Tokenizer] = PieceTokenizer,
+    text: str = "text",
+    date: str = "date",
+    kind: str = "note_type",
+) -> DataFrame:
     """(patient, prompt, label): notes of patients that have a label, the first so many patients by id,
-    notes cut to so many tokens."""
+    notes cut to so many tokens (at least one); then no task holds more of a patient."""
     if max_patients is not None:  # of all patients with notes, as those without a label count, too
         first = notes.select(pid).distinct().orderBy(pid).limit(max_patients)
         notes = notes.join(first, pid, "left_semi")
-    rows = concatenate(notes, pid).join(labels.select(pid, F.col("extraction").alias("label")), pid)
-    if max_prompt_tokens is not None:
-        rows = truncated(rows, max_prompt_tokens, tokenizer)
-    return rows.select(pid, F.format_string("%s\n\nNotes:\n%s", F.lit(instructions), F.col("notes")).alias("prompt"), "label")
+    labels = labels.select(pid, F.col("extraction").alias("label"))
+    if max_prompt_tokens is None:
+        texts = concatenate(notes, pid, text, date, kind)
+    else:  # the first chunk, wherever notes begin
+        cut = chunk_patients(notes.join(labels, pid, "left_semi"), max_prompt_tokens, 0, tokenizer, pid, text, date, kind, window=0)
+        texts = cut.where("chunk_index = 0").withColumnRenamed("chunk_text", "notes")
+    return texts.join(labels, pid).select(pid, F.format_string("%s\n\nNotes:\n%s", F.lit(instructions), F.col("notes")).alias("prompt"), "label")

@@ -17,11 +17,12 @@ from medloom.config import ProjectConfig
 from medloom.functions.names import category_of
 from medloom.ontology.catalog import Registry, combined_prompt, propose_tables
 from medloom.operators.cohort import CohortSpec, build_cohort, sequential_ids
-from medloom.operators.extraction import Model, Rounds, flatten_long, flatten_wide, is_summary_only, silver_labels, summaries
+from medloom.operators.extraction import SUMMARY, Model, Rounds, flatten_long, flatten_wide, is_summary_only, silver_labels, summaries
 from medloom.operators.harmonize import harmonize, mapped_columns, mappings_from_config
-from medloom.operators.metadata import write_documents
 from medloom.operators.longnotes import chunk_patients
+from medloom.operators.metadata import write_documents
 from medloom.operators.notes import consolidate, sorted_notes, standard_notes
+from medloom.operators.reward import summary_rewards, training_examples
 from medloom.operators.warehouse import Warehouse, distinct_ids, open_tables, split_categories
 from medloom.sources import files, io
 from medloom.sources.models import factory
@@ -97,18 +98,24 @@ class Pipeline:
             return
         sorted_notes(consolidate(found, self._cohort_ids()), date=e.notes_date_column).write.mode("overwrite").parquet(f"{self.out}/notes.parquet")
 
-    def _chunks(self) -> DataFrame | None:
-        """The chunks of the cohort's notes, stored."""
+    def _notes(self) -> DataFrame | None:
+        """The cohort's notes."""
         e = self.config.extraction
         path = io.first_existing(self.spark, self.out, ("notes.parquet", "notes.csv"), self.config.input_paths)
         if not path:
             return None
-        stored = f"{self.out}/chunks.parquet"
         notes = io.read_file(self.spark, path)
         if e.patient_id_column in notes.columns and "patient_id" not in notes.columns:
             notes = notes.withColumnRenamed(e.patient_id_column, "patient_id")
         if (ids := self._cohort_ids()) is not None:
             notes = notes.withColumn("patient_id", F.col("patient_id").cast("string")).join(ids, "patient_id", "left_semi")
+        return notes
+
+    def _chunks(self) -> DataFrame | None:
+        """Their chunks, stored."""
+        e, stored = self.config.extraction, f"{self.out}/chunks.parquet"
+        if (notes := self._notes()) is None:
+            return None
         chunks = chunk_patients(notes, e.chunk_tokens, e.overlap_tokens, text=e.notes_text_column, date=e.notes_date_column, kind=e.notes_type_column)
         chunks.write.mode("overwrite").parquet(stored)
         return self.spark.read.parquet(stored)
@@ -146,6 +153,30 @@ class Pipeline:
         prompt = combined_prompt(self.registry.select(t.target_ontology_ids), e.cancer_type)
         return silver_labels(self.spark, chunks, f"{self.out}/labels", model, prompt, e.patient_workers, e.max_retries)
 
+    def training(self) -> DataFrame | None:
+        """(patient_id, prompt, label): what a model of summaries is trained on, from notes and labels; stored."""
+        t, e = self.config.training, self.config.extraction
+        labels = self.labels()
+        if labels is None:
+            return None
+        notes = self._notes()
+        rows = training_examples(notes, labels, combined_prompt([self.registry.get(SUMMARY)], e.cancer_type), t.max_patients, max_prompt_tokens=t.max_prompt_tokens, text=e.notes_text_column, date=e.notes_date_column, kind=e.notes_type_column)
+        rows.write.mode("overwrite").parquet(f"{self.out}/training.parquet")
+        return self.spark.read.parquet(f"{self.out}/training.parquet")
+
+    def rewards(self, path: str) -> DataFrame | None:
+        """(patient_id, sample, reward) of a file of summaries against the stored labels; stored beside them."""
+        t, e = self.config.training, self.config.extraction
+        labels = self.labels()
+        model = self.label_model or factory(t.reward_llm, t.reward_vllm_servers)
+        if labels is None or model is None:
+            return None
+        prompt = combined_prompt(self.registry.select(t.target_ontology_ids), e.cancer_type)
+        stored = f"{self.out}/rewards/{files.stem_of(path)}"
+        found = summary_rewards(self.spark, io.read_file(self.spark, path), labels, f"{stored}/rounds", model, prompt, e.patient_workers, e.max_retries)
+        found.write.mode("overwrite").parquet(f"{stored}/rewards.parquet")
+        return self.spark.read.parquet(f"{stored}/rewards.parquet")
+
     def harmonize(self) -> None:
         mappings = mappings_from_config(self.config.field_mappings)
         wanted = {m.source for m in mappings}

@@ -7,6 +7,8 @@ conversations and documents the notes, events.props the extracted records.
 from __future__ import annotations
 
 import json
+import re
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -19,7 +21,7 @@ from medloom.ontology import sites
 from medloom.operators import cohort, deid, distribution, extraction, harmonize, longnotes, metadata, notes, privacy, relational, reward, warehouse
 from medloom.plans.service import QueryService, guarded_frame
 from medloom.plans.sqlguard import validate
-from medloom.session import settled, spread
+from medloom.session import settled, shared_folder, spread
 from medloom.streaming import state
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -678,6 +680,28 @@ def training_prompts(spark, sf_dir):
     return reward.training_examples(rows, labels, "Extract.", max_prompt_tokens=20)
 
 
+class TellingModel:
+    """Stands for a model: finds name=value in a summary."""
+
+    def generate(self, prompt: str) -> str:
+        said = dict(re.findall(r"(lang|source)=([^;\n]+)", prompt))
+        return json.dumps([{"document": said}] if said else [])
+
+
+@register("""WITH l AS (SELECT doc_id, lower(lang) AS lang, lower(source) AS source,
+        CASE WHEN doc_id % 3 = 0 THEN 'xx' ELSE lower(lang) END AS said, CASE WHEN doc_id % 4 = 0 THEN 'else' ELSE lower(left(source, 5)) END AS named FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL),
+    c AS (SELECT *, CASE WHEN lang = said OR (length(lang) > 3 AND length(said) > 3 AND (contains(lang, said) OR contains(said, lang))) THEN 1.0 ELSE 0.25 END AS a,
+        CASE WHEN source = named OR (length(source) > 3 AND length(named) > 3 AND (contains(source, named) OR contains(named, source))) THEN 1.0 ELSE 0.25 END AS b FROM l)
+    SELECT CAST(doc_id AS VARCHAR) AS patient_id, CAST(doc_id % 2 AS VARCHAR) AS sample, round(CASE WHEN doc_id % 5 = 0 OR doc_id % 7 = 0 THEN 0 ELSE (a + b) / 2 END, 6)::DOUBLE AS reward FROM c""")
+def summary_rewards(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").where("lang IS NOT NULL AND source IS NOT NULL")
+    said = F.concat(F.lit("lang="), F.when(F.col("doc_id") % 3 == 0, "xx").otherwise(F.col("lang")), F.lit(";source="), F.when(F.col("doc_id") % 4 == 0, "else").otherwise(F.substring("source", 1, 5)))
+    summaries = rows.select(F.col("doc_id").alias("patient_id"), (F.col("doc_id") % 2).alias("sample"), F.when(F.col("doc_id") % 7 != 0, said).otherwise("nothing is known").alias("summary"))
+    labels = rows.where("doc_id % 5 <> 0").select(F.col("doc_id").alias("patient_id"), F.to_json(F.array(F.struct(F.struct("lang", "source").alias("document")))).alias("extraction"))
+    found = reward.summary_rewards(spark, summaries, labels, f"{shared_folder(spark)}/rewards-{uuid.uuid4().hex}", lambda task: TellingModel(), workers=64, each=4000)
+    return found.withColumn("reward", F.round("reward", 6))
+
+
 #: Joins of every kind inside a guarded statement.
 GUARDED_JOINS = {
     "inner": "SELECT c_mktsegment, COUNT(*) AS n FROM customer JOIN orders ON c_key = o_key GROUP BY c_mktsegment",
