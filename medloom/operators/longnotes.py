@@ -18,7 +18,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from medloom.operators.notes import MARKER, PieceTokenizer, Tokenizer, entries
@@ -26,9 +26,22 @@ from medloom.session import settled
 
 #: Tokens of a piece of a note, the unit that is moved to chunks.
 PIECE = 1024
+#: Chunks' sizes in a stretch: pieces are dealt to tasks by patient and stretch.
+STRETCH = 8
 BETWEEN = "\n\n"
 _HEAD = "--- "
-_PIECES = "key string, part int, i long, at long, n int, text string, lengths array<int>, first boolean, tail_n int, head int, marks array<struct<s: long, e: long>>"
+_PIECES = "key string, part int, i long, at long, n int, text string, lengths binary, first boolean, tail_n int, head int, marks array<struct<s: long, e: long>>"
+
+
+def _packed(lengths: np.ndarray) -> bytes:
+    """A byte for each token, or four where one is too long for that."""
+    return lengths.astype(np.uint8 if lengths.max() < 256 else np.uint32).tobytes()
+
+
+def _begins(packed: bytes, n: int) -> np.ndarray:
+    """Where the tokens of a piece begin, and where the last one ends."""
+    lengths = np.frombuffer(packed, np.uint8 if len(packed) == n else np.uint32)
+    return np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
 
 
 def _gap(tokenizer: Tokenizer) -> list[int]:
@@ -42,7 +55,7 @@ def _pieces(tokenizer: Callable[[], Tokenizer], most: int) -> Callable[[Iterator
 
     White space behind a note's last token stays with the text, but belongs to the token that follows.
     """
-    names = [f.split()[0] for f in re.sub(r"array<struct<.*?>>|array<int>", "x", _PIECES).split(", ")]
+    names = [f.split()[0] for f in re.sub("array<struct<.*>>", "x", _PIECES).split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         one, part = tokenizer(), TaskContext.get().partitionId()
@@ -59,13 +72,13 @@ def _pieces(tokenizer: Callable[[], Tokenizer], most: int) -> Callable[[Iterator
                 marks = [{"s": int(s), "e": int(e)} for s, e in zip(begun, inside, strict=True)]
                 head = int(np.searchsorted(ends, len(_HEAD), "left"))
                 begins = np.concatenate([[0], ends])
-                lengths = np.diff(begins).astype(np.int32)
+                lengths = np.diff(begins)
                 for a in range(0, len(ends), most):
                     b = min(a + most, len(ends))
                     whole = b == len(ends)
                     text = entry[begins[a] :] if whole else entry[begins[a] : begins[b]]
                     tail = len(one.ends(entry[begins[b] :])) if whole and begins[b] < len(entry) else 0
-                    out.append((key, part, i, at + a, b - a, text, lengths[a:b], a == 0, tail, head, marks if a == 0 else []))
+                    out.append((key, part, i, at + a, b - a, text, _packed(lengths[a:b]), a == 0, tail, head, marks if a == 0 else []))
                 i, at = i + 1, at + len(ends)
             yield pd.DataFrame(out, columns=names)
 
@@ -110,35 +123,30 @@ def _borders(size: int, overlap: int, window: int) -> Callable[[Iterator[pd.Data
     return run
 
 
-def _slices(gap: list[int]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """What a chunk takes of a piece: its tokens inside, white space before a note, and white space behind the note before."""
+def _texts(gap: list[int]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """A chunk's text from the pieces that it touches, in order: tokens inside, white space before a note, and white space behind the note before."""
     steps = [0, *gap]
 
-    def part_of(text: str, lengths: np.ndarray, n: int, place: int, between: bool, first: int, stop: int) -> str:
-        begins = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+    def part_of(p: dict, first: int, stop: int) -> str:
+        place, n, text = p["place"], p["n"], p["text"]
+        begins = _begins(p["lengths"], n)
         inside = lambda t: min(max(t - place, 0), n)
         taken = text[begins[inside(first)] : begins[inside(stop)]]
-        if between and not gap:
+        if p["between"] and not gap:
             taken = (BETWEEN if first <= place < stop else "") + taken
-        elif between:
+        elif p["between"]:
             a, b = (min(max(t - (place - len(gap)), 0), len(gap)) for t in (first, stop))
             taken = BETWEEN[steps[a] : steps[b]] + taken
         return taken + (text[begins[n] :] if first <= place + n < stop else "")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            texts = [part_of(*r) for r in zip(f.text, f.lengths, f.n, f.place, f.between, f["first"], f.stop, strict=True)]
-            yield pd.DataFrame({"key": f.key, "chunk": f.chunk, "place": f.place, "text": texts})
+            texts = ["".join(part_of(p, first, stop) for p in sorted(held, key=lambda p: p["place"])) for held, first, stop in zip(f.held, f["first"], f.stop, strict=True)]
+            yield pd.DataFrame({"key": f.key, "chunk": f.chunk, "total": f.total, "chunk_text": texts})
 
     return run
 
 
-def _buckets(low: Column, high: Column, size: int) -> Column:
-    """The stretches of ``size`` tokens that [low, high) touches, at least one."""
-    width = F.lit(size).cast("long")
-    return F.sequence(F.floor(low / width), F.greatest(F.floor((high - 1) / width), F.floor(low / width)))
-
-
 def chunk_patients(
     notes: DataFrame,
     size: int = 40_000,
@@ -167,29 +175,35 @@ def chunk_patients(
     # one row for each part that a patient has notes in
     sums = pieces.groupBy("key", "part").agg(F.sum("n").alias("tokens"), F.sum(F.col("first").cast("long")).alias("notes"), F.max_by("tail_n", F.struct("i", "at")).alias("tail_n"))
     before = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = sums.select("key", "part", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_ahead") for c in ("tokens", "notes")])
+    ahead = sums.select("key", "part", *[F.sum(c).over(before).alias(f"{c}_ahead") for c in ("tokens", "notes")]).where("notes_ahead IS NOT NULL")
     totals = sums.groupBy("key").agg((F.sum("tokens") + len(gap) * (F.sum("notes") - 1) + F.max_by("tail_n", "part")).alias("s"))
 
+    # parts follow each other in the order of patients, so at most one patient of a part goes on from an earlier one:
+    # no more rows than parts are broadcast
+    placed = pieces.join(F.broadcast(ahead), ["key", "part"], "left").fillna(0, ["tokens_ahead", "notes_ahead"])
     nth = F.col("notes_ahead") + F.col("i")
     shift = F.col("tokens_ahead") + len(gap) * nth  # from tokens of the part to tokens of the patient
-    own = F.filter(F.array(F.when(nth > 0, F.struct((F.col("at") + shift - len(gap) + sum(g <= 1 for g in gap)).alias("s"), (F.col("at") + shift + F.col("head")).alias("e")))), lambda m: m.isNotNull())
-    inner = F.transform("marks", lambda m: F.struct((m["s"] + shift).alias("s"), (m["e"] + shift).alias("e")))
-    heads = pieces.where("first").select("key", "part", "i", "at", "head", "marks").join(ahead, ["key", "part"])
-    marks = heads.select("key", F.explode(F.concat(own, inner)).alias("m")).select("key", "m.s", "m.e")
+    between = F.col("first") & (nth > 0)
+    placed = placed.select("key", "text", "lengths", "n", "first", "head", "marks", shift.alias("shift"), (F.col("at") + shift).alias("place"), between.alias("between"))
+
+    own = F.struct((F.col("place") - len(gap) + sum(g <= 1 for g in gap)).alias("s"), (F.col("place") + F.col("head")).alias("e"))
+    inner = F.transform("marks", lambda m: F.struct((m["s"] + F.col("shift")).alias("s"), (m["e"] + F.col("shift")).alias("e")))
+    marks = placed.where("first").select("key", F.explode(F.concat(F.when(F.col("between"), F.array(own)).otherwise(F.array()), inner)).alias("m")).select("key", "m.s", "m.e")
     items = totals.select("key", "s", F.lit(-1).cast("long").alias("e")).unionByName(marks)
     borders = settled(items.repartition("key").sortWithinPartitions("key", "e", "s").mapInPandas(_borders(size, overlap, window), "key string, chunk int, first long, stop long"))
+    numbered = borders.join(borders.groupBy("key").agg(F.count(F.lit(1)).cast("int").alias("total")), "key")
 
-    between = F.col("first") & (nth > 0)
-    placed = pieces.join(ahead, ["key", "part"]).select("key", "text", "lengths", "n", (F.col("at") + shift).alias("place"), between.alias("between"))
+    # texts move once: to the stretch of tokens that their chunk begins in, and to the one before if a chunk may reach over
+    stretch = lambda at: F.floor(at / F.lit(STRETCH * size).cast("long"))
     low = F.col("place") - F.when(F.col("between"), len(gap)).otherwise(0)
-    placed = placed.select("*", low.alias("low"), (F.col("place") + F.col("n") + 1).alias("high"))
-    placed = placed.withColumn("bucket", F.explode(_buckets(F.col("low"), F.col("high"), size)))
-    reach = borders.where("first < stop").withColumn("bucket", F.explode(_buckets(F.col("first"), F.col("stop"), size)))
-    # each pair once: in the first bucket that both touch
-    met = placed.join(reach, ["key", "bucket"]).where((F.col("low") < F.col("stop")) & (F.col("first") < F.col("high")) & (F.col("bucket") == F.floor(F.greatest("low", "first") / F.lit(size).cast("long"))))
-    taken = met.select("key", "chunk", "text", "lengths", "n", "place", "between", "first", "stop").mapInPandas(_slices(gap), "key string, chunk int, place long, text string")
-    joined = taken.groupBy("key", "chunk").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda x: x["text"]), "").alias("chunk_text"))
-    numbers = borders.select("key", "chunk").join(borders.groupBy("key").agg(F.count(F.lit(1)).cast("int").alias("total_chunks")), "key")
-    whole = numbers.join(joined, ["key", "chunk"], "left")
+    high = F.col("place") + F.col("n") + 1
+    dealt = placed.select("key", low.alias("low"), high.alias("high"), F.struct("place", "n", "between", "lengths", "text").alias("p"))
+    dealt = dealt.withColumn("at", F.explode(F.sequence(stretch(F.greatest(F.col("low") - size, F.lit(0))), stretch(F.col("high") - 1))))
+    reach = numbered.where("first < stop").withColumn("at", stretch(F.col("first")))
+    met = dealt.join(reach, ["key", "at"]).where((F.col("low") < F.col("stop")) & (F.col("first") < F.col("high")))
+    held = met.groupBy("key", "at", "chunk", "total", "first", "stop").agg(F.collect_list("p").alias("held"))
+    whole = held.select("key", "chunk", "total", "first", "stop", "held").mapInPandas(_texts(gap), "key string, chunk int, total int, chunk_text string")
+    # a marker where a chunk begins leaves it empty
+    whole = whole.unionByName(numbered.where("first = stop").select("key", "chunk", "total", F.lit("").alias("chunk_text")))
     patient = F.when(F.col("key") != "-", F.substring("key", 2, 2**31 - 1)).alias(pid)
-    return whole.select(patient, F.col("chunk").alias("chunk_index"), "total_chunks", F.coalesce("chunk_text", F.lit("")).alias("chunk_text"))
+    return whole.select(patient, F.col("chunk").alias("chunk_index"), F.col("total").alias("total_chunks"), "chunk_text")
