@@ -24,6 +24,7 @@ def main(argv: Sequence[str] | None = None) -> int:
     query.add_argument("sql")
     query.add_argument("--strict", action="store_true")
     commands.add_parser("metadata")
+    commands.add_parser("records")
     commands.add_parser("labels")
     commands.add_parser("training")
     commands.add_parser("rewards").add_argument("summaries")
@@ -33,6 +34,8 @@ def main(argv: Sequence[str] | None = None) -> int:
         q = config.query
         service = QueryService(spark, open_tables(spark, f"{config.output_dir}/database"), q.min_cell_size, q.max_query_rows, config.database.forbidden_output_columns, config.name, args.strict, q.max_output_fraction if q.enforce_output_fraction else None)
         print(json.dumps(service.execute(args.sql), default=str))
+    elif args.command == "records":
+        Pipeline(spark, config).records()
     elif args.command == "labels":
         Pipeline(spark, config).labels()
     elif args.command == "training":

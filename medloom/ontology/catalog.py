@@ -133,6 +133,7 @@ class Item:
     repeatable: bool = False
     required: bool = False
     values: tuple[str, ...] = ()
+    items: tuple[Item, ...] = ()  # of an object, its own fields
 
 
 @dataclass(frozen=True)
@@ -177,7 +178,7 @@ def _told(item: Item) -> str:
 
 
 def _item(raw: Mapping[str, Any]) -> Item:
-    """A field from a document that describes it; an object's own fields are told in its description."""
+    """A field from a document that describes it; an object's own fields are told in its description, too."""
     name = raw.get("json_field") or raw.get("id") or f"item_{raw.get('naaccr_item')}"
     values = raw.get("valid_values") or ()
     parts = [raw.get("description") or raw.get("name") or ""]
@@ -185,7 +186,7 @@ def _item(raw: Mapping[str, Any]) -> Item:
         parts.append(f"codes: {raw['valid_codes']}")
     if raw.get("sub_items"):
         parts.append("with " + ", ".join(x["id"] for x in raw["sub_items"]))
-    return Item(name, raw.get("data_type") or data_type(name), "; ".join(x for x in parts if x), bool(raw.get("repeatable")), bool(raw.get("required")), tuple(map(str, values)))
+    return Item(name, raw.get("data_type") or data_type(name), "; ".join(x for x in parts if x), bool(raw.get("repeatable")), bool(raw.get("required")), tuple(map(str, values)), tuple(map(_item, raw.get("sub_items") or ())))
 
 
 def read_folder(spark: SparkSession, folder: str, name: str, version: str = "", site_folders: Iterable[str] = ("site_specific",)) -> Ontology:

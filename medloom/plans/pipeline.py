@@ -14,14 +14,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from medloom.config import ProjectConfig
-from medloom.functions.names import category_of
-from medloom.ontology.catalog import Registry, combined_prompt, propose_tables
+from medloom.functions.names import category_of, table_name
+from medloom.ontology.catalog import Category, Registry, combined_prompt, propose_tables
 from medloom.operators.cohort import CohortSpec, build_cohort, sequential_ids
 from medloom.operators.extraction import SUMMARY, Model, Rounds, flatten_long, flatten_wide, is_summary_only, silver_labels, summaries
 from medloom.operators.harmonize import harmonize, mapped_columns, mappings_from_config
 from medloom.operators.longnotes import chunk_patients
 from medloom.operators.metadata import write_documents
 from medloom.operators.notes import consolidate, sorted_notes, standard_notes
+from medloom.operators.records import checked, refused, typed
 from medloom.operators.reward import summary_rewards, training_examples
 from medloom.operators.warehouse import Warehouse, distinct_ids, open_tables, split_categories
 from medloom.sources import files, io
@@ -142,6 +143,25 @@ class Pipeline:
         else:  # by category, so that each table reads its own rows only
             flatten_wide(flatten_long(latest)).write.mode("overwrite").partitionBy("category").parquet(f"{self.out}/extractions.parquet")
 
+    def records(self) -> DataFrame | None:
+        """Typed tables of the stored extractions, one for each category of the chosen ontologies, and the quarantine of refused entries with reasons."""
+        e = self.config.extraction
+        latest = Rounds(self.spark, f"{self.out}/rounds").latest()
+        ontologies = [o for o in self.registry.select(e.ontology_ids) if o.id != SUMMARY]
+        items: dict[str, dict] = {}  # a category of several ontologies has all their fields
+        for c in (c for o in ontologies for c in o.categories(e.cancer_type)):
+            items.setdefault(c.id, {}).update({i.id: i for i in c.items})
+        categories = {n: Category(n, tuple(i.values())) for n, i in items.items()}
+        if not categories:
+            log.warning("no categories; records skipped")
+            return None
+        checked(latest, categories.values()).write.mode("overwrite").parquet(f"{self.out}/records/checked.parquet")
+        entries = self.spark.read.parquet(f"{self.out}/records/checked.parquet")
+        for name in sorted(r.category for r in entries.where("size(faults) = 0").select("category").distinct().collect()):  # at most the catalogue's
+            typed(entries, categories[name]).write.mode("overwrite").parquet(f"{self.out}/records/{table_name(name)}.parquet")
+        refused(entries).write.mode("overwrite").parquet(f"{self.out}/records/refused.parquet")
+        return self.spark.read.parquet(f"{self.out}/records/refused.parquet")
+
     def labels(self) -> DataFrame | None:
         """Extractions to train against, by the reward model, with prompts from the cohort's notes; made once."""
         t, e = self.config.training, self.config.extraction

@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from medloom.functions.dates import parse_text, years_between
 from medloom.ontology import sites
-from medloom.operators import cohort, deid, distribution, extraction, harmonize, longnotes, metadata, notes, privacy, relational, reward, warehouse
+from medloom.ontology.catalog import Category, Item
+from medloom.operators import cohort, deid, distribution, extraction, harmonize, longnotes, metadata, notes, privacy, records, relational, reward, warehouse
 from medloom.plans.service import QueryService, guarded_frame
 from medloom.plans.sqlguard import validate
 from medloom.session import settled, shared_folder, spread
@@ -702,6 +703,45 @@ def summary_rewards(spark, sf_dir):
     return found.withColumn("reward", F.round("reward", 6))
 
 
+#: A category of every type of field; entries below hold what the documents' columns say, some of them wrong.
+DOCUMENT = Category("document", (
+    Item("lang"), Item("size", values=("short", "long")), Item("length", "integer", required=True), Item("share", "number"), Item("made", "date"), Item("tags", "array"),
+    Item("place", "object", items=(Item("source", required=True), Item("half", "integer"))),
+))
+_ENTRIES = """array(
+    named_struct('document', named_struct('lang', lang, 'size', CASE WHEN doc_id % 17 = 0 THEN 'huge' WHEN length(text) < 500 THEN 'short' ELSE 'long' END,
+        'length', CASE WHEN doc_id % 19 = 0 THEN 'many' WHEN doc_id % 23 <> 0 THEN CAST(length(text) AS STRING) END, 'share', doc_id % 8 / 8,
+        'made', CASE WHEN doc_id % 7 = 0 THEN 'about 2020' ELSE CAST(date_add(DATE'2020-01-01', CAST(doc_id % 1000 AS INT)) AS STRING) END,
+        'tags', array('a', CAST(doc_id % 5 AS STRING)), 'place', named_struct('source', source, 'half', doc_id div 2), 'more', CASE WHEN doc_id % 29 = 0 THEN 1 END)))"""
+_DOCUMENTS = """d AS (SELECT doc_id, lang, source, length(text) AS n, CASE WHEN doc_id % 17 = 0 THEN 'huge' WHEN length(text) < 500 THEN 'short' ELSE 'long' END AS size FROM documents),
+    f AS (SELECT *, concat_ws('; ', CASE WHEN doc_id % 19 = 0 THEN 'length: no integer' END, CASE WHEN doc_id % 7 = 0 THEN 'made: no date' END, CASE WHEN doc_id % 29 = 0 THEN 'more: unknown field' END,
+        CASE WHEN coalesce(source, '') = '' THEN 'place.source: missing' END, CASE WHEN size = 'huge' THEN 'size: not an allowed value' END, CASE WHEN doc_id % 19 <> 0 AND (doc_id % 23 = 0 OR n IS NULL) THEN 'length: missing' END) AS reasons FROM d)"""
+
+
+def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An answer about each document; some are prose, some hold entries of other kinds."""
+    listed = F.to_json(F.expr(_ENTRIES))
+    other = F.concat(F.substring(listed, 1, F.length(listed) - 1), F.lit(', {"else": {}}, {"document": 3}, []]'))
+    answer = F.when(F.col("doc_id") % 13 == 0, "none found").when(F.col("doc_id") % 11 == 0, other).otherwise(listed)
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("patient_id"), answer.alias("extraction"))
+
+
+@register(f"""WITH {_DOCUMENTS} SELECT CAST(doc_id AS VARCHAR) AS patient_id, nullif(trim(lang), '') AS lang, size, n AS length, (doc_id % 8 / 8)::DOUBLE AS share, CAST(CAST(DATE '2020-01-01' + (doc_id % 1000)::INTEGER AS DATE) AS VARCHAR) AS made,
+    'a,' || doc_id % 5 AS tags, trim(source) AS source, doc_id // 2 AS half FROM f WHERE reasons = '' AND doc_id % 13 <> 0""")
+def typed_records(spark, sf_dir):
+    good = records.typed(records.checked(_answers(spark, sf_dir), [DOCUMENT]), DOCUMENT)
+    return good.select("patient_id", "lang", "size", "length", "share", F.col("made").cast("string").alias("made"), F.array_join("tags", ",").alias("tags"), "place.source", "place.half")
+
+
+@register(f"""WITH {_DOCUMENTS}, e AS (SELECT doc_id, 0 AS entry_no, reasons FROM f WHERE reasons <> '' AND doc_id % 13 <> 0
+    UNION ALL SELECT doc_id, NULL, 'no list' FROM d WHERE doc_id % 13 = 0
+    UNION ALL SELECT doc_id, unnest([1, 2, 3]), unnest(['unknown category', 'no fields', 'no single-key object']) FROM d WHERE doc_id % 13 <> 0 AND doc_id % 11 = 0)
+    SELECT CAST(doc_id AS VARCHAR) AS patient_id, entry_no, reasons FROM e""")
+def refused_records(spark, sf_dir):
+    bad = records.refused(records.checked(_answers(spark, sf_dir), [DOCUMENT]))
+    return bad.select("patient_id", "entry_no", F.array_join("reasons", "; ").alias("reasons"))
+
+
 #: Joins of every kind inside a guarded statement.
 GUARDED_JOINS = {
     "inner": "SELECT c_mktsegment, COUNT(*) AS n FROM customer JOIN orders ON c_key = o_key GROUP BY c_mktsegment",
