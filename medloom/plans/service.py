@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import threading
+import uuid
 from collections.abc import Iterable, Mapping
 from decimal import Decimal
 from functools import reduce
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from medloom.operators.metadata import schema_document, summary_document
 from medloom.operators.privacy import OutputTooLarge, complementary_cells, suppress_cells, validate_output_size
 from medloom.operators.warehouse import register
+from medloom.plans.clauses import AsOf, as_of_joins
 from medloom.plans.dialect import DialectError, to_spark
 from medloom.plans.groupsize import Masked, mask_small_groups
 from medloom.plans.sqlguard import counted_outputs, lineage_leaks, planned_counts, validate
@@ -26,9 +28,30 @@ _NAMES = threading.Lock()
 
 def guarded_frame(spark: SparkSession, sql: str, tables: Iterable[str], k: int = 10, forbidden: Iterable[str] = ("record_id",), count_columns: Iterable[str] | None = None, strict: bool = False) -> tuple[DataFrame, list[str], list[str]]:
     """(suppressed result as a plan, its count columns, warnings); raises ValueError for refused SQL."""
-    forbidden = list(forbidden)
+    forbidden, sql = list(forbidden), sql.strip().rstrip(";")
+    tables = list(tables)
+    joins: list[AsOf] = []
+    if "asof" in sql.lower():
+        sql, joins = as_of_joins(sql, {t: spark.table(t).columns for t in tables}, f"asof_{uuid.uuid4().hex}_")
     try:
-        text = to_spark(sql.strip().rstrip(";"))
+        for join in joins:
+            joined = join.frame(spark.table(join.left), spark.table(join.right))
+            joined.createOrReplaceTempView(join.name)
+            # the right table's forbidden columns stay forbidden under their new names
+            hidden = {f.lower() for f in forbidden}
+            ours, theirs = ({c.lower() for c in spark.table(t).columns} & hidden for t in (join.left, join.right))
+            if ours and theirs and not any(a.lower() in ours and b.lower() in theirs for a, b in join.keys):
+                raise ValueError("ASOF JOIN of two tables of persons has to be by person.")
+            forbidden += [join.column(c) for c in spark.table(join.right).columns if c.lower() in hidden]
+        return _guarded(spark, sql, [*tables, *(j.name for j in joins)], k, forbidden, count_columns, strict)
+    finally:
+        for join in joins:
+            spark.catalog.dropTempView(join.name)
+
+
+def _guarded(spark: SparkSession, sql: str, tables: list[str], k: int, forbidden: list[str], count_columns: Iterable[str] | None, strict: bool) -> tuple[DataFrame, list[str], list[str]]:
+    try:
+        text = to_spark(sql)
     except DialectError as error:
         raise ValueError(str(error)) from error
     verdict = validate(spark, text, tables, forbidden, strict)
@@ -39,7 +62,7 @@ def guarded_frame(spark: SparkSession, sql: str, tables: Iterable[str], k: int =
     if strict and (bad := lineage_leaks(analyzed, forbidden)):
         raise ValueError(f"Forbidden values would be shown in: {', '.join(bad)}.")
     # by the caller's own words (rewritten functions use counts of their own) and by what the outputs are made of
-    places = sorted({*_planned(spark, sql.strip().rstrip(";"), text), *counted_outputs(analyzed)})
+    places = sorted({*_planned(spark, sql, text), *counted_outputs(analyzed)})
     planned = [rows.columns[p] for p in places if p < len(rows.columns)]
     asked = list(count_columns or []) + planned if count_columns else None
     # aggregates of groups below k are null from here on, wherever the statement makes them

@@ -742,6 +742,35 @@ def refused_records(spark, sf_dir):
     return bad.select("patient_id", "entry_no", F.array_join("reasons", "; ").alias("reasons"))
 
 
+#: QUALIFY, ASOF JOIN and * EXCLUDE in guarded statements; a document stands for a person, as does a user.
+@register("""WITH g AS (SELECT source, lang, count(*) AS n, max(length(text)) AS most FROM documents GROUP BY ALL), k AS (SELECT source, lang, CASE WHEN n >= 10 THEN n END AS n, CASE WHEN n >= 10 THEN most END AS most FROM g)
+    SELECT source, lang, coalesce(CAST(n AS VARCHAR), '<10') AS n, most FROM k QUALIFY row_number() OVER (PARTITION BY source ORDER BY n DESC NULLS LAST, lang NULLS LAST) <= 2""")
+def guard_qualify(spark, sf_dir):
+    """The two languages with most documents of each source; places go by what may be shown."""
+    views = {"documents": table(spark, sf_dir, "documents")}
+    warehouse.register(spark, views)
+    sql = "SELECT source, lang, COUNT(*) AS n, MAX(LENGTH(text)) AS most FROM (SELECT * EXCLUDE (doc_id) FROM documents) GROUP BY source, lang QUALIFY ROW_NUMBER() OVER (PARTITION BY source ORDER BY n DESC, lang NULLS LAST) <= 2"
+    return guarded_frame(spark, sql, views, 10, ("doc_id",))[0]
+
+
+_AS_OF = "SELECT date_diff('day', v.ts, c.ts) AS days, COUNT(*) AS n FROM clicks AS c {} JOIN views v ON c.user_id = v.user_id AND c.ts >= v.ts GROUP BY 1"
+
+
+def _as_of(kind: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        views = {n: table(spark, sf_dir, "events").where(F.col("event_type") == n[:-1]) for n in ("clicks", "views")}
+        warehouse.register(spark, views)
+        return guarded_frame(spark, _AS_OF.format(kind), views, 5, ("user_id",))[0]
+
+    return run
+
+
+for _name, _kind in (("guard_asof", "ASOF"), ("guard_asof_left", "ASOF LEFT")):
+    QUERIES[_name] = _as_of(_kind)
+    ORACLES[_name] = f"""WITH clicks AS (SELECT * FROM events WHERE event_type = 'click'), views AS (SELECT * FROM events WHERE event_type = 'view')
+        SELECT date_diff('day', v.ts, c.ts) AS days, CASE WHEN count(*) >= 5 AND count(DISTINCT c.user_id) >= 5 THEN CAST(count(*) AS VARCHAR) ELSE '<5' END AS n FROM clicks c {_kind} JOIN views v ON c.user_id = v.user_id AND c.ts >= v.ts GROUP BY 1"""
+
+
 #: Joins of every kind inside a guarded statement.
 GUARDED_JOINS = {
     "inner": "SELECT c_mktsegment, COUNT(*) AS n FROM customer JOIN orders ON c_key = o_key GROUP BY c_mktsegment",
