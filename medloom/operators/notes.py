@@ -7,7 +7,6 @@ import re
 from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -127,18 +126,23 @@ def concatenate(notes: DataFrame, pid: str = "patient_id", text: str = "text", d
 
 
 def chunk_notes(texts: DataFrame, size: int = 40_000, overlap: int = 200, tokenizer: Callable[[], Tokenizer] | None = PieceTokenizer, pid: str = "patient_id", text: str = "notes") -> DataFrame:
-    """(patient, chunk_index, total_chunks, chunk_text); without a tokenizer a text is one chunk."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        one = tokenizer() if tokenizer else None
-        for frame in frames:
-            out = []
-            for key, whole in zip(frame[pid], frame[text], strict=True):
-                chunks = chunk_text(whole, one, size, overlap) if one else [whole]
-                out += [(key, k, len(chunks), c) for k, c in enumerate(chunks)]
-            yield pd.DataFrame(out, columns=[pid, "chunk_index", "total_chunks", "chunk_text"])
-
-    return texts.select(F.col(pid).cast("string").alias(pid), text).mapInPandas(run, f"{pid} string, chunk_index int, total_chunks int, chunk_text string")
+    """(patient, chunk_index, total_chunks, chunk_text); without a tokenizer a text is one chunk.
+
+    Texts go to Python in Spark's small batches of pickled rows (100), as 10,000 texts of an Arrow batch and their chunks have no bound in bytes.
+    """
+    patient = F.col(pid).cast("string").alias(pid)
+    if not tokenizer:
+        return texts.select(patient, F.lit(0).alias("chunk_index"), F.lit(1).alias("total_chunks"), F.col(text).alias("chunk_text"))
+    made: list[Tokenizer] = []
+
+    def cut(whole: str | None) -> list[str]:
+        if not made:  # once in each task
+            made.append(tokenizer())
+        return [] if whole is None else chunk_text(whole, made[0], size, overlap)
+
+    # as if not deterministic: the filter that explode brings along would tokenise each text a second time
+    chunks = F.udf(cut, "array<string>", useArrow=False).asNondeterministic()(text).alias("chunks")
+    return texts.select(patient, chunks).select(pid, F.posexplode("chunks").alias("chunk_index", "chunk_text"), F.size("chunks").alias("total_chunks")).select(pid, "chunk_index", "total_chunks", "chunk_text")
 
 
 def chunk_counts(chunks: DataFrame, pid: str = "patient_id") -> DataFrame:
