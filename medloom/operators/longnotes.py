@@ -18,7 +18,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from medloom.operators.notes import MARKER, PieceTokenizer, Tokenizer, entries
@@ -30,6 +30,8 @@ PIECE = 1024
 STRETCH = 8
 BETWEEN = "\n\n"
 _HEAD = "--- "
+#: Rows of numbers given back at a time.
+ROWS = 10_000
 _PIECES = "key string, part int, i long, at long, n int, text string, lengths binary, first boolean, tail_n int, head int, marks array<struct<s: long, e: long>>"
 
 
@@ -50,37 +52,33 @@ def _gap(tokenizer: Tokenizer) -> list[int]:
     return [*ends[:-1], len(BETWEEN)] if ends else []
 
 
-def _pieces(tokenizer: Callable[[], Tokenizer], most: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def _pieces(tokenizer: Callable[[], Tokenizer], most: int) -> Callable[[Iterator[Row]], Iterator[tuple]]:
     """Sorted notes of a part as pieces of at most so many tokens; ``at`` counts the patient's tokens before them in this part.
 
     White space behind a note's last token stays with the text, but belongs to the token that follows.
     """
-    names = [f.split()[0] for f in re.sub("array<struct<.*>>", "x", _PIECES).split(", ")]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(rows: Iterator[Row]) -> Iterator[tuple]:
         one, part = tokenizer(), TaskContext.get().partitionId()
         last, i, at = None, 0, 0
-        for frame in frames:
-            out = []
-            for key, entry in zip(frame.key, frame.entry, strict=True):
-                if key != last:
-                    last, i, at = key, 0, 0
-                ends = np.maximum.accumulate(np.asarray(one.ends(entry.rstrip()), dtype=np.int64))
-                found = np.array([m.start() for m in re.finditer(re.escape(MARKER), entry)], dtype=np.int64)
-                begun = at + np.searchsorted(ends, found, "right")
-                inside = at + np.searchsorted(ends, found + len(MARKER), "left")
-                marks = [{"s": int(s), "e": int(e)} for s, e in zip(begun, inside, strict=True)]
-                head = int(np.searchsorted(ends, len(_HEAD), "left"))
-                begins = np.concatenate([[0], ends])
-                lengths = np.diff(begins)
-                for a in range(0, len(ends), most):
-                    b = min(a + most, len(ends))
-                    whole = b == len(ends)
-                    text = entry[begins[a] :] if whole else entry[begins[a] : begins[b]]
-                    tail = len(one.ends(entry[begins[b] :])) if whole and begins[b] < len(entry) else 0
-                    out.append((key, part, i, at + a, b - a, text, _packed(lengths[a:b]), a == 0, tail, head, marks if a == 0 else []))
-                i, at = i + 1, at + len(ends)
-            yield pd.DataFrame(out, columns=names)
+        for key, entry in rows:
+            if key != last:
+                last, i, at = key, 0, 0
+            ends = np.maximum.accumulate(np.asarray(one.ends(entry.rstrip()), dtype=np.int64))
+            found = np.array([m.start() for m in re.finditer(re.escape(MARKER), entry)], dtype=np.int64)
+            begun = at + np.searchsorted(ends, found, "right")
+            inside = at + np.searchsorted(ends, found + len(MARKER), "left")
+            marks = list(zip(begun.tolist(), inside.tolist(), strict=True))
+            head = int(np.searchsorted(ends, len(_HEAD), "left"))
+            begins = np.concatenate([[0], ends])
+            lengths = np.diff(begins)
+            for a in range(0, len(ends), most):
+                b = min(a + most, len(ends))
+                whole = b == len(ends)
+                text = entry[begins[a] :] if whole else entry[begins[a] : begins[b]]
+                tail = len(one.ends(entry[begins[b] :])) if whole and begins[b] < len(entry) else 0
+                yield key, part, i, at + a, b - a, text, _packed(lengths[a:b]), a == 0, tail, head, marks if a == 0 else []
+            i, at = i + 1, at + len(ends)
 
     return run
 
@@ -104,46 +102,49 @@ def _borders(size: int, overlap: int, window: int) -> Callable[[Iterator[pd.Data
             first = max(first + 1, end - overlap)
             stop = min(first + size, total) if end < total else -1
 
+        def given() -> pd.DataFrame:
+            made = pd.DataFrame(out, columns=["key", "chunk", "first", "stop"])
+            out.clear()
+            return made
+
         for frame in frames:
             for k, s, e in zip(frame.key, frame.s.tolist(), frame.e.tolist(), strict=True):
                 if e < 0:
                     while stop > 0:
                         cut()
+                        if len(out) >= ROWS:
+                            yield given()
                     key, total, first, stop, mark, no = k, s, 0, min(size, s), -1, 0
                     continue
                 while 0 < stop <= e:
                     cut()
+                    if len(out) >= ROWS:
+                        yield given()
                 mark = s
-            yield pd.DataFrame(out, columns=["key", "chunk", "first", "stop"])
-            out.clear()
         while stop > 0:
             cut()
-        yield pd.DataFrame(out, columns=["key", "chunk", "first", "stop"])
+            if len(out) >= ROWS:
+                yield given()
+        yield given()
 
     return run
 
 
-def _texts(gap: list[int]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """A chunk's text from the pieces that it touches, in order: tokens inside, white space before a note, and white space behind the note before."""
+def _taken(gap: list[int]) -> Callable[..., str]:
+    """What a chunk takes of a piece: tokens inside, white space before a note, and white space behind the note before."""
     steps = [0, *gap]
 
-    def part_of(p: dict, first: int, stop: int) -> str:
-        place, n, text = p["place"], p["n"], p["text"]
-        begins = _begins(p["lengths"], n)
+    def run(place: int, n: int, text: str, lengths: bytes, between: bool, first: int, stop: int) -> str:
+        begins = _begins(lengths, n)
         inside = lambda t: min(max(t - place, 0), n)
         taken = text[begins[inside(first)] : begins[inside(stop)]]
-        if p["between"] and not gap:
+        if between and not gap:
             taken = (BETWEEN if first <= place < stop else "") + taken
-        elif p["between"]:
+        elif between:
             a, b = (min(max(t - (place - len(gap)), 0), len(gap)) for t in (first, stop))
             taken = BETWEEN[steps[a] : steps[b]] + taken
         return taken + (text[begins[n] :] if first <= place + n < stop else "")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            texts = ["".join(part_of(p, first, stop) for p in sorted(held, key=lambda p: p["place"])) for held, first, stop in zip(f.held, f["first"], f.stop, strict=True)]
-            yield pd.DataFrame({"key": f.key, "chunk": f.chunk, "total": f.total, "chunk_text": texts})
-
     return run
 
 
@@ -169,7 +170,8 @@ def chunk_patients(
     order = [c for c in rows.columns if c != "entry"]
     # a prefix of the entry keeps the order and shares out a patient without dates and places
     dealt = rows.repartitionByRange(*order, F.substring("entry", 1, 64)).sortWithinPartitions(*order, "entry")
-    pieces = settled(dealt.select("key", "entry").mapInPandas(_pieces(tokenizer, min(size, PIECE)), _PIECES))
+    # pickled rows come in batches that are bounded in bytes; 10,000 notes of an Arrow batch are not
+    pieces = settled(notes.sparkSession.createDataFrame(dealt.select("key", "entry").rdd.mapPartitions(_pieces(tokenizer, min(size, PIECE))), _PIECES, verifySchema=False))
     gap = _gap(tokenizer())
 
     # one row for each part that a patient has notes in
@@ -201,8 +203,11 @@ def chunk_patients(
     dealt = dealt.withColumn("at", F.explode(F.sequence(stretch(F.greatest(F.col("low") - size, F.lit(0))), stretch(F.col("high") - 1))))
     reach = numbered.where("first < stop").withColumn("at", stretch(F.col("first")))
     met = dealt.join(reach, ["key", "at"]).where((F.col("low") < F.col("stop")) & (F.col("first") < F.col("high")))
-    held = met.groupBy("key", "at", "chunk", "total", "first", "stop").agg(F.collect_list("p").alias("held"))
-    whole = held.select("key", "chunk", "total", "first", "stop", "held").mapInPandas(_texts(gap), "key string, chunk int, total int, chunk_text string")
+    # pieces are cut one by one, in small batches of rows, and put together without Python, where a chunk's pieces would meet 10,000 times
+    taken = F.udf(_taken(gap), "string", useArrow=False)(*[F.col("p")[c] for c in ("place", "n", "text", "lengths", "between")], "first", "stop")
+    cut = met.select("key", "at", "chunk", "total", "first", F.struct(F.col("p")["place"].alias("place"), taken.alias("taken")).alias("cut"))
+    held = cut.groupBy("key", "at", "chunk", "total", "first").agg(F.array_sort(F.collect_list("cut")).alias("held"))
+    whole = held.select("key", "chunk", "total", F.array_join(F.col("held")["taken"], "").alias("chunk_text"))
     # a marker where a chunk begins leaves it empty
     whole = whole.unionByName(numbered.where("first = stop").select("key", "chunk", "total", F.lit("").alias("chunk_text")))
     patient = F.when(F.col("key") != "-", F.substring("key", 2, 2**31 - 1)).alias(pid)

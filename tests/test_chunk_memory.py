@@ -6,7 +6,7 @@ import sys
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from medloom.operators import notes
+from medloom.operators import longnotes, notes
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -38,6 +38,13 @@ def test_chunks_of_whole_texts(spark):
     assert tuple(got) == (2500, 1, rows.agg(F.sum(F.length("notes"))).first()[0])
 
 
+def test_chunks_note_by_note(spark):
+    rows = long_texts(spark, 5000)
+    got = longnotes.chunk_patients(rows, 100, 10, Watched).agg(F.count(F.lit(1)), F.max("total_chunks"), F.sum(F.length("chunk_text"))).first()
+    header = len("--- unknown |  ---\n")
+    assert tuple(got) == (5000, 1, rows.agg(F.sum(F.length("text") + header)).first()[0])
+
+
 def test_null_and_empty_texts_have_no_chunks(spark):
     rows = spark.createDataFrame([(1, None), (2, ""), (3, "a b c")], "patient_id long, notes string")
     assert [tuple(r) for r in notes.chunk_notes(rows, 2, 0).orderBy("chunk_index").collect()] == [("3", 0, 2, "a b"), ("3", 1, 2, " c")]
