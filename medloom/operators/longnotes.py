@@ -52,33 +52,37 @@ def _gap(tokenizer: Tokenizer) -> list[int]:
     return [*ends[:-1], len(BETWEEN)] if ends else []
 
 
-def _pieces(tokenizer: Callable[[], Tokenizer], most: int) -> Callable[[Iterator[Row]], Iterator[tuple]]:
-    """Sorted notes of a part as pieces of at most so many tokens; ``at`` counts the patient's tokens before them in this part.
+def _pieces(tokenizer: Callable[[], Tokenizer], most: int) -> Callable[[str, str], list[tuple]]:
+    """A note as pieces of at most so many tokens; ``at`` counts the patient's tokens before them in this part, whose sorted notes a task takes one by one.
 
     White space behind a note's last token stays with the text, but belongs to the token that follows.
     """
-
-    def run(rows: Iterator[Row]) -> Iterator[tuple]:
-        one, part = tokenizer(), TaskContext.get().partitionId()
-        last, i, at = None, 0, 0
-        for key, entry in rows:
-            if key != last:
-                last, i, at = key, 0, 0
-            ends = np.maximum.accumulate(np.asarray(one.ends(entry.rstrip()), dtype=np.int64))
-            found = np.array([m.start() for m in re.finditer(re.escape(MARKER), entry)], dtype=np.int64)
-            begun = at + np.searchsorted(ends, found, "right")
-            inside = at + np.searchsorted(ends, found + len(MARKER), "left")
-            marks = list(zip(begun.tolist(), inside.tolist(), strict=True))
-            head = int(np.searchsorted(ends, len(_HEAD), "left"))
-            begins = np.concatenate([[0], ends])
-            lengths = np.diff(begins)
-            for a in range(0, len(ends), most):
-                b = min(a + most, len(ends))
-                whole = b == len(ends)
-                text = entry[begins[a] :] if whole else entry[begins[a] : begins[b]]
-                tail = len(one.ends(entry[begins[b] :])) if whole and begins[b] < len(entry) else 0
-                yield key, part, i, at + a, b - a, text, _packed(lengths[a:b]), a == 0, tail, head, marks if a == 0 else []
-            i, at = i + 1, at + len(ends)
+    made: list[Tokenizer] = []
+    last, i, at = None, 0, 0
+
+    def run(key: str, entry: str) -> list[tuple]:
+        nonlocal last, i, at
+        if not made:  # once in each task
+            made.append(tokenizer())
+        if key != last:
+            last, i, at = key, 0, 0
+        one, part, out = made[0], TaskContext.get().partitionId(), []
+        ends = np.maximum.accumulate(np.asarray(one.ends(entry.rstrip()), dtype=np.int64))
+        found = np.array([m.start() for m in re.finditer(re.escape(MARKER), entry)], dtype=np.int64)
+        begun = at + np.searchsorted(ends, found, "right")
+        inside = at + np.searchsorted(ends, found + len(MARKER), "left")
+        marks = list(zip(begun.tolist(), inside.tolist(), strict=True))
+        head = int(np.searchsorted(ends, len(_HEAD), "left"))
+        begins = np.concatenate([[0], ends])
+        lengths = np.diff(begins)
+        for a in range(0, len(ends), most):
+            b = min(a + most, len(ends))
+            whole = b == len(ends)
+            text = entry[begins[a] :] if whole else entry[begins[a] : begins[b]]
+            tail = len(one.ends(entry[begins[b] :])) if whole and begins[b] < len(entry) else 0
+            out.append((key, part, i, at + a, b - a, text, _packed(lengths[a:b]), a == 0, tail, head, marks if a == 0 else []))
+        i, at = i + 1, at + len(ends)
+        return out
 
     return run
 
@@ -130,11 +134,11 @@ def _borders(size: int, overlap: int, window: int) -> Callable[[Iterator[pd.Data
     return run
 
 
-def _taken(gap: list[int]) -> Callable[..., str]:
-    """What a chunk takes of a piece: tokens inside, white space before a note, and white space behind the note before."""
+def _texts(gap: list[int]) -> Callable[[list[Row], int, int], str]:
+    """A chunk's text from the pieces that it touches, in order: tokens inside, white space before a note, and white space behind the note before."""
     steps = [0, *gap]
 
-    def run(place: int, n: int, text: str, lengths: bytes, between: bool, first: int, stop: int) -> str:
+    def part_of(place: int, n: int, between: bool, lengths: bytes, text: str, first: int, stop: int) -> str:
         begins = _begins(lengths, n)
         inside = lambda t: min(max(t - place, 0), n)
         taken = text[begins[inside(first)] : begins[inside(stop)]]
@@ -145,7 +149,7 @@ def _taken(gap: list[int]) -> Callable[..., str]:
             taken = BETWEEN[steps[a] : steps[b]] + taken
         return taken + (text[begins[n] :] if first <= place + n < stop else "")
 
-    return run
+    return lambda held, first, stop: "".join(part_of(*p, first, stop) for p in sorted(held, key=lambda p: p[0]))
 
 
 def chunk_patients(
@@ -170,8 +174,9 @@ def chunk_patients(
     order = [c for c in rows.columns if c != "entry"]
     # a prefix of the entry keeps the order and shares out a patient without dates and places
     dealt = rows.repartitionByRange(*order, F.substring("entry", 1, 64)).sortWithinPartitions(*order, "entry")
-    # pickled rows come in batches that are bounded in bytes; 10,000 notes of an Arrow batch are not
-    pieces = settled(notes.sparkSession.createDataFrame(dealt.select("key", "entry").rdd.mapPartitions(_pieces(tokenizer, min(size, PIECE))), _PIECES, verifySchema=False))
+    # Python takes pickled rows, 100 at a time: 10,000 notes of an Arrow batch have no bound in bytes.  Not deterministic, as it counts along the part
+    cut = F.udf(_pieces(tokenizer, min(size, PIECE)), f"array<struct<{_PIECES}>>", useArrow=False).asNondeterministic()
+    pieces = settled(dealt.select(cut("key", "entry").alias("pieces")).select(F.inline("pieces")))
     gap = _gap(tokenizer())
 
     # one row for each part that a patient has notes in
@@ -203,11 +208,9 @@ def chunk_patients(
     dealt = dealt.withColumn("at", F.explode(F.sequence(stretch(F.greatest(F.col("low") - size, F.lit(0))), stretch(F.col("high") - 1))))
     reach = numbered.where("first < stop").withColumn("at", stretch(F.col("first")))
     met = dealt.join(reach, ["key", "at"]).where((F.col("low") < F.col("stop")) & (F.col("first") < F.col("high")))
-    # pieces are cut one by one, in small batches of rows, and put together without Python, where a chunk's pieces would meet 10,000 times
-    taken = F.udf(_taken(gap), "string", useArrow=False)(*[F.col("p")[c] for c in ("place", "n", "text", "lengths", "between")], "first", "stop")
-    cut = met.select("key", "at", "chunk", "total", "first", F.struct(F.col("p")["place"].alias("place"), taken.alias("taken")).alias("cut"))
-    held = cut.groupBy("key", "at", "chunk", "total", "first").agg(F.array_sort(F.collect_list("cut")).alias("held"))
-    whole = held.select("key", "chunk", "total", F.array_join(F.col("held")["taken"], "").alias("chunk_text"))
+    held = met.groupBy("key", "at", "chunk", "total", "first", "stop").agg(F.collect_list("p").alias("held"))
+    # again 100 chunks at a time; after the grouping, as rows that come from Python would be shuffled for it
+    whole = held.select("key", "chunk", "total", F.udf(_texts(gap), "string", useArrow=False)("held", "first", "stop").alias("chunk_text"))
     # a marker where a chunk begins leaves it empty
     whole = whole.unionByName(numbered.where("first = stop").select("key", "chunk", "total", F.lit("").alias("chunk_text")))
     patient = F.when(F.col("key") != "-", F.substring("key", 2, 2**31 - 1)).alias(pid)
